@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat_format, quality_rules, url_filter
-from quillon.llm.base import table
+from quillon.llm import bpe, chat_format, quality_rules, token_files, url_filter
+from quillon.llm.base import shared_dir, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,23 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.formatted(turns))
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by forced boundaries, and decoded."""
+    return bpe.digest(bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text written to token files and read back."""
+    return token_files.write(table(spark, sf_dir, "documents"), shared_dir(spark), vocabulary("byte_bpe_50k.json")).read()
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of the contract's rules on every page."""
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
@@ -28,6 +45,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_bpe": op2_bpe,
+    "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
