@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat_format, quality_rules, token_files, url_filter
+from quillon.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, token_files, url_filter
 from quillon.llm.base import shared_dir, table
 
 
@@ -38,6 +38,17 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.found(docs, secret_scan.train(docs, table(spark, sf_dir, "labels"))))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text that stand in a benchmark window."""
+    return decontaminate.digest(decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and the learned list's verdict of every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rule")
@@ -48,11 +59,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_decontaminate": op8_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
 }
 
 
