@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, token_files, url_filter
+from quillon.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, substring_dedup, token_files, url_filter
 from quillon.llm.base import shared_dir, table
 
 
@@ -44,6 +44,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.found(docs, secret_scan.train(docs, table(spark, sf_dir, "labels"))))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text that repeat a passage of an earlier document."""
+    return substring_dedup.digest(substring_dedup.repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole text that stand in a benchmark window."""
     return decontaminate.digest(decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -60,12 +65,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }
 

@@ -40,6 +40,15 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST_RUN = 16
 #: The bound on the labelled documents, and on their words, that the model of ordinary identifiers sees.
 MAX_DOCS, MAX_WORDS = 2_000, 20_000
+#: Words that ordinary identifiers are made of beside those of the corpus.
+CODE_WORDS = (
+    "account action active address admin agent alias array async auth base batch block body buffer build button cache call cell channel char check class clear "
+    "click client close code collection color column command comment commit common component config connection console container content context controller count create "
+    "current cursor customer data database date debug default delete detail dialog domain download element email entity entry error event example exception execute factory "
+    "field file filter first flag folder format frame from function get global group handler hash header height hidden hook host html http image import index info init input "
+    "instance internal item java json key label last layout length level library line link list loader local lock log main manager map master max menu message metadata method "
+    "min model module name network node number object option order output owner package page panel parent parse path pattern payload"
+).split()
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 PLACE = {c: k for k, c in enumerate(ALPHABET)}
 
@@ -74,7 +83,8 @@ def labelled_samples(words: list[str], n: int = 12_000, seed: int = 7) -> tuple[
     lower, upper, digits = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
     kinds = (lower + upper + digits, lower + digits, upper + digits, digits + "abcdef", lower + upper + digits + "+/", lower + upper + digits + "_-")
     keys = ["".join(rng.choices(rng.choice(kinds), k=rng.randint(LEAST_RUN, 64))) for _ in range(n)]
-    plain = sorted({w for w in words if w and all(c in PLACE for c in w)} or {"value", "index", "result", "document", "customer", "process", "handler"})
+    corpus = sorted({w for w in words if w and all(c in PLACE for c in w)})
+    plain = corpus + CODE_WORDS * max(1, len(corpus) // len(CODE_WORDS))
     names = []
     while len(names) < n:
         parts = [rng.choice(plain) for _ in range(rng.randint(1, 6))]
@@ -95,8 +105,6 @@ def labelled_samples(words: list[str], n: int = 12_000, seed: int = 7) -> tuple[
             name += rng.choice("_-/") + str(rng.randint(0, 99_999))
         if LEAST_RUN <= len(name) <= 64:
             names.append(name)
-        elif len(plain) < 50 and len(name) < LEAST_RUN and rng.random() < 0.01:
-            names.append((name * LEAST_RUN)[:LEAST_RUN])
     return keys, names
 
 
