@@ -13,8 +13,8 @@ offset in the whole sequence is base + offset in the shard. `read` maps the shar
 folder is a local or mounted path, and reads them as a stream elsewhere.
 
 Texts are encoded with the tokenizers library. Words between single blanks or line breaks encode
-independently of each other in byte-level BPE, so a bounded cache of words serves the frequent ones; any
-other text goes to the library as a whole.
+independently of each other in byte-level BPE, so a bounded cache of words serves the frequent ones and the new ones
+of many texts go to the library together; any other text goes to it as a whole.
 
 Defined results: a null text is empty and holds the end id alone; equal doc_ids keep both documents,
 in order of their texts; an empty table gives no shard and no rows. Other columns of the input are ignored.
@@ -22,7 +22,6 @@ in order of their texts; an empty table gives no shard and no rows. Other column
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,9 +37,11 @@ from quillon.llm.base import shuffle_partitions
 from quillon.llm.bpe import batches
 
 #: Encoded words that a task keeps at most; then it starts anew.
-CACHE = 300_000
+CACHE = 500_000
 #: Bytes of a shard that are held before they go to the file, and tokens read at once.
 WRITE_AT, READ_AT = 4 << 20, 1 << 20
+#: Documents whose new words are encoded together.
+ENCODE_AT = 512
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -51,7 +52,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class WordCachedEncoder:
-    """The library's byte-level BPE with a cache of words."""
+    """The library's byte-level BPE with a cache of words; new words of many texts are encoded together."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
@@ -59,37 +60,79 @@ class WordCachedEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = dtype
-        self.words: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        blank = self.library.id_to_token(self.library.encode(" ", add_special_tokens=False).ids[0])
+        #: Flags by id: the token starts with a blank.
+        self.opens = np.array([(self.library.id_to_token(k) or "").startswith(blank) for k in range(size)], bool)
+        self.line = self.whole("\n")
+        self.heads: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, cache: dict[str, bytes], before: str, word: str) -> bytes:
-        ids = self.whole(before + word)
-        if len(cache) >= CACHE:
-            cache.clear()
-        if len(word) <= 64:
-            cache[word] = ids
-        return ids
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words after a blank: only the first token of each starts with one."""
+        if not words:
+            return
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        width, packed = ids.itemsize, ids.tobytes()
+        at = [*(np.flatnonzero(self.opens[ids]) * width).tolist(), len(packed)]
+        if len(at) != len(words) + 1:  # no vocabulary splits a blank off its word, but nothing else may pass here
+            self.later.update((w, self.whole(" " + w)) for w in words)
+        else:
+            self.later.update((w, packed[a:b]) for w, a, b in zip(words, at, at[1:], strict=False))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        if len(self.later) > CACHE:
+            self.later.clear()
+        if len(self.heads) > CACHE:
+            self.heads.clear()
+        parsed: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
+        new: set[str] = set()
+        get, head, long = self.later.get, self.heads.get, False
+        for text in texts:
+            words, blanks = text.split(), text.count(" ") + text.count("\n")
+            # Single blanks and line breaks between words and no other white space: then each word stands alone, with the blank before it.
+            if len(words) != blanks + 1 or sum(map(len, words)) + blanks != len(text) or any(s in text for s in self.special):
+                parsed.append(None)
+                continue
+            packed = list(map(get, words))
+            gaps = [k for k, ids in enumerate(packed) if ids is None]
+            if gaps:
+                unknown = [words[k] for k in gaps]
+                new.update(unknown)
+                long = long or max(map(len, unknown)) > 64
+            parsed.append((words, packed, gaps))
+        self._learn(sorted(new))
+        out, later = [], self.later
+        for text, known in zip(texts, parsed, strict=True):
+            if known is None:
+                out.append(self.whole(text))
+                continue
+            words, packed, gaps = known
+            for k in gaps:
+                packed[k] = later[words[k]]
+            at = 0
+            for k, line in enumerate(text.split("\n") if "\n" in text else [text]):
+                first = words[at]  # without a blank before it
+                ids = head(first)
+                if ids is None:
+                    ids = self.heads[first] = self.whole(first)
+                packed[at] = self.line + ids if k else ids
+                at += line.count(" ") + 1
+            out.append(b"".join(packed))
+        if long:
+            for cache in (self.later, self.heads):
+                for w in [w for w in cache if len(w) > 64]:
+                    del cache[w]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Packed ids of a text."""
-        lines = [x.split(" ") for x in text.split("\n")]
-        # Every part must be one run without white space: then each stands alone and each blank belongs to the word after it.
-        if [w for line in lines for w in line] != text.split() or self.special.search(text):
-            return self.whole(text)
-        first, later, learn = self.words.get, self.spaced.get, self._learn
-        out = []
-        for k, line in enumerate(lines):
-            if k:
-                out.append(first("\n") or learn(self.words, "", "\n"))
-            head, *tail = line
-            out.append(first(head) or learn(self.words, "", head))
-            out += [later(w) or learn(self.spaced, " ", w) for w in tail]
-        return b"".join(out)
+        return self.encode_many([text])[0]
 
 
 @dataclass(frozen=True)
@@ -175,12 +218,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
         width, total, index, flat, held, size = np.dtype(dtype).itemsize, 0, [], None, [], 0
         n_docs = 0
         idx = None
-        for part in parts:
-            for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+        for part in (p.slice(at, ENCODE_AT) for p in parts for at in range(0, p.num_rows, ENCODE_AT)):
+            for key, packed in zip(part.column(0).to_pylist(), encoder.encode_many(part.column(1).to_pylist()), strict=True):
                 if flat is None:
                     files.create_dir(path.rpartition("/")[0], recursive=True)
                     flat, idx = files.open_output_stream(f"{path}.bin.tmp"), files.open_output_stream(f"{path}.idx.tmp")
-                packed = encoder.encode(text.as_py() or "")
                 held += (packed, end)
                 size += len(packed) + len(end)
                 total += len(packed) // width + 1
