@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat_format, decontaminate, quality_rules, secret_scan, substring_dedup, token_files, url_filter
+from quillon.llm import bpe, chat_format, decontaminate, ngram_join, quality_rules, secret_scan, substring_dedup, token_files, url_filter
 from quillon.llm.base import shared_dir, table
 
 
@@ -54,6 +54,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates over all documents."""
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and the learned list's verdict of every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rule")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {
@@ -74,6 +80,7 @@ ORACLE: dict[str, str] = {
     "op5_url_filter": url_filter.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
 }
 
 
