@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat_format, decontaminate, ngram_join, quality_rules, secret_scan, substring_dedup, token_files, url_filter
+from quillon.llm import bpe, chat_format, decontaminate, license_scan, ngram_join, quality_rules, secret_scan, substring_dedup, token_files, url_filter
 from quillon.llm.base import shared_dir, table
 
 
@@ -28,6 +28,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every whole text and each of its lines."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text written to token files and read back."""
     return token_files.write(table(spark, sf_dir, "documents"), shared_dir(spark), vocabulary("byte_bpe_50k.json")).read()
@@ -67,6 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
+    "op3_license_scan": op3_license_scan,
     "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
+    "op3_license_scan": license_scan.oracle(),
     "op5_url_filter": url_filter.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
