@@ -50,6 +50,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the Arrow batches that go to Python workers: texts are long, and the default is 10,000 rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def private(df: DataFrame, **columns: Column) -> DataFrame:
     """Only the given columns, so that other columns of df can have any name."""
     return df.select(*[c.alias(k) for k, c in columns.items()])

@@ -17,6 +17,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
+from quillon.llm.base import small_batches
+
 #: Encoded words that a task keeps at most; then it starts anew.
 CACHE = 300_000
 #: Rows in one Arrow batch that goes back to the JVM, or fewer where they hold this many bytes.
@@ -68,6 +71,12 @@ class ForcedBpe:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, list[int]] = {}
 
+    @classmethod
+    @functools.lru_cache(maxsize=2)
+    def of_worker(cls, path: str) -> ForcedBpe:
+        """One codec for all tasks that a Python worker runs."""
+        return cls(path)
+
     def fragments(self, letters: str) -> list[str]:
         """The pieces between certain cuts."""
         out, start = [], 0
@@ -140,7 +149,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ForcedBpe(path)
+        codec = ForcedBpe.of_worker(path)
 
         def rows():
             for part in parts:
@@ -150,6 +159,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
         return batches(rows(), schema, lambda r: 4 * len(r[1]) + len(r[2]))
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t")).mapInArrow(run, f"`{id_col}` bigint, ids array<int>, decoded string")
 
 

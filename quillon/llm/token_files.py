@@ -22,6 +22,8 @@ in order of their texts; an empty table gives no shard and no rows. Other column
 
 from __future__ import annotations
 
+import functools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,13 +35,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.base import shuffle_partitions
-from quillon.llm.bpe import batches
+from quillon.llm.base import shuffle_partitions, small_batches
+from quillon.llm.bpe import batches, byte_letters
 
 #: Encoded words that a task keeps at most; then it starts anew.
-CACHE = 500_000
+CACHE = 700_000
 #: Bytes of a shard that are held before they go to the file, and tokens read at once.
 WRITE_AT, READ_AT = 4 << 20, 1 << 20
+#: Marks that may follow a word's letters: a pre-token of their own.
+MARKS = ".,;:!?"
 #: Documents whose new words are encoded together.
 ENCODE_AT = 512
 
@@ -55,6 +59,7 @@ class WordCachedEncoder:
     """The library's byte-level BPE with a cache of words; new words of many texts are encoded together."""
 
     def __init__(self, path: str, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's idle threads would spin on the others
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -66,15 +71,46 @@ class WordCachedEncoder:
         blank = self.library.id_to_token(self.library.encode(" ", add_special_tokens=False).ids[0])
         #: Flags by id: the token starts with a blank.
         self.opens = np.array([(self.library.id_to_token(k) or "").startswith(blank) for k in range(size)], bool)
+        self.blank, self.letters = blank, byte_letters()
+        self.tails: dict[str, bytes] = {}
         self.line = self.whole("\n")
         self.heads: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
+    @classmethod
+    @functools.lru_cache(maxsize=2)
+    def of_worker(cls, path: str, dtype: str) -> WordCachedEncoder:
+        """One encoder for all tasks that a Python worker runs."""
+        return cls(path, dtype)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of words after a blank: only the first token of each starts with one."""
+        """Ids of words after a blank.
+
+        Letters are one pre-token with the blank before them, and ASCII marks after them another one; such words go
+        straight to the library's model. Others go through the whole library, where only the first token of each
+        word starts with a blank.
+        """
+        tokenize, blank, letters, tails = self.library.model.tokenize, self.blank, self.letters, self.tails
+        others = []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if not stem.isalpha():
+                others.append(w)
+                continue
+            ids = [t.id for t in tokenize(blank + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters)))]
+            packed = np.array(ids, self.dtype).tobytes()
+            if len(stem) < len(w):
+                tail = w[len(stem) :]
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = self.whole(tail)
+                packed += tails[tail]
+            self.later[w] = packed
+        words = others
         if not words:
             return
         ids = np.array(self.library.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
@@ -205,13 +241,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    small_batches(spark)
     dtype = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         k = TaskContext.get().partitionId()
-        encoder = WordCachedEncoder(tokenizer, dtype)
+        encoder = WordCachedEncoder.of_worker(tokenizer, dtype)
         end = np.array([end_id], dtype).tobytes()
         stem = f"{folder}/part-{k:05d}-{uuid.uuid4().hex}"
         files, path = filesystem(stem)
