@@ -14,6 +14,7 @@ the input are ignored by `marked` and kept by `clean`.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.base import shared_dir
+from quillon.llm.base import shared_dir, small_batches
 from quillon.llm.bpe import batches
 from quillon.llm.token_files import filesystem
 
@@ -33,6 +34,8 @@ MAX_BENCHMARK_BYTES = 32 << 20
 SCAN_AT = 1 << 20
 #: A-Z become a-z, ASCII other than letters and digits becomes a blank; all other bytes are parts of words.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
+#: A word in a text that is not lower-cased yet.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,32 +127,34 @@ def _blocks(benchmark: DataFrame, n: int, most: int):
     return read
 
 
+def _judged(blocks, keys: list, words: list[list[bytes]]) -> Iterator[tuple]:
+    """(key, number of words, spans, items) of each document, over all blocks of the benchmark."""
+    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()  # a 0 after each document
+    covered, items = np.zeros(starts[-1], bool), [set() for _ in keys]
+    for grams in blocks():
+        get = grams.number.get
+        x = np.zeros(starts[-1], np.uint32)
+        for at, w in zip(starts, words, strict=False):
+            x[at : at + len(w)] = [get(v, 0) for v in w]
+        own, hits = grams.scan(x)
+        covered |= own
+        if hits:
+            for k, (_, item) in zip((np.searchsorted(starts, [h[0] for h in hits], "right") - 1).tolist(), hits, strict=True):
+                items[k].add(item)
+    for k, key in enumerate(keys):
+        flags = covered[starts[k] : starts[k + 1]]
+        spans = []
+        if items[k]:
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+            spans = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
+        yield key, len(words[k]), spans, sorted(items[k])
+
+
 def marked(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """(id_col, n_words, spans [(start, end) in words], items): merged spans of hit words and ids of items with windows there."""
     blocks = _blocks(benchmark, n, most)
     schema = pa.schema([(id_col, pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
-    def judged(keys: list, words: list[list[bytes]]):
-        starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()  # a 0 after each document
-        covered, items = np.zeros(starts[-1], bool), [set() for _ in keys]
-        for grams in blocks():
-            get = grams.number.get
-            x = np.zeros(starts[-1], np.uint32)
-            for at, w in zip(starts, words, strict=False):
-                x[at : at + len(w)] = [get(v, 0) for v in w]
-            own, hits = grams.scan(x)
-            covered |= own
-            if hits:
-                for k, (_, item) in zip((np.searchsorted(starts, [h[0] for h in hits], "right") - 1).tolist(), hits, strict=True):
-                    items[k].add(item)
-        for k, key in enumerate(keys):
-            flags = covered[starts[k] : starts[k + 1]]
-            spans = []
-            if items[k]:
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-                spans = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
-            yield key, len(words[k]), spans, sorted(items[k])
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             keys, words, held = [], [], 0
@@ -159,13 +164,14 @@ def marked(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc
                     words.append(words_of(text.as_py()))
                     held += len(words[-1])
                     if held >= SCAN_AT:
-                        yield from judged(keys, words)
+                        yield from _judged(blocks, keys, words)
                         keys, words, held = [], [], 0
             if keys:
-                yield from judged(keys, words)
+                yield from _judged(blocks, keys, words)
 
         return batches(rows(), schema, lambda r: 32 * len(r[2]) + 64)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t")).mapInArrow(run, f"`{id_col}` bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
 
 
@@ -181,37 +187,38 @@ def digest(made: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N, most: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit words taken out of their texts.
 
-    A removed span goes with the separators up to the next word; a text without hits stays byte for byte.
-    n_chars follows where the table has it. doc_id must name a row: rows that share one share its verdict.
+    A removed span goes with the separators up to the next word; a text without hits stays byte for byte, a null
+    stays null, and n_chars follows where the table has it. Whole rows pass through the scan, so there is no
+    join, rows may repeat and other columns stay as they are.
     """
-    hits = marked(docs, benchmark, n).where(F.size("spans") > 0)
-    if remove == "documents":
-        return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    pieces = F.regexp_extract_all(lowered, F.lit(f"(?s)({word}[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*)"), F.lit(1))
-    lengths = F.transform(pieces, lambda p: F.char_length(p))
-    joined = docs.join(hits.groupBy("doc_id").agg(F.first("spans").alias("_spans")), "doc_id", "left")
-    # Places of the words' pieces in the text: what stands before the first word, then running sums.
-    cut = joined.withColumn("_lengths", lengths).withColumn("_head", F.char_length("text") - F.aggregate("_lengths", F.lit(0), lambda a, n: a + n))
-    kept = F.array_join(
-        F.concat(
-            F.array(F.substr("text", F.lit(1), F.col("_head"))),
-            F.filter(
-                F.transform(
-                    F.regexp_extract_all("text", F.lit(r"(?s)([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(1)),
-                    lambda p, k: F.when(F.exists("_spans", lambda s: (s["start"] <= k) & (k < s["end"])), F.lit("")).otherwise(p),
-                ),
-                lambda p: p != "",
-            ),
-        ),
-        "",
-    )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)
-    return cut.withColumn("text", text).select([F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    blocks = _blocks(benchmark, n, most)
+    place, schema = docs.columns.index("text"), docs.schema
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p.slice(at, 512) for p in parts for at in range(0, p.num_rows, 512)):
+            texts = part.column(place).to_pylist()
+            words = [words_of((t or "").encode()) for t in texts]
+            found = [(k, spans) for k, (_, _, spans, _) in enumerate(_judged(blocks, list(range(len(texts))), words)) if spans]
+            if remove == "documents":
+                hit = {k for k, _ in found}
+                yield part if not hit else part.filter(pa.array([k not in hit for k in range(len(texts))]))
+                continue
+            for k, spans in found:
+                places = [m.span() for m in _WORD.finditer(texts[k])]
+                edges = [*(a for a, _ in places), len(texts[k])]
+                out, at = [], 0
+                for s in spans:
+                    out.append(texts[k][at : edges[s["start"]]])
+                    at = edges[s["end"]]
+                texts[k] = "".join([*out, texts[k][at:]])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, part.schema.field(k).type) if k == place else c for k, c in enumerate(part.columns)], schema=part.schema)
+
+    small_batches(docs.sparkSession)
+    out = docs.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if remove == "spans" and "n_chars" in docs.columns else out
 
 
 ORACLE = r"""

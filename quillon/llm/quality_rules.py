@@ -183,3 +183,11 @@ def judge(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Data
         .withColumn("rule", decision(rules))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
     )
+
+
+def kept(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
+    """The rows of docs that judge keeps, with all their columns, in one projection without a join."""
+    rules = learn(labelled(docs, labels, limit).collect())  # at most `limit` rows of numbers
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
+    return statistics(rows, "_row", "_text").where(~failed & (decision(rules) == 0)).select("_row.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.base import SPACE_CLASS
+from quillon.llm.base import SPACE_CLASS, small_batches
 from quillon.llm.bpe import batches
 
 #: The contract's patterns. Fixed values.
@@ -166,6 +166,7 @@ def _mapped(docs: DataFrame, model: Model, id_col: str, text_col: str, redacting
         return batches(rows(), schema, lambda r: 64 + 64 * len(r[1]) + (len(r[2] or "") if redacting is not None else 0))
 
     out = f"`{id_col}` bigint, spans array<struct<start:bigint,end:bigint,kind:string>>" + (", text string" if redacting is not None else "")
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_t")).mapInArrow(run, out)
 
 
@@ -189,6 +190,7 @@ def redacted(docs: DataFrame, model: Model, mark: str = "<SECRET>") -> DataFrame
                 texts = [t if t is None else redact(t, spans(t, model), mark) for t in piece.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, piece.schema.field(k).type) if k == place else c for k, c in enumerate(piece.columns)], schema=piece.schema)
 
+    small_batches(docs.sparkSession)
     out = docs.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else out
 
