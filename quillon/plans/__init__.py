@@ -1 +1 @@
-
+"""Composite plans: hybrid retrieval, feedback and evaluation, governance, metering."""

@@ -1 +1 @@
-
+"""Readers: file trees, documents, code, commit logs, fixtures."""

@@ -1 +1 @@
-
+"""Structured Streaming: the same plans over event time."""
