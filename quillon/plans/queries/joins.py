@@ -61,7 +61,7 @@ def _(s, d):
     return joins.resolve_calls(calls, symbols, imports)
 
 
-@query("cross_stack_join", o("", "SELECT 'endpoint:GET:/p' || k AS endpoint, string_agg(DISTINCT CASE WHEN side = 'r' THEN id::VARCHAR END, ',' ORDER BY CASE WHEN side = 'r' THEN id::VARCHAR END) AS routes, coalesce(string_agg(DISTINCT CASE WHEN side = 'c' THEN id::VARCHAR END, ',' ORDER BY CASE WHEN side = 'c' THEN id::VARCHAR END), '') AS components FROM (SELECT s_suppkey % 20 AS k, s_suppkey AS id, 'r' AS side FROM supplier UNION ALL SELECT page_id % 20, page_id, 'c' FROM pages WHERE page_id < 60) GROUP BY k"))
+@query("cross_stack_join", o("", "SELECT 'endpoint:GET:/p' || k AS endpoint, coalesce(string_agg(DISTINCT CASE WHEN side = 'r' THEN id::VARCHAR END, ',' ORDER BY CASE WHEN side = 'r' THEN id::VARCHAR END), '') AS routes, coalesce(string_agg(DISTINCT CASE WHEN side = 'c' THEN id::VARCHAR END, ',' ORDER BY CASE WHEN side = 'c' THEN id::VARCHAR END), '') AS components FROM (SELECT s_suppkey % 20 AS k, s_suppkey AS id, 'r' AS side FROM supplier UNION ALL SELECT page_id % 20, page_id, 'c' FROM pages WHERE page_id < 60) GROUP BY k"))
 def _(s, d):
     routes = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("get").alias("method"), F.concat(F.lit("/p"), F.col("s_suppkey") % 20).alias("path"))
     comps = table(s, d, "pages").where("page_id < 60").select(F.col("page_id").alias("id"), F.lit("GET").alias("method"), F.concat(F.lit("/p"), F.col("page_id") % 20).alias("path"))

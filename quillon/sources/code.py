@@ -35,7 +35,7 @@ def python_units(path: str, source: str) -> list[dict]:
     functions = (ast.FunctionDef, ast.AsyncFunctionDef)
 
     def calls(node):
-        todo = list(ast.iter_child_nodes(node))
+        todo = list(node.body)  # without decorators and defaults
         while todo:
             n = todo.pop()
             if isinstance(n, (*functions, ast.ClassDef)):
