@@ -1,0 +1,181 @@
+"""Secrets, decontamination, repeats and near duplicates against brute force."""
+
+from __future__ import annotations
+
+import random
+import re
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm import decontaminate, ngram_join, secret_scan, substring_dedup
+
+
+@pytest.fixture(scope="module")
+def model(corpus, labels):
+    return secret_scan.train(corpus, labels)
+
+
+def base_spans(text):
+    out = []
+    for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            out.append((*m.span(), "assign"))
+    out += [(*m.span(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(*m.span(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda x: (x[0], ("assign", "access", "hex").index(x[2])))
+
+
+def test_base_spans_equal_plain_patterns(model):
+    rng = random.Random(2)
+    parts = ["token", "SECRET", "api_key", "apiKey", "paſſword", "toKen", "passwd", "=", ": ", '"', "'", " ", "abcdef", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é", "🙂", "\n", ".", "-", "x"]
+    for _ in range(3000):
+        t = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        assert [s for s in secret_scan.spans(t, model) if s[2] != "random"] == base_spans(t), repr(t)
+
+
+def test_models_separate_held_out_samples(model):
+    rng = random.Random(99)
+    keys = ["".join(rng.choices(secret_scan.ALPHABET[:62], k=32)) for _ in range(500)]
+    names = ["_".join(rng.choices(secret_scan.CODE_WORDS, k=4)) for _ in range(500)]
+    names = [n for n in names if len(n) >= 16]
+    assert sum(map(model.random, keys)) / len(keys) >= 0.97
+    assert sum(map(model.random, names)) / len(names) <= 0.02
+
+
+def test_secrets_frames(docs, none, model, plain):
+    got = {(r["doc_id"], r["spans"], r["n_assign"], r["n_access"]) for r in secret_scan.digest(secret_scan.found(docs, model)).collect()}
+    assert all(s == "" for i, s, _, _ in got if i in (0, 1, 2, 3)) and any(a and b for _, _, a, b in got)
+    out = secret_scan.redacted(docs, model)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    texts = {(r["doc_id"], r["text"]) for r in out.collect()}
+    assert (4, dict(plain)[4]) in texts and (0, None) in texts and any("<SECRET>" in (t or "") for _, t in texts)
+    assert secret_scan.found(none, model).count() == 0 and secret_scan.redacted(none, model).count() == 0
+
+
+def brute_hits(text, items, n=10):
+    words = decontaminate.words_of((text or "").encode())
+    hit, found = set(), set()
+    for item, t in items:
+        w = decontaminate.words_of((t or "").encode())
+        size = min(n, len(w))
+        grams = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if size else set()
+        for k in range(len(words) - size + 1 if size else 0):
+            if tuple(words[k : k + size]) in grams:
+                hit |= set(range(k, k + size))
+                found.add(item)
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("most", [1 << 25, 64])
+def test_decontamination_equals_brute_force(spark, docs, none, plain, most):
+    base = dict(plain)[4]
+    items = [(1, base), (2, "quick BROWN-fox"), (3, None), (4, "!!"), (5, base[:60]), (6, "nothing of this kind is anywhere in these texts at all"), (10, "quick brown fox"), (7, "é ü ß")]
+    bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, words string")
+    got = sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in decontaminate.marked(docs, bench, most=most).collect())
+    short = [(str(i), t) for i, t in items]
+    assert got == sorted((i, *brute_hits(t, short)) for i, t in plain)
+    assert decontaminate.marked(none, bench, most=most).count() == 0
+    assert decontaminate.marked(docs, bench.limit(0), most=most).where(F.size("spans") > 0).count() == 0
+
+
+def test_cleaning_drops_or_cuts(spark, docs, plain):
+    base = dict(plain)[4]
+    bench = spark.createDataFrame([(1, base)], "item_id long, text string")
+    dropped = decontaminate.clean(docs, bench)
+    assert dropped.columns == docs.columns and {r["doc_id"] for r in dropped.collect()} == {i for i, t in plain if not brute_hits(t, [("1", base)])[1]}
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.clean(docs, bench, "spans").collect()}
+    assert cut[4] == "" and cut[6] == "extra" and cut[7] == "Prefix words here " and cut[0] is None and cut[8] == dict(plain)[8]
+
+
+def brute_repeats(texts, n=13):
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", t or "") for k, (_, t) in enumerate(texts)}
+    first = {}
+    for k, w in words.items():
+        for a in range(len(w) - n + 1):
+            g = tuple(w[a : a + n])
+            first[g] = min(first.get(g, texts[k][0]), texts[k][0])
+    out = []
+    for k, w in words.items():
+        gone = {a + j for a in range(len(w) - n + 1) if first[tuple(w[a : a + n])] < texts[k][0] for j in range(n)}
+        out.append((texts[k][0], len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out)
+
+
+def test_repeats_equal_brute_force(spark, docs, none, plain):
+    frame = lambda df: sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["removed"]), r["kept"]) for r in substring_dedup.repeats(df).collect())
+    assert frame(docs) == brute_repeats(plain)
+    assert substring_dedup.repeats(none).count() == 0
+    rng = random.Random(4)
+    vocabulary = [f"v{k}" for k in range(30)]
+    shared = [[rng.choice(vocabulary) for _ in range(rng.randint(10, 30))] for _ in range(6)]
+    texts = [(rng.randint(0, 80), " ".join(w for _ in range(rng.randint(0, 5)) for w in (rng.choice(shared)[rng.randint(0, 4) :] if rng.random() < 0.6 else [rng.choice(vocabulary) for _ in range(8)]))) for _ in range(120)]
+    assert frame(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)) == brute_repeats(texts)
+
+
+def brute_components(texts):
+    sets = {}
+    for k, (_, t) in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[k] = {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else set()
+    up = {k: k for k in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            up[root(a)] = root(b)
+    low = {}
+    for k in sets:
+        low[root(k)] = min(low.get(root(k), texts[k][0]), texts[k][0])
+    return sorted((texts[k][0], len(sets[k]), low[root(k)]) for k in sets)
+
+
+def edited(rng, words, share):
+    return [rng.choice(["new", "word", w]) + str(rng.randint(0, 999)) if rng.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("size", [6, 60, 300, 1300])
+def test_near_duplicates_equal_brute_force(spark, size):
+    """Around the threshold, across band borders, in groups whose members link only through others."""
+    rng = random.Random(size)
+    texts, n = [], 0
+    for _ in range(6):
+        base = [f"w{rng.randint(0, 4000)}" for _ in range(size)]
+        for share in (0, 0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06):
+            w = edited(rng, base, share)
+            texts.append((n, " ".join(w[: int(size * rng.uniform(0.76, 1))])))
+            n += 1
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, ngram_join.joined(frame).collect())) == brute_components(texts)
+
+
+def test_near_duplicates_edges(docs, none, plain):
+    unique = sorted({(i, t) for i, t in plain}, key=lambda r: (r[0], r[1] or ""))
+    assert sorted(set(map(tuple, ngram_join.joined(docs).collect()))) == sorted(set(brute_components(unique)))
+    assert ngram_join.joined(docs).count() == docs.count()
+    assert ngram_join.joined(none).count() == 0
+    kept = ngram_join.deduplicated(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {c for _, _, c in brute_components(unique)}
+
+
+def test_signatures_meet_for_every_near_pair():
+    rng = np.random.default_rng(6)
+    for n in (3, 10, 120, 255, 300, 340, 700, 1023, 1100, 1360):
+        for _ in range(10):
+            a = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+            drop = int(rng.integers(0, n // 4 + 1))
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 62, int(rng.integers(0, max(1, n // 8))), dtype=np.uint64)]))
+            a = np.unique(a)
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 75 * (len(a) + len(b) - both) and min(len(a), len(b)) >= 3 and not np.array_equal(a, b):
+                for early in (0.0, ngram_join.EARLY):
+                    x, y = ({int(v) for _, s, _ in ngram_join.signatures(z, left_out=early) for v in s} for z in (a, b))
+                    assert x & y
+                differ = np.bitwise_count(ngram_join.folded(ngram_join.sketch(a), 512 // 8) ^ ngram_join.folded(ngram_join.sketch(b), 512 // 8)).sum()
+                assert differ <= len(a) + len(b) - 2 * both
