@@ -77,8 +77,11 @@ def _(s, d):
     return g.layout(v.code_edges(s, d))
 
 
-@query("graph_fingerprint", o("code_edges", "SELECT sha1(string_agg(id::VARCHAR, ',' ORDER BY id) || '|' || (SELECT count(*) FROM v_code_edges)) AS fingerprint FROM (SELECT src AS id FROM v_code_edges UNION SELECT dst FROM v_code_edges)"))
+@query("graph_fingerprint", o("code_edges", "SELECT sha1(string_agg(digest, ',' ORDER BY part) || '|' || (SELECT count(*) FROM v_code_edges)) AS fingerprint FROM (SELECT id // 10000 AS part, sha1(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM (SELECT src AS id FROM v_code_edges UNION SELECT dst FROM v_code_edges) GROUP BY 1)"))
 def _(s, d):
+    """A hash over all nodes in two levels, and the number of edges."""
     e = v.code_edges(s, d)
-    ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().agg(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
-    return ids.join(F.broadcast(e.agg(F.count("*").alias("n"))), F.lit(True)).select(F.sha1(F.concat("ids", F.lit("|"), F.col("n").cast("string")).cast("binary")).alias("fingerprint"))
+    ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    parts = ids.groupBy(F.floor(F.col("id") / 10_000).alias("part")).agg(F.sha1(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").cast("binary")).alias("digest"))
+    all_ = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda r: r["digest"]), ",").alias("ids"))
+    return all_.join(F.broadcast(e.agg(F.count("*").alias("n"))), F.lit(True)).select(F.sha1(F.concat("ids", F.lit("|"), F.col("n").cast("string")).cast("binary")).alias("fingerprint"))

@@ -204,9 +204,10 @@ def _(s, d):
     return all_.join(q, "status", "left").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-@query("corpus_fingerprint", o("nodes", "SELECT substr(sha1(string_agg(id || ':' || sha256(coalesce(body, '')), chr(10) ORDER BY id)), 1, 12) AS fingerprint FROM v_nodes"))
+@query("corpus_fingerprint", o("nodes", "SELECT substr(sha1(string_agg(digest, chr(10) ORDER BY part)), 1, 12) AS fingerprint FROM (SELECT id // 10000 AS part, sha1(string_agg(id || ':' || sha256(coalesce(body, '')), chr(10) ORDER BY id)) AS digest FROM v_nodes GROUP BY 1)"))
 def _(s, d):
-    """Hash of all (id, hash) pairs; an order-free digest per partition would differ from the published definition, so one ordered list of short strings is built."""
+    """A hash over all (id, hash) pairs in two levels, so that no row holds more than 10,000 of them."""
     n = v.nodes(s, d).select("id", F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256).alias("h"))
-    rows = F.sort_array(F.collect_list(F.struct("id", "h")))
-    return n.agg(F.substring(F.sha1(F.array_join(F.transform(rows, lambda r: F.concat(r["id"].cast("string"), F.lit(":"), r["h"])), "\n").cast("binary")), 1, 12).alias("fingerprint"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda r: F.concat(r["id"].cast("string"), F.lit(":"), r["h"]))
+    parts = n.groupBy(F.floor(F.col("id") / 10_000).alias("part")).agg(F.sha1(F.array_join(lines, "\n").cast("binary")).alias("digest"))
+    return parts.agg(F.substring(F.sha1(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda r: r["digest"]), "\n").cast("binary")), 1, 12).alias("fingerprint"))

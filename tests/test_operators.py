@@ -208,3 +208,34 @@ def test_schema_migration(spark):
     made = schema.conform(old, "nodes", {"base": F.lit(False)})
     assert made.columns[:3] == ["id", "type", "name"] and made.first()["base"] is False
     assert all(schema.empty(spark, t_).count() == 0 for t_ in ("edges", "queries"))
+
+
+def test_tools_need_confirmation_and_known_arguments(spark):
+    from quillon.plans import registry
+
+    registry.TOOLS.clear()
+    registry.register(registry.Tool("wipe", lambda n=1: spark.range(n), "danger", {"n": "int"}))
+    with pytest.raises(PermissionError):
+        registry.call("wipe", n=2)
+    with pytest.raises(TypeError):
+        registry.call("wipe", True, m=2)
+    assert registry.call("wipe", True, n=2).count() == 2
+    with pytest.raises(ValueError):
+        registry.register(registry.Tool("wipe", spark.range))
+
+
+def test_judge_confirms_and_rejects(spark):
+    from quillon.plans.registry import judged, solved
+
+    f = spark.createDataFrame([("a", "low"), ("b", "low"), ("c", "low")], "fingerprint string, severity string")
+    out = judged(f, lambda x: spark.createDataFrame([("a", True), ("b", False)], "fingerprint string, confirmed boolean"))
+    assert rows(out) == [("a", "high"), ("c", "low")] and rows(judged(f, None)) == rows(f)
+    assert solved(spark.createDataFrame([("t",)], "task string"), lambda x: 1 / 0).count() == 0
+
+
+def test_hash_embedder_is_unit_and_stable():
+    from quillon.functions.embed import hashed
+
+    a, b = hashed(pd.Series(["alpha beta", "alpha beta"]))
+    assert a == b and np.linalg.norm(a) == pytest.approx(1, abs=1e-6)
+    assert not any(hashed(pd.Series([""]))[0])
