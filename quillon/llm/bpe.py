@@ -17,7 +17,6 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-import functools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -71,12 +70,6 @@ class ForcedBpe:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, list[int]] = {}
 
-    @classmethod
-    @functools.lru_cache(maxsize=2)
-    def of_worker(cls, path: str) -> ForcedBpe:
-        """One codec for all tasks that a Python worker runs."""
-        return cls(path)
-
     def fragments(self, letters: str) -> list[str]:
         """The pieces between certain cuts."""
         out, start = [], 0
@@ -149,7 +142,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ForcedBpe.of_worker(path)
+        codec = ForcedBpe(path)  # for one task: a worker that lives on doesn't hold its caches
 
         def rows():
             for part in parts:

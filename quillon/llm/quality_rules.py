@@ -71,13 +71,13 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     covered = F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
     counted = parts.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_g")) == F.size("_g"), F.lit(0)).otherwise(covered).cast("long"))
     one = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
-    return counted.select(
-        id_col,
-        "n_words",
-        "word_chars",
-        "n_symbols",
+    made = F.struct(
+        F.col(id_col),
+        F.col("n_words"),
+        F.col("word_chars"),
+        F.col("n_symbols"),
         (F.col("_lines.n") - F.col("_lines.d")).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+        F.col("n_repeat_words"),
         (F.col("word_chars") / one("n_words")).alias("word_length"),
         (F.col("n_symbols") / one("word_chars")).alias("symbol_share"),
         (F.col("_capitals") / one("word_chars")).alias("capital_share"),
@@ -86,6 +86,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (F.col("n_repeat_words") / one("n_words")).alias("repeat_share"),
         (F.col("_distinct") / one("n_words")).alias("distinct_share"),
     )
+    # An explode bars the optimizer from writing these expressions into later filters once more for each use.
+    return counted.select(F.explode(F.array(made)).alias("_made")).select("_made.*")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:

@@ -177,5 +177,5 @@ def test_signatures_meet_for_every_near_pair():
                 for early in (0.0, ngram_join.EARLY):
                     x, y = ({int(v) for _, s, _ in ngram_join.signatures(z, left_out=early) for v in s} for z in (a, b))
                     assert x & y
-                differ = np.bitwise_count(ngram_join.folded(ngram_join.sketch(a), 512 // 8) ^ ngram_join.folded(ngram_join.sketch(b), 512 // 8)).sum()
+                differ = np.bitwise_count(ngram_join.folded(ngram_join.sketch(a), ngram_join.SKETCH) ^ ngram_join.folded(ngram_join.sketch(b), ngram_join.SKETCH)).sum()
                 assert differ <= len(a) + len(b) - 2 * both
