@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +60,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release_memory() -> None:
+    """Give what a finished task of a Python worker held back to the system: workers stay alive between tasks."""
+    gc.collect()
+    with contextlib.suppress(Exception):
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def private(df: DataFrame, **columns: Column) -> DataFrame:
     """Only the given columns, so that other columns of df can have any name."""
     return df.select(*[c.alias(k) for k, c in columns.items()])

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
-from quillon.llm.base import small_batches
+from quillon.llm.base import release_memory, small_batches
 
 #: Encoded words that a task keeps at most; then it starts anew.
-CACHE = 300_000
+CACHE = 100_000
 #: Rows in one Arrow batch that goes back to the JVM, or fewer where they hold this many bytes.
 ROWS_OUT, BYTES_OUT = 512, 8 << 20
 
@@ -150,7 +150,9 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     ids = codec.encode(text.as_py() or b"")
                     yield key, ids.astype(np.int32), codec.decode(ids.tolist())
 
-        return batches(rows(), schema, lambda r: 4 * len(r[1]) + len(r[2]))
+        yield from batches(rows(), schema, lambda r: 4 * len(r[1]) + len(r[2]))
+        del codec, rows
+        release_memory()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t")).mapInArrow(run, f"`{id_col}` bigint, ids array<int>, decoded string")
