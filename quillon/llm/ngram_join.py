@@ -468,7 +468,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     passed = stored(groups.select(F.explode("members").alias("e")).distinct(), f"{folder}/passed")
     chosen = picked(texts, known, passed, shingle, f"{folder}/picked")
     groups, sharing = candidate_groups(chosen, shingle, share, f"{folder}/rarest-2", 0.0)
-    facts = known.where("e IS NOT NULL").join(sharing, "e").groupBy("e").agg(F.first("n").alias("n"), F.max("shared").alias("shared"))
+    # A class that meets others by the signatures of the band below only shares none of its own band's; it has FIRST elements or more, so none are asked of it.
+    facts = known.where("e IS NOT NULL").join(sharing, "e", "left").groupBy("e").agg(F.first("n").alias("n"), F.coalesce(F.max("shared"), F.lit(0)).alias("shared"))
     members = stored(groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("e")).distinct().join(facts, "e").select("g", "e", "n", "shared"), f"{folder}/members")
     # The hub of a group is its class that meets in most groups: a text that the others are copies of.
     fame = members.groupBy("e").agg(F.count("*").alias("fame"))

@@ -155,6 +155,21 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert sorted(map(tuple, ngram_join.joined(frame).collect())) == brute_components(texts)
 
 
+def test_isolated_pairs_across_band_borders(spark):
+    """Pairs without other near copies, one on either side of a border, the larger one with nothing to share in its own band."""
+    rng = random.Random(11)
+    texts = []
+    for border in (256, 1024, 4096):
+        for more, cut in ((1, 1), (border // 50, border // 25), (border // 8, border // 10)):
+            words = [f"b{border}c{cut}w{k}x{rng.randint(0, 999)}" for k in range(border + more + 4)]
+            for part in (words, words[: len(words) - cut - more]):
+                texts.append((len(texts), " ".join(part)))
+    want = brute_components(texts)
+    assert sum(i == c for i, _, c in want) == len(texts) // 2
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, ngram_join.joined(frame).collect())) == want
+
+
 def test_near_duplicates_edges(docs, none, plain):
     unique = sorted({(i, t) for i, t in plain}, key=lambda r: (r[0], r[1] or ""))
     assert sorted(set(map(tuple, ngram_join.joined(docs).collect()))) == sorted(set(brute_components(unique)))
