@@ -50,9 +50,9 @@ def _(s, d):
 
 
 @query("lexical_score", o("nodes", f"WITH {_P}, pt AS (SELECT qid, list_distinct(list_filter(list_transform(regexp_extract_all(prompt, '[a-zA-Z][a-zA-Z0-9-]+'), lambda x: lower(x)), lambda x: length(x) >= 3)) AS w FROM p) SELECT qid, id, round(len(list_filter(w, lambda x: contains(lower(substr(body, 1, 32768)), x))) / len(w), 6)::DOUBLE AS lexical FROM pt, v_nodes WHERE id % 5 = 0"))
-def _(s, d):
+def lexical(s, d, ids="id % 5 = 0"):
     p = _prompts(s, d).select("qid", F.array_distinct(t.lexical_tokens(F.col("prompt"))).alias("w"))
-    n = v.nodes(s, d).where("id % 5 = 0")  # the scorer is applied to candidates; these stand for them
+    n = v.nodes(s, d).where(ids)  # the scorer is applied to candidates; these stand for them
     return n.join(F.broadcast(p), F.lit(True)).select("qid", "id", F.round(t.lexical_score(F.col("w"), F.col("body")), 6).alias("lexical"))
 
 

@@ -1,0 +1,27 @@
+"""Queries whose registered form sees a subset of ids, over all rows: the same plans, and the same SQL without the filter.
+
+graph_proximity scores what the picked nodes lead to and leaves the picked ones out, so it keeps its picks: with all nodes picked nothing is left.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from quillon import views as v
+from quillon.catalog import ORACLE, query
+from quillon.plans.queries import joins, more, retrieval
+
+
+def _without(name: str, part: str) -> str:
+    sql = ORACLE[name]
+    if sql.count(part) != 1:
+        raise ValueError(f"{name} does not hold the filter once")
+    return sql.replace(part, "")
+
+
+for _name, _plan in (("interval_overlap_refs", joins.overlaps), ("provenance_walk", joins.walk), ("nearest_line", joins.nearest_line)):
+    query(f"{_name}_all", _without(_name, " WHERE o_orderkey % 7 = 0"))(partial(_plan, hunks=v.all_hunks))
+query("trailer_join_all", _without("trailer_join", " WHERE c.id % 4 = 0"))(partial(joins.trailed, commits="true"))
+query("cross_stack_join_all", _without("cross_stack_join", " WHERE page_id < 60"))(partial(joins.stacks, pages="true"))
+query("lexical_score_all", _without("lexical_score", " WHERE id % 5 = 0"))(partial(retrieval.lexical, ids="true"))
+query("orphan_fix_preview_all", _without("orphan_fix_preview", " WHERE id % 10 = 0"))(partial(more.preview, ids="true"))

@@ -239,3 +239,17 @@ def test_hash_embedder_is_unit_and_stable():
     a, b = hashed(pd.Series(["alpha beta", "alpha beta"]))
     assert a == b and np.linalg.norm(a) == pytest.approx(1, abs=1e-6)
     assert not any(hashed(pd.Series([""]))[0])
+
+
+def test_whole_table_queries_see_every_id(spark, sf):
+    from quillon import catalog, views
+
+    q = catalog.queries()
+    ids = lambda df, c: {r[0] for r in df.select(c).distinct().collect()}
+    nodes = ids(views.nodes(spark, sf), "id")
+    assert ids(q["lexical_score_all"](spark, sf), "id") == nodes == ids(q["orphan_fix_preview_all"](spark, sf), "id")
+    assert ids(q["trailer_join_all"](spark, sf), "commit_id") == nodes
+    assert any(k % 7 for k in ids(q["nearest_line_all"](spark, sf), "id"))
+    assert any(k % 7 for k in ids(q["interval_overlap_refs_all"](spark, sf), "commit_id"))
+    made = q["chunk_embeddings"](spark, sf)
+    assert ids(made, made.columns[0]) == ids(views.nodes(spark, sf).where("body <> ''"), "id")
