@@ -4,7 +4,11 @@ A unit of text (each line, and the whole text where it has several lines) is nor
 but ASCII letters and digits a blank. Its distinct word bigrams are compared to those of each template:
 Dice = 2 * shared / (unit's + template's). A Dice of at least t needs a unit of between t / (2 - t) and
 (2 - t) / t times the template's bigrams, so those bounds pick the candidate templates before any
-bigrams are compared, and most units have none. The templates are literals of the plan; there is no shuffle.
+bigrams are compared, and most units have none. Passages that are wrapped over lines or stand inside longer ones are
+windows of consecutive words of the whole text, of up to (2 - t) / t times the template's bigrams, from a bigram of the
+template to another; of those that overlap the one that shares most is the match, and it is given, with the line that it
+starts in, only where no matching unit that it overlaps shares as much. A Dice of at least t needs t / (2 - t) of the
+template's bigrams, so only texts that hold as many are searched. The templates are literals of the plan; there is no shuffle.
 
 Defined results: a null or empty text has no units; a unit of one word has no bigrams and no match; of
 templates with one coefficient the first by name is the match; repeated lines and rows are judged each;
@@ -99,7 +103,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     def best(b: Column) -> Column:
         """The best of the templates whose size fits, or null."""
         fitting = F.filter(grid, lambda t: (F.size(b) >= t["n"] * (threshold / (2 - threshold))) & (F.size(b) <= t["n"] * ((2 - threshold) / threshold)))
-        scored = F.transform(fitting, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + t["n"])).alias("dice"), t["name"].alias("license")))
+        scored = F.transform(fitting, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + t["n"])).alias("dice"), t["name"].alias("license"), F.size(F.array_intersect(b, t["b"])).alias("shared")))
         return let(scored, lambda s: F.get(F.filter(s, lambda x: (x["dice"] >= threshold) & (x["dice"] == F.array_max(F.transform(s, lambda y: y["dice"])))), F.lit(0)))
 
     def of_bigrams(b: Column) -> Column:
@@ -109,9 +113,47 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         pairs = F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
         return F.when(F.size(w) - 1 >= F.lit(least), let(F.array_distinct(pairs), of_bigrams))
 
+    def windows(pairs: Column, t: Column) -> Column:
+        """For each bigram of the template in the text, the best window that starts there and reaches the threshold."""
+        need, span = F.ceil(t["n"] * (threshold / (2 - threshold)) - F.lit(1e-9)).cast("int"), t["n"] * ((2 - threshold) / threshold)
+
+        def ending(s: Column, e: Column) -> Column:
+            size = lambda b: let(F.size(F.array_intersect(b, t["b"])), lambda k: F.struct(k.alias("shared"), (F.lit(2.0) * k / (F.size(b) + t["n"])).alias("dice"), (-s).alias("from"), e.alias("to"), t["name"].alias("license")))
+            return let(F.array_distinct(F.slice(pairs, s + 1, e - s + 1)), size)
+
+        def starting(hits: Column, s: Column, k: Column) -> Column:
+            ends = F.filter(F.slice(hits, k + need, F.greatest(F.size(hits) - k - need + 1, F.lit(0))), lambda e: e - s < span)
+            made = F.filter(F.transform(ends, lambda e: ending(s, e)), lambda x: x["dice"] >= threshold)
+            return let(made, lambda m: F.slice(F.filter(m, lambda x: x["dice"] == F.array_max(F.transform(m, lambda y: y["dice"]))), 1, 1))
+
+        places = F.filter(F.transform(pairs, lambda g, i: F.when(F.array_contains(t["b"], g), i)), lambda i: i.isNotNull())
+        return let(places, lambda hits: F.flatten(F.transform(hits, lambda s, k: starting(hits, s, k))))
+
+    def passages(pairs: Column, fitting: Column) -> Column:
+        found = F.sort_array(F.flatten(F.transform(fitting, lambda t: windows(pairs, t))), asc=False)
+        none = F.slice(found, 1, 0)
+        apart = lambda kept, x: ~F.exists(kept, lambda y: (-y["from"] <= x["to"] + 1) & (-x["from"] <= y["to"] + 1))
+        return let(found, lambda f: F.aggregate(f, none, lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept)))
+
+    def placed(units_made: Column, sizes: Column, made: Column) -> Column:
+        """Passages with their lines, without those that a matching unit covers as well."""
+        before = lambda k: F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda a, x: a + x)
+        over = lambda x, u: (u["line"] == 0) | ((before(u["line"] - 1) <= x["to"] + 1) & (before(u["line"]) > -x["from"]))
+        new = F.filter(made, lambda x: ~F.exists(units_made, lambda u: (u["m"]["shared"] >= x["shared"]) & over(x, u)))
+        line = lambda x: (F.size(F.filter(F.sequence(F.lit(1), F.size(sizes)), lambda k: before(k) <= -x["from"])) + 1).cast("int")
+        return F.concat(units_made, F.transform(new, lambda x: F.struct(line(x).alias("line"), F.struct(x["dice"].alias("dice"), x["license"].alias("license"), x["shared"].alias("shared")).alias("m"))))
+
+    def with_passages(units_made: Column) -> Column:
+        def of_pairs(pairs: Column) -> Column:
+            held_here = F.array_intersect(pairs, known)
+            fitting = let(held_here, lambda h: F.filter(grid, lambda t: (F.size(h) >= t["n"] * (threshold / (2 - threshold))) & (F.size(F.array_intersect(h, t["b"])) >= t["n"] * (threshold / (2 - threshold)) - F.lit(1e-9))))
+            return let(fitting, lambda f: F.when(F.size(f) > 0, placed(units_made, F.transform(F.split(text, "\n", -1), lambda x: F.size(normal_words(x))), passages(pairs, f))).otherwise(units_made))
+
+        return let(normal_words(text), lambda w: F.when(F.size(w) - 1 >= F.lit(least), let(F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))), of_pairs)).otherwise(units_made))
+
     # Each step's value is bound once by `let`; an explode keeps the optimizer from writing it into filters again.
     matches = F.filter(F.transform(units, lambda u: F.struct(u["line"].alias("line"), let(normal_words(u["t"]), of_words).alias("m"))), lambda r: r["m"].isNotNull())
-    return docs.select(F.col(id_col), F.explode(matches).alias("r")).select(id_col, F.col("r.line").alias("line"), F.col("r.m.license").alias("license"), F.col("r.m.dice").alias("dice"))
+    return docs.select(F.col(id_col), F.explode(let(matches, with_passages)).alias("r")).select(id_col, F.col("r.line").alias("line"), F.col("r.m.license").alias("license"), F.col("r.m.dice").alias("dice"))
 
 
 def oracle(threshold: float = THRESHOLD) -> str:

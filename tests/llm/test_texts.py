@@ -152,3 +152,17 @@ def test_kept_rows_carry_all_columns(docs, labels):
 @given(st.lists(st.text(max_size=6), max_size=4))
 def test_fingerprint_ignores_order(paths):
     assert chat.fingerprint(paths) == chat.fingerprint(paths[::-1])
+
+
+def test_wrapped_and_embedded_notices_are_found(spark):
+    import textwrap
+
+    wrap = lambda name, mark: "\n".join(mark + x for x in textwrap.wrap(license_scan.TEMPLATES[name], 60))
+    filler = "\n".join(f"code line {k} holds item{k} and other{k} words{k}" for k in range(60))
+    names = ("MIT/text", "ISC/text", "Apache-2.0/header", "GPL-3.0/header")
+    rows = [(k, f"{filler}\n{wrap(n, ' * ')}\n{filler}") for k, n in enumerate(names)]
+    rows += [(4, "some words here before. Released under the MIT License. and many more words in the same line after it"), (5, filler), (6, f"{filler}\n{wrap('MIT/text', '# ')}\n{filler}\n{wrap('MIT/text', '// ')}")]
+    got = {tuple(r)[:3] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["dice"] == 1.0}
+    assert {(k, 61, n) for k, n in enumerate(names)} <= got and (4, 1, "MIT/notice") in got
+    at = 61 + 60 + len(wrap("MIT/text", "# ").split("\n"))
+    assert {(6, 61, "MIT/text"), (6, at, "MIT/text")} <= got and not any(i == 5 for i, _, _ in got)
