@@ -2,8 +2,8 @@
 
 `train` fits two first-order Markov models over characters, one of random strings and one of ordinary
 identifiers, from labelled samples, and sets the threshold on samples held out. `found` looks at every
-whole text: the base patterns' spans always stay; a run of key characters that overlaps none of them and
-whose log-likelihood ratio is over the threshold is added as kind `random`.
+whole text: the base patterns' spans always stay; what they leave of a run of key characters, in pieces of
+at least LEAST_RUN, is added as kind `random` where its log-likelihood ratio is over the threshold.
 
 Random samples are drawn from a seeded generator over the alphabets of keys; ordinary ones are words of a
 bounded sample of labelled good documents, alone and joined as identifiers are. Only the model is fitted
@@ -126,6 +126,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_word
     return fit(*labelled_samples([r["w"] for r in words.collect()]))  # at most max_words words
 
 
+def pieces(start: int, end: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the sorted base spans leave of a run, in pieces of at least LEAST_RUN characters."""
+    out, at = [], start
+    for c, d in [*(x for x in base if x[0] < end and start < x[1]), (end, end)]:
+        if c - at >= LEAST_RUN:
+            out.append((at, c))
+        at = max(at, d)
+    return out
+
+
 def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order."""
     out: list[tuple[int, int, str]] = []
@@ -136,8 +146,8 @@ def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
         out += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     if max(map(len, text.split()), default=0) >= LEAST_RUN:  # patterns below hold no white space
         out += [(*m.span(), "hex") for m in HEX.finditer(text)]
-        base = [x[:2] for x in out]
-        out += [(a, b, "random") for a, b in (m.span() for m in RUN.finditer(text)) if not any(a < d and c < b for c, d in base) and model.random(text[a:b])]
+        base = sorted(x[:2] for x in out)
+        out += [(a, b, "random") for m in RUN.finditer(text) for a, b in pieces(*m.span(), base) if model.random(text[a:b])]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
