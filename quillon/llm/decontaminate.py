@@ -1,19 +1,22 @@
 """Benchmark decontamination with a broadcast set of normalised n-grams.
 
-Windows of n words of all benchmark items (an item of fewer words is one window) become rows of word
-numbers, their hashes one sorted array. That set is broadcast only where the benchmark's texts hold at most
-MAX_BENCHMARK_BYTES, which is checked first; a larger benchmark is cut into blocks of that size and the
-documents are scanned once for all blocks' hits, block after block, each block read from the shared folder by the tasks.
-A task scans the windows of all words of its documents with a rolling hash, verifies each hit word by word and
-marks the words it covers. No shuffle.
+Windows of n words of all benchmark items (an item of fewer words is one window) are hashed; the distinct ones are
+one sorted array with a table of bits before it, which lets through few windows that are none of them. That set is broadcast
+only where the benchmark's texts hold at most MAX_BENCHMARK_BYTES, which is checked first (built, it takes about four times
+its texts: 8 bytes of hash, 20 of places and lists for each distinct window, and the normalised text). A larger benchmark is cut into blocks of
+that size, built once and written to the shared folder; the documents' words are hashed once, and every block is read once for each slice of
+SLICE words of documents. A task scans the windows of all words of its documents with a rolling hash, verifies each hit word by word and
+marks the words it covers. No shuffle of documents.
 
 Defined results: null and empty texts and items have no words and no hits; an item given twice counts by
-item_id; windows never cross documents; texts are scanned whole, whatever their length. Other columns of
+item_id, and all items without an id count as one, whose name the lists give as null; rows without a doc_id are judged as the others;
+windows never cross documents; texts are scanned whole, whatever their length. Other columns of
 the input are ignored by `marked` and kept by `clean`.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections.abc import Iterator
@@ -25,13 +28,14 @@ from pyspark.sql import functions as F
 
 from quillon.llm.base import shared_dir, small_batches
 from quillon.llm.bpe import batches
+from quillon.llm.packed import mix, word_hashes
 from quillon.llm.token_files import filesystem
 
 N = 10
 #: A benchmark of more bytes is scanned in blocks of items of at most so many bytes.
-MAX_BENCHMARK_BYTES = 32 << 20
-#: Words of documents that are scanned at once.
-SCAN_AT = 1 << 20
+MAX_BENCHMARK_BYTES = 8 << 20
+#: Words of documents that are scanned at once, and where every slice reads the blocks of a large benchmark.
+SCAN_AT, SLICE = 1 << 20, 1 << 21
 #: A-Z become a-z, ASCII other than letters and digits becomes a blank; all other bytes are parts of words.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
 #: A word in a text that is not lower-cased yet.
@@ -43,111 +47,154 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def _mixed(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def windows(x: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hashes of all windows of so many neighbours of x) for sizes in ascending order."""
+    out = np.zeros(len(x), np.uint64)
+    for k in range(max(sizes, default=0)):
+        out = out[: max(0, len(x) - k)] * _MULTIPLIER + x[k:]
+        if k + 1 in sizes:
+            yield k + 1, mix(out)
 
 
 class Grams:
     """The windows of benchmark items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int = N):
-        self.number: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            size = min(n, len(ids))
-            for k in range(len(ids) - size + 1 if size else 0):
-                by_length.setdefault(size, {}).setdefault(tuple(ids[k : k + size]), set()).add(item)
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int = N):
+        names = sorted({i for i, _ in items}, key=_name)
+        number = {name: k for k, name in enumerate(names)}
+        self.names = names
+        words = [words_of(t) for _, t in items]
+        lengths = np.array([len(w) for w in words], np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        x = word_hashes([w for own in words for w in own])
+        self.text = b" ".join(b" ".join(w) for w in words if w) + b" "
+        spaces = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32) if len(x) else np.zeros(0, np.int64)
+        self.edges = np.concatenate([[-1], spaces]).astype(np.int32 if len(self.text) < 1 << 31 else np.int64)
+        place = np.arange(len(x)) - np.repeat(starts[:-1], lengths)
+        item = np.repeat(np.array([number[i] for i, _ in items], np.int32), lengths)
+        whole = np.repeat(lengths, lengths)
+        size = np.minimum(n, whole)
         self.tables = []
-        for size, grams in sorted(by_length.items()):
-            rows = np.array(list(grams), np.uint32).reshape(-1, size)
-            hashes = self.hashes(rows.T)
-            order = np.argsort(hashes, kind="stable")
-            self.tables.append((size, hashes[order], rows[order], [sorted(s) for s in (list(grams.values())[k] for k in order)]))
+        for length, hashes in windows(x, sorted(set(size.tolist()))):
+            at = np.flatnonzero((size == length)[: len(hashes)] & (place + length <= whole)[: len(hashes)])
+            self.tables.append(self._table(length, x, hashes[at], at, item[at]))
 
     @staticmethod
-    def hashes(columns) -> np.ndarray:
-        out = np.zeros(columns[0].shape, np.uint64)
-        for c in columns:
-            out = out * _MULTIPLIER + _mixed(c)
-        return out
-
-    def scan(self, x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, str]]]:
-        """x: word numbers, 0 for words of no item and between documents. (covered flags, hits as (place, item))."""
-        edge = np.zeros(len(x) + 1, np.int64)
-        hits: list[tuple[int, str]] = []
-        strange = np.concatenate([[0], np.cumsum(x == 0)])
-        for size, hashes, rows, items in self.tables:
-            if len(x) < size:
-                continue
-            at = np.flatnonzero(strange[size:] == strange[:-size])
-            if not len(at):
-                continue
-            found = self.hashes([x[at + k] for k in range(size)])
-            left, right = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
-            for k in np.flatnonzero(right > left):
-                window = x[at[k] : at[k] + size]
-                for row in range(left[k], right[k]):
-                    if np.array_equal(rows[row], window):
-                        edge[at[k]] += 1
-                        edge[at[k] + size] -= 1
-                        hits += [(int(at[k]), item) for item in items[row]]
-        return np.cumsum(edge[:-1]) > 0, hits
-
-
-def _blocks(benchmark: DataFrame, n: int, most: int):
-    """A function that gives the benchmark's Grams, block by block, inside a task."""
+    def _table(length: int, x: np.ndarray, hashes: np.ndarray, at: np.ndarray, item: np.ndarray):
+        """(length, bits, hashes of distinct windows, a place of each, number of its list of items, lists' starts, lists)."""
+        order = np.lexsort((item, hashes))
+        hashes, at, item = hashes[order], at[order], item[order]
+        fresh = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        for k in range(length):  # other words with the same hash are a window of their own
+            fresh[1:] |= x[at[1:] + k] != x[at[:-1] + k]
+        once = fresh | np.concatenate([[True], item[1:] != item[:-1]])
+        window = np.cumsum(fresh)[once] - 1
+        members = item[once]
+        first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+        lists: dict[bytes, int] = {}
+        ends = [*first[1:].tolist(), len(members)]
+        of = np.fromiter((lists.setdefault(members[a:b].tobytes(), len(lists)) for a, b in zip(first.tolist(), ends, strict=True)), np.int32, len(first))
+        parts = [np.frombuffer(b, np.int32) for b in lists]
+        bits = np.zeros(1 << max(12, int(8 * len(first)).bit_length()), bool) if len(first) < 1 << 24 else None
+        if bits is not None:
+            bits[(hashes[fresh] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        return length, bits, hashes[fresh], at[fresh].astype(np.int32), of, np.concatenate([[0], np.cumsum([len(p) for p in parts])]), np.concatenate([*parts, np.zeros(0, np.int32)])
+
+    def window(self, at: int, length: int) -> bytes:
+        return self.text[self.edges[at] + 1 : self.edges[at + length]]
+
+    def scan(self, hashed: dict[int, np.ndarray], words: list[bytes], inside: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """hashed: windows' hashes by size; inside: words left in the document from each place. Counts hits' starts and ends in edge;
+        gives (places, numbers of lists) of hits for each size, and the lists through `listed`."""
+        for k, (length, bits, hashes, at, of, _, _) in enumerate(self.tables):
+            found = hashed[length]
+            maybe = np.flatnonzero(bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)]) if bits is not None else np.arange(len(found))
+            maybe = maybe[inside[maybe] >= length]
+            left, right = np.searchsorted(hashes, found[maybe], "left"), np.searchsorted(hashes, found[maybe], "right")
+            many = right - left
+            maybe, spot = np.repeat(maybe, many), np.arange(many.sum()) + np.repeat(left - np.cumsum(many) + many, many)
+            true = np.fromiter((b" ".join(words[p : p + length]) == self.window(w, length) for p, w in zip(maybe.tolist(), at[spot].tolist(), strict=True)), bool, len(maybe))
+            maybe, spot = maybe[true], spot[true]
+            np.add.at(edge, maybe, 1)
+            np.add.at(edge, maybe + length, -1)
+            yield k, maybe, of[spot]
+
+    def listed(self, table: int, number: int) -> list[str | None]:
+        starts, members = self.tables[table][5:]
+        return [self.names[m] for m in members[starts[number] : starts[number + 1]].tolist()]
+
+
+def _name(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
+class _Blocks:
+    """The benchmark's Grams, block by block, inside a task."""
+
+    def __init__(self, held=None, files: list[str] | None = None, sizes: tuple[int, ...] = ()):
+        self.held, self.files, self.sizes = held, files, list(sizes)
+
+    def lengths(self) -> list[int]:
+        return self.sizes if self.held is None else [t[0] for t in self.held.value.tables]
+
+    def __iter__(self) -> Iterator[Grams]:
+        if self.held is not None:
+            yield self.held.value
+        for path in self.files or ():
+            files, name = filesystem(path)
+            with files.open_input_stream(name) as src:
+                yield pickle.loads(src.read())  # noqa: S301  written by `save` below
+
+    @property
+    def at_once(self) -> int:
+        return SCAN_AT if self.held is not None else SLICE
+
+
+def _blocks(benchmark: DataFrame, n: int, most: int) -> _Blocks:
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size <= most:
-        grams = Grams([(r["item"], r["text"].encode()) for r in items.collect()], n)  # at most `most` bytes
-        held = benchmark.sparkSession.sparkContext.broadcast(grams)
-        return lambda: iter([held.value])
+        grams = Grams([(r["item"], r["text"].encode()) for r in items.toLocalIterator()], n)  # at most `most` bytes
+        return _Blocks(held=benchmark.sparkSession.sparkContext.broadcast(grams))
     folder, parts = shared_dir(benchmark.sparkSession), -(-2 * size // most)
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int"))
 
     def save(group: pa.Table) -> pa.Table:
-        files, path = filesystem(f"{folder}/{group.column('block')[0].as_py():06d}-{uuid.uuid4().hex}.arrow")
-        files.create_dir(path.rpartition("/")[0], recursive=True)
-        with files.open_output_stream(f"{path}.tmp") as out, pa.ipc.new_stream(out, group.schema) as w:
-            w.write_table(group)
-        files.move(f"{path}.tmp", path)
-        return pa.table({"file": [path]})
+        grams = Grams([(a, b.encode()) for a, b in zip(group.column("item").to_pylist(), group.column("text").to_pylist(), strict=True)], n)
+        path = f"{folder}/{group.column('block')[0].as_py():06d}-{uuid.uuid4().hex}.grams"
+        files, name = filesystem(path)
+        files.create_dir(name.rpartition("/")[0], recursive=True)
+        with files.open_output_stream(f"{name}.tmp") as out:
+            out.write(pickle.dumps(grams, protocol=5))
+        files.move(f"{name}.tmp", name)
+        return pa.table({"file": [path], "sizes": pa.array([[t[0] for t in grams.tables]], pa.list_(pa.int32()))})
 
-    written = sorted(r["file"] for r in numbered.groupBy("block").applyInArrow(save, "file string").collect())  # one row for each block
+    written = numbered.groupBy("block").applyInArrow(save, "file string, sizes array<int>").collect()  # one row for each block
+    return _Blocks(files=sorted(r["file"] for r in written), sizes=tuple(sorted({x for r in written for x in r["sizes"]})))
 
-    def read():
-        for path in written:
-            files, _ = filesystem(folder)
-            with files.open_input_stream(path) as src, pa.ipc.open_stream(src) as t:
-                rows = t.read_all()
-            yield Grams([(a, b.encode()) for a, b in zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True)], n)
 
-    return read
-
-
-def _judged(blocks, keys: list, words: list[list[bytes]]) -> Iterator[tuple]:
+def _judged(blocks: _Blocks, keys: list, words: list[list[bytes]]) -> Iterator[tuple]:
     """(key, number of words, spans, items) of each document, over all blocks of the benchmark."""
-    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()  # a 0 after each document
-    covered, items = np.zeros(starts[-1], bool), [set() for _ in keys]
-    for grams in blocks():
-        get = grams.number.get
-        x = np.zeros(starts[-1], np.uint32)
-        for at, w in zip(starts, words, strict=False):
-            x[at : at + len(w)] = [get(v, 0) for v in w]
-        own, hits = grams.scan(x)
-        covered |= own
-        if hits:
-            for k, (_, item) in zip((np.searchsorted(starts, [h[0] for h in hits], "right") - 1).tolist(), hits, strict=True):
-                items[k].add(item)
+    sizes = np.array([len(w) for w in words], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    flat = [w for own in words for w in own]
+    inside = np.repeat(starts[1:], sizes) - np.arange(starts[-1])
+    hashed = dict(windows(word_hashes(flat), blocks.lengths()))
+    edge = np.zeros(starts[-1] + 1, np.int64)
+    items: dict[int, set] = {}
+    for grams in blocks:
+        for table, places, lists in grams.scan(hashed, flat, inside, edge):
+            if len(places):
+                docs = np.searchsorted(starts, places, "right") - 1
+                for doc, number in set(zip(docs.tolist(), lists.tolist(), strict=True)):
+                    items.setdefault(doc, set()).update(grams.listed(table, number))
+    covered = np.cumsum(edge[:-1]) > 0
     for k, key in enumerate(keys):
-        flags = covered[starts[k] : starts[k + 1]]
         spans = []
-        if items[k]:
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+        if k in items:
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], covered[starts[k] : starts[k + 1]].astype(np.int8), [0]])))
             spans = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
-        yield key, len(words[k]), spans, sorted(items[k])
+        yield key, len(words[k]), spans, sorted(items.get(k, ()), key=_name)
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BENCHMARK_BYTES) -> DataFrame:
@@ -163,7 +210,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc
                     keys.append(key)
                     words.append(words_of(text.as_py()))
                     held += len(words[-1])
-                    if held >= SCAN_AT:
+                    if held >= blocks.at_once:
                         yield from _judged(blocks, keys, words)
                         keys, words, held = [], [], 0
             if keys:
@@ -197,24 +244,41 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: i
     blocks = _blocks(benchmark, n, most)
     place, schema = docs.columns.index("text"), docs.schema
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list, list]]:
+        """Batches until they hold enough words, their texts and their words."""
+        own, texts, words = [], [], []
         for part in (p.slice(at, 512) for p in parts for at in range(0, p.num_rows, 512)):
-            texts = part.column(place).to_pylist()
-            words = [words_of((t or "").encode()) for t in texts]
-            found = [(k, spans) for k, (_, _, spans, _) in enumerate(_judged(blocks, list(range(len(texts))), words)) if spans]
-            if remove == "documents":
-                hit = {k for k, _ in found}
-                yield part if not hit else part.filter(pa.array([k not in hit for k in range(len(texts))]))
-                continue
-            for k, spans in found:
-                places = [m.span() for m in _WORD.finditer(texts[k])]
-                edges = [*(a for a, _ in places), len(texts[k])]
-                out, at = [], 0
-                for s in spans:
-                    out.append(texts[k][at : edges[s["start"]]])
-                    at = edges[s["end"]]
-                texts[k] = "".join([*out, texts[k][at:]])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, part.schema.field(k).type) if k == place else c for k, c in enumerate(part.columns)], schema=part.schema)
+            own.append(part)
+            texts.append(part.column(place).to_pylist())
+            words += [words_of((t or "").encode()) for t in texts[-1]]
+            if blocks.held is not None or sum(map(len, words)) >= blocks.at_once:
+                yield own, texts, words
+                own, texts, words = [], [], []
+        if own:
+            yield own, texts, words
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, held, words in slices(parts):
+            judged = [spans for _, _, spans, _ in _judged(blocks, list(range(len(words))), words)]
+            at = 0
+            for part, texts in zip(own, held, strict=True):
+                yield cut(part, texts, judged[at : at + len(texts)])
+                at += len(texts)
+
+    def cut(part: pa.RecordBatch, texts: list, judged: list) -> pa.RecordBatch:
+        found = [(k, spans) for k, spans in enumerate(judged) if spans]
+        if remove == "documents":
+            hit = {k for k, _ in found}
+            return part if not hit else part.filter(pa.array([k not in hit for k in range(len(texts))]))
+        for k, spans in found:
+            places = [m.span() for m in _WORD.finditer(texts[k])]
+            edges = [*(a for a, _ in places), len(texts[k])]
+            out, at = [], 0
+            for s in spans:
+                out.append(texts[k][at : edges[s["start"]]])
+                at = edges[s["end"]]
+            texts[k] = "".join([*out, texts[k][at:]])
+        return pa.RecordBatch.from_arrays([pa.array(texts, part.schema.field(k).type) if k == place else c for k, c in enumerate(part.columns)], schema=part.schema)
 
     small_batches(docs.sparkSession)
     out = docs.mapInArrow(run, schema)
