@@ -19,8 +19,8 @@ the hub that it meets most often; then, where a signature still joins different
 the largest are verified against some others of it, and at last every pair of classes across those that
 are left, so no link that joins components is lost and no group emits all its pairs. Verification counts the intersection of whole sets.
 
-Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer
-words than a shingle make one shingle; repeated rows and ties are in one class; an empty table gives an
+Defined results: a row without a doc_id counts by its text, and is no component's smallest doc_id unless all others lack one
+too; a null or empty text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle make one shingle; repeated rows and ties are in one class; an empty table gives an
 empty table. Words and shingles are compared by 64-bit hashes, sets in verification by 48 bits of them.
 Other columns of the input are ignored.
 """
@@ -45,12 +45,14 @@ FIRST, BAND = 256, 4
 PARTS = 0.45
 #: Share of the signatures that need not be compared that is left out before the shuffle.
 EARLY = 0.7
-#: Buckets of signatures for each shuffle partition; a task unpacks one at a time.
-BUCKETS = 2
+#: Signatures of a bucket and of a group of sets, about 10 bytes each; their numbers follow the input, not the cluster.
+BUCKET = 1 << 20
+#: Members of a signature's group that one row holds.
+CHUNK = 4096
 #: Words whose signatures are sent together, and members verified against one copy of their hub.
 FLUSH_AT, SALT_AT = 1 << 18, 64
-#: Members of a group that one row of the last comparison holds beside the whole group.
-OUTSIDE_AT = 256
+#: Members of a group and size band that one row of the last comparison holds, on average.
+BLOCK = 2048
 #: Bytes of a class's sketch in the last comparison, a power of 2.
 SKETCH = 128
 #: So many documents at most are picked by a broadcast of their ids (16 bytes each); more by a shuffle.
@@ -121,23 +123,25 @@ def signatures(shingle_set: np.ndarray, share: int = SHARE, left_out: float = EA
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    """(doc_id, t, h): h tells rows with one doc_id, or none, apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("t"), F.xxhash64(text).alias("h"))
 
 
 def classes(texts: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, e): size and identity of every document's set; e is null for an empty one."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("e", pa.int64())])
+    """(doc_id, h, n, e): size and identity of every document's set; e is null for an empty one."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("e", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part in parts:
-                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                for key, text, h in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
                     x = shingles(text.as_py(), shingle)
-                    yield key, len(x), identity(x) if len(x) else None
+                    yield key, h, len(x), identity(x) if len(x) else None
 
-        return batches(rows(), schema, lambda r: 32)
+        return batches(rows(), schema, lambda r: 40)
 
-    return texts.mapInArrow(run, "doc_id bigint, n bigint, e bigint")
+    return texts.mapInArrow(run, "doc_id bigint, h bigint, n bigint, e bigint")
 
 
 _PACKED = "k int, sigs binary, refs binary, counts binary, needs binary"
@@ -246,14 +250,20 @@ def _rarest(table: pa.Table) -> pa.Table:
 
 
 def _meeting(table: pa.Table) -> pa.Table:
-    """The distinct groups of classes of one bucket that share a signature."""
+    """The groups of classes of one bucket that share a signature: a hash of all members, and the members in chunks."""
     sigs, refs, _ = _unpacked(table)
     members = refs >> np.uint64(1)
     order = np.lexsort((members, sigs))
     sigs, members = sigs[order], members[order].astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, int)
-    groups = {members[a:b].tobytes() for a, b in zip(first, [*first[1:], len(sigs)], strict=True) if b - a > 1}
-    return pa.table({"members": pa.array([np.frombuffer(g, np.int64) for g in sorted(groups)], pa.list_(pa.int64()))})
+    held: dict[int, np.ndarray] = {}
+    for a, b in zip(first, [*first[1:], len(sigs)], strict=True):
+        if b - a > 1:
+            own = members[a:b][np.concatenate([[True], members[a + 1 : b] != members[a : b - 1]])]
+            if len(own) > 1:
+                held.setdefault(identity(own.view(np.uint64)), own)
+    rows = [(g, at, own[at : at + CHUNK]) for g, own in held.items() for at in range(0, len(own), CHUNK)]
+    return pa.table({"g": pa.array([r[0] for r in rows], pa.int64()), "at": pa.array([r[1] for r in rows], pa.int64()), "members": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
 
 
 def _released(f, *args):
@@ -269,10 +279,10 @@ def _sharing(table: pa.Table) -> pa.Table:
     return pa.table({"e": pa.array((refs[own] >> np.uint64(1)).astype(np.int64)), "shared": pa.array(counts[own].astype(np.int64))})
 
 
-def candidate_groups(texts: DataFrame, shingle: int, share: int, folder: str, left_out: float = EARLY) -> tuple[DataFrame, DataFrame]:
-    """(members): groups of classes that share a signature which must be compared, members in ascending order; and
-    (e, shared): how many of the signatures of its own band each class shares."""
-    n = max(1, BUCKETS * shuffle_partitions(texts.sparkSession))
+def candidate_groups(texts: DataFrame, total: int, shingle: int, share: int, folder: str, left_out: float = EARLY) -> tuple[DataFrame, DataFrame]:
+    """(g, members): groups of classes that share a signature which must be compared, in chunks; and
+    (e, shared): how many of the signatures of its own band each class shares. total: elements of all sets."""
+    n = max(1, -(-total // BUCKET))
     sent = _sent(texts, shingle, share, n, left_out)
     shared = sent.groupBy("k").applyInArrow(lambda t: _released(_shared, t, n), "g int, k int, sigs binary, refs binary, needs binary, sizes binary")
     rarest = stored(shared.groupBy("g").applyInArrow(lambda t: _released(_rarest, t), _PACKED), folder)
@@ -281,29 +291,31 @@ def candidate_groups(texts: DataFrame, shingle: int, share: int, folder: str, le
         for part in parts:
             yield from _sharing(pa.Table.from_batches([part])).to_batches()
 
-    groups = rarest.where("k >= 0").groupBy("k").applyInArrow(_meeting, "members array<bigint>").distinct()
-    return groups, rarest.where("k < 0").mapInArrow(counted, "e bigint, shared bigint")
+    groups = rarest.where("k >= 0").groupBy("k").applyInArrow(lambda t: _released(_meeting, t), "g bigint, at bigint, members array<bigint>")
+    return groups.dropDuplicates(["g", "at"]), rarest.where("k < 0").mapInArrow(counted, "e bigint, shared bigint")
 
 
 def picked(texts: DataFrame, known: DataFrame, classes_wanted: DataFrame, shingle: int, folder: str) -> DataFrame:
-    """(e, t): one whole text of each wanted class (e), as a written table."""
-    least = stored(known.where("e IS NOT NULL").join(classes_wanted, "e").groupBy("e").agg(F.min("doc_id").alias("doc_id")), f"{folder}-ids")
+    """(e, n, t): size and one whole text of each wanted class (e), as a written table."""
+    first = known.where("e IS NOT NULL").join(classes_wanted, "e").groupBy("e", "n").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none"), "h")).alias("w"))
+    least = stored(first.select("e", "n", "w.*"), f"{folder}-ids")
     if least.count() <= BROADCAST_ROWS:
         least = F.broadcast(least)
-    schema = pa.schema([("e", pa.int64()), ("t", pa.binary())])
+    schema = pa.schema([("e", pa.int64()), ("n", pa.int64()), ("t", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part in parts:
-                for e, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                for e, n, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     t = text.as_py()
                     x = shingles(t, shingle)
-                    if len(x) and identity(x) == e:  # another text with the same doc_id is not the one
-                        yield e, t
+                    if len(x) and identity(x) == e:  # not another text with the same hash
+                        yield e, n, t
 
-        return batches(rows(), schema, lambda r: len(r[1]) + 16)
+        return batches(rows(), schema, lambda r: len(r[2]) + 24)
 
-    return stored(texts.join(least, "doc_id").select("e", "t").mapInArrow(run, "e bigint, t binary").dropDuplicates(["e"]), folder)
+    keyed = texts.withColumns({"i": F.coalesce("doc_id", F.lit(0)), "none": F.col("doc_id").isNull()})
+    return stored(keyed.join(least, ["i", "none", "h"]).select("e", "n", "t").mapInArrow(run, "e bigint, n bigint, t binary").dropDuplicates(["e"]), folder)
 
 
 def verified(chosen: DataFrame, pairs: DataFrame, shingle: int, share: int, folder: str) -> DataFrame:
@@ -371,11 +383,20 @@ def _possible(p: str, q: str, share: int) -> Column:
     return (100 * small >= share * large) & ((large >= FIRST) | ((100 + share) * common >= share * (small + large)))
 
 
-def _mixed(members: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
-    """(g, m [(e, label, n, shared)], most): groups that still hold different components; most is the commonest label."""
+def _size_band(n: Column, share: int) -> Column:
+    """Sets of sizes whose bands differ by more than 1 can't be similar enough."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / share)) + 1e-9).cast("int")
+
+
+def _mixed(members: DataFrame, labels: DataFrame, share: int, folder: str) -> DataFrame:
+    """(g, most, total, band, block, m [(e, label, n, shared)]): groups that still hold different components, by size band in
+    blocks of bounded rows; most is the commonest label, total the group's size."""
     placed = members.join(labels, "e", "left").withColumn("label", F.coalesce("label", "e"))
-    sizes = placed.groupBy("g", "label").count().groupBy("g").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("most"), F.count("*").alias("k")).where("k > 1").select("g", "most")
-    rows = placed.join(sizes, "g").groupBy("g", "most").agg(F.sort_array(F.collect_list(F.struct("e", "label", "n", "shared"))).alias("m"))
+    tops = placed.groupBy("g", "label").count().groupBy("g").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("most"), F.count("*").alias("k"), F.sum("count").alias("total"))
+    held = placed.join(tops.where("k > 1").select("g", "most", "total"), "g").withColumn("band", _size_band(F.col("n"), share))
+    blocks = held.groupBy("g", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = held.join(blocks, ["g", "band"]).withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
+    rows = dealt.groupBy("g", "most", "total", "band", "block").agg(F.sort_array(F.collect_list(F.struct("e", "label", "n", "shared"))).alias("m"))
     return stored(rows, folder)
 
 
@@ -385,11 +406,12 @@ def _pairs(rows: DataFrame, share: int) -> DataFrame:
 
 
 def _near(mixed: DataFrame, width: int, share: int) -> DataFrame:
-    """Classes outside their group's commonest component with the next `width` ones of the largest such group."""
-    outside = mixed.select("g", "most", "m", F.posexplode("m").alias("at", "p")).where("p.label <> most")
-    chosen = outside.groupBy("p.e").agg(F.max_by(F.struct("g", "at"), F.struct(F.size("m"), "g")).alias("c")).select("c.g", "c.at")
+    """Classes outside their group's commonest component with the next `width` ones of their block of the largest such group."""
+    outside = mixed.select("g", "most", "total", "band", "block", "m", F.posexplode("m").alias("at", "p")).where("p.label <> most")
+    chosen = outside.groupBy("p.e").agg(F.max_by(F.struct("g", "band", "block", "at"), F.struct("total", "g")).alias("c")).select("c.*")
     partner = F.transform(F.sequence(F.lit(1), F.least(F.lit(width), F.size("m") - 1)), lambda k: F.get("m", (F.col("at") + k) % F.size("m")))
-    return _pairs(chosen.join(mixed, "g").select(F.get("m", F.col("at")).alias("p"), F.explode(partner).alias("q")), share)
+    several = chosen.join(mixed.where(F.size("m") > 1), ["g", "band", "block"])
+    return _pairs(several.select(F.get("m", F.col("at")).alias("p"), F.explode(partner).alias("q")), share)
 
 
 def sketch(shingle_set: np.ndarray) -> bytes:
@@ -422,16 +444,17 @@ def sketches(chosen: DataFrame, shingle: int) -> DataFrame:
     return chosen.select("e", "t").mapInArrow(run, "e bigint, sketch binary")
 
 
-def _across(mixed: DataFrame, drawn: DataFrame, share: int) -> DataFrame:
+def _across(mixed: DataFrame, drawn: DataFrame, share: int, folder: str) -> DataFrame:
     """All pairs (hub, x) of classes of different components of one group that sizes, shares and sketches allow.
 
-    Members outside the commonest component come in blocks, each against the whole group inside one task's
-    matrix of sketches, so only pairs that may be links leave it.
+    Blocks of members outside the commonest component meet the group's blocks of the same and the next size bands, each pair
+    of blocks in one row and its matrix of sketches inside one task, so only pairs that may be links leave it.
     """
-    lone = mixed.select("g", "most", F.explode("m").alias("p")).select("g", "most", "p.*").join(drawn, "e")
-    full = lone.groupBy("g", "most").agg(F.collect_list(F.struct("e", "label", "n", "shared", "sketch")).alias("m"))
-    outside = F.filter("m", lambda x: x["label"] != F.col("most"))
-    rows = full.withColumn("o", outside).select("m", "o", F.explode(F.sequence(F.lit(0), F.floor((F.size("o") - 1) / OUTSIDE_AT).cast("int"))).alias("k")).select("m", F.slice("o", F.col("k") * OUTSIDE_AT + 1, F.lit(OUTSIDE_AT)).alias("o"))
+    lone = mixed.select("g", "most", "band", "block", F.explode("m").alias("p")).select("g", "most", "band", "block", "p.*").join(drawn, "e")
+    full = stored(lone.groupBy("g", "most", "band", "block").agg(F.collect_list(F.struct("e", "label", "n", "shared", "sketch")).alias("m")), folder)
+    outside = full.select("g", "band", F.col("block").alias("own"), F.filter("m", lambda x: x["label"] != F.col("most")).alias("o")).where(F.size("o") > 0)
+    near = outside.select("g", "own", "o", F.col("band").alias("own_band"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    rows = near.join(full.select("g", "band", "block", "m"), ["g", "band"])
     schema = pa.schema([("hub", pa.int64()), ("x", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,38 +462,38 @@ def _across(mixed: DataFrame, drawn: DataFrame, share: int) -> DataFrame:
             for row in range(part.num_rows):
                 m, o = part.column("m")[row].values, part.column("o")[row].values
                 bits, own = (np.frombuffer(b"".join(c.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (m, o))
-                col = lambda c, name: c.field(name).to_numpy(zero_copy_only=False)
+                bits, own = bits.view(np.uint64), own.view(np.uint64)
+                me, ml, mn, ms = (m.field(c).to_numpy(zero_copy_only=False) for c in ("e", "label", "n", "shared"))
+                oe, ol, on, os_ = (o.field(c).to_numpy(zero_copy_only=False) for c in ("e", "label", "n", "shared"))
                 found = []
-                for k in range(len(o)):
-                    n, e = int(col(o, "n")[k]), int(col(o, "e")[k])
-                    total = col(m, "n") + n
-                    ok = (col(m, "label") != col(o, "label")[k]) & (100 * np.minimum(col(m, "n"), n) >= share * np.maximum(col(m, "n"), n))
-                    ok &= (np.maximum(col(m, "n"), n) >= FIRST) | ((100 + share) * np.minimum(col(m, "shared"), col(o, "shared")[k]) >= share * total)
+                for k in range(len(oe)):
+                    n, e = int(on[k]), int(oe[k])
+                    total = mn + n
+                    ok = (ml != ol[k]) & (100 * np.minimum(mn, n) >= share * np.maximum(mn, n))
+                    ok &= (np.maximum(mn, n) >= FIRST) | ((100 + share) * np.minimum(ms, os_[k]) >= share * total)
                     at = np.flatnonzero(ok)
                     differ = np.bitwise_count(bits[at] ^ own[k]).sum(axis=1, dtype=np.int64)
-                    found += [(min(e, x), max(e, x)) for x in col(m, "e")[at[(100 + share) * differ <= (100 - share) * total[at]]].tolist()]
+                    found += [(min(e, x), max(e, x)) for x in me[at[(100 + share) * differ <= (100 - share) * total[at]]].tolist()]
                 if found:
                     found = sorted(set(found))
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=schema)
 
-    return rows.repartition(shuffle_partitions(mixed.sparkSession)).mapInArrow(run, "hub bigint, x bigint").distinct()
+    pairs = rows.select("o", "m", F.xxhash64("g", "own_band", "own", "band", "block").alias("_k")).repartition(shuffle_partitions(mixed.sparkSession), "_k").select("o", "m")
+    return pairs.mapInArrow(run, "hub bigint, x bigint").distinct()
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    folder = shared_dir(spark)
-    texts = _texts(docs, id_col, text_col)
+def _placed(texts: DataFrame, shingle: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, e) of every document, and (e, label): the component of every class that has links."""
+    folder = shared_dir(texts.sparkSession)
     known = stored(classes(texts, shingle), f"{folder}/classes")
     # Signatures left out early let some sets pass that share too few; among those that passed nothing is left out.
-    groups, _ = candidate_groups(texts, shingle, share, f"{folder}/rarest-1")
+    groups, _ = candidate_groups(texts, known.agg(F.sum("n")).first()[0] or 0, shingle, share, f"{folder}/rarest-1")
     passed = stored(groups.select(F.explode("members").alias("e")).distinct(), f"{folder}/passed")
     chosen = picked(texts, known, passed, shingle, f"{folder}/picked")
-    groups, sharing = candidate_groups(chosen, shingle, share, f"{folder}/rarest-2", 0.0)
+    groups, sharing = candidate_groups(chosen, 2 * (chosen.agg(F.sum("n")).first()[0] or 0), shingle, share, f"{folder}/rarest-2", 0.0)
     # A class that meets others by the signatures of the band below only shares none of its own band's; it has FIRST elements or more, so none are asked of it.
-    facts = known.where("e IS NOT NULL").join(sharing, "e", "left").groupBy("e").agg(F.first("n").alias("n"), F.coalesce(F.max("shared"), F.lit(0)).alias("shared"))
-    members = stored(groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("e")).distinct().join(facts, "e").select("g", "e", "n", "shared"), f"{folder}/members")
+    facts = chosen.select("e", "n").join(sharing, "e", "left").groupBy("e").agg(F.first("n").alias("n"), F.coalesce(F.max("shared"), F.lit(0)).alias("shared"))
+    members = stored(groups.select("g", F.explode("members").alias("e")).join(facts, "e").select("g", "e", "n", "shared"), f"{folder}/members")
     # The hub of a group is its class that meets in most groups: a text that the others are copies of.
     fame = members.groupBy("e").agg(F.count("*").alias("fame"))
     hubs = members.join(fame, "e").groupBy("g").agg(F.max_by("e", F.struct("fame", -F.col("e"))).alias("hub"))
@@ -481,8 +504,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     labels = components(links, f"{folder}/components-0")
     # Where a group still holds different components: some pairs first, which join most of them, then every pair across those that are left.
     for step, width in enumerate((8, 64, None), 1):
-        mixed = _mixed(members, labels, f"{folder}/mixed-{step}")
-        rest = (_near(mixed, width, share) if width else _across(mixed, sketches(chosen, shingle), share)).join(tested.select(F.col("a").alias("hub"), F.col("b").alias("x")), ["hub", "x"], "left_anti")
+        mixed = _mixed(members, labels, share, f"{folder}/mixed-{step}")
+        rest = (_near(mixed, width, share) if width else _across(mixed, sketches(chosen, shingle), share, f"{folder}/blocks")).join(tested.select(F.col("a").alias("hub"), F.col("b").alias("x")), ["hub", "x"], "left_anti")
         rest = stored(rest, f"{folder}/rest-{step}")
         if rest.isEmpty():
             continue
@@ -490,6 +513,13 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         tested = tested.select("a", "b").unionByName(rest.select(F.col("hub").alias("a"), F.col("x").alias("b")))
         links = links.unionByName(made)
         labels = components(links, f"{folder}/components-{step}")
+    return known, labels
+
+
+def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    small_batches(docs.sparkSession)
+    known, labels = _placed(_texts(docs, id_col, text_col), shingle, share)
     real = known.where("e IS NOT NULL")
     placed = real.groupBy("e").agg(F.min("doc_id").alias("least")).join(labels, "e", "left").select("e", "least", F.coalesce("label", "e").alias("label"))
     lowest = placed.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -499,9 +529,21 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; of rows with that doc_id all stay."""
-    kept = joined(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select([docs[c] for c in docs.columns])
+    """docs with one document of each component, that of the smallest doc_id; of rows with that doc_id all stay.
+
+    In a component where no row has a doc_id, the text with the smallest hash stays, once. Rows without words all stay.
+    """
+    small_batches(docs.sparkSession)
+    known, labels = _placed(_texts(docs, "doc_id", "text"), SHINGLE, SHARE)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("i"), "h"))
+    least = known.where("e IS NOT NULL").groupBy("e").agg(first.alias("w")).join(labels, "e", "left").groupBy(F.coalesce("label", "e").alias("label")).agg(F.min("w").alias("w"))
+    by_id = least.where("NOT w.none").select(F.col("w.i").alias("doc_id")).unionByName(known.where("e IS NULL").select("doc_id")).where("doc_id IS NOT NULL").distinct()
+    by_text = least.where("w.none").select(F.col("w.h").alias("_h")).distinct()
+    kept = docs.join(by_id, "doc_id", "left_semi").select([docs[c] for c in docs.columns])
+    text = F.coalesce("text", F.lit(""))
+    nameless = docs.where(F.col("doc_id").isNull())
+    worded = nameless.join(by_text, F.xxhash64(text) == F.col("_h"), "left_semi").dropDuplicates(["text"])
+    return kept.unionByName(worded).unionByName(nameless.where(F.translate(text, " \t\n\v\f\r", "") == ""))
 
 
 ORACLE = r"""

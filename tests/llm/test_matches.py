@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import random
 import re
 from itertools import combinations
@@ -89,6 +91,46 @@ def test_decontamination_equals_brute_force(spark, docs, none, plain, most):
     assert decontaminate.marked(docs, bench.limit(0), most=most).where(F.size("spans") > 0).count() == 0
 
 
+def test_null_ids_and_windows_that_many_items_share(spark):
+    base = " ".join(f"w{k}" for k in range(14))
+    bench = spark.createDataFrame([(None, base), (5, base), (40, base + " more"), (None, "lone words of four")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "x " + base), (2, base + " y"), (2, "Lone WORDS of four"), (3, "w1 w2")], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.digest(decontaminate.marked(docs, bench)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {(None, 15, 14, 3, sha("40,5")), (2, 15, 14, 3, sha("40,5")), (2, 4, 4, 1, sha("")), (3, 2, 0, 0, sha(""))}
+    assert decontaminate.clean(docs, bench).collect()[0]["doc_id"] == 3
+
+
+def test_grams_grow_with_their_texts_and_hashes_are_verified(monkeypatch):
+    rng = random.Random(8)
+    made = {}
+    for items in (500, 1000, 2000):
+        texts = [(str(k), " ".join(f"w{rng.randint(0, 50_000)}" for _ in range(120)).encode()) for k in range(items)]
+        grams = decontaminate.Grams(texts)
+        made[items] = sum(len(t[2]) for t in grams.tables), len(pickle.dumps(grams))
+    assert made[2000][0] == 4 * made[500][0] == 2000 * 111 and made[2000][1] < 4.4 * made[500][1]
+    # Windows whose hashes collide are told apart by their words.
+    monkeypatch.setattr(decontaminate, "mix", lambda x: x % np.uint64(4))
+    items = [(str(k), " ".join(rng.choices("abcd", k=rng.randint(0, 14)))) for k in range(20)]
+    texts = [" ".join(rng.choices("abcde", k=rng.randint(0, 60))) for _ in range(40)]
+
+    class Held:
+        value = decontaminate.Grams([(i, t.encode()) for i, t in items])
+
+    got = decontaminate._judged(decontaminate._Blocks(held=Held), list(range(40)), [decontaminate.words_of(t.encode()) for t in texts])
+    assert [(n, sum(s["end"] - s["start"] for s in spans), found) for _, n, spans, found in got] == [brute_hits(t, items) for t in texts]
+
+
+@pytest.mark.parametrize("words", [1, 50])
+def test_blocks_are_read_for_every_slice(spark, docs, plain, monkeypatch, words):
+    monkeypatch.setattr(decontaminate, "SLICE", words)
+    items = [(k, t) for k, (_, t) in enumerate(plain) if t and len(t) < 500]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in decontaminate.marked(docs, bench, most=64).collect())
+    assert got == sorted((i, *brute_hits(t, [(str(k), x) for k, x in items])) for i, t in plain)
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench, most=64).collect()} == {i for i, n, h, _ in got if not h}
+
+
 def test_cleaning_drops_or_cuts(spark, docs, plain):
     base = dict(plain)[4]
     bench = spark.createDataFrame([(1, base)], "item_id long, text string")
@@ -187,6 +229,32 @@ def test_near_duplicates_edges(docs, none, plain):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {c for _, _, c in brute_components(unique)}
 
 
+def test_rows_without_doc_id(spark):
+    """They link by their texts; of a component of such rows one text stays, once."""
+    base = [f"w{k}" for k in range(40)]
+    near, lone = " ".join([*base, "more"]), " ".join(f"z{k}" for k in range(30))
+    rows = [(None, " ".join(base)), (None, near), (7, near), (None, lone), (None, lone), (None, None), (None, " "), (3, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.joined(frame).collect()), key=str)
+    assert got == sorted([(None, 36, 7), (None, 37, 7), (7, 37, 7), (None, 26, None), (None, 26, None), (None, 0, None), (None, 0, None), (3, 0, 3)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.deduplicated(frame).collect()), key=str)
+    assert kept == sorted([(7, near), (None, lone), (None, None), (None, " "), (3, "")], key=str)
+
+
+def test_small_buckets_chunks_and_blocks_change_nothing(spark, monkeypatch):
+    for name, value in (("BUCKET", 200), ("CHUNK", 3), ("BLOCK", 2), ("FLUSH_AT", 500)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(5)
+    texts = []
+    for size in (8, 40, 320):
+        for _ in range(2):
+            base = [f"w{rng.randint(0, 4000)}" for _ in range(size)]
+            for share in (0, 0.01, 0.03, 0.05, 0.06, 0.06, 0.07, 0.08):
+                texts.append((len(texts), " ".join(edited(rng, base, share))))
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, ngram_join.joined(frame).collect())) == brute_components(texts)
+
+
 def test_signatures_meet_for_every_near_pair():
     rng = np.random.default_rng(6)
     for n in (3, 10, 120, 255, 300, 340, 700, 1023, 1100, 1360):
