@@ -3,36 +3,41 @@
 Every run of WINDOW words holds a whole block of BLOCK words whose place in its document is a multiple
 of BLOCK (WINDOW >= 2 * BLOCK - 1). Those aligned blocks are the index; every rolling window of BLOCK
 words is a probe. Where a probe meets an indexed block of another batch of documents, both sides extend
-the hit: they exchange the hashes of the WINDOW-word windows around it, and the batch with the smaller
+the hit: they exchange the digests of the WINDOW-word windows around it, and the batch with the smaller
 doc_ids wins. Neighbouring windows that are found merge into maximal repeats.
 
 Documents are dealt into batches that are ranges of doc_id, so "an earlier batch has it" means "a
 document with a smaller doc_id has it", and only inside a batch do single documents count. Each batch
 sends every distinct hash once, packed; a passage that stands in a third of all documents is one value for
-each batch, never a pair of documents. Batches and buckets are as many as BATCHES times the shuffle
-partitions, so each fits in a task's memory when the cluster's setting suits its input.
+each batch, never a pair of documents. A batch holds BATCH bytes of text on average, and there are as many buckets
+of hashes, so both follow the input and not the cluster's settings.
 
 Defined results: a null or empty text has no words and loses none; equal doc_ids don't cover each other,
-as neither is smaller; repeated words are handled as they stand; an empty table gives an empty table. Blocks meet by
-47 bits of their hash beside the bucket, which only adds candidates; windows count as equal when 64 bits
-of one hash and the bucket from another agree. Other columns of the input are ignored.
+as neither is smaller; a row without a doc_id loses no word and covers none; repeated words are handled as they stand; an
+empty table gives an empty table. Blocks meet by 47 bits of their hash beside the bucket, which only adds candidates. Windows of different
+batches are equal when 80 bits of a 128-bit digest of their words and the bucket from its other bits agree: among 10^13 different windows, and
+10^7 buckets, the chance of one false match is below 10^-5. Inside a batch two rolling hashes of 64 bits must agree. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.base import shuffle_partitions, small_batches
-from quillon.llm.packed import by_key, inside, mix, pack, rolling, unpack, word_hashes
+from quillon.llm.base import small_batches
+from quillon.llm.packed import by_key, inside, pack, rolling, unpack, word_hashes
 
 WINDOW, BLOCK = 13, 7
-#: Batches of documents, and buckets of hashes, for each shuffle partition.
-BATCHES = 2
+#: Bytes of text in a batch of documents, on average.
+BATCH = 6 << 20
 _OTHER = 0xD6E8FEB86659FD93
 _KEY = np.uint64((1 << 47) - 1)
+_DIGEST = xxhash.xxh3_128_digest
 
 
 def range_of(value: Column, bounds: list[int]) -> Column:
@@ -49,7 +54,11 @@ def range_of(value: Column, bounds: list[int]) -> Column:
 class Batch:
     """The words and windows of a batch of documents, one after the other."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, table: pa.Table):
+        """Documents in order of their ids and texts, so that places are the same each time."""
+        rows = sorted(zip(table.column("id").to_pylist(), table.column("t").to_pylist(), strict=True))
+        texts = [t for _, t in rows]
+        self.ids = np.array([i for i, _ in rows], np.int64)
         self.words = [t.split() for t in texts]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -64,10 +73,18 @@ class Batch:
         at = np.flatnonzero(own)
         return at, hashes[at]
 
+    def digests(self, at: np.ndarray, n: int) -> np.ndarray:
+        """16 bytes for each window of n words from the places at, of their words as they stand."""
+        words = [w for own in self.words for w in own]
+        text = memoryview(b" ".join(words))
+        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+        spans = zip(edges[at].tolist(), (edges[at + n] - 1).tolist(), strict=True)
+        return np.frombuffer(b"".join([_DIGEST(text[a:b]) for a, b in spans]), np.uint8).reshape(-1, 16)
+
 
 def _probes(table: pa.Table, buckets: int) -> pa.Table:
     """One batch's distinct rolling blocks, each with a flag: it is an aligned block here."""
-    batch = Batch(table.column("t").to_pylist())
+    batch = Batch(table)
     at, hashes = batch.windows(BLOCK)
     aligned = (batch.place[at] % BLOCK == 0).astype(np.uint64)
     order = np.argsort(hashes, kind="stable")
@@ -91,7 +108,7 @@ def _gathered(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     parts = [unpack(x.as_py(), width) for x in table.column("data")]
     values = np.concatenate(parts)
     batches = np.repeat(np.array(table.column("b").to_pylist(), np.int64), [len(p) for p in parts])
-    order = np.lexsort((batches, values if width == 8 else values >> np.uint64(1)))
+    order = np.lexsort((batches, values >> np.uint64(1)))
     return values[order], batches[order]
 
 
@@ -115,7 +132,7 @@ def _candidates(docs: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
     """The distinct windows of one batch that hold an anchor."""
     if not docs.num_rows or not hits.num_rows:
         return pa.table({"b": pa.array([], pa.int32()), "k": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
-    batch = Batch(docs.column("t").to_pylist())
+    batch = Batch(docs)
     at, hashes = batch.windows(BLOCK)
     hot = np.zeros(len(batch.hashes) + 1, np.int64)
     # A hit's key is unique together with its bucket.
@@ -126,36 +143,50 @@ def _candidates(docs: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
     wide, keys = batch.windows(WINDOW)
     near = hot[wide + WINDOW - BLOCK + 1] > hot[wide]
     wide, keys = wide[near], keys[near]
-    keys, first = np.unique(keys, return_index=True)
-    second = mix(rolling(batch.hashes, WINDOW, _OTHER)[wide[first]])
-    rows = [(k, pack(keys[p], 8)) for k, p in by_key((second % np.uint64(buckets)).astype(np.int64))]
+    _, first = np.unique(keys, return_index=True)
+    wide = np.sort(wide[first])
+    digests = batch.digests(wide, WINDOW)
+    halves = np.ascontiguousarray(digests).view("<u8")
+    rows = []
+    for k, p in by_key(((halves[:, 1] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)):
+        low = np.ascontiguousarray(digests[p, :10].T).tobytes()
+        rows.append((k, pack(wide[p].astype(np.uint64), 4) + low))
     return _rows(docs, "k", rows)
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Windows of one bucket, back to all batches but the first that have them."""
-    values, batches = _gathered(table, 8)
-    again = np.concatenate([[False], values[1:] == values[:-1]])
-    return _answers(table.column("k")[0].as_py(), values[again], batches[again], 8)
-
-
-def _removed(docs: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
+    """Places of windows of one bucket, back to all batches but the first that have them."""
+    low, high, places, sizes = [], [], [], []
+    for x in table.column("data"):
+        data = x.as_py()
+        n = len(data) // 14
+        places.append(unpack(data[: 4 * n], 4))
+        low.append(unpack(data[4 * n : 12 * n], 8))
+        high.append(unpack(data[12 * n :], 2))
+        sizes.append(n)
+    batches = np.repeat(np.array(table.column("b").to_pylist(), np.int64), sizes)
+    low, high, places = np.concatenate(low), np.concatenate(high), np.concatenate(places)
+    order = np.lexsort((batches, high, low))
+    low, high = low[order], high[order]
+    again = order[np.concatenate([[False], (low[1:] == low[:-1]) & (high[1:] == high[:-1])])]
+    return _answers(table.column("k")[0].as_py(), places[again], batches[again], 4)
+
+
+def _removed(docs: pa.Table, hits: pa.Table) -> pa.Table:
     """Every document of one batch with its words' fate."""
-    ids = np.array(docs.column("id").to_pylist(), np.int64)
-    batch = Batch(docs.column("t").to_pylist())
+    batch = Batch(docs)
+    ids = batch.ids
     at, keys = batch.windows(WINDOW)
-    bucket_of = mix(rolling(batch.hashes, WINDOW, _OTHER)[at]) % np.uint64(buckets)
     found = np.zeros(len(at), bool)
     if hits.num_rows:
-        held: dict[int, np.ndarray] = {k.as_py(): np.sort(unpack(d.as_py(), 8)) for k, d in zip(hits.column("k"), hits.column("data"), strict=True)}
-        for k, places in by_key(bucket_of.astype(np.int64)):
-            if k in held:
-                found[places] = inside(keys[places], held[k])
+        held = np.concatenate([unpack(d.as_py(), 4) for d in hits.column("data")]).astype(np.int64)
+        found = inside(keys, np.unique(keys[np.searchsorted(at, held)]))
     # Inside the batch the smallest doc_id that starts a window keeps it.
     if len(at):
         owner = ids[batch.doc[at]]
-        order = np.lexsort((owner, bucket_of, keys))
-        k, b, o = keys[order], bucket_of[order], owner[order]
+        other = rolling(batch.hashes, WINDOW, _OTHER)[at]
+        order = np.lexsort((owner, other, keys))
+        k, b, o = keys[order], other[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])]))
         least = np.repeat(o[first], np.diff(np.concatenate([first, [len(k)]])))
         found[order] |= o > least
@@ -173,22 +204,34 @@ def _removed(docs: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
             continue
         kept.append(b" ".join([w for w, f in zip(words, flags.tolist(), strict=True) if not f]))
         spans.append([{"start": int(a), "end": int(b)} for a, b in np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).reshape(-1, 2)])
+    return _result(pa.array(ids, pa.int64()), batch.sizes, spans, kept)
+
+
+def _result(ids: pa.Array, sizes, spans: list, kept: list[bytes]) -> pa.Table:
     return pa.table(
         {
-            "doc_id": pa.array(ids, pa.int64()),
-            "n_words": pa.array(batch.sizes, pa.int64()),
+            "doc_id": ids,
+            "n_words": pa.array(sizes, pa.int64()),
             "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "kept": pa.array(kept, pa.binary()).cast(pa.string()),
         }
     )
 
 
+def _whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without a doc_id: they keep all words."""
+    for part in parts:
+        words = [t.split() for t in part.column(0).to_pylist()]
+        yield from _result(pa.nulls(len(words), pa.int64()), [len(w) for w in words], [[]] * len(words), [b" ".join(w) for w in words]).to_batches()
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, removed [(start, end) in words], kept): maximal repeats of earlier documents, and the text of the other words."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = max(1, BATCHES * shuffle_partitions(spark))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    texts = every.where("id IS NOT NULL")
+    n = max(1, -(-(texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BATCH))
     bounds = texts.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []  # n numbers
     dealt = texts.withColumn("b", range_of(F.col("id"), sorted(set(bounds or []))))
     by_batch = dealt.groupBy("b")
@@ -197,7 +240,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     anchors = probes.groupBy("k").applyInArrow(_anchors, packed)
     windows = by_batch.cogroup(anchors.groupBy("b")).applyInArrow(lambda d, h: _candidates(d, h, n), packed)
     later = windows.groupBy("k").applyInArrow(_later, packed)
-    return by_batch.cogroup(later.groupBy("b")).applyInArrow(lambda d, h: _removed(d, h, n), "doc_id bigint, n_words bigint, removed array<struct<start:bigint,end:bigint>>, kept string")
+    result = "doc_id bigint, n_words bigint, removed array<struct<start:bigint,end:bigint>>, kept string"
+    judged = by_batch.cogroup(later.groupBy("b")).applyInArrow(_removed, result)
+    return judged.unionByName(every.where("id IS NULL").select("t").mapInArrow(_whole, result))
 
 
 def digest(made: DataFrame) -> DataFrame:
