@@ -163,6 +163,21 @@ def test_repeats_equal_brute_force(spark, docs, none, plain):
     shared = [[rng.choice(vocabulary) for _ in range(rng.randint(10, 30))] for _ in range(6)]
     texts = [(rng.randint(0, 80), " ".join(w for _ in range(rng.randint(0, 5)) for w in (rng.choice(shared)[rng.randint(0, 4) :] if rng.random() < 0.6 else [rng.choice(vocabulary) for _ in range(8)]))) for _ in range(120)]
     assert frame(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)) == brute_repeats(texts)
+    # Rows without a doc_id keep their words and cover none.
+    lost = [(None, texts[0][1]), (None, texts[0][1]), (None, None)]
+    got = [(r["doc_id"], r["n_words"], len(r["removed"]), r["kept"]) for r in substring_dedup.repeats(spark.createDataFrame(lost, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, len((t or "").split()), 0, " ".join((t or "").split())) for _, t in lost], key=str)
+
+
+def test_repeats_over_many_batches_and_colliding_blocks(spark, monkeypatch):
+    """Batches of few documents; block hashes of which many collide only add candidates, which the digests tell apart."""
+    monkeypatch.setattr(substring_dedup, "BATCH", 300)
+    monkeypatch.setattr(substring_dedup, "_KEY", np.uint64(7))
+    rng = random.Random(12)
+    passages = [[f"p{rng.randint(0, 9)}" for _ in range(20)] for _ in range(4)]
+    texts = [(k, " ".join(x for _ in range(rng.randint(0, 4)) for x in (rng.choice(passages)[rng.randint(0, 6) :] if rng.random() < 0.5 else [f"q{rng.randint(0, 9)}" for _ in range(9)]))) for k in range(60)]
+    got = sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["removed"]), r["kept"]) for r in substring_dedup.repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == brute_repeats(texts)
 
 
 def brute_components(texts):
