@@ -255,13 +255,17 @@ def _meeting(table: pa.Table) -> pa.Table:
     members = refs >> np.uint64(1)
     order = np.lexsort((members, sigs))
     sigs, members = sigs[order], members[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, int)
+    once = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (members[1:] != members[:-1])])[: len(sigs)]
+    sigs, members = sigs[once], members[once]
+    first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])[: len(sigs)])
     held: dict[int, np.ndarray] = {}
-    for a, b in zip(first, [*first[1:], len(sigs)], strict=True):
-        if b - a > 1:
-            own = members[a:b][np.concatenate([[True], members[a + 1 : b] != members[a : b - 1]])]
-            if len(own) > 1:
-                held.setdefault(identity(own.view(np.uint64)), own)
+    if len(first):
+        ends = np.concatenate([first[1:], [len(sigs)]])
+        plain, other = mix(members.view(np.uint64)), mix(members.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+        names = mix(np.add.reduceat(plain, first) ^ mix(np.add.reduceat(other, first) + (ends - first).astype(np.uint64))).view(np.int64)
+        several = np.flatnonzero(ends - first > 1)
+        _, at = np.unique(names[several], return_index=True)
+        held = {int(names[k]): members[first[k] : ends[k]] for k in several[at].tolist()}
     rows = [(g, at, own[at : at + CHUNK]) for g, own in held.items() for at in range(0, len(own), CHUNK)]
     return pa.table({"g": pa.array([r[0] for r in rows], pa.int64()), "at": pa.array([r[1] for r in rows], pa.int64()), "members": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
 
