@@ -27,7 +27,14 @@ TYPE_PRIORITY = {
     "reference": {"memory_reference": 1.0, "memory_project": 0.5, "project_doc": 0.4},
     "none": {"memory_user": 0.5, "memory_feedback": 0.6, "memory_project": 0.6, "memory_reference": 0.4, "project_doc": 0.5, "plan_doc": 0.4},
 }
-WORD_EDGE = ("(^|[^A-Za-z0-9_])", "($|[^A-Za-z0-9_])")
+#: Patterns of names that look like concepts, in order of priority, and the bounds of their length. Fixed values.
+CONCEPT_PATTERNS = (
+    r"\b[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*\b",
+    r"\b[a-z][a-z0-9]+(?:_[a-z0-9]+){2,}\b",
+    r"\b[a-z][a-z0-9]+_[a-z0-9_]+\b",
+    r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b",
+)
+CONCEPT_LENGTH = (6, 60)
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -66,7 +73,7 @@ def char_estimate(text: Column) -> Column:
 
 def intent_tags(prompt: Column) -> Column:
     """Tags whose words stand in the prompt, else ["none"]."""
-    tags = F.array_compact(F.array(*[F.when(F.lower(prompt).rlike(f"{WORD_EDGE[0]}({p}){WORD_EDGE[1]}"), F.lit(tag)) for tag, p in INTENTS.items()]))
+    tags = F.array_compact(F.array(*[F.when(F.lower(prompt).rlike(rf"\b({p})\b"), F.lit(tag)) for tag, p in INTENTS.items()]))
     return F.when(F.size(tags) == 0, F.array(F.lit("none"))).otherwise(tags)
 
 
@@ -95,14 +102,12 @@ def citations(text: Column, prefix: str = "ref") -> Column:
 
 def concepts(body: Column) -> Column:
     """Camel case, snake case and constant names of 6 to 60 characters, by kind and then order."""
-    take = lambda p: F.regexp_extract_all(body, F.lit(rf"(?:^|(?<=[^A-Za-z0-9_]))({p})(?=$|[^A-Za-z0-9_])"), F.lit(1))
+    take = lambda k: F.regexp_extract_all(body, F.lit(CONCEPT_PATTERNS[k]), F.lit(0))
     capitals = lambda c: F.length(F.regexp_replace(c, "[^A-Z]", ""))
     bars = lambda c: F.length(c) - F.length(F.replace(c, F.lit("_"), F.lit("")))
-    camel = F.filter(take("[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*"), lambda c: capitals(c) >= 2)
-    snake = take("[a-z][a-z0-9]+(?:_[a-z0-9]+){2,}")
-    long = F.filter(take("[a-z][a-z0-9]+_[a-z0-9_]+"), lambda c: (F.length(c) >= 12) & (bars(c) < 2))
-    constants = take("[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+")
-    return F.array_distinct(F.filter(F.concat(camel, snake, long, constants), lambda c: F.length(c).between(6, 60) & ~c.isin(*CONCEPT_STOP)))
+    camel = F.filter(take(0), lambda c: capitals(c) >= 2)
+    long = F.filter(take(2), lambda c: (F.length(c) >= 12) & (bars(c) < 2))
+    return F.array_distinct(F.filter(F.concat(camel, take(1), long, take(3)), lambda c: F.length(c).between(*CONCEPT_LENGTH) & ~c.isin(*CONCEPT_STOP)))
 
 
 def concept_context(body: Column, concept: Column, around: int = 300) -> Column:
@@ -175,11 +180,15 @@ def description_line(prefix: str, node_id: Column, kind: Column, text: Column) -
 
 
 def private_symbol(name: Column) -> Column:
-    return name.rlike("^_[^_]")
+    """Starts with an underscore and is no dunder name."""
+    n = F.coalesce(name, F.lit(""))
+    return F.startswith(n, F.lit("_")) & ~(F.startswith(n, F.lit("__")) & F.endswith(n, F.lit("__")))
 
 
 def test_symbol(name: Column, path: Column) -> Column:
-    return F.lower(name).rlike("^test") | F.lower(path).rlike(r"(^|/)tests?(/|$)|test_")
+    """Named as a test, or in a folder of tests."""
+    place = F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")))
+    return F.coalesce(name, F.lit("")).rlike("^_?test_") | F.contains(place, F.lit("/tests/")) | F.contains(place, F.lit("/test/"))
 
 
 def node_id_shape(x: Column) -> Column:
@@ -200,6 +209,52 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+def ignore_regex(line: str) -> tuple[str, bool] | None:
+    """(regular expression over relative paths, whether it takes paths in) of a line of an ignore file; null for blank and comment lines.
+
+    A slash inside anchors the pattern, `*` and `?` stay inside a name, `**` spans names, a slash at the end means folders only;
+    what stands below a matching folder matches.
+    """
+    pattern = line.rstrip("\n")
+    if not pattern.endswith("\\ "):
+        pattern = pattern.rstrip()
+    if not pattern or pattern.startswith("#"):
+        return None
+    takes = not pattern.startswith("!")
+    pattern = pattern.removeprefix("!")
+    folder = pattern.endswith("/")
+    pattern = pattern.rstrip("/")
+    anchored = "/" in pattern
+    pattern = pattern.lstrip("/")
+    out, k = "", 0
+    while k < len(pattern):
+        c = pattern[k]
+        if pattern.startswith("**/", k) and (k == 0 or pattern[k - 1] == "/"):
+            out, k = out + "(?:.*/)?", k + 3
+        elif pattern.startswith("/**", k) and k + 3 == len(pattern):
+            out, k = out + "/.+", k + 3
+        elif c == "*":
+            out, k = out + "[^/]*", k + 1 + pattern.startswith("**", k)
+        elif c == "?":
+            out, k = out + "[^/]", k + 1
+        elif c == "[" and "]" in pattern[k + 2 :]:
+            end = pattern.index("]", k + 2)
+            inner = pattern[k + 1 : end]
+            out, k = out + "[" + ("^" + inner[1:] if inner[0] == "!" else inner).replace("\\", "\\\\") + "]", end + 1
+        else:
+            k += c == "\\" and k + 1 < len(pattern)
+            out, k = out + ("\\" + pattern[k] if pattern[k] in ".+^$(){}|\\[]*?" else pattern[k]), k + 1
+    return f"^{'' if anchored else '(?:.*/)?'}{out}{'/.*' if folder else '(?:/.*)?'}$", takes
+
+
+def ignored(path: Column, lines: list[str]) -> Column:
+    """Whether the lines of an ignore file take a relative path in; the last that matches decides."""
+    out = F.lit(False)
+    for regex, takes in filter(None, map(ignore_regex, lines)):
+        out = F.when(path.rlike(regex), F.lit(takes)).otherwise(out)
+    return out
+
+
 def glob_match(pattern: str, path: Column) -> Column:
     p = F.replace(path, F.lit("\\"), F.lit("/"))
     regex = glob_regex(pattern.replace("\\", "/"))

@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import has_negation, is_stale, private_symbol
+from quillon.functions.text import has_negation, is_stale, nonempty_lines, private_symbol, test_symbol
 
 FINDING = ("type", "severity", "node_ids", "description", "locus")
 #: Vectors that one block of a similarity join holds.
 BLOCK_ROWS = 2048
+#: Methods of a class and definitions of a module beyond which they are reported. Fixed values.
+MOST_METHODS, MOST_DEFINITIONS = 25, 30
+#: Letters of the runs by which texts that hold a concept are found; concepts have six letters at least.
+GRAM = 6
 
 
 def finding(df: DataFrame, kind: str, severity: str, ids, description, locus=None) -> DataFrame:
@@ -79,22 +83,55 @@ def orphan_citations(cited: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def dead_code(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """Private symbols (id, name) without a caller."""
-    dead = symbols.where(private_symbol(F.col("name"))).join(calls.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    """Private symbols (id, name[, source_path]) without a caller; tests are called by their runner."""
+    path = F.col("source_path") if "source_path" in symbols.columns else F.lit("")
+    dead = symbols.where(private_symbol(F.col("name")) & ~test_symbol(F.col("name"), path)).join(calls.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
     return finding(dead, "dead_code", "candidate", F.array(F.col("id").cast("string")), F.concat(F.col("name"), F.lit(" has no caller")))
 
 
-def god_objects(members: DataFrame, limit: int = 30) -> DataFrame:
-    """Modules (module, symbol) that define more than `limit` symbols."""
-    big = members.groupBy("module").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    return finding(big, "god_object", "medium", F.array(F.col("module").cast("string")), F.concat(F.col("n").cast("string"), F.lit(" members")))
+def god_objects(members: DataFrame, owners: DataFrame, classes: int = MOST_METHODS, modules: int = MOST_DEFINITIONS) -> DataFrame:
+    """Classes with more than `classes` methods and modules, but for tests, with more than `modules` definitions.
+
+    members: (owner, member), one row for each edge; owners: (owner, kind class or module, name, source_path).
+    """
+    counted = members.groupBy("owner").agg(F.count("*").alias("n"))
+    limit = F.when(F.col("kind") == "class", F.lit(classes)).when((F.col("kind") == "module") & ~test_symbol(F.col("name"), F.col("source_path")), F.lit(modules))
+    big = counted.join(owners, "owner").where(F.col("n") > limit)
+    what = F.when(F.col("kind") == "class", " methods").otherwise(" definitions")
+    return finding(big, "god_object", "candidate", F.array(F.col("owner").cast("string")), F.concat(F.col("name"), F.lit(": "), F.col("n").cast("string"), what), F.col("name"))
 
 
 def undefined_concepts(concepts: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Concepts (id, concept) that no name or description word holds (definitions: word)."""
-    gone = concepts.join(definitions.select(F.lower("word").alias("_w")).distinct(), F.lower("concept") == F.col("_w"), "left_anti")
-    g = gone.groupBy("concept").agg(F.sort_array(F.collect_set(F.col("id").cast("string"))).alias("ids"))
-    return finding(g, "semantic_orphan", "candidate", F.col("ids"), F.concat(F.lit("undefined: "), F.col("concept")), F.col("concept"))
+    """Concepts (id, concept) that no node's name or description holds, whatever the case (definitions: name, description).
+
+    Containment is an equality with one of the definitions' runs of GRAM letters: a concept is looked up by its rarest run, and
+    only texts with that run are compared. A concept shorter than a run is compared by all of it, as runs of each length are kept.
+    """
+    wanted = concepts.select(F.lower("concept").alias("_c")).where("_c <> ''").distinct()
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda k: F.substr(c, k, F.lit(n) if isinstance(n, int) else n)))
+    short = wanted.where(F.length("_c") < GRAM).select(F.length("_c").alias("n")).distinct().where("n > 0")
+    text = definitions.select(F.explode(F.array_distinct(F.array_compact(F.array(F.lower("name"), F.lower("description"))))).alias("_t")).distinct()
+    keyed = text.select("_t", F.explode(runs(F.col("_t"), GRAM)).alias("_g")).where(F.length("_g") == GRAM)
+    little = text.join(F.broadcast(short), F.length("_t") >= F.col("n")).select("_t", F.explode(runs(F.col("_t"), F.col("n"))).alias("_g"))  # fewer than GRAM lengths
+    index = keyed.unionByName(little)
+    counts = index.groupBy("_g").agg(F.count("*").alias("_n"))
+    picked = wanted.select("_c", F.explode(F.when(F.length("_c") >= GRAM, runs(F.col("_c"), GRAM)).otherwise(F.array("_c"))).alias("_g")).join(counts, "_g", "left")
+    rarest = picked.groupBy("_c").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g"))).alias("_g"))
+    defined = rarest.join(index, "_g").where(F.contains("_t", F.col("_c"))).select("_c").distinct()
+    gone = concepts.join(defined, F.lower("concept") == F.col("_c"), "left_anti").select("id", "concept").distinct()
+    return finding(gone, "semantic_orphan", "candidate", F.array(F.col("id").cast("string")), F.concat(F.lit("undefined: "), F.col("concept")), F.col("concept"))
+
+
+def duplicate_code(symbols: DataFrame, vectors: DataFrame, threshold: float = 0.97, lines: int = 5) -> DataFrame:
+    """Pairs of functions and methods (id, type, name, source_path, project_key, body) of one project with nearly equal vectors (id, embedding).
+
+    Tests and bodies of fewer than `lines` lines with text are left out; symbols without a project form one of their own.
+    """
+    fit = symbols.where(F.col("type").isin("code_function", "code_method") & ~test_symbol(F.col("name"), F.col("source_path")) & (nonempty_lines(F.col("body")) >= lines))
+    v = fit.select("id", F.coalesce(F.concat(F.lit("p:"), "project_key"), F.lit("")).alias("project")).join(vectors, "id")
+    p = similar_pairs(v, threshold, bucket="project")
+    named = p.join(fit.select(F.col("id").alias("a"), F.col("name").alias("x")), "a").join(fit.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
+    return finding(named, "duplicate_code", "medium", F.array(F.col("a").cast("string"), F.col("b").cast("string")), F.concat("x", F.lit(" and "), "y", F.lit(" share cosine "), F.format_string("%.3f", "cosine")), F.concat("x", F.lit(" / "), "y"))
 
 
 def import_cycles(cycles: DataFrame) -> DataFrame:
@@ -103,8 +140,14 @@ def import_cycles(cycles: DataFrame) -> DataFrame:
     return finding(g, "cyclic_import", "high", F.col("ids"), F.concat(F.size("ids").cast("string"), F.lit(" modules import each other")))
 
 
+#: Finding type -> the name under which a report counts it. Fixed values.
+REPORTED = {"orphan_reference": "orphan_references", "semantic_orphan": "semantic_orphans"}
+
+
 def tally(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("type").agg(F.count("*").alias("n"))
+    """(type, n) by the names that reports use."""
+    name = F.coalesce(F.create_map(*[F.lit(x) for kv in REPORTED.items() for x in kv])[F.col("type")], F.col("type"))
+    return findings.groupBy(name.alias("type")).agg(F.count("*").alias("n"))
 
 
 def proposals(findings: DataFrame, most: int = 50, severities: tuple[str, ...] = ("high", "medium")) -> DataFrame:

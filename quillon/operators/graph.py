@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 
 from quillon.schema import PROXIMITY_RELATIONS, SYMMETRIC_RELATIONS
 
+#: Edges that one task searches for strong components.
+ONE_TASK = 1_000_000
+
 
 def degree(edges: DataFrame) -> DataFrame:
     """(id, degree): edges that touch a node; a loop counts twice."""
@@ -25,22 +30,27 @@ def incident(edges: DataFrame, ids: DataFrame, relations: tuple[str, ...] | None
     return out.unionByName(into).distinct()
 
 
-def proximity(edges: DataFrame, candidates: DataFrame, decay: float = 0.5, relations: tuple[str, ...] = PROXIMITY_RELATIONS) -> DataFrame:
-    """(id, graph): what candidates (id, score) give to their neighbours, at most 1, candidates left out.
+def proximity(edges: DataFrame, candidates: DataFrame, decay: float = 0.5, relations: tuple[str, ...] = PROXIMITY_RELATIONS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, id, graph): what candidates (by, id, score) give to their neighbours, at most 1, candidates left out.
 
     Symmetric relations are walked both ways, the others from src to dst.
     """
     e = edges.where(F.col("relation").isin(*relations))
-    give = lambda at, to, e: e.join(candidates.select(F.col("id").alias(at), "score"), at).select(F.col(to).alias("id"), (F.col("score") * decay * F.col("weight")).alias("g"))
+    give = lambda at, to, e: e.join(candidates.select(*by, F.col("id").alias(at), "score"), at).select(*by, F.col(to).alias("id"), (F.col("score") * decay * F.col("weight")).alias("g"))
     both = give("src", "dst", e).unionByName(give("dst", "src", e.where(F.col("relation").isin(*SYMMETRIC_RELATIONS))))
-    return both.groupBy("id").agg(F.least(F.lit(1.0), F.sum("g")).alias("graph")).join(candidates.select("id"), "id", "left_anti")
+    return both.groupBy(*by, "id").agg(F.least(F.lit(1.0), F.sum("g")).alias("graph")).join(candidates.select(*by, "id"), [*by, "id"], "left_anti")
 
 
 def co_occurrence(retrievals: DataFrame, step: float = 0.1, cap: float = 5.0) -> DataFrame:
-    """(src, dst, weight) for every ordered pair of nodes that were retrieved together (query_id, node_id)."""
+    """(src, dst, weight) for every ordered pair of nodes that were retrieved together (query_id, node_id).
+
+    The pairs are the result; a retrieval holds as many nodes as its k. Each pair is counted once and written both ways.
+    """
     r = retrievals.distinct()
-    pairs = r.select("query_id", F.col("node_id").alias("src")).join(r.select("query_id", F.col("node_id").alias("dst")), "query_id").where("src <> dst")
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).select("src", "dst", F.least(F.col("n") * step, F.lit(cap)).alias("weight"))
+    pairs = r.select("query_id", F.col("node_id").alias("src")).join(r.select("query_id", F.col("node_id").alias("dst")), "query_id").where("src < dst")
+    counted = pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).select("src", "dst", F.least(F.col("n") * step, F.lit(cap)).alias("weight"))
+    ways = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
+    return counted.select(F.explode(ways).alias("w"), "weight").select(F.col("w.a").alias("src"), F.col("w.b").alias("dst"), "weight")
 
 
 def bfs(edges: DataFrame, starts: DataFrame, max_hops: int, directed: bool = False) -> DataFrame:
@@ -57,6 +67,14 @@ def bfs(edges: DataFrame, starts: DataFrame, max_hops: int, directed: bool = Fal
     return seen
 
 
+def traverse(edges: DataFrame, starts: DataFrame, max_hops: int, relations: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, hop) by hop and id, edges that the walk went over): undirected, from starts (id)."""
+    e = edges if relations is None else edges.where(F.col("relation").isin(*relations))
+    near = bfs(e, starts, max_hops)
+    inner = near.where(F.col("hop") < max_hops).select("id")
+    return near.orderBy("hop", "id"), incident(e, inner)
+
+
 def ego(edges: DataFrame, node, hops: int) -> DataFrame:
     """Edges among the nodes within 1 to 4 hops of a node."""
     near = bfs(edges, edges.sparkSession.createDataFrame([(node,)], "id long"), max(1, min(hops, 4))).select("id")
@@ -64,50 +82,84 @@ def ego(edges: DataFrame, node, hops: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest node of each connected component, by minimum labels and pointer jumping.
-
-    Each round is cut off with a reliable checkpoint, so the plan stays small and executors may be lost.
-    """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("label")).checkpoint()
+    """(id, label): the smallest node of each connected component, by minimum labels and pointer jumping."""
+    folder, step = work_dir(edges.sparkSession), 0
+    both = saved(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{folder}/edges")
+    labels = saved(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("label")), f"{folder}/0")
     while True:
+        step += 1
         near = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("m"))
         lower = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("to"))
-        made = lower.join(labels.select(F.col("id").alias("to"), F.col("label").alias("far")), "to").select("id", "old", F.least("to", "far").alias("label")).checkpoint()
+        made = saved(lower.join(labels.select(F.col("id").alias("to"), F.col("label").alias("far")), "to").select("id", "old", F.least("to", "far").alias("label")), f"{folder}/{step}")
         labels = made.select("id", "label")
         if made.where("label <> old").isEmpty():
             return labels
 
 
-def ensure_checkpoint_dir(spark) -> None:
-    """The cluster's own setting stands; only where none is set (one machine) a temporary folder serves."""
-    import tempfile
+def work_dir(spark) -> str:
+    """A new folder name under the cluster's shared checkpoint folder; only on one machine, where none is set, a temporary folder serves."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        top = held.get()
+    return f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        held = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(held or tempfile.mkdtemp(prefix="quillon-"))
 
+def saved(df: DataFrame, folder: str) -> DataFrame:
+    """A round's table, written and read again: lost executors cost nothing, and neither plans nor their constraints grow from round to round."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(id, cycle): nodes on a directed cycle, with the smallest node of their strongly connected component.
 
-    Nodes without an edge in or out can't be on a cycle and are trimmed first; then one task for each
-    weakly connected component of the rest finds its strong components (modules that import each other are few).
+def least_reaching(edges: DataFrame) -> DataFrame:
+    """(id, label): the smallest node from which each node of the edges can be reached, itself included.
+
+    What reaches the label of a node reaches the node, so labels jump over labels and long paths take few rounds.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    left = edges.select("src", "dst").distinct().checkpoint()
+    folder, step = work_dir(edges.sparkSession), 0
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    labels = saved(ends.select("id", F.col("id").alias("label")), f"{folder}/0")
     while True:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").checkpoint()
-        if kept.count() == left.count():
+        step += 1
+        near = edges.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m"))
+        lower = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("to"))
+        jumped = lower.join(labels.select(F.col("id").alias("to"), F.col("label").alias("far")), "to").select("id", "old", F.least("to", "far").alias("label"))
+        made = saved(jumped, f"{folder}/{step}")
+        labels = made.select("id", "label")
+        if made.where("label <> old").isEmpty():
+            return labels
+
+
+def cycles(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(id, cycle): nodes on a directed cycle, with the smallest node of their strongly connected component.
+
+    Distributed colouring: a node gets the smallest node that reaches it and the smallest that it reaches. Where they are one node,
+    both stand in that node's component, and it is done; an edge whose ends differ in either colour lies on no cycle and goes. The
+    rest is coloured again; in each round the component of every part's smallest node is done. What is left is searched in one
+    task as soon as it has at most `one_task` edges, with the same result.
+    """
+    folder, step = work_dir(edges.sparkSession), 0
+    left = saved(edges.select("src", "dst").distinct(), f"{folder}/edges-0")
+    found = left.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle"))
+    left = left.where("src <> dst")
+    while not left.isEmpty():
+        if left.count() <= one_task:
+            found = found.unionByName(left.groupBy(F.lit(0)).applyInPandas(lambda g: strong_components(g), "id long, cycle long"))
             break
-        left = kept
-    if kept.isEmpty():
-        return spark.createDataFrame([], "id long, cycle long")
-    weak = components(kept)
-    return kept.join(weak.withColumnRenamed("id", "src"), "src").groupBy("label").applyInPandas(lambda g: strong_components(g), "id long, cycle long")
+        step += 1
+        ahead, back = least_reaching(left), least_reaching(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = saved(ahead.join(back.select("id", F.col("label").alias("into")), "id"), f"{folder}/colours-{step}")
+        done = both.where("label = into")
+        found = found.unionByName(done.join(done.where("id <> label").select("label").distinct(), "label", "left_semi").select("id", F.col("label").alias("cycle")))
+        open_ = both.where("label <> into")
+        ends = [open_.select(F.col("id").alias(side), F.struct("label", "into").alias(f"_{side}")) for side in ("src", "dst")]
+        left = saved(left.join(ends[0], "src").join(ends[1], "dst").where("_src = _dst").select("src", "dst"), f"{folder}/edges-{step}")
+    return found.groupBy("id").agg(F.min("cycle").alias("cycle"))
 
 
 def strong_components(group: pd.DataFrame) -> pd.DataFrame:
@@ -158,15 +210,46 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-def spectral(n: int, pairs: np.ndarray) -> np.ndarray:
-    """The two first non-trivial eigenvectors of the normalised Laplacian, for one component of n nodes."""
-    a = np.zeros((n, n))
-    a[pairs[:, 0], pairs[:, 1]] = a[pairs[:, 1], pairs[:, 0]] = 1
-    d = 1 / np.sqrt(np.maximum(a.sum(axis=1), 1))
-    _, v = np.linalg.eigh(np.eye(n) - d[:, None] * a * d[None, :])
-    out = v[:, 1:3] if n > 2 else np.pad(v[:, 1:], ((0, 0), (0, 3 - n)))[:, :2]
-    signs = np.sign(out[np.abs(out).argmax(axis=0), np.arange(out.shape[1])])
-    return out * np.where(signs == 0, 1, signs)
+def spectral(n: int, pairs: np.ndarray, rounds: int = 120) -> np.ndarray:
+    """The two first non-trivial eigenvectors of the normalised Laplacian, for one component of n nodes.
+
+    Subspace iteration over the list of edges: memory and each round grow with the edges, not with n squared.
+    """
+    degree = np.bincount(pairs.ravel(), minlength=n).astype(float)
+    d = 1 / np.sqrt(np.maximum(degree, 1))
+    weight = d[pairs[:, 0]] * d[pairs[:, 1]]
+    flat = np.sqrt(np.maximum(degree, 1))
+    flat /= np.sqrt((flat**2).sum())
+    x = np.random.default_rng(42).normal(size=(n, 2))
+    for _ in range(rounds):
+        x -= flat[:, None] * (flat @ x)[None, :]
+        y = x.copy()  # the shift keeps all eigenvalues above 0
+        for k in range(2):
+            y[:, k] += np.bincount(pairs[:, 0], weight * x[pairs[:, 1], k], n) + np.bincount(pairs[:, 1], weight * x[pairs[:, 0], k], n)
+        x, _ = np.linalg.qr(y) if n >= 2 else (y, None)
+        if x.shape[1] < 2:
+            x = np.pad(x, ((0, 0), (0, 2 - x.shape[1])))
+    signs = np.sign(x[np.abs(x).argmax(axis=0), np.arange(2)])
+    return x * np.where(signs == 0, 1, signs)
+
+
+def repulsion(x: np.ndarray, weight: np.ndarray, scale: float, grid: int = 32) -> np.ndarray:
+    """What all nodes push each: a mesh of cells, every cell's centre of mass acting on all others and on its own nodes."""
+    low = x.min(axis=0)
+    step = np.maximum((x.max(axis=0) - low) / grid, 1e-9)
+    cell = np.minimum(((x - low) / step).astype(np.int64), grid - 1)
+    cell = cell[:, 0] * grid + cell[:, 1]
+    used, own = np.unique(cell, return_inverse=True)
+    mass = np.bincount(own, weight)
+    centre = np.stack([np.bincount(own, weight * x[:, k]) / mass for k in (0, 1)], axis=1)
+    gap = centre[:, None, :] - centre[None, :, :]
+    square = (gap**2).sum(axis=2)
+    np.fill_diagonal(square, np.inf)
+    field = scale * ((mass[None, :] / square)[:, :, None] * gap).sum(axis=1)
+    rest = np.maximum(mass[own] - weight, 0.0)
+    inner = x - centre[own]
+    near = scale * (rest / ((inner**2).sum(axis=1) + (step**2).sum() * 0.01))[:, None] * inner
+    return weight[:, None] * (field[own] + near)
 
 
 def force(position: np.ndarray, pairs: np.ndarray, rounds: int = 120, gravity: float = 0.05, scale: float = 14.0) -> np.ndarray:
@@ -174,16 +257,11 @@ def force(position: np.ndarray, pairs: np.ndarray, rounds: int = 120, gravity: f
     x = position.copy()
     weight = 1 + np.bincount(pairs.ravel(), minlength=len(x)).astype(float)
     for k in range(rounds):
-        gap = x[:, None, :] - x[None, :, :]
-        square = (gap**2).sum(axis=2) + 1e-6
-        push = scale * (weight[:, None] * weight[None, :] / square)[:, :, None] * gap
-        pull = np.zeros_like(x)
         edge = x[pairs[:, 1]] - x[pairs[:, 0]]
         length = np.sqrt((edge**2).sum(axis=1)) + 1e-9
         f = (np.log1p(length) / length)[:, None] * edge
-        np.add.at(pull, pairs[:, 0], f)
-        np.add.at(pull, pairs[:, 1], -f)
-        move = push.sum(axis=1) + pull - gravity * weight[:, None] * x
+        pull = np.stack([np.bincount(pairs[:, 0], f[:, c], len(x)) - np.bincount(pairs[:, 1], f[:, c], len(x)) for c in (0, 1)], axis=1)
+        move = repulsion(x, weight, scale) + pull - gravity * weight[:, None] * x
         size = np.sqrt((move**2).sum(axis=1)) + 1e-9
         x += move / size[:, None] * np.minimum(size, 10.0 * (1 - k / rounds) + 0.1)[:, None]
     return x
@@ -218,29 +296,42 @@ def separate(position: np.ndarray, least: float, rounds: int = 14) -> np.ndarray
     return x
 
 
-def layout(edges: DataFrame, most: int = 2000) -> DataFrame:
-    """(label, id, x, y): a deterministic layout of each connected component.
+def layout(edges: DataFrame) -> DataFrame:
+    """(label, id, x, y): a deterministic layout of each connected component, by the same steps at every size.
 
-    A component is laid out in one task; its numerics are quadratic, so components of more than `most` nodes get ranks on spiral arms alone.
+    A component is laid out in one task, in memory of its nodes and edges.
     """
     clean = clean_edges(edges)
     labels = components(clean)
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(group["src"]) | set(group["dst"]))
-        at = {x: k for k, x in enumerate(ids)}
-        pairs = np.array([(at[a], at[b]) for a, b in zip(group["src"], group["dst"], strict=True)])
+        src, dst = group["src"].to_numpy(), group["dst"].to_numpy()
+        ids = np.unique(np.concatenate([src, dst]))
+        pairs = np.stack([np.searchsorted(ids, src), np.searchsorted(ids, dst)], axis=1)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        if len(ids) <= most:
-            x = separate(spiral(force(spectral(len(ids), pairs) * 100, pairs, 120 if len(ids) < 500 else 70)), 8.0)
-        else:
-            turn = np.arange(len(ids)) * 2.399963229728653
-            x = spiral(np.stack([np.sqrt(np.arange(len(ids))) * np.cos(turn), np.sqrt(np.arange(len(ids))) * np.sin(turn)], axis=1))
+        x = separate(spiral(force(spectral(len(ids), pairs) * 100, pairs, 120 if len(ids) < 500 else 70)), 8.0)
         return pd.DataFrame({"label": group["label"].iloc[0], "id": ids, "x": x[:, 0], "y": x[:, 1]})
 
     return clean.join(labels.withColumnRenamed("id", "src"), "src").groupBy("label").applyInPandas(place, "label long, id long, x double, y double")
 
 
+def placed(layouts: DataFrame) -> DataFrame:
+    """(id, x, y): the components of a layout in one field, the largest in its middle and the others around it by size.
+
+    Only one box for each component is collected into an order; nodes are moved by a join.
+    """
+    boxes = layouts.groupBy("label").agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+
+    def scatter(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values(["n", "label"], ascending=[False, True]).reset_index(drop=True)
+        inner = max(g["w"].iloc[0], g["h"].iloc[0]) / 2
+        at = [(0.0, 0.0), *pack_field(list(zip(g["w"].iloc[1:], g["h"].iloc[1:], strict=True)), inner)]
+        return pd.DataFrame({"label": g["label"], "mx": [p[0] for p in at] - g["cx"], "my": [p[1] for p in at] - g["cy"]})
+
+    moves = boxes.groupBy(F.lit(0)).applyInPandas(scatter, "label long, mx double, my double")
+    return layouts.join(moves, "label").select("id", (F.col("x") + F.col("mx")).alias("x"), (F.col("y") + F.col("my")).alias("y"))
+
+
 def pack_field(boxes: list[tuple[float, float]], radius: float) -> Iterator[tuple[float, float]]:
     """Centres for small components around the giant one, at golden angles."""
     for k, (w, h) in enumerate(boxes):

@@ -92,9 +92,31 @@ def fresh_evidence(stamps: DataFrame, touched: DataFrame) -> DataFrame:
 
 
 def nearest(wanted: DataFrame, have: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """For each wanted row (id, keys, at) the row of have (symbol, keys, at) with the nearest place; ties go to the smaller symbol."""
-    met = wanted.join(have.withColumnRenamed(at, "_there"), keys)
-    return met.groupBy("id").agg(F.min_by("symbol", F.struct(F.abs(F.col(at) - F.col("_there")), F.col("symbol"))).alias("symbol"))
+    """For each wanted row (id, keys, at) the row of have (symbol, keys, at) with the nearest place; ties go to the smaller symbol.
+
+    Both sides are sorted together: a wanted row looks at the last place before it and the first after it, so no pairs are made.
+    """
+    known = have.groupBy(*keys, at).agg(F.min("symbol").alias("symbol")).select(*keys, at, F.struct(F.col(at).alias("there"), "symbol").alias("_h"), F.lit(None).cast(wanted.schema["id"].dataType).alias("id"))
+    asked = wanted.select(*keys, at, F.lit(None).cast(known.schema["_h"].dataType).alias("_h"), "id")
+    order = Window.partitionBy(*keys).orderBy(at, F.col("id").asc_nulls_first())  # places that are equal count as before
+    before = F.last("_h", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_h", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    both = known.unionByName(asked).select("id", at, before.alias("_b"), after.alias("_a")).where("id IS NOT NULL")
+    far = lambda c: F.abs(F.col(at) - F.col(f"{c}.there"))
+    pick = F.least(F.when(F.col("_b").isNotNull(), F.struct(far("_b").alias("d"), F.col("_b.symbol").alias("symbol"))), F.when(F.col("_a").isNotNull(), F.struct(far("_a").alias("d"), F.col("_a.symbol").alias("symbol"))))
+    return both.select("id", pick.alias("p")).where("p IS NOT NULL").select("id", F.col("p.symbol").alias("symbol"))
+
+
+def callers(calls: DataFrame, most: int = 4) -> DataFrame:
+    """(symbol, callers, ids): symbols with 1 to `most` distinct callers (src, dst); others are dropped by their count before any list is made."""
+    distinct = calls.select("src", F.col("dst").alias("symbol")).distinct()
+    few = distinct.groupBy("symbol").agg(F.count("*").alias("callers")).where(F.col("callers") <= most)
+    return distinct.join(few, "symbol").groupBy("symbol", "callers").agg(F.array_join(F.sort_array(F.collect_list(F.col("src").cast("string"))), ",").alias("ids"))
+
+
+def values_join(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(node_id, chunk_idx, embedding) of wanted pairs (node_id, chunk_idx); a pair that is asked for twice comes once."""
+    return chunks.join(wanted.select("node_id", "chunk_idx").distinct(), ["node_id", "chunk_idx"]).select("node_id", "chunk_idx", "embedding")
 
 
 def missing(have: DataFrame, seen: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.schema import MODALITY_RANK
 
@@ -40,11 +41,49 @@ def modality_rank() -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in MODALITY_RANK.items() for x in kv])[F.col("modality")], F.lit(0))
 
 
-def active(contexts: DataFrame, rules: DataFrame, scope: list[str] | None = None, most_rules: int = 10_000) -> DataFrame:
-    """(context columns, rule columns) that bind. Rules are authored by hand: their number is checked against `most_rules` before they are sent to every task; more go through an ordinary join plan."""
+def context_keys(path: str = "path", tags: str = "tags", tool: str = "tool") -> Column:
+    """What a context can be looked up by: its tool, its tags, the names along its path and its extension."""
+    p = F.coalesce(F.col(path), F.lit(""))
+    marked = lambda mark, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(mark), x))
+    return F.array_distinct(F.array_compact(F.concat(F.array(F.concat(F.lit("t:"), F.col(tool))), marked("i:", F.col(tags)), marked("s:", F.split(p, "/")), F.array(F.concat(F.lit("e:"), F.regexp_extract(p, r"\.[^./]*$", 0))))))
+
+
+def rule_keys() -> Column:
+    """What a rule's triggers can be found by; null if one of its globs has neither a whole name nor an extension, or it has no trigger."""
+    plain = lambda g: F.filter(F.split(g, "/"), lambda x: (x != "") & ~x.rlike(r"[*?]"))
+    key = lambda g: F.when(F.size(plain(g)) > 0, F.concat(F.lit("s:"), F.get(F.sort_array(F.transform(plain(g), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), F.lit(0))["x"])).when(g.rlike(r"\.[^./*?]+$"), F.concat(F.lit("e:"), F.regexp_extract(g, r"\.[^./*?]+$", 0)))
+    globs = F.transform("globs", key)
+    some = F.concat(F.transform("tools", lambda x: F.concat(F.lit("t:"), x)), F.transform("intents", lambda x: F.concat(F.lit("i:"), x)), F.array_compact(globs))
+    return F.when((F.size(some) > 0) & ~F.exists(globs, lambda k: k.isNull()), F.array_distinct(some))
+
+
+def active(contexts: DataFrame, rules: DataFrame, scope: list[str] | None = None, most_rules: int = 10_000, mandatory_only: bool = False) -> DataFrame:
+    """(context columns, rule columns) that bind.
+
+    Rules are found by an equality with a name, extension, tag or tool of a context, then their triggers are tried; a pair that meets by
+    several keys is kept at the smallest. Rules without such a key (those for every context, and globs of wildcards alone) meet every
+    context, in blocks of at most `most_rules` on the broadcast side.
+    """
     r = rules if scope is None else rules.where(F.col("base") | F.col("project_key").isNull() | F.col("project_key").isin(*scope))
-    small = r.limit(most_rules + 1).count() <= most_rules
-    return contexts.join(F.broadcast(r) if small else r, applies(), "inner")
+    if mandatory_only:
+        r = r.where(F.col("modality").isin("MUST", "MUST_NOT"))
+    keyed = r.withColumn("_rk", rule_keys())
+    by_key = keyed.where("_rk IS NOT NULL").withColumn("_k", F.explode("_rk"))
+    asked = contexts.withColumn("_ck", context_keys()).withColumn("_k", F.explode("_ck"))
+    columns = [*contexts.columns, *rules.columns]
+    out = asked.join(by_key, "_k").where(F.col("_k") == F.array_min(F.array_intersect("_ck", "_rk"))).where(applies()).select(columns)
+    rest = keyed.where("_rk IS NULL").drop("_rk")
+    blocks = max(1, -(-rest.count() // most_rules))
+    for k in range(blocks):
+        part = rest.where(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)) == k) if blocks > 1 else rest
+        out = out.unionByName(contexts.join(F.broadcast(part), applies(), "inner").select(columns))
+    return out
+
+
+def ranked(bound: DataFrame, by: str = "context_id", limit: int = 5) -> DataFrame:
+    """The first `limit` rules of each context, the stricter first; a top-k report."""
+    w = Window.partitionBy(by).orderBy(modality_rank().desc(), "rule_id")
+    return bound.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
 def satisfies(verify: Column, run: Column) -> Column:

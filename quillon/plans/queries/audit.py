@@ -59,15 +59,43 @@ def _(s, d):
     return a.dead_code(symbols, v.code_edges(s, d)).select(F.array_join("node_ids", ",").alias("ids"))
 
 
-@query("god_objects", o("members", "SELECT module::VARCHAR AS ids, count(*)::VARCHAR || ' members' AS description FROM v_members GROUP BY module HAVING count(*) > 100"))
+_OWNED = "SELECT s_suppkey AS owner, CASE WHEN s_suppkey % 3 = 0 THEN 'class' ELSE 'module' END AS kind, CASE WHEN s_suppkey % 7 = 0 THEN 'test_' ELSE 'm' END || s_suppkey AS name FROM supplier"
+_GOD = f"SELECT owner, kind, name, n FROM ({_OWNED}) JOIN (SELECT module AS owner, count(*) AS n FROM v_members WHERE symbol % 16 < owner % 16 GROUP BY 1) USING (owner) WHERE (kind = 'class' AND n > 25) OR (kind = 'module' AND n > 30 AND NOT starts_with(name, 'test_'))"
+
+
+def _god(s, d):
+    k = F.col("s_suppkey")
+    owners = table(s, d, "supplier").select(k.alias("owner"), F.when(k % 3 == 0, "class").otherwise("module").alias("kind"), F.concat(F.when(k % 7 == 0, "test_").otherwise("m"), k).alias("name"), F.lit("src/x.py").alias("source_path"))
+    members = v.members(s, d).where("symbol % 16 < module % 16").select(F.col("module").alias("owner"), F.col("symbol").alias("member"))  # modules of different sizes
+    return a.god_objects(members, owners)
+
+
+@query("god_objects", o("members", f"SELECT owner::VARCHAR AS ids, 'candidate' AS severity, name || ': ' || n || CASE kind WHEN 'class' THEN ' methods' ELSE ' definitions' END AS description FROM ({_GOD})"))
 def _(s, d):
-    return a.god_objects(v.members(s, d), 100).select(F.array_join("node_ids", ",").alias("ids"), "description")
+    return _god(s, d).select(F.array_join("node_ids", ",").alias("ids"), "severity", "description")
+
+
+@query("semantic_orphans", o("nodes", "WITH c AS (SELECT id, 'Concept_' || (id % 37) || '_x' AS concept FROM v_nodes UNION ALL SELECT id, 'node_' || (id % 300) FROM v_nodes), t AS (SELECT lower(name) AS t FROM v_nodes UNION SELECT lower('The CONCEPT_' || (id % 20) || '_Xs') FROM v_nodes) SELECT DISTINCT id, concept FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(t.t, lower(c.concept)))"))
+def _(s, d):
+    n = v.nodes(s, d)
+    c = n.select("id", F.concat(F.lit("Concept_"), F.col("id") % 37, F.lit("_x")).alias("concept")).unionByName(n.select("id", F.concat(F.lit("node_"), F.col("id") % 300).alias("concept")))
+    defs = n.select("name", F.concat(F.lit("The CONCEPT_"), F.col("id") % 20, F.lit("_Xs")).alias("description"))
+    return a.undefined_concepts(c, defs).select(F.col("node_ids")[0].cast("long").alias("id"), F.col("locus").alias("concept"))
+
+
+def _symbols(s, d):
+    n = v.nodes(s, d)
+    k = F.col("id")
+    return n.select("id", F.when(k % 2 == 0, "code_function").when(k % 9 == 1, "code_class").otherwise("code_method").alias("type"), F.concat(F.when(k % 11 == 0, "test_").otherwise("f"), k).alias("name"), F.concat(F.lit("src/"), F.when(k % 13 == 0, "tests/").otherwise("lib/"), k, F.lit(".py")).alias("source_path"), F.concat(F.lit("p"), k % 3).alias("project_key"), F.when(k % 5 == 0, "one\n\nline").otherwise("a\nb\n\nc\nd\ne").alias("body"))
+
+
+_SYMBOL = "SELECT vec_id AS id, embedding FROM embeddings JOIN documents ON vec_id = doc_id WHERE (vec_id % 2 = 0 OR vec_id % 9 <> 1) AND vec_id % 11 <> 0 AND vec_id % 13 <> 0 AND vec_id % 5 <> 0"
 
 
-@query("semantic_orphans", o("nodes", "SELECT 'concept_' || (id % 37) AS concept, string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) AS ids FROM v_nodes WHERE id % 37 >= 20 GROUP BY 1"))
+@query("duplicate_code", f"WITH x AS ({_SYMBOL}) SELECT x.id AS a, y.id AS b, 'f' || x.id || ' / f' || y.id AS locus FROM x JOIN x y ON x.id < y.id AND x.id % 3 = y.id % 3 WHERE {_DOT} >= 0.35")
 def _(s, d):
-    c = v.nodes(s, d).select("id", F.concat(F.lit("concept_"), F.col("id") % 37).alias("concept"))
-    return a.undefined_concepts(c, s.range(20).select(F.concat(F.lit("Concept_"), "id").alias("word"))).select(F.col("locus").alias("concept"), F.array_join("node_ids", ",").alias("ids"))
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return a.duplicate_code(_symbols(s, d), vectors, 0.35).select(F.col("node_ids")[0].cast("long").alias("a"), F.col("node_ids")[1].cast("long").alias("b"), "locus")
 
 
 @query("cyclic_import_findings", o("code_edges", "WITH r(id, t) AS (SELECT src, dst FROM v_code_edges UNION SELECT r.id, e.dst FROM r JOIN v_code_edges e ON r.t = e.src), c AS (SELECT a.id, min(a.t) AS cycle FROM r a JOIN r b ON a.id = b.t AND a.t = b.id GROUP BY a.id) SELECT string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM c GROUP BY cycle", True))
@@ -75,15 +103,16 @@ def _(s, d):
     return a.import_cycles(graph.cycles(v.code_edges(s, d))).select(F.array_join("node_ids", ",").alias("ids"))
 
 
-@query("finding_fingerprint", o("members", "SELECT sha1('god_object' || chr(10) || module || chr(10)) AS fingerprint FROM v_members GROUP BY module HAVING count(*) > 100"))
+@query("finding_fingerprint", o("members", f"SELECT sha1('god_object' || chr(10) || owner || chr(10) || name) AS fingerprint FROM ({_GOD})"))
 def _(s, d):
-    return a.fingerprint(a.god_objects(v.members(s, d), 100)).select("fingerprint")
+    return a.fingerprint(_god(s, d)).select("fingerprint")
 
 
-@query("findings_tally", o("members code_edges", "SELECT 'god_object' AS type, count(*)::BIGINT AS n FROM (SELECT module FROM v_members GROUP BY module HAVING count(*) > 100) HAVING count(*) > 0 UNION ALL SELECT 'dead_code', count(*)::BIGINT FROM part WHERE p_partkey NOT IN (SELECT dst FROM v_code_edges)"))
+@query("findings_tally", o("members code_edges", f"SELECT 'god_object' AS type, count(*)::BIGINT AS n FROM ({_GOD}) HAVING count(*) > 0 UNION ALL SELECT 'dead_code', count(*)::BIGINT FROM part WHERE p_partkey NOT IN (SELECT dst FROM v_code_edges) UNION ALL SELECT 'semantic_orphans', count(*)::BIGINT FROM part"))
 def _(s, d):
     symbols = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("_p"), "p_partkey").alias("name"))
-    return a.tally(a.god_objects(v.members(s, d), 100).unionByName(a.dead_code(symbols, v.code_edges(s, d))))
+    missing = a.undefined_concepts(symbols.select("id", F.concat(F.lit("Absent_"), "id").alias("concept")), symbols.select("name", F.lit(None).cast("string").alias("description")))
+    return a.tally(_god(s, d).unionByName(a.dead_code(symbols, v.code_edges(s, d))).unionByName(missing))
 
 
 _QUEUE = "SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'stale' ELSE 'duplicate' END AS type, 'f' || s_suppkey AS fingerprint, CASE s_suppkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'dismissed' ELSE 'resolved' END AS status FROM supplier WHERE s_suppkey % 5 <> 0"

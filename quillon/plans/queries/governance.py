@@ -37,6 +37,16 @@ def _(s, d):
     return _bound(s, d).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+@query("rules_by_context", o("nodes", f"WITH {_BOUND} SELECT context_id, rule_id, rank FROM (SELECT context_id, rule_id, row_number() OVER (PARTITION BY context_id ORDER BY CASE rule_id WHEN 'r2' THEN 3 WHEN 'r1' THEN 2 ELSE 1 END DESC, rule_id)::INTEGER AS rank FROM b) WHERE rank <= 2"))
+def _(s, d):
+    return g.ranked(_bound(s, d), limit=2).select("context_id", "rule_id", "rank")
+
+
+@query("mandatory_rules_in_scope", o("nodes", f"WITH {_BOUND} SELECT context_id, rule_id FROM b WHERE rule_id IN ('r1', 'r2')"))
+def _(s, d):
+    return g.active(_contexts(s, d), g.parse_rules(s.sql(_RULES)), ["p1"], mandatory_only=True).select("context_id", "rule_id")
+
+
 @query("gate_decision", o("nodes", f"WITH {_BOUND}, k AS (SELECT * FROM b WHERE rule_id <> 'r4' AND NOT (rule_id = 'r1' AND session % 2 = 0)), j AS (SELECT context_id, bool_or(rule_id IN ('r1', 'r2')) AS hard, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM k GROUP BY context_id) SELECT x.context_id, CASE WHEN hard IS NULL THEN 'allow' WHEN hard THEN 'deny' ELSE 'ask' END AS permission, coalesce(rules, '') AS rules FROM x LEFT JOIN j USING (context_id)"))
 def _(s, d):
     done = s.range(0, 50, 2).select(F.col("id").alias("session"), F.lit("r1").alias("rule_id"), F.lit("verify").alias("step"))

@@ -13,8 +13,8 @@ o = v.oracle
 
 
 @query("interval_overlap_refs", o("spans hunks", "SELECT h.commit_id, s.file, s.symbol, s.a, s.b, round(greatest(0.3, least(1.0, sum(least(s.b, h.b) - greatest(s.a, h.a) + 1) / greatest(1, s.b - s.a + 1))), 6)::DOUBLE AS confidence FROM v_spans s JOIN v_hunks h ON s.file = h.file AND s.a <= h.b AND h.a <= s.b GROUP BY h.commit_id, s.file, s.symbol, s.a, s.b"))
-def overlaps(s, d, hunks=v.hunks):
-    return joins.references(v.spans(s, d), hunks(s, d)).withColumn("confidence", F.round("confidence", 6))
+def _(s, d):
+    return joins.references(v.spans(s, d), v.hunks(s, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("prefix_ownership", o("nodes", "SELECT n.id, p.path FROM v_nodes n JOIN (VALUES ('docs/src1'), ('docs/src12'), ('docs')) p(path) ON starts_with(n.source_path, p.path || '/') OR n.source_path = p.path"))
@@ -33,12 +33,12 @@ def _(s, d):
     return joins.named_in(v.nodes(s, d).select(F.col("id").alias("text_id"), F.col("body").alias("text")), names)
 
 
-@query("trailer_join", o("nodes", "SELECT c.id AS commit_id, m.id AS memory FROM v_nodes c JOIN v_nodes m ON m.name = 'node_' || (c.id % 50) WHERE c.id % 4 = 0"))
-def trailed(s, d, commits="id % 4 = 0"):
+@query("trailer_join", o("nodes", "SELECT c.id AS commit_id, m.id AS memory FROM v_nodes c JOIN v_nodes m ON m.name = 'node_' || (c.id % 50)"))
+def _(s, d):
     from quillon.functions.text import trailers
 
     n = v.nodes(s, d)
-    c = n.where(commits).select(F.col("id").alias("commit_id"), F.explode(trailers(F.concat(F.lit("x\nCloses: node_"), F.col("id") % 50))).alias("name"))
+    c = n.select(F.col("id").alias("commit_id"), F.explode(trailers(F.concat(F.lit("x\nCloses: node_"), F.col("id") % 50))).alias("name"))
     return c.join(n.select(F.col("id").alias("memory"), "name"), "name").select("commit_id", "memory")
 
 
@@ -61,24 +61,24 @@ def _(s, d):
     return joins.resolve_calls(calls, symbols, imports)
 
 
-@query("cross_stack_join", o("", "SELECT 'endpoint:GET:/p' || k AS endpoint, coalesce(string_agg(DISTINCT CASE WHEN side = 'r' THEN id::VARCHAR END, ',' ORDER BY CASE WHEN side = 'r' THEN id::VARCHAR END), '') AS routes, coalesce(string_agg(DISTINCT CASE WHEN side = 'c' THEN id::VARCHAR END, ',' ORDER BY CASE WHEN side = 'c' THEN id::VARCHAR END), '') AS components FROM (SELECT s_suppkey % 20 AS k, s_suppkey AS id, 'r' AS side FROM supplier UNION ALL SELECT page_id % 20, page_id, 'c' FROM pages WHERE page_id < 60) GROUP BY k"))
-def stacks(s, d, pages="page_id < 60"):
+@query("cross_stack_join", o("", "SELECT 'endpoint:GET:/p' || k AS endpoint, coalesce(string_agg(DISTINCT CASE WHEN side = 'r' THEN id::VARCHAR END, ',' ORDER BY CASE WHEN side = 'r' THEN id::VARCHAR END), '') AS routes, coalesce(string_agg(DISTINCT CASE WHEN side = 'c' THEN id::VARCHAR END, ',' ORDER BY CASE WHEN side = 'c' THEN id::VARCHAR END), '') AS components FROM (SELECT s_suppkey % 20 AS k, s_suppkey AS id, 'r' AS side FROM supplier UNION ALL SELECT page_id % 20, page_id, 'c' FROM pages) GROUP BY k"))
+def _(s, d):
     routes = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("get").alias("method"), F.concat(F.lit("/p"), F.col("s_suppkey") % 20).alias("path"))
-    comps = table(s, d, "pages").where(pages).select(F.col("page_id").alias("id"), F.lit("GET").alias("method"), F.concat(F.lit("/p"), F.col("page_id") % 20).alias("path"))
+    comps = table(s, d, "pages").select(F.col("page_id").alias("id"), F.lit("GET").alias("method"), F.concat(F.lit("/p"), F.col("page_id") % 20).alias("path"))
     none = routes.select(F.col("id").alias("src"), F.col("id").alias("dst")).where("false")
     return joins.endpoints(routes, comps, none).drop("handlers")
 
 
 @query("provenance_walk", o("spans hunks", "WITH r AS (SELECT DISTINCT h.commit_id, s.symbol FROM v_spans s JOIN v_hunks h ON s.file = h.file AND s.a <= h.b AND h.a <= s.b) SELECT DISTINCT symbol, memory, via FROM (SELECT symbol, commit_id % 100 AS memory, 'motivated_by' AS via FROM r WHERE commit_id % 2 = 0 UNION ALL SELECT symbol, commit_id % 90, 'closed_by' FROM r WHERE commit_id % 3 = 0)"))
-def walk(s, d, hunks=v.hunks):
-    refs = joins.references(v.spans(s, d), hunks(s, d)).select("commit_id", "symbol").distinct()
-    c = hunks(s, d).select("commit_id").distinct()
+def _(s, d):
+    refs = joins.references(v.spans(s, d), v.hunks(s, d)).select("commit_id", "symbol").distinct()
+    c = v.hunks(s, d).select("commit_id").distinct()
     return joins.provenance(refs, c.where("commit_id % 2 = 0").select("commit_id", (F.col("commit_id") % 100).alias("memory")), c.where("commit_id % 3 = 0").select("commit_id", (F.col("commit_id") % 90).alias("memory")))
 
 
 @query("reverse_callers", o("code_edges", "SELECT dst AS symbol, count(*)::BIGINT AS callers, string_agg(src::VARCHAR, ',' ORDER BY src::VARCHAR) AS ids FROM (SELECT DISTINCT src, dst FROM v_code_edges) GROUP BY dst HAVING count(*) BETWEEN 1 AND 4"))
 def _(s, d):
-    return v.code_edges(s, d).distinct().groupBy(F.col("dst").alias("symbol")).agg(F.count("*").alias("callers"), F.array_join(F.sort_array(F.collect_list(F.col("src").cast("string"))), ",").alias("ids")).where("callers BETWEEN 1 AND 4")
+    return joins.callers(v.code_edges(s, d))
 
 
 @query("asof_freshness", o("query_log", "WITH st AS (SELECT actor AS session, id AS rule, at_s AS stamped_at FROM v_query_log WHERE kind = 'purchase'), tt AS (SELECT actor AS session, max(at_s) AS last FROM v_query_log WHERE kind = 'error' GROUP BY 1) SELECT session, rule, stamped_at >= coalesce(last, 0) AS fresh FROM st LEFT JOIN tt USING (session)"))
@@ -89,18 +89,18 @@ def _(s, d):
 
 
 @query("nearest_line", o("spans hunks", "SELECT id, symbol FROM (SELECT h.commit_id AS id, s.symbol, row_number() OVER (PARTITION BY h.commit_id ORDER BY abs(h.a - s.a), s.symbol) AS k FROM v_hunks h JOIN v_spans s ON h.file = s.file) WHERE k = 1"))
-def nearest_line(s, d, hunks=v.hunks):
-    return joins.nearest(hunks(s, d).select(F.col("commit_id").alias("id"), "file", "a"), v.spans(s, d).select("symbol", "file", "a"), ["file"], "a")
+def _(s, d):
+    return joins.nearest(v.hunks(s, d).select(F.col("commit_id").alias("id"), "file", "a"), v.spans(s, d).select("symbol", "file", "a"), ["file"], "a")
 
 
 @query("anti_unembedded", o("nodes chunks", "SELECT id FROM v_nodes WHERE id NOT IN (SELECT node_id FROM v_chunks)"))
 def _(s, d):
-    return joins.missing(v.nodes(s, d).select("id"), v.chunks(s, d).select(F.col("node_id").alias("id")), "id")
+    return joins.missing(v.nodes(s, d).select("id"), v.cv.hunks(s, d).select(F.col("node_id").alias("id")), "id")
 
 
 @query("embedding_coverage", o("nodes chunks", "SELECT count(*)::BIGINT AS total, count(*) FILTER (c.node_id IS NULL)::BIGINT AS unembedded FROM v_nodes n LEFT JOIN (SELECT DISTINCT node_id FROM v_chunks) c ON n.id = c.node_id"))
 def _(s, d):
-    c = v.chunks(s, d).select(F.col("node_id").alias("id")).distinct().withColumn("has", F.lit(1))
+    c = v.cv.hunks(s, d).select(F.col("node_id").alias("id")).distinct().withColumn("has", F.lit(1))
     return v.nodes(s, d).join(c, "id", "left").agg(F.count("*").alias("total"), F.count_if(F.col("has").isNull()).alias("unembedded"))
 
 

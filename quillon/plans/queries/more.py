@@ -89,14 +89,6 @@ def _(s, d):
     return m.groupBy("conv_id").agg(F.round(F.avg((F.length("content") % 5 < 2).cast("int")), 6).alias("precision"))
 
 
-@query("orphan_fix_preview", o("nodes", "SELECT id, 'a [ref:1] c' AS body, 1::BIGINT AS removed FROM v_nodes WHERE id % 10 = 0"))
-def preview(s, d, ids="id % 10 = 0"):
-    """Dead citations are taken out of a body; the write then checks the old body's hash."""
-    n = v.nodes(s, d).where(ids).withColumn("b", F.concat(F.lit("a [ref:1] [ref:dead"), "id", F.lit("]c")))
-    dead = F.filter(t.citations(F.col("b")), lambda c: F.startswith(c, F.lit("dead")))
-    return n.select("id", F.aggregate(dead, F.col("b"), lambda acc, x: F.replace(acc, F.concat(F.lit("[ref:"), x, F.lit("]")), F.lit(""))).alias("body"), F.size(dead).cast("long").alias("removed"))
-
-
 @query("chunk_embeddings")
 def _(s, d):
     return embedded(chunked(v.nodes(s, d).select("id", "body")))

@@ -14,17 +14,16 @@ from quillon.session import table
 
 o = v.oracle
 S = r.Scoring()
-#: Prompts of the registered queries: a stated set of benchmark items.
-PROMPTS = (0, 1, 2, 3, 4)
+#: Queries of the registered searches: every document, and every vector, whose id is divisible by 100, against all rows; a prompt is its document's first 100 characters.
 _COS = "list_sum(list_transform(range(1, 65), lambda i: c.embedding[i]::DOUBLE * q.vector[i]::DOUBLE)) / (sqrt(list_sum(list_transform(c.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.vector, lambda x: x::DOUBLE * x::DOUBLE))))"
-_P = "p AS (SELECT item_id AS qid, text AS prompt FROM benchmark WHERE item_id < 5)"
+_P = "p AS (SELECT doc_id AS qid, substr(coalesce(text, ''), 1, 100) AS prompt FROM documents WHERE doc_id % 100 = 0)"
 _BM = f"""{_P}, pt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(prompt), '[a-z0-9_]{{3,}}')) AS term FROM p),
 dt AS (SELECT id, regexp_extract_all(lower(body), '[a-z0-9_]{{3,}}') AS w FROM v_nodes), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dt),
 tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM dt) WHERE term IN (SELECT term FROM pt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT qid, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM tf JOIN df USING (term) JOIN pt USING (term), st GROUP BY qid, id),
 br AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm)"""
-_Q = "q AS (SELECT vec_id AS qid, embedding AS vector FROM embeddings WHERE vec_id < 5)"
+_Q = "q AS (SELECT vec_id AS qid, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0)"
 _KN = f"""{_Q}, cs AS (SELECT q.qid, c.node_id AS id, {_COS} AS cosine FROM v_chunks c, q), vr AS (SELECT qid, id, cosine, row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 9) DESC, id) - 1 AS rank FROM cs)"""
 
 
@@ -33,11 +32,11 @@ def _docs(s, d):
 
 
 def _prompts(s, d):
-    return table(s, d, "benchmark").where(F.col("item_id").isin(*PROMPTS)).select(F.col("item_id").alias("qid"), F.col("text").alias("prompt"))
+    return v.nodes(s, d).where("id % 100 = 0").select(F.col("id").alias("qid"), F.substring(F.coalesce("body", F.lit("")), 1, 100).alias("prompt"))
 
 
 def _vectors(s, d):
-    return table(s, d, "embeddings").where(F.col("vec_id").isin(*PROMPTS)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
 def _chunks(s, d):
@@ -49,11 +48,12 @@ def _(s, d):
     return r.top(r.bm25(_docs(s, d), _prompts(s, d)), 10).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("lexical_score", o("nodes", f"WITH {_P}, pt AS (SELECT qid, list_distinct(list_filter(list_transform(regexp_extract_all(prompt, '[a-zA-Z][a-zA-Z0-9-]+'), lambda x: lower(x)), lambda x: length(x) >= 3)) AS w FROM p) SELECT qid, id, round(len(list_filter(w, lambda x: contains(lower(substr(body, 1, 32768)), x))) / len(w), 6)::DOUBLE AS lexical FROM pt, v_nodes WHERE id % 5 = 0"))
-def lexical(s, d, ids="id % 5 = 0"):
+@query("lexical_score", o("nodes", f"WITH {_P}, pt AS (SELECT qid, list_distinct(list_filter(list_transform(regexp_extract_all(prompt, '[a-zA-Z][a-zA-Z0-9-]+'), lambda x: lower(x)), lambda x: length(x) >= 3)) AS w FROM p) SELECT qid, id, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains(lower(name || ' ' || substr(body, 1, 32768)), x))) / len(w) ELSE 0 END, 6)::DOUBLE AS lexical FROM pt, v_nodes"))
+def _(s, d):
+    """Every node against every prompt of the stated set: the scorer itself is a scan."""
     p = _prompts(s, d).select("qid", F.array_distinct(t.lexical_tokens(F.col("prompt"))).alias("w"))
-    n = v.nodes(s, d).where(ids)  # the scorer is applied to candidates; these stand for them
-    return n.join(F.broadcast(p), F.lit(True)).select("qid", "id", F.round(t.lexical_score(F.col("w"), F.col("body")), 6).alias("lexical"))
+    few = p.count() <= 100_000  # prompts of 100 characters
+    return v.nodes(s, d).join(F.broadcast(p) if few else p, F.lit(True)).select("qid", "id", F.round(t.lexical_score(F.col("w"), F.concat("name", F.lit(" "), F.substring("body", 1, t.BODY_CAP))), 6).alias("lexical"))
 
 
 @query("exact_name_match", o("nodes", "SELECT n.id FROM v_nodes n WHERE length(name) >= 4 AND contains('please see NODE_12 and node_7', lower(name)) OR length(name) >= 4 AND contains(lower('please see NODE_12 and node_7'), lower(name))"))
@@ -72,14 +72,18 @@ def _(s, d):
     return r.knn(_chunks(s, d).join(n, "id", "left_semi"), _vectors(s, d), 5).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("cosine", 6).alias("cosine"))
 
 
-@query("l2_and_cosine", o("chunks", f"WITH {_Q} SELECT q.qid, c.node_id AS id, round(greatest(0, least(1, 1 - list_sum(list_transform(range(1, 65), lambda i: (c.embedding[i]::DOUBLE - q.vector[i]::DOUBLE) ** 2)) / 2)), 5)::DOUBLE AS cosine FROM v_chunks c, q WHERE q.qid = 0"))
+@query("l2_and_cosine", o("chunks", f"WITH {_Q} SELECT q.qid, c.node_id AS id, round(greatest(0, least(1, 1 - list_sum(list_transform(range(1, 65), lambda i: (c.embedding[i]::DOUBLE - q.vector[i]::DOUBLE) ** 2)) / 2)), 5)::DOUBLE AS cosine FROM v_chunks c, q"))
 def _(s, d):
-    return _chunks(s, d).join(F.broadcast(_vectors(s, d).where("qid = 0")), F.lit(True)).select("qid", "id", F.round(l2_to_cosine(l2(F.col("embedding"), F.col("vector"))), 5).alias("cosine"))
+    q = _vectors(s, d)
+    few = q.count() <= 100_000
+    return _chunks(s, d).join(F.broadcast(q) if few else q, F.lit(True)).select("qid", "id", F.round(l2_to_cosine(l2(F.col("embedding"), F.col("vector"))), 5).alias("cosine"))
 
 
 @query("best_chunk_per_node", o("chunks", f"WITH {_Q}, cs AS (SELECT q.qid, c.node_id // 3 AS node_id, {_COS} AS cosine FROM v_chunks c, q) SELECT qid, node_id::BIGINT AS node_id, round(max(cosine), 6) AS cosine FROM cs GROUP BY ALL"))
 def _(s, d):
-    scored = _chunks(s, d).join(F.broadcast(_vectors(s, d)), F.lit(True)).select("qid", F.floor(F.col("id") / 3).cast("long").alias("node_id"), cosine(F.col("embedding"), F.col("vector")).alias("cosine"))
+    q = _vectors(s, d)
+    few = q.count() <= 100_000
+    scored = _chunks(s, d).join(F.broadcast(q) if few else q, F.lit(True)).select("qid", F.floor(F.col("id") / 3).cast("long").alias("node_id"), cosine(F.col("embedding"), F.col("vector")).alias("cosine"))
     return r.best_chunk(scored).select("qid", "node_id", F.round("cosine", 6).alias("cosine"))
 
 
@@ -88,14 +92,23 @@ def _(s, d):
     return v.nodes(s, d).select("id", F.round(recency(F.col("updated_at"), v.NOW), 6).alias("recency"))
 
 
-_TY = {"memory_project": 0.6, "memory_feedback": 0.6, "plan_doc": 0.4, "project_doc": 0.5}
-_CTX = f"""b AS (SELECT qid, id, rank FROM br WHERE rank < 40), k AS (SELECT qid, id, rank, cosine FROM vr WHERE rank < 40),
-g AS (SELECT k.qid, e.dst AS id, least(1.0, sum(greatest(cosine, 0) * 0.5)) AS graph FROM k JOIN v_code_edges e ON k.id = e.src GROUP BY ALL),
-ids AS (SELECT qid, id FROM b UNION SELECT qid, id FROM k UNION SELECT qid, id FROM g WHERE (qid, id) NOT IN (SELECT qid, id FROM k)),
-c AS (SELECT ids.qid, ids.id, n.type, n.project_key, n.base, n.local_only, n.name, n.body, coalesce(k.cosine, 0) AS vector, b.rank AS br, k.rank AS vr, CASE WHEN k.rank IS NULL THEN coalesce(g.graph, 0) ELSE 0 END AS graph,
-      exp(-greatest(0, {v.NOW} - n.updated_at) / 86400.0::DOUBLE / 90) AS recency, CASE n.type WHEN 'memory_project' THEN 0.6::DOUBLE WHEN 'memory_feedback' THEN 0.6::DOUBLE WHEN 'plan_doc' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END AS type_score,
-      CASE WHEN n.project_key IN ('src1', 'src2', 'src3', 'src4') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS project
-      FROM ids JOIN v_nodes n ON ids.id = n.id LEFT JOIN b ON b.qid = ids.qid AND b.id = ids.id LEFT JOIN k ON k.qid = ids.qid AND k.id = ids.id LEFT JOIN g ON g.qid = ids.qid AND g.id = ids.id)"""
+def _priority_sql() -> str:
+    hits = [f"CASE WHEN regexp_matches(lower(prompt), '\\b({p})\\b') THEN '{tag}' END" for tag, p in ((tag, p.replace("'", "''")) for tag, p in t.INTENTS.items())]
+    ranks = ", ".join(f"('{tag}', '{kind}', {w}::DOUBLE)" for tag, ws in t.TYPE_PRIORITY.items() for kind, w in ws.items())
+    return f"tg AS (SELECT qid, CASE WHEN len(x) > 0 THEN x ELSE ['none'] END AS tags FROM (SELECT qid, list_filter([{', '.join(hits)}], lambda y: y IS NOT NULL) AS x FROM p)), tp(tag, type, w) AS (VALUES {ranks}), ts AS (SELECT qid, type, max(w) AS w FROM (SELECT qid, unnest(tags) AS tag FROM tg) JOIN tp USING (tag) GROUP BY ALL)"
+
+
+_SCOPE = ["src1", "src2", "src3", "src4"]
+_CTX = f"""b AS (SELECT qid, id, rank FROM br WHERE rank < 40), k AS (SELECT qid, id, rank, cosine FROM vr WHERE rank < 40 AND qid IN (SELECT qid FROM p)), {_priority_sql()},
+e AS (SELECT src, dst, CASE WHEN src % 2 = 0 THEN 'co_occurs_with' ELSE 'derived_from' END AS relation FROM v_code_edges),
+ga AS (SELECT k.qid, e.dst AS id, greatest(cosine, 0) * 0.5 AS g FROM k JOIN e ON k.id = e.src UNION ALL SELECT k.qid, e.src, greatest(cosine, 0) * 0.5 FROM k JOIN e ON k.id = e.dst WHERE relation = 'co_occurs_with'),
+g AS (SELECT qid, id, least(1.0, sum(g)) AS graph FROM ga WHERE (qid, id) NOT IN (SELECT qid, id FROM k) GROUP BY ALL),
+ids AS (SELECT qid, id FROM b UNION SELECT qid, id FROM k UNION SELECT qid, id FROM g),
+c AS (SELECT ids.qid, ids.id, n.type, n.project_key, n.base, n.local_only, n.name, n.body, coalesce(k.cosine, 0) AS vector, b.rank AS br, k.rank AS vr, coalesce(g.graph, 0) AS graph,
+      exp(-greatest(0, {v.NOW} - n.updated_at) / 86400.0::DOUBLE / 90) AS recency, coalesce(ts.w, 0) AS type_score,
+      CASE WHEN n.project_key IN ('src1', 'src2', 'src3', 'src4') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS project,
+      length(n.name) >= 4 AND contains(lower(p.prompt), lower(n.name)) AS named
+      FROM ids JOIN v_nodes n ON ids.id = n.id JOIN p ON p.qid = ids.qid LEFT JOIN b ON b.qid = ids.qid AND b.id = ids.id LEFT JOIN k ON k.qid = ids.qid AND k.id = ids.id LEFT JOIN g ON g.qid = ids.qid AND g.id = ids.id LEFT JOIN ts ON ts.qid = ids.qid AND ts.type = n.type)"""
 
 
 def _fused_sql(fusion: str) -> str:
@@ -104,29 +117,19 @@ def _fused_sql(fusion: str) -> str:
         "bm25_lead": "0.6::DOUBLE * (0.85::DOUBLE * coalesce(1.0::DOUBLE / (1 + br), 0) + 0.15::DOUBLE * greatest(0, vector))",
         "weighted_sum": "0.4::DOUBLE * vector + 0.2::DOUBLE * coalesce(1.0::DOUBLE / (1 + br), 0)",
     }[fusion]
-    return f"({rel} + 0.15::DOUBLE * graph + 0.1::DOUBLE * recency + 0.1::DOUBLE * type_score + 0.05::DOUBLE * project) * CASE WHEN NOT base AND project_key IS NOT NULL AND project_key NOT IN ('src1', 'src2', 'src3', 'src4') THEN 0.85::DOUBLE ELSE 1 END"
+    return f"({rel} + 0.15::DOUBLE * graph + 0.1::DOUBLE * recency + 0.1::DOUBLE * type_score + 0.05::DOUBLE * project) * CASE WHEN NOT base AND project_key IS NOT NULL AND project_key NOT IN ('src1', 'src2', 'src3', 'src4') THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN named THEN 1.25::DOUBLE ELSE 1 END"
+
+
+def _asked(s, d):
+    return _prompts(s, d).join(_vectors(s, d), "qid", "left")
+
+
+def _edges(s, d):
+    return v.code_edges(s, d).select("src", "dst", F.when(F.col("src") % 2 == 0, "co_occurs_with").otherwise("derived_from").alias("relation"), F.lit(1.0).alias("weight"))
 
 
 def components(s, d, scoring: r.Scoring):
-    """Candidates of both rankers and the graph with their six components and score, for the stated prompts."""
-    b = r.top(r.bm25(_docs(s, d), _prompts(s, d)), 40).select("qid", "id", F.col("rank").alias("br"))
-    k = r.knn(_chunks(s, d), _vectors(s, d), 40).select("qid", "id", F.col("rank").alias("vr"), "cosine")
-    e = v.code_edges(s, d).withColumnsRenamed({"src": "id", "dst": "to"})
-    g = k.join(e, "id").groupBy("qid", F.col("to").alias("id")).agg(F.least(F.lit(1.0), F.sum(F.greatest(F.col("cosine"), F.lit(0.0)) * 0.5)).alias("graph"))
-    c = b.join(k, ["qid", "id"], "full_outer").join(g, ["qid", "id"], "full_outer").join(v.nodes(s, d), "id")
-    kind = F.create_map(*[F.lit(x) for kv in _TY.items() for x in kv])[F.col("type")]
-    scope = ["src1", "src2", "src3", "src4"]
-    c = c.select(
-        "qid", "id", "type", "name", "body", "local_only", "br", "vr",
-        F.coalesce("cosine", F.lit(0.0)).alias("vector"),
-        F.when(F.col("vr").isNull(), F.coalesce("graph", F.lit(0.0))).otherwise(F.lit(0.0)).alias("graph"),
-        recency(F.col("updated_at"), v.NOW).alias("recency"), kind.alias("type_score"),
-        F.when(F.col("project_key").isin(*scope), 1.0).otherwise(0.0).alias("project"),
-        F.coalesce(r.out_of_scope(scope, F.col("project_key"), F.col("base")), F.lit(False)).alias("out"),
-    )
-    lexical = F.coalesce(1.0 / (1.0 + F.col("br")), F.lit(0.0))
-    raw = r.relevance(scoring, F.col("vector"), lexical, F.col("br"), F.col("vr")) + scoring.graph * F.col("graph") + scoring.recency * F.col("recency") + scoring.type * F.col("type_score") + scoring.project * F.col("project")
-    return c.withColumn("score", F.when(F.col("out"), raw * scoring.penalty).otherwise(raw))
+    return r.candidates(v.nodes(s, d), _chunks(s, d), _edges(s, d), _asked(s, d), v.NOW, _SCOPE, scoring)
 
 
 _ALL = f"WITH {_BM}, {_KN}, {_CTX}"
@@ -153,18 +156,32 @@ def _(s, d):
     return components(s, d, S).groupBy("qid").agg(F.count_if("local_only").alias("excluded"), F.count_if(~F.col("local_only")).alias("kept"))
 
 
-@query("budget_pack", o("nodes chunks code_edges", f"""{_ALL}, h AS (SELECT * FROM (SELECT qid, id, type, name, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM (SELECT *, {_fused_sql('weighted_rrf')} AS score FROM c)) WHERE rank < 20),
-t AS (SELECT *, (floor(len(list_filter(regexp_split_to_array('[ref:' || id || '] [' || type || '] ' || name, '[ \\t-\\r]+'), lambda x: x <> '')) * 1.333) + 1)::BIGINT AS line_tokens FROM h),
-u AS (SELECT *, sum(line_tokens) OVER (PARTITION BY qid ORDER BY rank) AS used FROM t) SELECT qid, id, rank::BIGINT AS rank, used::BIGINT AS used FROM u WHERE used <= 40"""))
+_WORDS = "(floor(len(list_filter(regexp_split_to_array({0}, '[ \t-\r]+'), lambda x: x <> '')) * 1.333) + 1)::BIGINT"
+_HITS = f"""h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank, count(*) FILTER (local_only) OVER (PARTITION BY qid) AS excluded FROM (SELECT *, {_fused_sql('weighted_rrf')} AS score FROM c)))"""
+
+
+@query("budget_pack", o("nodes chunks code_edges", f"""{_ALL}, {_HITS}, t AS (SELECT *, {_WORDS.format("'[ref:' || id || '] [' || type || '] ' || name")} AS line_tokens FROM h WHERE rank < 20),
+u AS (SELECT *, sum(line_tokens) OVER (PARTITION BY qid ORDER BY rank) AS used FROM t), w AS (SELECT *, max(used) OVER (PARTITION BY qid) AS total FROM u WHERE used <= 40)
+SELECT qid, id, rank::BIGINT AS rank, used::BIGINT AS used, rank = 0 AND total + {_WORDS.format("coalesce(body, '')")} <= 40 AS with_body FROM w"""))
+def _(s, d):
+    h = r.top(components(s, d, S), 20).join(v.nodes(s, d).select("id", "body"), "id")
+    return r.pack(h, 40, t.description_line("ref", F.col("id"), F.col("type"), F.col("name")), F.col("body")).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.col("used").cast("long").alias("used"), "with_body")
+
+
+@query("retrieval_composed", o("nodes chunks code_edges", f"""{_ALL}, l AS (SELECT qid, count(*) FILTER (local_only)::BIGINT AS excluded FROM c GROUP BY qid), {_HITS.replace('FROM c)', 'FROM c WHERE NOT local_only)')},
+t AS (SELECT *, '[ref:' || id || '] [' || type || '] ' || name AS line FROM h WHERE rank < 5), x AS (SELECT *, {_WORDS.format('line')} AS line_tokens FROM t), u AS (SELECT *, sum(line_tokens) OVER (PARTITION BY qid ORDER BY rank) AS used FROM x), w AS (SELECT *, max(used) OVER (PARTITION BY qid) AS total FROM u WHERE used <= 800)
+SELECT qid, id, rank::BIGINT AS pick, round(score, 6) AS score, line, used::BIGINT AS used, rank = 0 AND total + {_WORDS.format("coalesce(body, '')")} <= 800 AS with_body, l.excluded FROM w JOIN l USING (qid)"""))
 def _(s, d):
-    h = r.top(components(s, d, S), 20)
-    return r.pack(h, 40, t.description_line("ref", F.col("id"), F.col("type"), F.col("name")), F.col("body")).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.col("used").cast("long").alias("used"))
+    """The whole retrieval without diversification."""
+    out = r.retrieved(v.nodes(s, d), _chunks(s, d), _edges(s, d), _asked(s, d), v.NOW, _SCOPE, r.Scoring(mmr=1.0))
+    return out.select("qid", "id", F.col("pick").cast("long").alias("pick"), F.round("score", 6).alias("score"), "line", F.col("used").cast("long").alias("used"), "with_body", F.col("excluded").cast("long").alias("excluded"))
 
 
 @query("mmr_rerank")
 def _(s, d):
-    pool = r.top(components(s, d, S), max(2 * S.k, 20)).select("qid", "id", "score", "rank")
-    return r.mmr(pool.join(_chunks(s, d), "id", "left").select("qid", "id", "score", "rank", "embedding"), S.k, S.mmr)
+    """The whole retrieval with diversification, which is greedy; tests hold it against brute force."""
+    out = r.retrieved(v.nodes(s, d), _chunks(s, d), _edges(s, d), _asked(s, d), v.NOW, _SCOPE, S)
+    return out.select("qid", "id", F.col("pick").cast("long").alias("pick"), F.round("score", 6).alias("score"))
 
 
 @query("graph_proximity", o("nodes code_edges", "WITH c AS (SELECT id, (id % 10) / 10.0::DOUBLE AS score FROM v_nodes WHERE id % 9 = 0), e AS (SELECT src, dst, CASE WHEN src % 2 = 0 THEN 'co_occurs_with' ELSE 'derived_from' END AS relation, 1.0::DOUBLE AS weight FROM v_code_edges), a AS (SELECT dst AS id, score * 0.5 * weight AS g FROM c JOIN e ON c.id = e.src UNION ALL SELECT src, score * 0.5 * weight FROM c JOIN e ON c.id = e.dst WHERE relation = 'co_occurs_with') SELECT id, round(least(1.0, sum(g)), 6)::DOUBLE AS graph FROM a WHERE id NOT IN (SELECT id FROM c) GROUP BY id"))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions.text import search_tokens, token_estimate
-from quillon.functions.vectors import cosine
+from quillon.functions.text import description_line, exact_name, intent_tags, search_tokens, token_estimate, type_priority
+from quillon.functions.vectors import recency
+from quillon.operators.graph import proximity
 
 #: Okapi constants of the lexical ranker.
 K1, B = 1.2, 0.75
@@ -39,20 +42,34 @@ class Scoring:
     relations: tuple[str, ...] = field(default=("applies_to", "co_occurs_with", "supersedes", "derived_from"))
 
 
+#: Terms of prompts that are sent to every task as a set; of more, all terms of the documents are shuffled.
+MOST_TERMS = 20_000
+#: Vectors and queries of one block of an exact search.
+VECTOR_BLOCK, QUERY_BLOCK = 16_384, 2_048
+
+
 def terms(docs: DataFrame) -> DataFrame:
-    """The derived index (id, term, tf) of documents (id, text)."""
-    return docs.select("id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """The derived index (node_id, term, tf) of documents (id, text)."""
+    return docs.select(F.col("id").alias("node_id"), F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"))
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    """The derived index (node_id, dl) of documents (id, text)."""
+    return docs.select(F.col("id").alias("node_id"), F.size(search_tokens(F.col("text"))).cast("long").alias("dl"))
 
 
 def bm25(docs: DataFrame, prompts: DataFrame) -> DataFrame:
     """(qid, id, score) of documents (id, text) for prompts (qid, prompt).
 
-    Only terms of some prompt reach the shuffle; document lengths and their mean need no index.
+    Texts are searched for the prompts' terms only, where these are few enough for a set in every task; their counts come out of one
+    row for each document, so a text is not exploded.
     """
     wanted = prompts.select("qid", F.explode(F.array_distinct(search_tokens(F.col("prompt")))).alias("term"))
-    sized = docs.select("id", search_tokens(F.col("text")).alias("w")).select("id", "w", F.size("w").alias("dl"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))  # one row
-    tf = sized.select("id", "dl", F.explode("w").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    few = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]  # at most MOST_TERMS + 1 words
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit("[a-z0-9_]{3,}")), F.lit(0))).alias("mean"))  # one row
+    words = F.coalesce(search_tokens(F.col("text")), F.array().cast("array<string>"))
+    sized = docs.select("id", words.alias("w")).select("id", F.size("w").alias("dl"), (F.filter("w", lambda x: x.isin(*few)) if 0 < len(few) <= MOST_TERMS else F.col("w")).alias("w"))
+    tf = sized.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -69,9 +86,34 @@ def top(scored: DataFrame, k: int, score: str = "score", by: str = "qid", key: s
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, id, cosine, rank): exact nearest vectors (id, embedding) of queries (qid, vector).
 
-    The queries are a stated set, so every vector meets each of them; a window keeps k rows by query inside each task first.
+    The queries are a stated set. Both sides are dealt into blocks, a pair of blocks is one task's matrix product, and
+    only its k best of each query leave it, so neither side is broadcast.
     """
-    scored = vectors.join(F.broadcast(queries), F.lit(True)).select("qid", "id", cosine(F.col("embedding"), F.col("vector")).alias("cosine"))
+    nv, nq = (max(1, -(-df.count() // size)) for df, size in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("e"), F.pmod(F.xxhash64("id"), F.lit(nv)).alias("v"), every(nq).alias("q"))
+    right = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<float>").alias("e"), F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("q"), every(nv).alias("v"))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        x = np.array(table.column("e").to_pylist(), np.float64)
+        return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-300)
+
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if a.num_rows and b.num_rows:
+            ids, x = a.column("id").to_numpy(), matrix(a)
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            qids, y = b.column("qid").to_numpy(), matrix(b)
+            for at in range(0, len(qids), 256):
+                c = y[at : at + 256] @ x.T
+                near = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, :k]
+                for row in range(len(c)):
+                    out += zip([int(qids[at + row])] * near.shape[1], ids[near[row]].tolist(), c[row, near[row]].tolist(), strict=True)
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table({"qid": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "cosine": pa.array(columns[2], pa.float64())})
+
+    scored = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(product, "qid long, id long, cosine double")
     return top(scored, k, "cosine")
 
 
@@ -101,8 +143,6 @@ def mmr(pool: DataFrame, k: int, lam: float) -> DataFrame:
 
     Greedy choice needs the earlier picks, so each query's small pool goes to one grouped call.
     """
-    import numpy as np
-
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("rank")
         ids, score = g["id"].tolist(), g["score"].to_numpy(float)
@@ -128,9 +168,68 @@ def mmr(pool: DataFrame, k: int, lam: float) -> DataFrame:
 
 
 def pack(hits: DataFrame, budget: int, line: Column, body: Column) -> DataFrame:
-    """hits (qid, rank, ...) up to the first whose line overflows the budget; with_body marks the first where its body still fits."""
+    """hits (qid, rank, ...) up to the first whose line overflows the budget; with_body marks the first where its body still fits.
+
+    Only lines and numbers of tokens pass through the window.
+    """
     order = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     counted = hits.withColumn("line_tokens", token_estimate(line)).withColumn("used", F.sum("line_tokens").over(order)).withColumn("body_tokens", token_estimate(body))
     kept = counted.where(F.col("used") <= budget)  # running sums only grow: all before the first overflow
     total = F.max("used").over(Window.partitionBy("qid"))
     return kept.withColumn("with_body", (F.col("rank") == 0) & (total + F.col("body_tokens") <= budget))
+
+
+def candidates(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring()) -> DataFrame:
+    """The candidates of both rankers and of the graph with their six components and score, for prompts (qid, prompt, vector).
+
+    nodes: the node table with a long id; vectors: (id, embedding); edges: (src, dst, relation, weight). Bodies are read for the
+    rankers only and not carried.
+    """
+    pool = max(2 * s.k, 40)
+    b = top(bm25(nodes.select("id", F.col("body").alias("text")), prompts.select("qid", "prompt")), pool).select("qid", "id", F.col("rank").alias("bm25_rank"))
+    v = knn(vectors, prompts.where("vector IS NOT NULL").select("qid", "vector"), pool).select("qid", "id", F.col("rank").alias("vec_rank"), "cosine")
+    g = proximity(edges, v.select("qid", "id", F.greatest(F.col("cosine"), F.lit(0.0)).alias("score")), relations=s.relations, by=("qid",))
+    asked = prompts.select("qid", "prompt", intent_tags(F.coalesce("prompt", F.lit(""))).alias("_tags"))
+    c = b.join(v, ["qid", "id"], "full_outer").join(g, ["qid", "id"], "full_outer").join(nodes.select("id", "type", "name", "project_key", "base", "local_only", "updated_at"), "id").join(asked, "qid")
+    c = c.select(
+        "qid", "id", "type", "name", "local_only", "bm25_rank", "vec_rank",
+        F.coalesce("cosine", F.lit(0.0)).alias("vector"),
+        F.when(F.col("vec_rank").isNull(), F.coalesce("graph", F.lit(0.0))).otherwise(F.lit(0.0)).alias("graph"),
+        recency(F.col("updated_at"), now).alias("recency"),
+        type_priority(F.col("_tags"), F.col("type")).alias("type_score"),
+        F.when(F.col("project_key").isin(*scope), 1.0).otherwise(0.0).alias("project") if scope else F.lit(0.0).alias("project"),
+        reciprocal_rank(F.lit(0.0), F.col("bm25_rank")).alias("lexical"),
+        F.coalesce(out_of_scope(scope, F.col("project_key"), F.col("base")), F.lit(False)).alias("out"),
+        F.coalesce(exact_name(F.col("name"), F.coalesce("prompt", F.lit(""))), F.lit(False)).alias("named"),
+    )
+    raw = relevance(s, F.col("vector"), F.col("lexical"), F.col("bm25_rank"), F.col("vec_rank")) + s.graph * F.col("graph") + s.recency * F.col("recency") + s.type * F.col("type_score") + s.project * F.col("project")
+    held = F.when(F.col("out"), raw * s.penalty).otherwise(raw)
+    return c.withColumn("score", F.when(F.col("named"), held * s.boost).otherwise(held))
+
+
+def reciprocal_rank(share: Column, rank: Column) -> Column:
+    """The lexical component: the larger of a substring share and 1 / (1 + rank), a null rank counting 0."""
+    return F.greatest(share, F.coalesce(1.0 / (1.0 + rank), F.lit(0.0)))
+
+
+def retrieved(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring(), exclude_local_only: bool = True, prefix: str = "ref") -> DataFrame:
+    """(qid, id, pick, score, line, used, with_body, excluded): the whole retrieval as one plan for any table of prompts.
+
+    Ranked candidates lose rows that may not leave the machine (excluded: how many), a pool of max(2k, 20) is diversified to
+    k, and lines are packed to the token budget; bodies are joined for what is left.
+    """
+    c = candidates(nodes, vectors, edges, prompts, now, scope, s).select("qid", "id", "type", "name", "local_only", "score")
+    if exclude_local_only:
+        lost = F.count_if(F.coalesce("local_only", F.lit(False))).over(Window.partitionBy("qid"))
+        c = c.withColumn("excluded", lost).where(~F.coalesce("local_only", F.lit(False)))
+    else:
+        c = c.withColumn("excluded", F.lit(0).cast("long"))
+    pool = top(c, max(2 * s.k, 20))
+    if s.mmr >= 1:
+        picked = pool.where(F.col("rank") < s.k).select("qid", "id", F.col("rank").cast("long").alias("pick"))
+    else:
+        picked = mmr(pool.select("qid", "id", "score", "rank").join(vectors.select("id", "embedding"), "id", "left").select("qid", "id", "score", "rank", "embedding"), s.k, s.mmr)
+    hits = picked.join(pool.drop("rank"), ["qid", "id"]).join(nodes.select("id", "description" if "description" in nodes.columns else F.lit(None).cast("string").alias("description"), "body"), "id")
+    line = description_line(prefix, F.col("id"), F.col("type"), F.coalesce("description", "name"))
+    packed = pack(hits.select("qid", "id", F.col("pick").alias("rank"), "score", "excluded", line.alias("line"), "body"), s.budget, F.col("line"), F.col("body"))
+    return packed.select("qid", "id", F.col("rank").alias("pick"), "score", "line", "used", "with_body", "excluded")

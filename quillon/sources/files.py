@@ -7,38 +7,42 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import glob_regex, truthy
+from quillon.functions.text import ignored, truthy
 
+#: Folders of a code repository that are not read. Fixed values.
 SKIP_DIRS = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv", "target")
-#: Source kind -> globs that it reads without its own list.
-INCLUDES = {
-    "claude_md": ["*.md"], "memory_dir": ["*.md"], "plan_dir": ["*.md"], "docs_dir": ["*.md", "*.txt", "*.pdf"],
-    "code_repo": ["*.py", "*.js", "*.jsx", "*.ts", "*.tsx", "*.go"],
-}
-#: Extension -> language of code files.
+#: Extension -> language of code files. Fixed values.
 LANGUAGES = {
-    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "rs": "rust",
-    "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift", "scala": "scala", "lua": "lua", "sh": "bash", "sql": "sql",
+    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "json": "json", "jsonc": "json",
+    "yaml": "yaml", "yml": "yaml", "md": "markdown", "markdown": "markdown", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp",
+    "rb": "ruby", "php": "php", "cs": "c_sharp", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "sh": "bash", "bash": "bash", "zsh": "bash",
 }
+_DOCUMENTS = ["**/*.md", "**/*.markdown", "**/*.txt", "**/*.pdf"]
+#: Source kind -> globs that it reads without its own list; a kind without globs reads nothing, and a claude_md is one file. Fixed values.
+INCLUDES = {"memory_dir": _DOCUMENTS, "plan_dir": _DOCUMENTS, "transcripts": _DOCUMENTS, "code_repo": [f"**/*.{e}" for e in sorted(LANGUAGES)]}
 
 
 def patterns(raw: str | None) -> list[str]:
-    """A comma separated list of globs as regular expressions."""
-    return [glob_regex(p.strip()) for p in (raw or "").split(",") if p.strip()]
+    """A comma separated list of globs."""
+    return [p.strip() for p in (raw or "").split(",") if p.strip()]
+
+
+def wanted(path: Column, kind: str, include: str | None = None, exclude: str | None = None) -> Column:
+    """Whether a source of a kind reads a relative path; globs have the meaning of an ignore file's lines."""
+    keep = ignored(path, patterns(include) or INCLUDES.get(kind, [])) & ~ignored(path, patterns(exclude)) & (F.regexp_extract(path, "[^/]*$", 0) != "MEMORY.md")
+    if kind == "code_repo":
+        keep = keep & ~F.arrays_overlap(F.split(F.regexp_replace(path, "(^|/)[^/]*$", ""), "/"), F.array(*[F.lit(x) for x in SKIP_DIRS]))
+    return keep
 
 
 def read_tree(spark: SparkSession, root: str, kind: str, include: str | None = None, exclude: str | None = None) -> DataFrame:
-    """(path, modified, size, content) of a source's files: included, not excluded, outside skipped folders."""
+    """(path, modified, size, content) of a source's files; a root that is one file gives that file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = F.regexp_extract("path", "[^/]*$", 0)
-    relative = F.regexp_replace("path", f"^(file:)?/*{re.escape(re.sub('^file:/*', '', root).strip('/'))}/?", "")
-    any_of = lambda rs, c: F.lit(False) if not rs else F.array_max(F.array(*[c.rlike(r) for r in rs]))
-    wanted = patterns(include) or [glob_regex(g) for g in INCLUDES.get(kind, ["*"])]
-    banned = patterns(exclude)
-    keep = (any_of(wanted, name) | any_of(wanted, relative)) & ~(any_of(banned, name) | any_of(banned, relative)) & (name != "MEMORY.md")
-    if kind == "code_repo":
-        keep = keep & ~F.arrays_overlap(F.split(relative, "/"), F.array(*[F.lit(x) for x in SKIP_DIRS]))
-    return files.where(keep).select(relative.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+    clean = re.sub("^[a-z0-9]+:/*", "", root).strip("/")
+    relative = F.regexp_replace("path", f"^([a-z0-9]+:)?/*{re.escape(clean)}/?", "")
+    single = relative == ""
+    named = F.when(single, F.regexp_extract("path", "[^/]*$", 0)).otherwise(relative)
+    return files.where(single | wanted(relative, kind, include, exclude)).select(named.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
 def extension(path: Column) -> Column:
@@ -69,7 +73,7 @@ def plain(text: Column) -> Column:
 
 def parsed(files: DataFrame, kind: str, project_key: str | None = None) -> DataFrame:
     """Node rows of document files: type, name, description, project, flags and hash by rule; a document that isn't UTF-8 has its bad bytes replaced."""
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     f = files.select("path", "content", text.alias("t")).select("path", "content", frontmatter(F.col("t")).alias("fm"), F.when(extension(F.col("path")) == "txt", plain(F.col("t"))).otherwise(body_of(F.col("t"))).alias("body"))
     name = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.[^.]*$", "")
     default = {"memory_dir": None, "plan_dir": "plan_doc", "docs_dir": "project_doc", "claude_md": "memory_project"}.get(kind)
@@ -92,7 +96,7 @@ def parsed(files: DataFrame, kind: str, project_key: str | None = None) -> DataF
 
 def preview(files: DataFrame) -> DataFrame:
     """Files by extension, and markdown with a typed header."""
-    typed = (extension(F.col("path")) == "md") & F.decode("content", "UTF-8").rlike(r"\A---\r?\n(?s:.*?)\ntype[ \t]*:")
+    typed = (extension(F.col("path")) == "md") & F.make_valid_utf8(F.col("content").cast("string")).rlike(r"\A---\r?\n(?s:.*?)\ntype[ \t]*:")
     return files.groupBy(extension(F.col("path")).alias("ext")).agg(F.count("*").alias("n"), F.count_if(typed).alias("typed"))
 
 

@@ -57,11 +57,6 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hunks(spark: SparkSession, d: str) -> DataFrame:
-    """all_hunks of every seventh commit."""
-    return all_hunks(spark, d).where("commit_id % 7 = 0")
-
-
-def all_hunks(spark: SparkSession, d: str) -> DataFrame:
     """Changed line ranges of commits: (commit_id, file, a, b); files are as many as suppliers at the smallest scale."""
     k = F.col("o_orderkey")
     return table(spark, d, "orders").select(k.alias("commit_id"), (k % 10 + 1).alias("file"), (k % 61).alias("a"), (k % 61 + k % 13).alias("b"))
@@ -108,8 +103,7 @@ SQL: dict[str, str] = {
     "members": "SELECT DISTINCT l_suppkey AS module, l_partkey AS symbol FROM lineitem",
     "retrievals": "SELECT DISTINCT l_orderkey AS query_id, l_partkey AS node_id FROM lineitem",
     "spans": "SELECT DISTINCT l_suppkey AS file, l_partkey AS symbol, (l_linenumber * 10)::BIGINT AS a, (l_linenumber * 10 + floor(l_quantity))::BIGINT AS b FROM lineitem",
-    "hunks": "SELECT o_orderkey AS commit_id, o_orderkey % 10 + 1 AS file, o_orderkey % 61 AS a, o_orderkey % 61 + o_orderkey % 13 AS b FROM orders WHERE o_orderkey % 7 = 0",
-    "all_hunks": "SELECT o_orderkey AS commit_id, o_orderkey % 10 + 1 AS file, o_orderkey % 61 AS a, o_orderkey % 61 + o_orderkey % 13 AS b FROM orders",
+    "hunks": "SELECT o_orderkey AS commit_id, o_orderkey % 10 + 1 AS file, o_orderkey % 61 AS a, o_orderkey % 61 + o_orderkey % 13 AS b FROM orders",
     "query_log": "SELECT event_id AS id, ts, floor(epoch(ts))::BIGINT AS at_s, user_id AS actor, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS node_id FROM events",
     "feedback": """SELECT event_id AS id, user_id AS query_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS node_id,
         CASE event_type WHEN 'purchase' THEN 'thumbs_up' WHEN 'error' THEN 'thumbs_down' WHEN 'click' THEN 'cite_copied' WHEN 'view' THEN 'inferred_requery' END AS reason,
