@@ -149,7 +149,7 @@ def cycles(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     left = left.where("src <> dst")
     while not left.isEmpty():
         if left.count() <= one_task:
-            found = found.unionByName(left.groupBy(F.lit(0)).applyInPandas(lambda g: strong_components(g), "id long, cycle long"))
+            found = found.unionByName(left.groupBy(F.lit("").alias("_all")).applyInPandas(lambda g: strong_components(g), "id long, cycle long"))
             break
         step += 1
         ahead, back = least_reaching(left), least_reaching(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -328,7 +328,7 @@ def placed(layouts: DataFrame) -> DataFrame:
         at = [(0.0, 0.0), *pack_field(list(zip(g["w"].iloc[1:], g["h"].iloc[1:], strict=True)), inner)]
         return pd.DataFrame({"label": g["label"], "mx": [p[0] for p in at] - g["cx"], "my": [p[1] for p in at] - g["cy"]})
 
-    moves = boxes.groupBy(F.lit(0)).applyInPandas(scatter, "label long, mx double, my double")
+    moves = boxes.groupBy(F.lit("").alias("_all")).applyInPandas(scatter, "label long, mx double, my double")
     return layouts.join(moves, "label").select("id", (F.col("x") + F.col("mx")).alias("x"), (F.col("y") + F.col("my")).alias("y"))
 
 
