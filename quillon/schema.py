@@ -42,6 +42,12 @@ KEYS: dict[str, tuple[str, ...]] = {
 }
 SYMMETRIC_RELATIONS = ("applies_to", "co_occurs_with")
 PROXIMITY_RELATIONS = ("applies_to", "co_occurs_with", "supersedes", "derived_from")
+#: Relations of edges, and decisions on sources. Fixed values.
+EDGE_RELATIONS = (
+    "applies_to", "derived_from", "contradicts", "supersedes", "mentions", "co_occurs_with", "refines", "references_function", "motivated_by",
+    "closed_by", "defines", "method_of", "imports", "calls", "routes_to", "renders", "at_endpoint",
+)
+DECISIONS = ("always_skip", "always_keep", "retry")
 STATUSES = ("open", "dismissed", "resolved")
 #: Weight of each feedback reason. Fixed values.
 SIGNALS = {"thumbs_up": 1.0, "thumbs_down": -1.0, "cite_copied": 0.5, "inferred_requery": -0.5}

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import math
+import random
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as t
 from quillon.functions.chunks import estimate, pack
+from quillon.operators import safeguards as sg
 from quillon.operators import audit, graph, joins, writes
 from quillon.plans import feedback, governance, retrieve
 from quillon.sources import code, files, gitlog
@@ -47,12 +54,37 @@ def test_packing_stops_at_first_overflow(spark):
     assert [r["rank"] for r in out] == [0] and out[0]["with_body"]
 
 
-def test_chunks_overlap_and_bound():
-    body = "\n\n".join(f"block {k} " + "w " * 100 for k in range(10))
-    out = pack(body, 300)
-    assert len(out) > 1 and all(estimate(c) <= 301 for c in out)
-    assert out[0].split("\n\n")[-1] == out[1].split("\n\n")[0]
-    assert pack("") == [] and pack("one") == ["one"]
+def brute_chunks(body, most, overlap=1):
+    """Sections as they stand; in large ones paragraphs are packed, the last ones of a chunk opening the next."""
+    out, cut, lines = [], [[]], body.strip().splitlines(keepends=True)
+    for line in lines:
+        if re.match(r"[ \t]*###? ", line) and cut[-1]:
+            cut.append([])
+        cut[-1].append(line)
+    for section in ("".join(x).strip() for x in cut):
+        if section and estimate(section) <= most:
+            out.append(section)
+        elif section:
+            paragraphs, at = [p for p in section.split("\n\n") if p.strip()], 0
+            held = []
+            while at < len(paragraphs):
+                if held and sum(map(estimate, held)) + estimate(paragraphs[at]) > most:
+                    out.append("\n\n".join(held))
+                    held = held[len(held) - overlap :] if overlap else []
+                held.append(paragraphs[at])
+                at += 1
+            out.append("\n\n".join(held))
+    return out
+
+
+def test_chunks_keep_sections_and_overlap_inside_large_ones():
+    assert pack("# A\n\none\n\n## B\n\ntwo\n\n### C\n\nthree") == ["# A\n\none", "## B\n\ntwo", "### C\n\nthree"]
+    assert pack("") == [] and pack("one") == ["one"] and pack("#### deep\n\nx\n\n#### more") == ["#### deep\n\nx\n\n#### more"]
+    rng = random.Random(3)
+    for _ in range(200):
+        body = "\n\n".join(rng.choice(["# t", "## s", "### u", "  ## v", "w " * rng.randint(1, 40), "x\ny", " "]) for _ in range(rng.randint(0, 14)))
+        for overlap in (0, 1, 2):
+            assert pack(body, 40, overlap) == brute_chunks(body, 40, overlap)
 
 
 def test_upsert_keeps_first_and_null_keys_meet(spark):
@@ -141,8 +173,8 @@ def test_trailers(spark, text, expected):
 
 
 def test_concepts(spark):
-    body = "MQTTBridge uses retry_handler_pool and MAX_RETRIES; Phase Note __init__ long_single_name_x petrolimex_model"
-    assert one(spark, t.concepts(F.lit(body))) == ["MQTTBridge", "retry_handler_pool", "long_single_name_x", "petrolimex_model", "MAX_RETRIES"]
+    body = "HarborGate opens tide_level_gauge and MIN_DEPTH; Plain Word __init__ one_long_joined_x waterline_marks"
+    assert one(spark, t.concepts(F.lit(body))) == ["HarborGate", "tide_level_gauge", "one_long_joined_x", "waterline_marks", "MIN_DEPTH"]
 
 
 @pytest.mark.parametrize("path,key", [("C:\\a\\b", "C--a-b"), ("/srv/x/", "srv-x"), ("a//b", "a--b")])
@@ -192,7 +224,7 @@ def test_tree_reader_and_log(spark, tmp_path):
     for name, body in {"a.md": "---\ntype: plan_doc\n---\n# T\nx", "sub/b.md": "plain", "c.txt": "no", "MEMORY.md": "x", "sub/skip.md": "s"}.items():
         (tmp_path / name).write_text(body)
     got = files.read_tree(spark, str(tmp_path), "memory_dir", exclude="skip.*")
-    assert sorted(r["path"] for r in got.collect()) == ["a.md", "sub/b.md"]
+    assert sorted(r["path"] for r in got.collect()) == ["a.md", "c.txt", "sub/b.md"]
     n = {r["name"]: r for r in files.parsed(got, "memory_dir").collect()}
     assert n["a"]["type"] == "plan_doc" and n["a"]["description"] == "T" and n["b"]["type"] == "memory_project"
     (tmp_path / "log").mkdir()
@@ -247,9 +279,234 @@ def test_whole_table_queries_see_every_id(spark, sf):
     q = catalog.queries()
     ids = lambda df, c: {r[0] for r in df.select(c).distinct().collect()}
     nodes = ids(views.nodes(spark, sf), "id")
-    assert ids(q["lexical_score_all"](spark, sf), "id") == nodes == ids(q["orphan_fix_preview_all"](spark, sf), "id")
-    assert ids(q["trailer_join_all"](spark, sf), "commit_id") == nodes
-    assert any(k % 7 for k in ids(q["nearest_line_all"](spark, sf), "id"))
-    assert any(k % 7 for k in ids(q["interval_overlap_refs_all"](spark, sf), "commit_id"))
+    assert ids(q["lexical_score"](spark, sf), "id") == nodes == ids(q["trailer_join"](spark, sf), "commit_id")
+    assert any(k % 7 for k in ids(q["nearest_line"](spark, sf), "id"))
+    assert any(k % 7 for k in ids(q["interval_overlap_refs"](spark, sf), "commit_id"))
     made = q["chunk_embeddings"](spark, sf)
     assert ids(made, made.columns[0]) == ids(views.nodes(spark, sf).where("body <> ''"), "id")
+
+
+def test_safeguards_count_bytes(spark):
+    prose = "".join(chr(0x4E00 + k * 37 % 3000) for k in range(3000))
+    noise = bytes(np.random.default_rng(3).integers(0, 256, 20_000, dtype=np.uint8))
+    files_ = [("a.md", prose.encode()), ("b.md", noise), ("c.md", b"\x01\x02ab" * 100), ("d.md", b"same line\n" * 20_000), ("e.md", b""), (".env", b"A_B=1\nC_D=2\nEE=3\n"), ("f.exe", b"x"), ("g.md", ("é" * 600 + "DO NOT EDIT").encode())]
+    df = spark.createDataFrame([(p, bytearray(c), len(c)) for p, c in files_], "path string, content binary, size long")
+
+    def bits(x):
+        n = len(x[:16_384])
+        return -sum(c / n * math.log2(c / n) for c in Counter(x[:16_384]).values())
+
+    got = {r["path"]: r["e"] for r in df.select("path", sg.entropy(F.col("content")).alias("e")).collect()}
+    for path, content in files_:
+        if content:
+            assert got[path] == pytest.approx(bits(content))
+    assert 7.5 > got["a.md"] and len(set(prose)) > 2 ** 7.5
+    made = {r["path"]: (r["verdict"], r["reason"]) for r in sg.classify(df, (".md", ".env")).collect()}
+    assert made["a.md"] == made["e.md"] == made["g.md"] == ("ok", None)
+    share = sum(b < 32 and b not in (9, 10, 13) or b == 127 for b in noise[:8192]) / 8192
+    assert share <= 0.3 and made["b.md"] == ("suspicious", f"high_entropy:{bits(noise):.2f}")
+    assert made["c.md"] == ("suspicious", "binary_masquerade:0.50") and made["d.md"] == ("suspicious", "repeated_line_bloat:1.00")
+    assert made[".env"] == ("suspicious", "suspected_secret:dotenv") and made["f.exe"] == ("auto_skipped", "unsupported_ext:.exe")
+
+
+def test_concepts_are_defined_by_containment(spark):
+    c = spark.createDataFrame([(1, "Tide_Level_Gauge"), (2, "tide_level"), (3, "LostThing"), (4, "abc"), (5, "zzz"), (3, "LostThing")], "id long, concept string")
+    d = spark.createDataFrame([("the TIDE_level_gaugeX", None), (None, "an ABCdef"), ("Lost Thing", "losthing")], "name string, description string")
+    got = {(r["node_ids"][0], r["locus"], r["severity"]) for r in audit.undefined_concepts(c, d).collect()}
+    assert got == {("3", "LostThing", "candidate"), ("5", "zzz", "candidate")}
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abAB", k=n))
+    names, asked = [text(rng.randint(0, 30)) for _ in range(40)], [text(rng.randint(1, 9)) for _ in range(120)]
+    got = audit.undefined_concepts(spark.createDataFrame(list(enumerate(asked)), "id long, concept string"), spark.createDataFrame([(n, None) for n in names], "name string, description string"))
+    assert sorted(int(r["node_ids"][0]) for r in got.collect()) == [k for k, x in enumerate(asked) if not any(x.lower() in n.lower() for n in names)]
+
+
+def test_god_objects_by_kind(spark):
+    owners = spark.createDataFrame([(1, "class", "K", "a.py"), (2, "class", "L", "a.py"), (3, "module", "m", "a.py"), (4, "module", "n", "x/tests/n.py"), (5, "module", "o", "a.py")], "owner long, kind string, name string, source_path string")
+    members = spark.createDataFrame([(o, k) for o, n in ((1, 26), (2, 25), (3, 31), (4, 99), (5, 30)) for k in range(n)], "owner long, member long")
+    assert {(r["node_ids"][0], r["severity"]) for r in audit.god_objects(members, owners).collect()} == {("1", "candidate"), ("3", "candidate")}
+
+
+@pytest.mark.parametrize(
+    "lines,path,expected",
+    [(["*.md"], "a/b.md", True), (["**/*.md"], "b.md", True), (["/x"], "a/x", False), (["/x"], "x/y", True), (["a/*.py"], "a/b/c.py", False), (["a/**"], "a/b/c.py", True), (["a/**/c.py"], "a/c.py", True), (["build/"], "build", False), (["build/"], "q/build/z", True), (["*.log", "!keep.log"], "d/keep.log", False), (["[ab].txt"], "b.txt", True), (["[!ab].txt"], "b.txt", False), (["# c", ""], "# c", False), (["a?c"], "abc", True), (["a.c"], "abc", False)],
+)
+def test_ignore_lines(spark, lines, path, expected):
+    assert one(spark, t.ignored(F.lit(path), lines)) is expected
+
+
+def test_includes_by_kind(spark):
+    paths = ["a.md", "b.markdown", "c.txt", "d.pdf", "e.py", "f.rs", "g.yaml", "h.png", "node_modules/x.py", "MEMORY.md", "s/t.kt"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    read = lambda kind, **o: [r["path"] for r in df.where(files.wanted(F.col("path"), kind, **o)).orderBy("path").collect()]
+    assert read("memory_dir") == read("plan_dir") == read("transcripts") == ["a.md", "b.markdown", "c.txt", "d.pdf"] and read("docs_dir") == []
+    assert read("code_repo") == ["a.md", "b.markdown", "e.py", "f.rs", "g.yaml", "s/t.kt"]
+    assert read("docs_dir", include="*.txt, s/*", exclude="c.*") == ["s/t.kt"]
+
+
+def test_headers_nest(spark):
+    text = "---\ntype: plan_doc\nname: 'x: y'\napplies:\n  - a\n  - \"b c\"\ntags: [p, q]\ndeep:\n  one: 1\n  two:\n    - z\nbase: yes\nnone:\n---\nbody"
+    assert files.header(text) == {"type": "plan_doc", "name": "x: y", "applies": ["a", "b c"], "tags": ["p", "q"], "deep": {"one": 1, "two": ["z"]}, "base": "yes", "none": None}
+    assert files.header("no header") == {} and files.header("---\n- a\n---\n") == {}
+    with pytest.raises(ValueError):
+        files.parsed(spark.createDataFrame([("a.xyz", bytearray(b"x"))], "path string, content binary"), "memory_dir")
+    bad = files.parsed(spark.createDataFrame([("a.md", bytearray(b"ok \xff"))], "path string, content binary"), "memory_dir").first()
+    assert bad["body"] == "ok \ufffd" and json.loads(bad["frontmatter_json"]) == {}
+
+
+def brute_tuning(rows, good, start, passes=4, gain=0.001):
+    def mrr(w):
+        total = []
+        for q in sorted({r[0] for r in rows}):
+            order = sorted((r for r in rows if r[0] == q), key=lambda r: (-round(sum(w[c] * x for c, x in zip(feedback.COMPONENTS, r[2:], strict=True)), 9), r[1]))
+            total.append(next((1 / k for k, r in enumerate(order, 1) if (q, r[1]) in good), 0.0))
+        return sum(total) / len(total)
+
+    weights, best = dict(start), mrr(start)
+    for _ in range(passes):
+        moved = False
+        for c in feedback.COMPONENTS:
+            for step in (0.05, -0.05, 0.10, -0.10):
+                w = {**weights, c: weights[c] + step}
+                if 0 <= w[c] <= 1 and mrr(w) > best + gain:
+                    weights, best, moved = w, mrr(w), True
+        if not moved:
+            break
+    return weights, best
+
+
+def test_tuning_equals_sequential_search(spark):
+    rng = random.Random(17)
+    rows_ = [(q, n, *[rng.randint(0, 4) / 4 for _ in range(6)]) for q in range(36) for n in range(4)]
+    good = {(q, n) for q, n, *_ in rows_ if rng.random() < 0.3}
+    start = dict(zip(feedback.COMPONENTS, (0.02, 0.15, 0.1, 0.98, 0.05, 0.2), strict=True))
+    comp = spark.createDataFrame([(q, "val", n, *map(float, x)) for q, n, *x in rows_], "query_id long, part string, node_id long, " + ", ".join(f"{c} double" for c in feedback.COMPONENTS))
+    out = feedback.tuned(comp, spark.createDataFrame([(*g, 1.0) for g in good], "query_id long, node_id long, signal double"), start)
+    weights, best = brute_tuning(rows_, good, start)
+    assert out["after"] == pytest.approx(best) and out["weights"] == pytest.approx(weights) and out["status"] == "improved"
+
+
+def test_cycles_without_the_last_task_equal_one_task(spark):
+    rng = random.Random(9)
+    e = spark.createDataFrame([(rng.randint(0, 30), rng.randint(0, 30)) for _ in range(38)] + [(50 + k, 51 + k) for k in range(12)], "src long, dst long")
+    assert rows(graph.cycles(e, one_task=0)) == rows(graph.cycles(e)) and graph.cycles(e).count() > 2
+
+
+def test_layout_uses_edges_at_every_size(spark):
+    n = 2600  # two dense halves, one bridge
+    rng = random.Random(2)
+    half = n // 2
+    pairs = {(rng.randrange(k), k) for k in range(1, half)} | {(half + rng.randrange(k), half + k) for k in range(1, half)} | {(rng.randrange(half), rng.randrange(half)) for _ in range(4000)} | {(half + rng.randrange(half), half + rng.randrange(half)) for _ in range(4000)} | {(0, half)}
+    x = graph.spectral(n, np.array(sorted((a, b) for a, b in pairs if a != b)))
+    side = np.sign(x[:half, 0]).sum(), np.sign(x[half:, 0]).sum()
+    assert side[0] * side[1] < 0 and min(map(abs, side)) > 0.9 * half
+    e = spark.createDataFrame(sorted((a, b) for a, b in pairs if a != b), "src long, dst long")
+    made = graph.layout(e).toPandas()
+    assert len(made) == n and np.isfinite(made[["x", "y"]].to_numpy()).all() and made[["x", "y"]].drop_duplicates().shape[0] > 0.99 * n
+    assert graph.placed(graph.layout(e.limit(50))).count() > 0
+
+
+def test_nearest_equals_all_pairs(spark):
+    rng = random.Random(6)
+    have = [(rng.randint(0, 3), rng.randint(0, 60), k) for k in range(60)]
+    want = [(k, rng.randint(0, 4), rng.randint(-5, 70)) for k in range(80)]
+    got = joins.nearest(spark.createDataFrame(want, "id long, file long, a long"), spark.createDataFrame(have, "file long, a long, symbol long"), ["file"], "a")
+    brute = [(k, min((abs(a - b), s) for f2, b, s in have if f2 == f)[1]) for k, f, a in want if any(f2 == f for f2, _, _ in have)]
+    assert rows(got) == sorted(brute)
+
+
+def test_rules_by_key_equal_every_pair(spark):
+    rules = [("r1", ["*/src/*"], [], []), ("r2", ["*.py"], ["debug"], []), ("r3", ["*x*"], [], []), ("r4", [], [], ["edit"]), ("r5", [], [], []), ("r6", ["a?.md", "docs/*"], ["design"], ["edit"]), ("r7", ["src"], [], [])]
+    r = spark.createDataFrame([(i, "MUST", "block", g, n, o, None, None, None, None, False) for i, g, n, o in rules], governance.RULE)
+    ctx = [(k, p, o, [g], "1") for k, (p, o, g) in enumerate((p, o, g) for p in ("a/src/b.py", "src", "ab.md", "docs/q/x.txt", "box", None) for o in ("edit", "read") for g in ("debug", "none"))]
+    c = spark.createDataFrame(ctx, "context_id long, path string, tool string, tags array<string>, arg string")
+    every = c.join(r, governance.applies(), "inner").select("context_id", "rule_id")
+    assert rows(governance.active(c, r).select("context_id", "rule_id")) == rows(every) == rows(governance.active(c, r, most_rules=1).select("context_id", "rule_id"))
+
+
+def test_composed_retrieval_diversifies_as_a_greedy_search(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    n = [(k, "memory_project", f"name{k}", None, k % 9 == 0, k % 5 == 0, k * 1000, " ".join(rng.choices(words, k=8)), None) for k in range(60)]
+    nodes = spark.createDataFrame(n, "id long, type string, name string, project_key string, base boolean, local_only boolean, updated_at long, body string, description string")
+    vec = {k: [rng.gauss(0, 1) for _ in range(4)] for k in range(60) if k % 7}
+    vectors = spark.createDataFrame(list(vec.items()), "id long, embedding array<float>")
+    edges = spark.createDataFrame([(1, 2, "derived_from", 1.0)], "src long, dst long, relation string, weight double")
+    prompts = spark.createDataFrame([(0, "w1 w2 name13", vec[1]), (1, "nothing here", None), (2, "w3", vec[2])], "qid long, prompt string, vector array<double>")
+    args = (nodes, vectors, edges, prompts, 100_000, [])
+    s = retrieve.Scoring()
+    pool = {}
+    for r in retrieve.top(retrieve.candidates(*args, s).where("NOT local_only"), 20).orderBy("qid", "rank").collect():
+        pool.setdefault(r["qid"], []).append((r["id"], r["score"]))
+    unit = {k: np.array(np.array(v, np.float32), float) / np.linalg.norm(np.array(v, np.float32)) for k, v in vec.items()}
+    want = {}
+    for q, hits in pool.items():
+        low, high = min(x for _, x in hits), max(x for _, x in hits)
+        left, got = list(hits), []
+        while left and len(got) < s.k and len(hits) > s.k:
+            near = lambda i: max([0.0, *(float(unit[i] @ unit[j]) for j in got if i in unit and j in unit)])  # noqa: B023, E731
+            best = max(left, key=lambda h: (s.mmr * (h[1] - low) / (high - low) - (1 - s.mmr) * near(h[0]), -left.index(h)))
+            got.append(best[0])
+            left.remove(best)
+        want[q] = got or [i for i, _ in hits]
+    made = {}
+    for r in retrieve.retrieved(*args, s).orderBy("qid", "pick").collect():
+        made.setdefault(r["qid"], []).append(r["id"])
+        assert r["excluded"] >= 0 and r["line"].startswith("[ref:")
+    assert made == want and 13 in made[0] and not any(k % 5 == 0 for x in made.values() for k in x)
+
+
+def test_writes_check_what_they_get(spark):
+    from quillon.operators import store
+
+    e = spark.createDataFrame([("a", "b", "calls", 1.0, 1, "x", 1.0)], "src_id string, dst_id string, relation string, weight double, created_at long, source string, confidence double")
+    with pytest.raises(ValueError):
+        store.upsert_edges(e, spark.createDataFrame([("a", "b", "likes")], "src_id string, dst_id string, relation string"), 1)
+    keys = spark.createDataFrame([("k",)], "id string")
+    quota = spark.createDataFrame([("k", "monthly", 1, 1)], "api_key_id string, period string, max_queries long, max_tokens long")
+    for bad in (("k", "monthly", -1, 1), ("z", "monthly", 1, 1)):
+        with pytest.raises(ValueError):
+            store.set_quotas(quota, spark.createDataFrame([bad], quota.schema), keys)
+    w = spark.createDataFrame([("1", "n"), ("2", "m")], "id string, name string").withColumn("created_ms", F.lit(1).cast("long"))
+    with pytest.raises(ValueError):
+        store.save_workspaces(w, spark.createDataFrame([("2", "n", 5)], w.schema))
+    with pytest.raises(ValueError):
+        store.set_overrides(spark.createDataFrame([("p", "retry", 1)], "source_path string, decision string, decided_ms long"), spark.createDataFrame([("p", "maybe", 1)], "source_path string, decision string, decided_ms long"))
+
+
+def test_settings_stay_in_bounds(tmp_path):
+    from quillon.sources import settings
+
+    raw = {"k": 900, "budget_tokens": "x", "fusion": " BM25_lead ", "isolation": "odd", "mmr": -3, "scoring": {"vector": 1, "odd": 2}, "rrf_k": True, "requery_cosine": 1}
+    s = settings.merged(raw)
+    assert (s.k, s.budget_tokens, s.fusion, s.isolation, s.mmr, s.scoring["vector"], s.rrf_k, s.requery_cosine) == (200, 800, "bm25_lead", "strict", 0.0, 1.0, 60, 1.0) and "odd" not in s.scoring
+    path = str(tmp_path / "s.json")
+    settings.save(s, path)
+    assert settings.load(path) == s and settings.load(path + ".none") == settings.Settings() == settings.merged([1])
+    assert settings.scoring(s).fusion == "bm25_lead"
+    assert settings.environment("# c\nA=1\n B = 'x y' \nbad\n=z\nC=\"q'\nD=a=b") == {"A": "1", "B": "x y", "C": "\"q'", "D": "a=b"}
+    assert settings.with_excludes([" a ", "b", "a"], "c, b,") == ["a", "b", "c"]
+
+
+def test_fixtures(spark, tmp_path):
+    from quillon.sources import settings
+
+    (tmp_path / "e.json").write_text('[{"prompt": "p", "expect_source_contains": ["x"], "query_type": "Odd"}]')
+    assert settings.retrieval_fixture(spark, str(tmp_path / "e.json")).first()["query_type"] == "lexical"
+    (tmp_path / "t.json").write_text('[{"id": "1", "cls": "structural", "answer_keys": ["a"]}]')
+    assert settings.task_fixture(spark, str(tmp_path / "t.json")).count() == 1
+    (tmp_path / "u.json").write_text('[{"id": "1", "cls": "magic"}]')
+    with pytest.raises(ValueError):
+        settings.task_fixture(spark, str(tmp_path / "u.json"))
+    for name, text in {"corpus": '{"id": "a", "body": "b"}', "prompts": '{"prompt_id": "1", "text": "q"}\n{"prompt_id": "2", "text": "r"}', "expected": '{"prompt_id": "1", "relevant": ["a"]}'}.items():
+        (tmp_path / f"{name}.jsonl").write_text(text)
+    corpus, prompts = settings.bench_fixture(spark, str(tmp_path))
+    assert corpus.count() == 1 and sorted((r["prompt_id"], r["relevant"]) for r in prompts.collect()) == [("1", ["a"]), ("2", None)]
+
+
+def test_small_text_functions(spark):
+    assert one(spark, t.concept_context(F.lit("x" * 400 + "abc" + "y" * 400), F.lit("abc"))) == "x" * 300 + "abc" + "y" * 300
+    assert one(spark, t.strip_truncation(F.lit("a\n... (12 more lines)\n"))) == "a" and one(spark, t.head_lines(F.lit("a\nb\nc"), 2)) == "a\nb\n... (1 more lines)"
+    assert [one(spark, t.private_symbol(F.lit(x))) for x in ("_a", "__a", "__a__", "a")] == [True, True, False, False]
+    assert [one(spark, t.test_symbol(F.lit(a), F.lit(b))) for a, b in (("test_a", ""), ("_test_a", ""), ("tested", "x"), ("a", "q\\Tests\\b.py"))] == [True, True, False, True]
+    assert one(spark, t.module_path(F.lit("a.py::f"))) == "a.py" == one(spark, t.module_path(F.lit("a.py:3-9"))) and one(spark, t.node_id_shape(F.lit("a" * 32)))
