@@ -5,9 +5,10 @@ identifiers, from labelled samples, and sets the threshold on samples held out.
 whole text: the base patterns' spans always stay; what they leave of a run of key characters, in pieces of
 at least LEAST_RUN, is added as kind `random` where its log-likelihood ratio is over the threshold.
 
-Random samples are drawn from a seeded generator over the alphabets of keys; ordinary ones are words of a
-bounded sample of labelled good documents, alone and joined as identifiers are. Only the model is fitted
-on that sample; all texts are scanned, in one pass without shuffle.
+Random samples are what the base patterns find in a bounded sample of labelled documents, and strings drawn over the alphabets of
+keys by a seeded generator; ordinary ones are names of the standard library's modules and classes, alone and joined, as identifiers
+are, with words of a bounded sample of labelled good documents. Only the model is fitted on those samples; all texts are
+scanned, in one pass without shuffle.
 
 Defined results: a null or empty text has no spans; places are code points, ends exclusive; of two kinds
 with one start the order of KINDS decides; repeated rows are scanned each. Other columns of the input are
@@ -16,6 +17,7 @@ ignored by `found` and kept by `redacted`.
 
 from __future__ import annotations
 
+import importlib
 import random
 import re
 from collections.abc import Iterator
@@ -40,15 +42,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST_RUN = 16
 #: The bound on the labelled documents, and on their words, that the model of ordinary identifiers sees.
 MAX_DOCS, MAX_WORDS = 2_000, 20_000
-#: Words that ordinary identifiers are made of beside those of the corpus.
-CODE_WORDS = (
-    "account action active address admin agent alias array async auth base batch block body buffer build button cache call cell channel char check class clear "
-    "click client close code collection color column command comment commit common component config connection console container content context controller count create "
-    "current cursor customer data database date debug default delete detail dialog domain download element email entity entry error event example exception execute factory "
-    "field file filter first flag folder format frame from function get global group handler hash header height hidden hook host html http image import index info init input "
-    "instance internal item java json key label last layout length level library line link list loader local lock log main manager map master max menu message metadata method "
-    "min model module name network node number object option order output owner package page panel parent parse path pattern payload"
-).split()
+#: Modules of the standard library whose names are samples of ordinary identifiers.
+LIBRARIES = ("argparse", "asyncio", "collections", "concurrent.futures", "csv", "datetime", "decimal", "email.message", "http.client", "inspect", "json", "logging", "os", "pathlib", "re", "shutil", "socket", "sqlite3", "ssl", "string", "subprocess", "tarfile", "threading", "unittest", "urllib.request", "xml.dom.minidom", "zipfile")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 PLACE = {c: k for k, c in enumerate(ALPHABET)}
 
@@ -77,17 +72,31 @@ def counts(samples: list[str]) -> np.ndarray:
     return np.log(out / out.sum(axis=1, keepdims=True))
 
 
-def labelled_samples(words: list[str], n: int = 12_000, seed: int = 7) -> tuple[list[str], list[str]]:
-    """(random strings, ordinary identifiers) of 16 to 64 characters."""
+def identifiers() -> list[str]:
+    """Names that programs have: those of LIBRARIES and of their classes' members."""
+    out: set[str] = set()
+    for module in map(importlib.import_module, LIBRARIES):
+        for name, value in vars(module).items():
+            out.add(name)
+            if isinstance(value, type):
+                out.update(dir(value))
+    return sorted(x for x in out if x.isascii() and all(c in PLACE for c in x))
+
+
+def labelled_samples(words: list[str], secrets: tuple[str, ...] | list[str] = (), n: int = 12_000, seed: int = 7) -> tuple[list[str], list[str]]:
+    """(random strings, ordinary identifiers) of 16 to 64 characters: secrets that the base patterns found, and drawn ones; names of
+    programs, whole where they are long enough and joined with words of the corpus as identifiers are."""
     rng = random.Random(seed)
     lower, upper, digits = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
     kinds = (lower + upper + digits, lower + digits, upper + digits, digits + "abcdef", lower + upper + digits + "+/", lower + upper + digits + "_-")
-    keys = ["".join(rng.choices(rng.choice(kinds), k=rng.randint(LEAST_RUN, 64))) for _ in range(n)]
+    fit_ = lambda x: sorted({s for s in x if LEAST_RUN <= len(s) <= 64 and all(c in PLACE for c in s)})
+    keys = ["".join(rng.choices(rng.choice(kinds), k=rng.randint(LEAST_RUN, 64))) for _ in range(n)] + fit_(secrets)
+    known = identifiers()
+    parts_of = [p for name in known for p in re.findall("[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name) if len(p) > 1]
     corpus = sorted({w for w in words if w and all(c in PLACE for c in w)})
-    plain = corpus + CODE_WORDS * max(1, len(corpus) // len(CODE_WORDS))
-    names = []
+    names = fit_(known)
     while len(names) < n:
-        parts = [rng.choice(plain) for _ in range(rng.randint(1, 6))]
+        parts = [rng.choice(corpus if corpus and rng.random() < 0.5 else parts_of) for _ in range(rng.randint(1, 6))]
         style = rng.randrange(6)
         if style == 0:
             name = "_".join(parts).lower()
@@ -119,11 +128,28 @@ def fit(keys: list[str], names: list[str], false_share: float = 0.0005) -> Model
     return Model(ratio, max(0.0, top, (top + low) / 2))
 
 
+def base_secrets(text: str) -> list[str]:
+    """What the base patterns find, an assignment by its value."""
+    found = [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_RUN] if any(k in text.lower() for k in KEYWORDS) else []
+    return found + [m[0] for m in ACCESS.finditer(text) if len(m[0]) >= 20] + [m[0] for m in HEX.finditer(text)]
+
+
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id")  # at most max_docs ids
-    words = texts.select(F.explode(F.split("text", SPACE_CLASS)).alias("w")).where(F.col("w").rlike("^[A-Za-z]{2,32}$")).distinct().orderBy(F.xxhash64("w"), "w").limit(max_words)
-    return fit(*labelled_samples([r["w"] for r in words.collect()]))  # at most max_words words
+    """The models from at most max_docs good documents' words, and the base patterns' finds in as many labelled ones."""
+    first = lambda df: df.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    held = first(labels.where("quality = 1")).withColumn("good", F.lit(True)).unionByName(first(labels).withColumn("good", F.lit(False)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(held), "doc_id")  # at most 2 * max_docs ids
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = sorted({s for t in part.column(0).to_pylist() for s in base_secrets(t or "")})
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["w"])
+
+    small_batches(docs.sparkSession)
+    words = texts.where("good").select(F.explode(F.split("text", SPACE_CLASS)).alias("w")).where(F.col("w").rlike("^[A-Za-z]{2,32}$"))
+    secrets = texts.where("NOT good").select("text").mapInArrow(run, "w string")
+    kept = lambda df: [r["w"] for r in df.distinct().orderBy(F.xxhash64("w"), "w").limit(max_words).collect()]  # noqa: E731  at most max_words strings
+    return fit(*labelled_samples(kept(words), kept(secrets)))
 
 
 def pieces(start: int, end: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
