@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The characters between words: space and \t \n \v \f \r. Fixed by the contracts.
 SPACE_CLASS = r"[ \t-\r]+"
+#: Bytes after which an Arrow batch to a Python worker ends; a longer row goes alone.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +58,11 @@ def let(value: Column, body) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that go to Python workers: texts are long, and the default is 10,000 rows."""
+    """Bound the Arrow batches that go to Python workers, by rows and by bytes: texts are long, and the default is 10,000 rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def release_memory() -> None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.base import shared_dir, small_batches
+from quillon.llm.base import release_memory, shared_dir, small_batches
 from quillon.llm.bpe import batches
 from quillon.llm.packed import mix, word_hashes
 from quillon.llm.token_files import filesystem
@@ -35,7 +35,7 @@ N = 10
 #: A benchmark of more bytes is scanned in blocks of items of at most so many bytes.
 MAX_BENCHMARK_BYTES = 8 << 20
 #: Words of documents that are scanned at once, and where every slice reads the blocks of a large benchmark.
-SCAN_AT, SLICE = 1 << 20, 1 << 21
+SCAN_AT, SLICE = 1 << 18, 1 << 21
 #: A-Z become a-z, ASCII other than letters and digits becomes a blank; all other bytes are parts of words.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
 #: A word in a text that is not lower-cased yet.
@@ -216,7 +216,8 @@ def marked(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc
             if keys:
                 yield from _judged(blocks, keys, words)
 
-        return batches(rows(), schema, lambda r: 32 * len(r[2]) + 64)
+        yield from batches(rows(), schema, lambda r: 32 * len(r[2]) + 64)
+        release_memory()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t")).mapInArrow(run, f"`{id_col}` bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
@@ -264,6 +265,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: i
             for part, texts in zip(own, held, strict=True):
                 yield cut(part, texts, judged[at : at + len(texts)])
                 at += len(texts)
+        release_memory()
 
     def cut(part: pa.RecordBatch, texts: list, judged: list) -> pa.RecordBatch:
         found = [(k, spans) for k, spans in enumerate(judged) if spans]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.base import SPACE_CLASS, small_batches
+from quillon.llm.base import SPACE_CLASS, release_memory, small_batches
 from quillon.llm.bpe import batches
 
 #: The contract's patterns. Fixed values.
@@ -199,7 +199,8 @@ def _mapped(docs: DataFrame, model: Model, id_col: str, text_col: str, redacting
                     row = key, [{"start": a, "end": b, "kind": k} for a, b, k in held]
                     yield row if redacting is None else (*row, text if text is None else redact(text, held, redacting))
 
-        return batches(rows(), schema, lambda r: 64 + 64 * len(r[1]) + (len(r[2] or "") if redacting is not None else 0))
+        yield from batches(rows(), schema, lambda r: 64 + 64 * len(r[1]) + (len(r[2] or "") if redacting is not None else 0))
+        release_memory()
 
     out = f"`{id_col}` bigint, spans array<struct<start:bigint,end:bigint,kind:string>>" + (", text string" if redacting is not None else "")
     small_batches(docs.sparkSession)
@@ -225,6 +226,7 @@ def redacted(docs: DataFrame, model: Model, mark: str = "<SECRET>") -> DataFrame
                 piece = part.slice(at, 512)
                 texts = [t if t is None else redact(t, spans(t, model), mark) for t in piece.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, piece.schema.field(k).type) if k == place else c for k, c in enumerate(piece.columns)], schema=piece.schema)
+        release_memory()
 
     small_batches(docs.sparkSession)
     out = docs.mapInArrow(run, schema)
