@@ -79,3 +79,10 @@ def release_memory() -> None:
 def private(df: DataFrame, **columns: Column) -> DataFrame:
     """Only the given columns, so that other columns of df can have any name."""
     return df.select(*[c.alias(k) for k, c in columns.items()])
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression of the unsigned crc32 of an ASCII string, which it has no function for: the division bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    byte = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {byte}), 4294967295::BIGINT)"

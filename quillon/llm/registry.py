@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat_format, decontaminate, license_scan, ngram_join, quality_rules, secret_scan, substring_dedup, token_files, url_filter
+from quillon.llm import bpe, chat_format, decontaminate, license_scan, merkle, ngram_join, pieces, quality_rules, secret_scan, substring_dedup, token_files, url_filter
 from quillon.llm.base import shared_dir, table
 
 
@@ -69,6 +69,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rule")
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by an agenda of symbol pairs, and decoded."""
+    return pieces.digest(pieces.encoded(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), packed=True))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every row."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.proved(merkle.manifest(docs, merkle.one_in_three(docs["doc_id"])))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -87,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {
@@ -96,6 +109,7 @@ ORACLE: dict[str, str] = {
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
 
 
