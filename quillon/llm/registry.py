@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat_format, decontaminate, license_scan, merkle, ngram_join, pieces, quality_rules, secret_scan, substring_dedup, token_files, url_filter
+from quillon.llm import bpe, chat_format, decontaminate, license_scan, merkle, ngram_join, pieces, quality_rules, secret_scan, substring_dedup, token_files, turn_repair, url_filter
 from quillon.llm.base import shared_dir, table
 
 
@@ -69,6 +69,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rule")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged as the contract says, with its faults, cheapest edits and repaired rows' hash."""
+    given = table(spark, sf_dir, "conversations")
+    return turn_repair.Repair(turn_repair.damaged(given)).report(given)
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by an agenda of symbol pairs, and decoded."""
     return pieces.digest(pieces.encoded(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), packed=True))
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_turn_repair": op11_turn_repair,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
@@ -109,6 +116,7 @@ ORACLE: dict[str, str] = {
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
 
