@@ -8,7 +8,7 @@ A node of the lattice is (rows behind it, state of that pattern). Its heuristic
 avoid: 4 for a row that must be deleted, 3 for a truncated one. It is consistent, so with the agenda keyed by (cost plus heuristic,
 edits so far) the first visit of a node has its least cost and then its least string.
 
-Conversations may be of any length, so `CHUNK` rows at a time are searched, each from every state it may begin in, and give the best way
+Conversations may be of any length, so `size` rows at a time are searched, each from every state it may begin in, and give the best way
 to each state it may end in; a chunk's inserts stand before one of its rows, so that no way of a chunk begins another one. Hence the order
 of two ways up to a chunk's end is that of their parts, and `chosen` joins chunks in one pass over them with four costs and four places in that
 order. No task holds a conversation's texts: the lattice sees two characters a row, places of rows come
@@ -103,11 +103,11 @@ def illegal(roles: str) -> int:
     return sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:], strict=False))
 
 
-def searched(rows: DataFrame) -> DataFrame:
+def searched(rows: DataFrame, size: int = CHUNK) -> DataFrame:
     """(conv_id, chunk, faults, roles, ways): each chunk's rows as characters, and its best ways by (start, end)."""
     initial = F.substring("role", 1, 1)
     seen = F.struct("rank", "fault", F.when(initial.isin("s", "u", "a"), initial).otherwise("-").alias("initial"))
-    held = rows.groupBy("conv_id", F.expr(f"rank div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(seen)).alias("x"))
+    held = rows.groupBy("conv_id", F.expr(f"rank div {size}").alias("chunk")).agg(F.sort_array(F.collect_list(seen)).alias("x"))
     held = held.select("conv_id", "chunk", F.array_join("x.fault", "").alias("faults"), F.array_join("x.initial", "").alias("roles"))
     way = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("cost", pa.int64()), ("edits", pa.string())])
 
@@ -177,7 +177,7 @@ def chosen(chunks: DataFrame) -> DataFrame:
     return dealt.repartition(shuffle_partitions(chunks.sparkSession), "conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(run, schema)
 
 
-def edited(parts: DataFrame) -> DataFrame:
+def edited(parts: DataFrame, size: int = CHUNK) -> DataFrame:
     """(conv_id, rank, edit, position, role): every edit; rank is null for an inserted row, position for a deleted one, role where it stays."""
     out = pa.schema([("conv_id", pa.int64()), ("rank", pa.int64()), ("edit", pa.string()), ("position", pa.int64()), ("role", pa.string())])
 
@@ -187,7 +187,7 @@ def edited(parts: DataFrame) -> DataFrame:
                 for c in part.to_pylist():
                     k, state, position = 0, c["state"], c["before"]
                     for edit in c["edits"]:
-                        rank = None if edit == "I" else c["chunk"] * CHUNK + k
+                        rank = None if edit == "I" else c["chunk"] * size + k
                         if edit == "D":
                             yield c["conv_id"], rank, edit, None, None
                         else:
@@ -237,14 +237,15 @@ def hashed(turns: DataFrame) -> DataFrame:
 class Repair:
     """All results for rows (conv_id, turn, role, text); what several of them need is written once."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, size: int = CHUNK):
+        self.size = size
         folder = shared_dir(rows.sparkSession)
         small_batches(rows.sparkSession)
         self.rows = faulted(rows.withColumn("conv_id", F.col("conv_id").cast("long")), folder)
-        self.parts = stored(chosen(searched(self.rows)), f"{folder}/chosen")
+        self.parts = stored(chosen(searched(self.rows, size)), f"{folder}/chosen")
 
     def edits(self) -> DataFrame:
-        return edited(self.parts)
+        return edited(self.parts, self.size)
 
     def turns(self) -> DataFrame:
         return repaired(self.rows, self.edits())
