@@ -93,8 +93,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     empty = docs.select(id_col, F.lit(0).cast("int").alias("line"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).where("false")
     if not held:
         return empty
-    least = min(len(b) for b in held.values()) * threshold / (2 - threshold)
-    most = max(len(b) for b in held.values()) * (2 - threshold) / threshold
+    near = 1e-9  # a size on a bound itself is inside, however the product is rounded
+    least = min(len(b) for b in held.values()) * threshold / (2 - threshold) - near
+    most = max(len(b) for b in held.values()) * (2 - threshold) / threshold + near
     lines = F.transform(F.split(text, "\n", -1), lambda x, k: F.struct((k + 1).cast("int").alias("line"), x.alias("t")))
     whole = F.array(F.struct(F.lit(0).cast("int").alias("line"), text.alias("t")))
     units = F.when(F.instr(text, F.lit("\n")) > 0, F.concat(lines, whole)).otherwise(lines)
@@ -104,7 +105,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     def best(b: Column) -> Column:
         """The best of the templates whose size fits, or null."""
-        fitting = F.filter(grid, lambda t: (F.size(b) >= t["n"] * (threshold / (2 - threshold))) & (F.size(b) <= t["n"] * ((2 - threshold) / threshold)))
+        fitting = F.filter(grid, lambda t: (F.size(b) >= t["n"] * (threshold / (2 - threshold)) - near) & (F.size(b) <= t["n"] * ((2 - threshold) / threshold) + near))
         scored = F.transform(fitting, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + t["n"])).alias("dice"), t["name"].alias("license"), F.size(F.array_intersect(b, t["b"])).alias("shared")))
         return let(scored, lambda s: F.get(F.filter(s, lambda x: (x["dice"] >= threshold) & (x["dice"] == F.array_max(F.transform(s, lambda y: y["dice"])))), F.lit(0)))
 
@@ -115,41 +116,63 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         pairs = F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
         return F.when(F.size(w) - 1 >= F.lit(least), let(F.array_distinct(pairs), of_bigrams))
 
-    def windows(pairs: Column, t: Column) -> Column:
-        """For each bigram of the template in the text, the best window that starts there and reaches the threshold."""
-        need, span = F.ceil(t["n"] * (threshold / (2 - threshold)) - F.lit(1e-9)).cast("int"), t["n"] * ((2 - threshold) / threshold)
+    def windows(seen: Column, t: Column) -> Column:
+        """For each bigram of the template in the text, the best window that starts there and reaches the threshold.
 
-        def ending(s: Column, e: Column) -> Column:
-            size = lambda b: let(F.size(F.array_intersect(b, t["b"])), lambda k: F.struct(k.alias("shared"), (F.lit(2.0) * k / (F.size(b) + t["n"])).alias("dice"), (-s).alias("from"), e.alias("to"), t["name"].alias("license")))
-            return let(F.array_distinct(F.slice(pairs, s + 1, e - s + 1)), size)
+        seen: (bigram, place of the same bigram before it or -1) of every place. From one start on, a bigram is new in the
+        window if it was last seen before the start, so sizes and shared bigrams are running counts.
+        """
+        need, span = F.ceil(t["n"] * (threshold / (2 - threshold)) - near).cast("int"), F.ceil(t["n"] * ((2 - threshold) / threshold)).cast("int")
+        begun = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"), F.lit(0).alias("of"), F.lit(-1).alias("to"))
 
-        def starting(hits: Column, s: Column, k: Column) -> Column:
-            ends = F.filter(F.slice(hits, k + need, F.greatest(F.size(hits) - k - need + 1, F.lit(0))), lambda e: e - s < span)
-            made = F.filter(F.transform(ends, lambda e: ending(s, e)), lambda x: x["dice"] >= threshold)
-            return let(made, lambda m: F.slice(F.filter(m, lambda x: x["dice"] == F.array_max(F.transform(m, lambda y: y["dice"]))), 1, 1))
+        def step(s: Column, a: Column, x: Column) -> Column:
+            new = (x["prev"] < s).cast("int")
 
-        places = F.filter(F.transform(pairs, lambda g, i: F.when(F.array_contains(t["b"], g), i)), lambda i: i.isNotNull())
-        return let(places, lambda hits: F.flatten(F.transform(hits, lambda s, k: starting(hits, s, k))))
+            def grown(b: Column) -> Column:
+                better = x["hit"] & (b["now"] >= threshold) & (b["now"] > a["dice"])
+                return F.struct(b["size"].alias("size"), b["shared"].alias("shared"), F.when(better, b["now"]).otherwise(a["dice"]).alias("dice"), F.when(better, b["shared"]).otherwise(a["of"]).alias("of"), F.when(better, x["at"]).otherwise(a["to"]).alias("to"))
 
-    def passages(pairs: Column, fitting: Column) -> Column:
-        found = F.sort_array(F.flatten(F.transform(fitting, lambda t: windows(pairs, t))), asc=False)
+            size, shared = a["size"] + new, a["shared"] + F.when(x["hit"], new).otherwise(0)
+            return let(F.struct(size.alias("size"), shared.alias("shared"), (F.lit(2.0) * shared / (size + t["n"])).alias("now")), grown)
+
+        def starting(places: Column, s: Column) -> Column:
+            ended = F.aggregate(F.slice(places, s + 1, span), begun, lambda a, x: step(s, a, x))
+            return let(ended, lambda x: F.when(x["to"] >= 0, F.struct(x["of"].alias("shared"), x["dice"].alias("dice"), (-s).alias("from"), x["to"].alias("to"), t["name"].alias("license"))))
+
+        def of_places(places: Column) -> Column:
+            hits = F.transform(F.filter(places, lambda x: x["hit"]), lambda x: x["at"])
+            # A start is tried only where enough of the template's bigrams follow within the span.
+            tried = lambda h: F.filter(h, lambda s, k: F.coalesce(F.get(h, k + need - 1) - s < span, F.lit(False)))
+            return F.filter(F.transform(let(hits, tried), lambda s: starting(places, s)), lambda x: x.isNotNull())
+
+        return let(F.transform(seen, lambda x, i: F.struct(i.alias("at"), x["prev"].alias("prev"), F.array_contains(t["b"], x["g"]).alias("hit"))), of_places)
+
+    def passages(seen: Column, fitting: Column) -> Column:
+        found = F.sort_array(F.flatten(F.transform(fitting, lambda t: windows(seen, t))), asc=False)
         none = F.slice(found, 1, 0)
         apart = lambda kept, x: ~F.exists(kept, lambda y: (-y["from"] <= x["to"] + 1) & (-x["from"] <= y["to"] + 1))
         return let(found, lambda f: F.aggregate(f, none, lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept)))
 
-    def placed(units_made: Column, sizes: Column, made: Column) -> Column:
-        """Passages with their lines, without those that a matching unit covers as well."""
-        before = lambda k: F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda a, x: a + x)
-        over = lambda x, u: (u["line"] == 0) | ((before(u["line"] - 1) <= x["to"] + 1) & (before(u["line"]) > -x["from"]))
+    def placed(units_made: Column, lines_of: Column, made: Column) -> Column:
+        """Passages with their lines, without those that a matching unit covers as well; lines_of has every word's line."""
+        at = lambda i: F.get(lines_of, i)
+        over = lambda x, u: (u["line"] == 0) | ((at(-x["from"]) <= u["line"]) & (at(x["to"] + 1) >= u["line"]))
         new = F.filter(made, lambda x: ~F.exists(units_made, lambda u: (u["m"]["shared"] >= x["shared"]) & over(x, u)))
-        line = lambda x: (F.size(F.filter(F.sequence(F.lit(1), F.size(sizes)), lambda k: before(k) <= -x["from"])) + 1).cast("int")
-        return F.concat(units_made, F.transform(new, lambda x: F.struct(line(x).alias("line"), F.struct(x["dice"].alias("dice"), x["license"].alias("license"), x["shared"].alias("shared")).alias("m"))))
+        return F.concat(units_made, F.transform(new, lambda x: F.struct(at(-x["from"]).alias("line"), F.struct(x["dice"].alias("dice"), x["license"].alias("license"), x["shared"].alias("shared")).alias("m"))))
+
+    def last_seen(pairs: Column) -> Column:
+        """(bigram, place of the same one before it or -1) in order of place, by sorting twice."""
+        near = F.sort_array(F.transform(pairs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        prev = lambda n: F.transform(n, lambda x, k: F.struct(x["i"].alias("i"), x["g"].alias("g"), F.when((k > 0) & (F.get(n, k - 1)["g"] == x["g"]), F.get(n, k - 1)["i"]).otherwise(F.lit(-1)).alias("prev")))
+        return F.transform(F.sort_array(let(near, prev)), lambda x: F.struct(x["g"].alias("g"), x["prev"].alias("prev")))
 
     def with_passages(units_made: Column) -> Column:
+        lines_of = F.flatten(F.transform(F.split(text, "\n", -1), lambda x, k: F.array_repeat((k + 1).cast("int"), F.size(normal_words(x)))))
+
         def of_pairs(pairs: Column) -> Column:
             held_here = F.array_intersect(pairs, known)
-            fitting = let(held_here, lambda h: F.filter(grid, lambda t: (F.size(h) >= t["n"] * (threshold / (2 - threshold))) & (F.size(F.array_intersect(h, t["b"])) >= t["n"] * (threshold / (2 - threshold)) - F.lit(1e-9))))
-            return let(fitting, lambda f: F.when(F.size(f) > 0, placed(units_made, F.transform(F.split(text, "\n", -1), lambda x: F.size(normal_words(x))), passages(pairs, f))).otherwise(units_made))
+            fitting = let(held_here, lambda h: F.filter(grid, lambda t: (F.size(h) >= t["n"] * (threshold / (2 - threshold)) - near) & (F.size(F.array_intersect(h, t["b"])) >= t["n"] * (threshold / (2 - threshold)) - near)))
+            return let(fitting, lambda f: F.when(F.size(f) > 0, let(lines_of, lambda w: let(last_seen(pairs), lambda seen: placed(units_made, w, passages(seen, f))))).otherwise(units_made))
 
         return let(normal_words(text), lambda w: F.when(F.size(w) - 1 >= F.lit(least), let(F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))), of_pairs)).otherwise(units_made))
 

@@ -4,7 +4,7 @@
 shard to the shared folder:
 
     part-NNNNN-<attempt>.bin   token ids, unsigned little-endian, 2 bytes where the vocabulary fits, else 4
-    part-NNNNN-<attempt>.idx   int64 pairs (doc_id, end offset in tokens inside the shard)
+    part-NNNNN-<attempt>.idx   int64 pairs (doc_id, end offset in tokens inside the shard); NULL_ID stands for a null doc_id
 
 A task names its shard by its attempt and renames it when it is whole, and the manifest lists what successful tasks
 returned; a lost executor or a second attempt leaves at most an unlisted file. The driver sees one row
@@ -16,8 +16,8 @@ Texts are encoded with the tokenizers library. Words between single blanks or li
 independently of each other in byte-level BPE, so a bounded cache of words serves the frequent ones and the new ones
 of many texts go to the library together; any other text goes to it as a whole.
 
-Defined results: a null text is empty and holds the end id alone; equal doc_ids keep both documents,
-in order of their texts; an empty table gives no shard and no rows. Other columns of the input are ignored.
+Defined results: a null text is empty and holds the end id alone; a null doc_id stands first and is read back as null, and the
+least 64-bit integer can't be a doc_id; equal doc_ids keep both documents, in order of their texts; an empty table gives no shard and no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ CACHE = 700_000
 WRITE_AT, READ_AT = 4 << 20, 1 << 20
 #: Marks that may follow a word's letters: a pre-token of their own.
 MARKS = ".,;:!?"
+#: What stands for a null id in the index, entries of it that are read at once, and bytes of text of a shard.
+NULL_ID, INDEX_AT, SHARD_BYTES = -(1 << 63), 1 << 16, 256 << 20
 #: Documents whose new words are encoded together.
 ENCODE_AT = 512
 
@@ -226,14 +228,19 @@ class TokenFiles:
 
 
 def opened(stem: str, dtype: str):
-    """A shard's ids, as a function of (begin, end), and its (doc_id, end) pairs."""
+    """A shard's ids, as a function of (begin, end), and its (doc_id, end) pairs, read in slices."""
     files, path = filesystem(stem)
     if isinstance(files, pafs.LocalFileSystem):
-        flat = np.memmap(f"{path}.bin", dtype, "r")
-        return (lambda a, b: flat[a:b]), map(tuple, iter(np.memmap(f"{path}.idx", "<i8", "r").reshape(-1, 2).tolist()))
-    width, held = np.dtype(dtype).itemsize, files.open_input_file(f"{path}.bin")
-    index = np.frombuffer(files.open_input_file(f"{path}.idx").readall(), "<i8").reshape(-1, 2)
-    return (lambda a, b: np.frombuffer(held.read_at((b - a) * width, a * width), dtype)), map(tuple, index.tolist())
+        flat, index = np.memmap(f"{path}.bin", dtype, "r"), np.memmap(f"{path}.idx", "<i8", "r").reshape(-1, 2)
+        return (lambda a, b: flat[a:b]), _pairs(len(index), lambda a, b: index[a:b])
+    width, held, entries = np.dtype(dtype).itemsize, files.open_input_file(f"{path}.bin"), files.open_input_file(f"{path}.idx")
+    return (lambda a, b: np.frombuffer(held.read_at((b - a) * width, a * width), dtype)), _pairs(entries.size() // 16, lambda a, b: np.frombuffer(entries.read_at((b - a) * 16, a * 16), "<i8").reshape(-1, 2))
+
+
+def _pairs(n: int, read) -> Iterator[tuple[int | None, int]]:
+    for at in range(0, n, INDEX_AT):
+        for key, end in read(at, min(n, at + INDEX_AT)).tolist():
+            yield None if key == NULL_ID else key, end
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
@@ -264,7 +271,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
                 size += len(packed) + len(end)
                 total += len(packed) // width + 1
                 n_docs += 1
-                index.append((key, total))
+                if key == NULL_ID:
+                    raise ValueError("the least 64-bit integer stands for a null id")
+                index.append((NULL_ID if key is None else key, total))
                 if size >= WRITE_AT or len(index) >= 1 << 16:
                     flat.write(b"".join(held))
                     idx.write(np.array(index, "<i8").tobytes())
@@ -279,7 +288,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
             files.move(f"{path}.{x}.tmp", f"{path}.{x}")
         yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "stem": [stem], "n_docs": [n_docs], "n_tokens": [total]})
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "t")
+    size = docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0
+    shards = max(shuffle_partitions(spark), -(-size // SHARD_BYTES))
+    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange(shards, "id").sortWithinPartitions("id", "t")
     written = sorted(ordered.mapInArrow(run, "k int, stem string, n_docs bigint, n_tokens bigint").collect())  # one row for each shard
     bases = np.concatenate([[0], np.cumsum([r["n_tokens"] for r in written])]).tolist()
     return TokenFiles(spark, dtype, tuple((r["stem"], r["n_docs"], r["n_tokens"], b) for r, b in zip(written, bases, strict=False)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import re
 
 import pytest
@@ -17,8 +18,6 @@ from quillon.llm import license_scan, quality_rules, url_filter
 
 def test_escape_round_trip_and_no_control_string_left(spark):
     parts = [*chat.CONTROL, "<", "[", "\\", "|", "a", "\n", "<|", "im_end|>", "/s>"]
-    import random
-
     rng = random.Random(3)
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(500)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"))
@@ -73,7 +72,7 @@ def brute_url(url, rules):
 
 
 def test_url_rules_equal_brute_force(spark):
-    import random
+
 
     rng = random.Random(5)
     labels = ["com", "net", "a", "b", "x-y"]
@@ -166,3 +165,61 @@ def test_wrapped_and_embedded_notices_are_found(spark):
     assert {(k, 61, n) for k, n in enumerate(names)} <= got and (4, 1, "MIT/notice") in got
     at = 61 + 60 + len(wrap("MIT/text", "# ").split("\n"))
     assert {(6, 61, "MIT/text"), (6, at, "MIT/text")} <= got and not any(i == 5 for i, _, _ in got)
+
+
+def licenses_by_hand(text, templates, threshold):
+    """All units and all windows between bigrams of a template, in plain loops."""
+    norm = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).split()
+    grams = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    held = {n: set(license_scan.bigrams_of(t)) for n, t in sorted(templates.items())}
+    lines = text.split("\n")
+    units = []
+    for line, t in [*enumerate(lines, 1), *([(0, text)] if len(lines) > 1 else [])]:
+        own = set(grams(norm(t)))
+        scored = [(2.0 * len(own & b) / (len(own) + len(b)), n, len(own & b)) for n, b in held.items() if own]
+        best = max((s[0] for s in scored), default=0)
+        if best >= threshold:
+            units.append((line, *next(s for s in scored if s[0] == best)))
+    of = [k for k, t in enumerate(lines, 1) for _ in norm(t)]
+    pairs, found = grams(norm(text)), []
+    for name, b in held.items():
+        hits = [k for k, g in enumerate(pairs) if g in b]
+        for s in hits:
+            best = None
+            for e in hits:
+                if s <= e and e - s < len(b) * (2 - threshold) / threshold:
+                    own = set(pairs[s : e + 1])
+                    dice = 2.0 * len(own & b) / (len(own) + len(b))
+                    if dice >= threshold and (best is None or dice > best[1]):
+                        best = (len(own & b), dice, -s, e, name)
+            if best:
+                found.append(best)
+    kept = []
+    for x in sorted(found, reverse=True):
+        if not any(-y[2] <= x[3] + 1 and -x[2] <= y[3] + 1 for y in kept):
+            kept.append(x)
+    out = [(line, name, dice) for line, dice, name, _ in units]
+    for shared, dice, s, e, name in kept:
+        if not any(u[3] >= shared and (u[0] == 0 or of[-s] <= u[0] <= of[e + 1]) for u in units):
+            out.append((of[-s], name, dice))
+    return out
+
+
+def test_license_passages_against_all_windows(spark):
+    rng = random.Random(31)
+    templates = {"A/x": "one two three four five six seven", "B/x": "two three four five blue red", "C/x": "alpha beta gamma delta"}
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            words = rng.choice([*templates.values(), "a b c d e f g", "one two red"]).split()
+            for _ in range(rng.randint(0, 2)):
+                words.insert(rng.randint(0, len(words)), rng.choice(["a", "b", "two", "blue"]))
+            parts.append(rng.choice([" ", "\n", " . "]).join(words) if rng.random() < 0.5 else "".join(w + rng.choice([" ", " ", "\n"]) for w in words))
+        texts.append(rng.choice([" ", "\n", "\n\n"]).join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold in (0.6, 0.8):
+        got = sorted((r["doc_id"], r["line"], r["license"], round(r["dice"], 12)) for r in license_scan.scan(df, templates, threshold).collect())
+        want = sorted((k, line, name, round(dice, 12)) for k, t in enumerate(texts) for line, name, dice in licenses_by_hand(t, templates, threshold))
+        assert got == want
+        assert any(x[1] > 0 for x in got)

@@ -82,3 +82,16 @@ def test_word_cache_equals_library():
     texts = ["".join(rng.choices(ALPHABET, k=rng.randint(0, 16))) for _ in range(4000)]
     for t, got in zip(texts, own.encode_many(texts), strict=True):
         assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_token_files_null_ids_slices_and_shards(spark, monkeypatch):
+    path = registry.vocabulary("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(None, "b c"), (3, "x"), (None, None), (-(1 << 63) + 1, "y z")], "doc_id long, text string")
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 1)
+    got = token_files.write(docs, shared_dir(spark), path).read().collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"], r["n_tokens"]) for r in got if r["doc_id"] is not None) == [(True, -(1 << 63) + 1, 3), (True, 3, 2)]
+    assert sorted(r["n_tokens"] for r in got if r["doc_id"] is None) == [1, 3] and min(got, key=lambda r: r["start"])["doc_id"] is None
+    monkeypatch.setattr(token_files, "INDEX_AT", 2)
+    assert [x for x in token_files._pairs(5, lambda a, b: np.array([[k, k + 1] for k in range(a, b)]))] == [(k, k + 1) for k in range(5)]
+    with pytest.raises(Exception, match="least 64-bit"):
+        token_files.write(spark.createDataFrame([(-(1 << 63), "b")], docs.schema), shared_dir(spark), path)
