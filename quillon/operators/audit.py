@@ -102,7 +102,9 @@ def god_objects(members: DataFrame, owners: DataFrame, classes: int = MOST_METHO
 
 
 def undefined_concepts(concepts: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Concepts (id, concept) that no node's name or description holds, whatever the case (definitions: name, description).
+    """Concepts (id, concept) that no other node's name or description holds, whatever the case (definitions: id, name, description).
+
+    Of the nodes that define a concept the least and the greatest id are kept: where they differ every node has one beside itself.
 
     Containment is an equality with one of the definitions' runs of GRAM letters: a concept is looked up by its rarest run, and
     only texts with that run are compared. A concept shorter than a run is compared by all of it, as runs of each length are kept.
@@ -110,15 +112,16 @@ def undefined_concepts(concepts: DataFrame, definitions: DataFrame) -> DataFrame
     wanted = concepts.select(F.lower("concept").alias("_c")).where("_c <> ''").distinct()
     runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda k: F.substr(c, k, F.lit(n) if isinstance(n, int) else n)))
     short = wanted.where(F.length("_c") < GRAM).select(F.length("_c").alias("n")).distinct().where("n > 0")
-    text = definitions.select(F.explode(F.array_distinct(F.array_compact(F.array(F.lower("name"), F.lower("description"))))).alias("_t")).distinct()
-    keyed = text.select("_t", F.explode(runs(F.col("_t"), GRAM)).alias("_g")).where(F.length("_g") == GRAM)
-    little = text.join(F.broadcast(short), F.length("_t") >= F.col("n")).select("_t", F.explode(runs(F.col("_t"), F.col("n"))).alias("_g"))  # fewer than GRAM lengths
+    text = definitions.select("id", F.explode(F.array_distinct(F.array_compact(F.array(F.lower("name"), F.lower("description"))))).alias("_t")).groupBy("_t").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    keyed = text.select("_t", "_low", "_high", F.explode(runs(F.col("_t"), GRAM)).alias("_g")).where(F.length("_g") == GRAM)
+    little = text.join(F.broadcast(short), F.length("_t") >= F.col("n")).select("_t", "_low", "_high", F.explode(runs(F.col("_t"), F.col("n"))).alias("_g"))  # fewer than GRAM lengths
     index = keyed.unionByName(little)
     counts = index.groupBy("_g").agg(F.count("*").alias("_n"))
     picked = wanted.select("_c", F.explode(F.when(F.length("_c") >= GRAM, runs(F.col("_c"), GRAM)).otherwise(F.array("_c"))).alias("_g")).join(counts, "_g", "left")
     rarest = picked.groupBy("_c").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g"))).alias("_g"))
-    defined = rarest.join(index, "_g").where(F.contains("_t", F.col("_c"))).select("_c").distinct()
-    gone = concepts.join(defined, F.lower("concept") == F.col("_c"), "left_anti").select("id", "concept").distinct()
+    defined = rarest.join(index, "_g").where(F.contains("_t", F.col("_c"))).groupBy("_c").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    elsewhere = (F.lower("concept") == F.col("_c")) & ((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id")))
+    gone = concepts.join(defined, elsewhere, "left_anti").select("id", "concept").distinct()
     return finding(gone, "semantic_orphan", "candidate", F.array(F.col("id").cast("string")), F.concat(F.lit("undefined: "), F.col("concept")), F.col("concept"))
 
 

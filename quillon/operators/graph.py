@@ -205,6 +205,10 @@ def strong_components(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "cycle"])
 
 
+#: Rounds of forces of the largest component and of the others. Fixed values.
+ROUNDS_GIANT, ROUNDS_OTHER = 120, 70
+
+
 def clean_edges(edges: DataFrame) -> DataFrame:
     """Undirected edges once, loops gone."""
     return edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
@@ -299,20 +303,23 @@ def separate(position: np.ndarray, least: float, rounds: int = 14) -> np.ndarray
 def layout(edges: DataFrame) -> DataFrame:
     """(label, id, x, y): a deterministic layout of each connected component, by the same steps at every size.
 
-    A component is laid out in one task, in memory of its nodes and edges.
+    The largest component (of equal ones that with the smallest label) gets ROUNDS_GIANT rounds of forces, every other one ROUNDS_OTHER. A
+    component is laid out in one task, in memory of its nodes and edges.
     """
     clean = clean_edges(edges)
     labels = components(clean)
+    giant = labels.groupBy("label").agg(F.count("*").alias("n")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("_giant"))  # one row
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         src, dst = group["src"].to_numpy(), group["dst"].to_numpy()
         ids = np.unique(np.concatenate([src, dst]))
         pairs = np.stack([np.searchsorted(ids, src), np.searchsorted(ids, dst)], axis=1)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        x = separate(spiral(force(spectral(len(ids), pairs) * 100, pairs, 120 if len(ids) < 500 else 70)), 8.0)
+        x = separate(spiral(force(spectral(len(ids), pairs) * 100, pairs, ROUNDS_GIANT if group["giant"].iloc[0] else ROUNDS_OTHER)), 8.0)
         return pd.DataFrame({"label": group["label"].iloc[0], "id": ids, "x": x[:, 0], "y": x[:, 1]})
 
-    return clean.join(labels.withColumnRenamed("id", "src"), "src").groupBy("label").applyInPandas(place, "label long, id long, x double, y double")
+    of = clean.join(labels.withColumnRenamed("id", "src"), "src").crossJoin(F.broadcast(giant)).withColumn("giant", F.col("label") == F.col("_giant")).drop("_giant")
+    return of.groupBy("label").applyInPandas(place, "label long, id long, x double, y double")
 
 
 def placed(layouts: DataFrame) -> DataFrame:

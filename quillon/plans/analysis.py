@@ -45,7 +45,7 @@ DETECTORS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
     "duplicates": lambda t: audit.duplicates(_typed(t)),
     "orphan_references": lambda t: audit.orphan_citations(t["nodes"].select("id", F.explode(citations(F.coalesce("body", F.lit("")))).alias("target")), t["nodes"]),
     "contradictions": lambda t: audit.contradictions(_typed(t), t["nodes"]),
-    "semantic_orphans": lambda t: audit.undefined_concepts(t["nodes"].select("id", F.explode(concepts(F.coalesce("body", F.lit("")))).alias("concept")), t["nodes"].select("name", "description")),
+    "semantic_orphans": lambda t: audit.undefined_concepts(t["nodes"].select("id", F.explode(concepts(F.coalesce("body", F.lit("")))).alias("concept")), t["nodes"].select("id", "name", "description")),
     "dead_code": lambda t: audit.dead_code(t["nodes"].where(F.col("type").isin(*CALLABLE)), _edges(t, "calls")),
     "god_object": _god,
     "cyclic_imports": lambda t: audit.import_cycles(graph.cycles(_edges(t, "imports"))),

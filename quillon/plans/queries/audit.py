@@ -75,11 +75,11 @@ def _(s, d):
     return _god(s, d).select(F.array_join("node_ids", ",").alias("ids"), "severity", "description")
 
 
-@query("semantic_orphans", o("nodes", "WITH c AS (SELECT id, 'Concept_' || (id % 37) || '_x' AS concept FROM v_nodes UNION ALL SELECT id, 'node_' || (id % 300) FROM v_nodes), t AS (SELECT lower(name) AS t FROM v_nodes UNION SELECT lower('The CONCEPT_' || (id % 20) || '_Xs') FROM v_nodes) SELECT DISTINCT id, concept FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(t.t, lower(c.concept)))"))
+@query("semantic_orphans", o("nodes", "WITH c AS (SELECT id, 'Concept_' || (id % 37) || '_x' AS concept FROM v_nodes UNION ALL SELECT id, 'node_' || (id % 300) FROM v_nodes), t AS (SELECT id, lower(name) AS t FROM v_nodes UNION SELECT id, lower('The CONCEPT_' || (id % 20) || '_Xs') FROM v_nodes) SELECT DISTINCT id, concept FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.id <> c.id AND contains(t.t, lower(c.concept)))"))
 def _(s, d):
     n = v.nodes(s, d)
     c = n.select("id", F.concat(F.lit("Concept_"), F.col("id") % 37, F.lit("_x")).alias("concept")).unionByName(n.select("id", F.concat(F.lit("node_"), F.col("id") % 300).alias("concept")))
-    defs = n.select("name", F.concat(F.lit("The CONCEPT_"), F.col("id") % 20, F.lit("_Xs")).alias("description"))
+    defs = n.select("id", "name", F.concat(F.lit("The CONCEPT_"), F.col("id") % 20, F.lit("_Xs")).alias("description"))
     return a.undefined_concepts(c, defs).select(F.col("node_ids")[0].cast("long").alias("id"), F.col("locus").alias("concept"))
 
 
@@ -111,7 +111,7 @@ def _(s, d):
 @query("findings_tally", o("members code_edges", f"SELECT 'god_object' AS type, count(*)::BIGINT AS n FROM ({_GOD}) HAVING count(*) > 0 UNION ALL SELECT 'dead_code', count(*)::BIGINT FROM part WHERE p_partkey NOT IN (SELECT dst FROM v_code_edges) UNION ALL SELECT 'semantic_orphans', count(*)::BIGINT FROM part"))
 def _(s, d):
     symbols = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("_p"), "p_partkey").alias("name"))
-    missing = a.undefined_concepts(symbols.select("id", F.concat(F.lit("Absent_"), "id").alias("concept")), symbols.select("name", F.lit(None).cast("string").alias("description")))
+    missing = a.undefined_concepts(symbols.select("id", F.concat(F.lit("Absent_"), "id").alias("concept")), symbols.select("id", "name", F.lit(None).cast("string").alias("description")))
     return a.tally(_god(s, d).unionByName(a.dead_code(symbols, v.code_edges(s, d))).unionByName(missing))
 
 

@@ -40,6 +40,7 @@ KEYS: dict[str, tuple[str, ...]] = {
     "audit_queue": ("fingerprint",), "file_index": ("path",), "governance_ledger": ("session_id", "rule_id", "step"), "governance_touched": ("session_id", "file_path"),
     "chunks": ("node_id", "chunk_idx"),
 }
+#: Relations that hold both ways, and those that pass relevance on. Fixed values.
 SYMMETRIC_RELATIONS = ("applies_to", "co_occurs_with")
 PROXIMITY_RELATIONS = ("applies_to", "co_occurs_with", "supersedes", "derived_from")
 #: Relations of edges, and decisions on sources. Fixed values.
@@ -48,10 +49,12 @@ EDGE_RELATIONS = (
     "closed_by", "defines", "method_of", "imports", "calls", "routes_to", "renders", "at_endpoint",
 )
 DECISIONS = ("always_skip", "always_keep", "retry")
+#: States of a finding. Fixed values.
 STATUSES = ("open", "dismissed", "resolved")
 #: Weight of each feedback reason. Fixed values.
 SIGNALS = {"thumbs_up": 1.0, "thumbs_down": -1.0, "cite_copied": 0.5, "inferred_requery": -0.5}
 EXPLICIT = ("thumbs_up", "thumbs_down")
+#: Order of severities and of modalities. Fixed values.
 SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2, "candidate": 3}
 MODALITY_RANK = {"MUST_NOT": 3, "MUST": 2, "SHOULD": 1}
 

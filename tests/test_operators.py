@@ -311,14 +311,14 @@ def test_safeguards_count_bytes(spark):
 
 def test_concepts_are_defined_by_containment(spark):
     c = spark.createDataFrame([(1, "Tide_Level_Gauge"), (2, "tide_level"), (3, "LostThing"), (4, "abc"), (5, "zzz"), (3, "LostThing")], "id long, concept string")
-    d = spark.createDataFrame([("the TIDE_level_gaugeX", None), (None, "an ABCdef"), ("Lost Thing", "losthing")], "name string, description string")
+    d = spark.createDataFrame([(2, "the TIDE_level_gaugeX", None), (9, None, "an ABCdef"), (3, "Lost Thing", "LostThing of its own node")], "id long, name string, description string")
     got = {(r["node_ids"][0], r["locus"], r["severity"]) for r in audit.undefined_concepts(c, d).collect()}
-    assert got == {("3", "LostThing", "candidate"), ("5", "zzz", "candidate")}
+    assert got == {("2", "tide_level", "candidate"), ("3", "LostThing", "candidate"), ("5", "zzz", "candidate")}
     rng = random.Random(5)
     text = lambda n: "".join(rng.choices("abAB", k=n))
     names, asked = [text(rng.randint(0, 30)) for _ in range(40)], [text(rng.randint(1, 9)) for _ in range(120)]
-    got = audit.undefined_concepts(spark.createDataFrame(list(enumerate(asked)), "id long, concept string"), spark.createDataFrame([(n, None) for n in names], "name string, description string"))
-    assert sorted(int(r["node_ids"][0]) for r in got.collect()) == [k for k, x in enumerate(asked) if not any(x.lower() in n.lower() for n in names)]
+    got = audit.undefined_concepts(spark.createDataFrame(list(enumerate(asked)), "id long, concept string"), spark.createDataFrame([(k * 3, n, None) for k, n in enumerate(names)], "id long, name string, description string"))
+    assert sorted(int(r["node_ids"][0]) for r in got.collect()) == [k for k, x in enumerate(asked) if not any(j * 3 != k and x.lower() in n.lower() for j, n in enumerate(names))]
 
 
 def test_god_objects_by_kind(spark):
