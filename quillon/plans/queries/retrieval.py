@@ -128,8 +128,8 @@ def _edges(s, d):
     return v.code_edges(s, d).select("src", "dst", F.when(F.col("src") % 2 == 0, "co_occurs_with").otherwise("derived_from").alias("relation"), F.lit(1.0).alias("weight"))
 
 
-def components(s, d, scoring: r.Scoring):
-    return r.candidates(v.nodes(s, d), _chunks(s, d), _edges(s, d), _asked(s, d), v.NOW, _SCOPE, scoring)
+def components(s, d, scoring: r.Scoring, lexical=None):
+    return r.candidates(v.nodes(s, d), _chunks(s, d), _edges(s, d), _asked(s, d), v.NOW, _SCOPE, scoring, lexical)
 
 
 _ALL = f"WITH {_BM}, {_KN}, {_CTX}"
@@ -151,6 +151,10 @@ for _name, _fusion in (("hybrid_topk", "weighted_rrf"), ("bm25_lead_fusion", "bm
     query(_name, o("nodes chunks code_edges", f"{_ALL} SELECT qid, id, rank::BIGINT AS rank, round(score, 6) AS score FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM (SELECT qid, id, {_fused_sql(_fusion)} AS score FROM c)) WHERE rank < 5"))(_top(_fusion))
 
 
+#: The default fusion with the lexical ranking {bm} of another module.
+INDEXED_SQL = f"WITH {{bm}}, {_KN}, {_CTX} SELECT qid, id, rank::BIGINT AS rank, round(score, 6) AS score FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM (SELECT qid, id, {_fused_sql('weighted_rrf')} AS score FROM c)) WHERE rank < 5"
+
+
 @query("local_only_excluded", o("nodes chunks code_edges", f"{_ALL} SELECT qid, count(*) FILTER (local_only)::BIGINT AS excluded, count(*) FILTER (NOT local_only)::BIGINT AS kept FROM c GROUP BY qid"))
 def _(s, d):
     return components(s, d, S).groupBy("qid").agg(F.count_if("local_only").alias("excluded"), F.count_if(~F.col("local_only")).alias("kept"))

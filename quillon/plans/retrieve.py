@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,16 +49,6 @@ MOST_TERMS = 20_000
 VECTOR_BLOCK, QUERY_BLOCK = 16_384, 2_048
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """The derived index (node_id, term, tf) of documents (id, text)."""
-    return docs.select(F.col("id").alias("node_id"), F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"))
-
-
-def lengths(docs: DataFrame) -> DataFrame:
-    """The derived index (node_id, dl) of documents (id, text)."""
-    return docs.select(F.col("id").alias("node_id"), F.size(search_tokens(F.col("text"))).cast("long").alias("dl"))
-
-
 def bm25(docs: DataFrame, prompts: DataFrame) -> DataFrame:
     """(qid, id, score) of documents (id, text) for prompts (qid, prompt).
 
@@ -179,14 +170,16 @@ def pack(hits: DataFrame, budget: int, line: Column, body: Column) -> DataFrame:
     return kept.withColumn("with_body", (F.col("rank") == 0) & (total + F.col("body_tokens") <= budget))
 
 
-def candidates(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring()) -> DataFrame:
+def candidates(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring(), lexical: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The candidates of both rankers and of the graph with their six components and score, for prompts (qid, prompt, vector).
 
     nodes: the node table with a long id; vectors: (id, embedding); edges: (src, dst, relation, weight). Bodies are read for the
-    rankers only and not carried.
+    rankers only and not carried. lexical: a ranker that gives (qid, id, score) for (qid, prompt), such as the `bm25` of a stored index;
+    without one the bodies are ranked.
     """
     pool = max(2 * s.k, 40)
-    b = top(bm25(nodes.select("id", F.col("body").alias("text")), prompts.select("qid", "prompt")), pool).select("qid", "id", F.col("rank").alias("bm25_rank"))
+    asked = prompts.select("qid", "prompt")
+    b = top(lexical(asked) if lexical else bm25(nodes.select("id", F.col("body").alias("text")), asked), pool).select("qid", "id", F.col("rank").alias("bm25_rank"))
     v = knn(vectors, prompts.where("vector IS NOT NULL").select("qid", "vector"), pool).select("qid", "id", F.col("rank").alias("vec_rank"), "cosine")
     g = proximity(edges, v.select("qid", "id", F.greatest(F.col("cosine"), F.lit(0.0)).alias("score")), relations=s.relations, by=("qid",))
     asked = prompts.select("qid", "prompt", intent_tags(F.coalesce("prompt", F.lit(""))).alias("_tags"))
@@ -212,13 +205,13 @@ def reciprocal_rank(share: Column, rank: Column) -> Column:
     return F.greatest(share, F.coalesce(1.0 / (1.0 + rank), F.lit(0.0)))
 
 
-def retrieved(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring(), exclude_local_only: bool = True, prefix: str = "ref") -> DataFrame:
+def retrieved(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring(), exclude_local_only: bool = True, prefix: str = "ref", lexical: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(qid, id, pick, score, line, used, with_body, excluded): the whole retrieval as one plan for any table of prompts.
 
     Ranked candidates lose rows that may not leave the machine (excluded: how many), a pool of max(2k, 20) is diversified to
     k, and lines are packed to the token budget; bodies are joined for what is left.
     """
-    c = candidates(nodes, vectors, edges, prompts, now, scope, s).select("qid", "id", "type", "name", "local_only", "score")
+    c = candidates(nodes, vectors, edges, prompts, now, scope, s, lexical).select("qid", "id", "type", "name", "local_only", "score")
     if exclude_local_only:
         lost = F.count_if(F.coalesce("local_only", F.lit(False))).over(Window.partitionBy("qid"))
         c = c.withColumn("excluded", lost).where(~F.coalesce("local_only", F.lit(False)))
