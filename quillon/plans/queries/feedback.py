@@ -7,8 +7,10 @@ from pyspark.sql.window import Window
 
 from quillon import views as v
 from quillon.catalog import query
+from quillon.operators.graph import work_dir
 from quillon.plans import feedback as f
 from quillon.session import table
+from quillon.streaming import requery
 
 o = v.oracle
 W = {"vector": 0.40, "graph": 0.15, "recency": 0.10, "type": 0.10, "project": 0.05, "lexical": 0.20}
@@ -71,11 +73,27 @@ def _(s, d):
     return out.select("task", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "success")
 
 
-@query("requery_feedback", o("query_log", "SELECT DISTINCT p.id AS query_id, p.node_id FROM v_query_log p JOIN v_query_log n ON p.actor = n.actor AND p.id <> n.id AND n.at_s > p.at_s AND n.at_s - p.at_s <= 86400 AND p.node_id % 5 = n.node_id % 5"))
+#: Each query's vector is that of one of five prompts, which are asked again and again.
+_AGAIN = "l AS (SELECT q.*, embedding AS e FROM v_query_log q JOIN embeddings ON vec_id = node_id % 5), r AS (SELECT p.id AS query_id, p.node_id, min(n.at_s) AS created_at FROM l p JOIN l n ON p.actor = n.actor AND p.id <> n.id AND n.at_s > p.at_s AND n.at_s - p.at_s <= 300 WHERE list_sum(list_transform(range(1, 65), lambda i: p.e[i]::DOUBLE * n.e[i]::DOUBLE)) / (sqrt(list_sum(list_transform(p.e, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(n.e, lambda x: x::DOUBLE * x::DOUBLE)))) >= 0.85 GROUP BY ALL)"
+
+
+@query("requery_feedback", o("query_log", f"WITH {_AGAIN} SELECT query_id, node_id FROM r"))
+def _(s, d):
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    log = v.query_log(s, d).join(vectors, F.col("node_id") % 5 == F.col("v")).select("id", "actor", F.col("at_s").alias("at"), "embedding", F.array("node_id").alias("hits"))
+    return f.requeries(log)
+
+
+@query("requery_stream", o("query_log", f"WITH {_AGAIN} SELECT query_id, node_id, 'inferred_requery' AS reason, -0.5::DOUBLE AS signal FROM r"))
 def _(s, d):
-    one = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.when(k == F.col("node_id") % 5, 1.0).otherwise(0.0))
-    log = v.query_log(s, d).select("id", "actor", F.col("at_s").alias("at"), one.alias("embedding"), F.array("node_id").alias("hits"))
-    return f.requeries(log, window=86_400)
+    """The same of the events as a stream: state by actor, timers, and a keyed table that the stream upserts."""
+    folder = work_dir(s)
+    events = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    log = events.select(F.col("event_id").alias("id"), F.col("user_id").alias("actor"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("node_id"))
+    log = log.join(vectors, F.col("node_id") % 5 == F.col("v")).select("id", "actor", "ts", "embedding", F.array("node_id").alias("hits"))
+    requery.upserted(requery.requeried(log), f"{folder}/feedback", f"{folder}/checkpoint").awaitTermination()
+    return requery.feedback(s, f"{folder}/feedback").select("query_id", "node_id", "reason", "signal")
 
 
 @query("retune")

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.sources.files import changed
+from quillon.operators.lexicon import IndexedNodes
 
 
 def read(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1, kind: str = "parquet") -> DataFrame:
@@ -55,26 +55,36 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
     return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def ingest(files: DataFrame, state: str, parse: Callable[[DataFrame], DataFrame], checkpoint: str, report: Callable[[DataFrame, int], None] | None = None):
-    """Start incremental ingestion: each batch of new files is parsed, compared by hash to the nodes in `state` and written as a new version.
+def ingest(files: DataFrame, index: IndexedNodes, parse: Callable[[DataFrame], DataFrame], checkpoint: str, report: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None, compact_every: int = 20):
+    """Start incremental ingestion of a stream of files into an indexed node table.
 
-    Versions are numbered folders; a batch that is run again overwrites its own, so the result is exactly once.
+    parse gives node rows with `id`, `hash` and `updated_at` (seconds); a row without a hash says that its file is gone. Of a batch only
+    rows that are added or updated are written, as one epoch of nodes and index together, so bytes written follow the batch: rows
+    with a known hash are unchanged, and rows older than what is known are late and change nothing. A batch that is run again finds
+    its epoch committed. report gets (id, status) of every row: the event stream of a reindex run. A trigger of a processing time
+    collects the changes of that time into one batch.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = parse(batch)
-        if epoch == 0:
-            now, told = fresh, fresh.select("source_path", F.lit("added").alias("status"))
-        else:
-            current = spark.read.parquet(f"{state}/v={epoch - 1}")
-            told = changed(fresh, current).where("status <> 'removed'")
-            now = current.join(fresh.select("source_path"), "source_path", "left_anti").unionByName(fresh)
-        now.write.mode("overwrite").parquet(f"{state}/v={epoch}")
+        rows = parse(batch)
+        last = rows.groupBy("id").agg(F.max(F.struct("updated_at", F.col("hash").isNotNull().alias("held"), *[c for c in rows.columns if c not in ("id", "updated_at")])).alias("_r"))
+        fresh = last.select("id", "_r.updated_at", *[F.col(f"_r.{c}").alias(c) for c in rows.columns if c not in ("id", "updated_at")]).persist()
+        known = index.nodes().select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("updated_at").alias("_at"))
+        told = fresh.join(known, F.col("id") == F.col("_id"), "left").withColumn("status", status(F.col("hash"), F.col("_hash"), F.col("updated_at"), F.col("_at"))).drop("_id", "_hash", "_at").persist()
         if report:
-            report(told.groupBy("status").count(), epoch)
+            report(told.select("id", "status"), epoch)
+        index.write(told.where("status IN ('added', 'updated')").drop("status"), told.where("status = 'removed'").select("id"), epoch)
+        if len(index.store.committed()) >= compact_every:
+            index.compact()
+        told.unpersist()
+        fresh.unpersist()
 
-    return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def status(new: Column, old: Column, at: Column, then: Column) -> Column:
+    """What a file's row is to the known one: absent, added, late, removed, unchanged or updated."""
+    return F.when(old.isNull() & new.isNull(), "absent").when(old.isNull(), "added").when(at < then, "late").when(new.isNull(), "removed").when(new == old, "unchanged").otherwise("updated")
 
 
 def evidence(events: DataFrame, late: str = "1 day") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators.lexicon import IndexedNodes
 from quillon.sources import files
 from quillon.streaming import events as e
 
@@ -55,21 +56,43 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert "2024-01-10" in days and "2024-01-01" not in days
 
 
+COLUMNS = "id string, type string, name string, description string, body string, source_path string, project_key string, base boolean, local_only boolean, hash string, frontmatter_json string, updated_at long"
+
+
+def parse(batch):
+    made = files.parsed(batch.select(F.regexp_extract("path", "[^/]*$", 0).alias("path"), "content"), "docs_dir")
+    at = batch.select(F.sha1(F.regexp_extract("path", "[^/]*$", 0).cast("binary")).alias("id"), F.unix_timestamp("modificationTime").alias("updated_at"), (F.col("length") == 0).alias("gone"))
+    return made.join(at, "id").withColumn("hash", F.when(~F.col("gone"), F.col("hash"))).drop("gone")
+
+
 def test_incremental_ingest(spark, tmp_path):
+    """Added, updated, unchanged, late and removed files; each epoch writes its batch only, and a new checkpoint replays without effect."""
     told = []
-    inbox = tmp_path / "inbox"
-    inbox.mkdir()
+    index = IndexedNodes(spark, str(tmp_path / "state"), COLUMNS)
     schema = spark.read.format("binaryFile").load(str(tmp_path)).schema
 
-    def go():
-        stream = spark.readStream.schema(schema).format("binaryFile").load(str(inbox))
-        parse = lambda b: files.parsed(b.select(F.regexp_extract("path", "[^/]*$", 0).alias("path"), "content"), "docs_dir")
-        e.ingest(stream, str(tmp_path / "state"), parse, str(tmp_path / "ck"), lambda df, k: told.append({r["status"]: r["count"] for r in df.collect()})).awaitTermination()
-
-    (inbox / "a.md").write_text("one")
-    (inbox / "b.md").write_text("two")
-    go()
-    (inbox / "c.md").write_text("three")
-    go()
-    assert told == [{"added": 2}, {"added": 1}]
-    assert spark.read.parquet(str(tmp_path / "state" / "v=1")).count() == 3
+    def go(batch, checkpoint="ck"):
+        e.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / batch)), index, parse, str(tmp_path / checkpoint), lambda df, k: told.append({r["status"]: r["count"] for r in df.groupBy("status").count().collect()}), compact_every=4).awaitTermination()
+
+    def put(name, rows):
+        frame = spark.createDataFrame([(f"/x/{p}", at, len(c), bytearray(c.encode())) for p, at, c in rows], "path string, at long, length long, content binary")
+        frame.select("path", F.timestamp_seconds("at").alias("modificationTime"), "length", "content").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    big = [(f"f{k}.md", 10, f"page {k} " + "tide level gauge " * 50 + f" word{k}") for k in range(300)]
+    put("in", [*big, ("a.md", 10, "one harbor"), ("b.md", 10, "two crane")])
+    go("in")
+    put("in", [("a.md", 20, "one wind"), ("b.md", 20, "two crane"), ("f1.md", 5, "older"), ("f2.md", 30, ""), ("nowhere.md", 30, "")])
+    go("in")
+    assert told == [{"added": 302}, {"updated": 1, "unchanged": 1, "late": 1, "removed": 1, "absent": 1}]
+    assert index.store.bytes_of(1) < index.store.bytes_of(0) / 4
+    put("in", [("c.md", 40, "three harbor")])
+    go("in")
+    put("in", [("c.md", 50, "three harbor")])
+    go("in")
+    assert told[2:] == [{"added": 1}, {"unchanged": 1}] and index.store.committed() == [] and index.store.base() == 3
+    assert index.nodes().count() == 302
+    hits = index.bm25(spark.createDataFrame([(1, "harbor"), (2, "wind")], "qid long, prompt string")).join(index.nodes(), "id")
+    assert sorted((r["qid"], r["source_path"]) for r in hits.collect()) == [(1, "c.md"), (2, "a.md")]
+    before = sorted(r["hash"] for r in index.nodes().collect())
+    go("in", "other")  # all files once more, as one late batch whose epoch is taken
+    assert sorted(r["hash"] for r in index.nodes().collect()) == before
