@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import has_negation, is_stale, nonempty_lines, private_symbol, test_symbol
+from quillon.operators import cells
 
 FINDING = ("type", "severity", "node_ids", "description", "locus")
-#: Vectors that one block of a similarity join holds.
-BLOCK_ROWS = 2048
 #: Methods of a class and definitions of a module beyond which they are reported. Fixed values.
 MOST_METHODS, MOST_DEFINITIONS = 25, 30
 #: Letters of the runs by which texts that hold a concept are found; concepts have six letters at least.
@@ -36,31 +31,9 @@ def stale(nodes: DataFrame) -> DataFrame:
 def similar_pairs(vectors: DataFrame, low: float, high: float = 2.0, bucket: str | None = None) -> DataFrame:
     """(a, b, cosine) for pairs of one bucket with low <= cosine <= high, a < b; vectors are (id, embedding[, bucket]).
 
-    Exact and blocked: each bucket is dealt into blocks, every pair of blocks is one task's matrix product,
-    and only pairs inside the band leave it. Work is quadratic in a bucket, memory is not.
+    Exact, through the cells of `cells`: what their bounds rule out is not compared.
     """
-    v = vectors.select(F.col("id").cast("long").alias("id"), "embedding", (F.col(bucket) if bucket else F.lit("")).alias("bucket"))
-    sizes = v.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = v.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    copies = dealt.select("id", "embedding", "bucket", "block", F.explode(others).alias("pair")).select("id", "embedding", "bucket", "block", "pair.i", "pair.j")
-
-    def product(key: tuple, groups: Iterator[pa.RecordBatch]) -> pa.Table:
-        table = pa.Table.from_batches(list(groups)) if not isinstance(groups, pa.Table) else groups
-        i, j = key[1].as_py(), key[2].as_py()
-        ids = table.column("id").to_numpy()
-        block = table.column("block").to_numpy()
-        x = np.array(table.column("embedding").to_pylist(), np.float64)
-        norm = np.sqrt((x**2).sum(axis=1))
-        x = x / np.where(norm == 0, 1, norm)[:, None]
-        left, right = block == i, block == j
-        c = x[left] @ x[right].T
-        a, b = np.nonzero((c >= low) & (c <= high))
-        one, two = ids[left][a], ids[right][b]
-        keep = one < two if i == j else one != two
-        return pa.table({"a": pa.array(np.minimum(one, two)[keep], pa.int64()), "b": pa.array(np.maximum(one, two)[keep], pa.int64()), "cosine": pa.array(c[a, b][keep], pa.float64())})
-
-    return copies.groupBy("bucket", "i", "j").applyInArrow(lambda key, t: product(key, t), "a long, b long, cosine double")
+    return cells.pairs(vectors, low, high, bucket)
 
 
 def duplicates(vectors: DataFrame, threshold: float = 0.95, bucket: str | None = "type") -> DataFrame:

@@ -8,7 +8,7 @@ from quillon import views as v
 from quillon.catalog import query
 from quillon.functions import text as t
 from quillon.functions.vectors import cosine, l2, l2_to_cosine, recency
-from quillon.operators import graph
+from quillon.operators import cells, graph
 from quillon.plans import retrieve as r
 from quillon.session import table
 
@@ -66,6 +66,12 @@ def _(s, d):
     return r.knn(_chunks(s, d), _vectors(s, d), 10).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("cosine", 6).alias("cosine"))
 
 
+@query("vec_knn_cells", o("chunks", f"WITH {_KN} SELECT qid, id, rank::BIGINT AS rank, round(cosine, 6) AS cosine FROM vr WHERE rank < 10"))
+def _(s, d):
+    """The same through the stored cells, whose bounds leave the search exact."""
+    return r.top(cells.VectorCells(_chunks(s, d)).candidates(_vectors(s, d), 10), 10, "cosine").select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("cosine", 6).alias("cosine"))
+
+
 @query("vec_knn_filtered", o("chunks nodes", f"WITH {_Q}, cs AS (SELECT q.qid, c.node_id AS id, {_COS} AS cosine FROM v_chunks c JOIN v_nodes n ON c.node_id = n.id, q WHERE n.type = 'memory_project' AND (n.project_key = 'src1' OR n.base)), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 9) DESC, id) - 1 AS rank FROM cs) SELECT qid, id, rank::BIGINT AS rank, round(cosine, 6) AS cosine FROM vr WHERE rank < 5"))
 def _(s, d):
     n = v.nodes(s, d).where("type = 'memory_project' AND (project_key = 'src1' OR base)").select("id")
