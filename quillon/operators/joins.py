@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from quillon.functions.text import ancestors
 
 #: Lines of one bucket of an interval join: a range is copied to each bucket that it touches.
 BUCKET = 64
+#: Names of one automaton, and bytes of text that a group of a scan in blocks reads.
+NAMES, TEXT_BYTES = 50_000, 32 << 20
 
 
 def overlaps(left: DataFrame, right: DataFrame, on: str, bucket: int = BUCKET) -> DataFrame:
@@ -41,13 +48,65 @@ def unowned(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     return nodes.join(owned(nodes, sources).select("id").distinct(), "id", "left_anti")
 
 
-def named_in(texts: DataFrame, names: DataFrame, separator: str = r"[^A-Za-z0-9_]+") -> DataFrame:
-    """(text_id, name_id): names (name_id, name) that stand in texts (text_id, text) between word edges.
+def named_in(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(text_id, name_id): names (name_id, name) that stand in texts (text_id, text) between word edges, each pair once.
 
-    Names of one word meet by equality with the text's words, so no text is tried against every name.
+    Names may have blanks, overlap and repeat. An automaton of a block of names reads a text once, whatever the number of names; NAMES
+    names are one block, which goes to every task. More names are dealt into blocks of that size, and each text meets each block in groups
+    of at most about TEXT_BYTES. A null or empty name stands nowhere.
     """
-    words = texts.select("text_id", F.explode(F.array_distinct(F.split("text", separator))).alias("name")).where("name <> ''")
-    return words.join(names, "name").select("text_id", "name_id").distinct()
+    given = names.where("name <> ''").select("name_id", "name")
+    blocks = max(1, -(-given.count() // NAMES))
+    kinds = [f.dataType for f in (texts.schema["text_id"], names.schema["name_id"])]
+    schema = T.StructType([T.StructField("text_id", kinds[0]), T.StructField("name_id", kinds[1])])
+    x = texts.where("text <> ''").select("text_id", "text")
+    if blocks == 1:
+        held = [(r["name_id"], r["name"]) for r in given.collect()]  # at most NAMES rows
+
+        def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader = automaton(held)
+            for part in parts:
+                yield found_in(reader, part, schema)
+
+        return x.mapInArrow(scan, schema).distinct()
+    salts = max(1, -(-(x.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // TEXT_BYTES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = x.withColumn("salt", F.pmod(F.xxhash64("text_id", "text"), F.lit(salts))).withColumn("block", every(blocks))
+    right = given.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")).withColumn("salt", every(salts))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        reader = automaton(list(zip(b.column("name_id").to_pylist(), b.column("name").to_pylist(), strict=True)))
+        return pa.Table.from_batches([found_in(reader, part, schema) for part in a.to_batches()], to_arrow_schema(schema))
+
+    return left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(meet, schema).distinct()
+
+
+def automaton(names: list[tuple]):
+    """An Aho-Corasick automaton whose entries have their length and all ids of a name; null without names."""
+    import ahocorasick
+
+    out, ids = ahocorasick.Automaton(), {}
+    for key, name in names:
+        ids.setdefault(name, set()).add(key)
+    for name, keys in ids.items():
+        out.add_word(name, (len(name), keys))
+    if ids:
+        out.make_automaton()
+    return out if ids else None
+
+
+def found_in(reader, part: pa.RecordBatch, schema: T.StructType) -> pa.RecordBatch:
+    """The names that stand in a batch's texts with no letter, digit or underscore on either side."""
+    word = lambda c: c.isalnum() or c == "_"
+    out: list[tuple] = []
+    for key, text in zip(part.column("text_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+        held: set = set()
+        for end, (size, keys) in reader.iter(text) if reader else ():
+            if (end + 1 == len(text) or not word(text[end + 1])) and (end == size - 1 or not word(text[end - size])):
+                held |= keys
+        out += [(key, k) for k in held]
+    arrow = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], arrow.types[k]) for k in range(2)], schema=arrow)
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:

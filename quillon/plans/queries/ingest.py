@@ -70,6 +70,39 @@ def _(s, d):
     return code.keyed(code.units(x)).select("path", "kind", "name", "parent", "line_start", "line_end", "key")
 
 
+@query("script_units", o("nodes", """WITH x AS (SELECT id, 'src/m' || id || '.ts' AS path FROM v_nodes)
+SELECT path, 'module' AS kind, 'm' || id AS name, NULL AS parent, 1 AS line_start, 11 AS line_end, '' AS calls, './m' || (id % 7) AS imports FROM x
+UNION ALL SELECT path, 'class', 'C' || id, NULL, 3, 5, '', '' FROM x
+UNION ALL SELECT path, 'method', 'run' || (id % 3), 'C' || id, 4, 4, 'this.go,.f' || id, '' FROM x
+UNION ALL SELECT path, 'function', 'f' || id, NULL, 6, 9, '.g' || (id % 5) || ',.h', '' FROM x
+UNION ALL SELECT path, 'route', 'GET /p/' || (id % 11), NULL, 10, 10, '', '' FROM x"""))
+def _(s, d):
+    k, line = F.col("id"), F.regexp_replace(F.substring(F.coalesce("body", F.lit("")), 1, 200), "[\n\r]", " ")
+    source = F.concat(
+        F.lit("import x from './m"), k % 7, F.lit("'\n// "), line, F.lit("\nexport class C"), k, F.lit(" {\n  run"), k % 3, F.lit("(a) { return this.go('}') + f"), k, F.lit("(a) }\n}\n"),
+        F.lit("async function f"), k, F.lit("(q = '{') {\n  /* } "), F.replace(line, F.lit("*/")), F.lit(" */ const t = `{ ${g"), k % 5, F.lit("(q)} `; each.x = (y) => lost(y)\n  return h(t)\n}\napp.get('/p/"), k % 11, F.lit("', q)\n"),
+    )
+    x = v.nodes(s, d).select(F.concat(F.lit("src/m"), k, F.lit(".ts")).alias("path"), source.alias("text"))
+    called = F.array_join(F.transform("calls", lambda c: F.concat_ws(".", F.coalesce(c["receiver"], F.lit("")), c["name"])), ",")
+    return code.units(x).select("path", "kind", "name", "parent", "line_start", "line_end", called.alias("calls"), F.array_join("imports", ",").alias("imports"))
+
+
+@query("go_units", o("nodes", """WITH x AS (SELECT id, 'm' || id || '.go' AS path FROM v_nodes)
+SELECT path, 'module' AS kind, 'm' || id AS name, NULL AS parent, 1 AS line_start, 10 AS line_end, '' AS calls, 'fmt,lib' || (id % 4) AS imports FROM x
+UNION ALL SELECT path, 'class', 'T' || id, NULL, 5, 5, '', '' FROM x
+UNION ALL SELECT path, 'method', 'Run' || (id % 3), 'T' || id, 6, 8, 'fmt.Print,.g' || (id % 5), '' FROM x
+UNION ALL SELECT path, 'function', 'f' || id, NULL, 9, 9, '', '' FROM x"""))
+def _(s, d):
+    k, line = F.col("id"), F.regexp_replace(F.regexp_replace(F.substring(F.coalesce("body", F.lit("")), 1, 200), "[\n\r]", " "), "`", "'")
+    source = F.concat(
+        F.lit("package m\nimport \"fmt\"\nimport (\"lib"), k % 4, F.lit("\")\n// "), line, F.lit("\ntype T"), k, F.lit(" struct { a int `}` }\nfunc (t *T"), k, F.lit(") Run"), k % 3, F.lit("(x int) (struct{}, error) {\n  fmt.Print(`"), line,
+        F.lit("`, func() { lost() }); g"), k % 5, F.lit("('}')\n}\nfunc f"), k, F.lit("() {}\n"),
+    )
+    x = v.nodes(s, d).select(F.concat(F.lit("m"), k, F.lit(".go")).alias("path"), source.alias("text"))
+    called = F.array_join(F.transform("calls", lambda c: F.concat_ws(".", F.coalesce(c["receiver"], F.lit("")), c["name"])), ",")
+    return code.units(x).select("path", "kind", "name", "parent", "line_start", "line_end", called.alias("calls"), F.array_join("imports", ",").alias("imports"))
+
+
 @query("code_edges")
 def _(s, d):
     source = F.concat(F.lit("import m"), F.col("s_suppkey") % 7 + 1, F.lit("\n@app.get('/p"), F.col("s_suppkey") % 5, F.lit("')\ndef f():\n    return g()\ndef g():\n    pass\n"))

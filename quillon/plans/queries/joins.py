@@ -27,10 +27,13 @@ def _(s, d):
     return joins.unowned(v.nodes(s, d), s.sql("SELECT explode(array('docs/src1', 'docs/src2')) AS path")).select("id")
 
 
-@query("word_containment", o("nodes", "SELECT DISTINCT n.id AS text_id, w.name_id FROM v_nodes n JOIN (VALUES (1, 'the'), (2, 'inthe'), (3, 'Die'), (4, 'absent')) w(name_id, name) ON list_contains(regexp_split_to_array(n.body, '[^A-Za-z0-9_]+'), w.name)"))
+@query("word_containment", o("nodes", r"WITH w AS (SELECT item_id::VARCHAR AS name_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '')[1:3], ' ') AS name FROM benchmark UNION ALL VALUES ('-1', 'the'), ('-2', 'inthe'), ('-3', 'Die'), ('-4', 'the'), ('-5', '')) m AS MATERIALIZED (SELECT n.id AS text_id, w.name_id, w.name, n.body FROM v_nodes n JOIN w ON w.name <> '' AND contains(n.body, w.name)) SELECT DISTINCT text_id, name_id FROM m WHERE regexp_matches(body, '(^|[^\p{L}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{N}_])')"))
 def _(s, d):
-    names = s.sql("SELECT * FROM VALUES (1, 'the'), (2, 'inthe'), (3, 'Die'), (4, 'absent') AS t(name_id, name)")
-    return joins.named_in(v.nodes(s, d).select(F.col("id").alias("text_id"), F.col("body").alias("text")), names)
+    """The first three words of each benchmark item, and some names of one word, in all nodes."""
+    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda x: x != "")
+    names = table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("name_id"), F.array_join(F.slice(words, 1, 3), " ").alias("name"))
+    more = s.sql("SELECT CAST(k AS string) AS name_id, name FROM VALUES (-1, 'the'), (-2, 'inthe'), (-3, 'Die'), (-4, 'the'), (-5, '') AS t(k, name)")
+    return joins.named_in(v.nodes(s, d).select(F.col("id").alias("text_id"), F.col("body").alias("text")), names.unionByName(more))
 
 
 @query("trailer_join", o("nodes", "SELECT c.id AS commit_id, m.id AS memory FROM v_nodes c JOIN v_nodes m ON m.name = 'node_' || (c.id % 50)"))

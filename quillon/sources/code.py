@@ -1,7 +1,6 @@
 """Code files as units: modules, declarations, calls, imports, routes and components.
 
-Python is parsed with its own grammar; JavaScript, TypeScript and Go with patterns for top-level declarations, a documented
-subset. Extraction runs in Arrow batches, one file at a time, and never raises: a file that does not parse is one module unit.
+Python is parsed with its own grammar; JavaScript, TypeScript and Go by the tokens of `braces` and a descent over declarations. Extraction runs in Arrow batches, one file at a time, and never raises: a file that does not parse is one module unit.
 """
 
 from __future__ import annotations
@@ -14,10 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources.braces import MODIFIERS, OPEN, Source
 from quillon.sources.files import language
 
 UNIT = "path string, kind string, name string, parent string, line_start int, line_end int, doc string, method string, route string, calls array<struct<receiver:string,name:string,line:int>>, imports array<string>"
 VERBS = ("get", "post", "put", "delete", "patch", "head", "options", "trace")
+#: Methods of a router that name a route. Fixed values.
+ROUTERS = ("get", "post", "put", "delete", "patch", "head", "options", "all", "use")
 #: Extractors by language; register more with `EXTRACTORS[language] = f(path, source) -> list[dict]`.
 EXTRACTORS: dict[str, object] = {}
 
@@ -78,38 +80,167 @@ def python_units(path: str, source: str) -> list[dict]:
 
 
 def script_units(path: str, source: str) -> list[dict]:
-    """JavaScript and TypeScript: declarations at the start of a line, static imports, routes of `x.verb("/p")`, components and fetched endpoints."""
-    lines = source.split("\n")
-    out = [unit(path, "module", _stem(path), 1, len(lines), imports=re.findall(r"""(?m)^import\s+(?:[^'"]*\s+from\s+)?['"]([^'"]+)['"]""", source))]
-    found = re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?\s+(?P<f>\w+)|class\s+(?P<c>\w+)|(?:const|let|var)\s+(?P<v>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>|(?:const|let|var)\s+(?P<e>\w+)\s*=\s*(?:async\s+)?function)")
-    starts = [(k, m) for k, x in enumerate(lines) if (m := found.match(x))]
-    for (k, m), nxt in zip(starts, [*[s for s, _ in starts[1:]], len(lines)], strict=True):
-        name = m["f"] or m["c"] or m["v"] or m["e"]
-        text = "\n".join(lines[k:nxt])
-        calls = [{"receiver": (c[0].split(".")[0] or None) if c[0] else None, "name": c[1], "line": k + 1 + text[: text.find(c[1])].count("\n")} for c in re.findall(r"(?:\b([\w$]+)(?:\.[\w$]+)*\.)?\b([\w$]+)\s*\(", text) if c[1] not in ("if", "for", "while", "switch", "return", "function", "catch", name)]
-        kind = "class" if m["c"] else "component" if name[:1].isupper() and re.search(r"(?:return|=>|\()\s*\(?\s*<[A-Za-z>]", text) else "function"
-        out.append(unit(path, kind, name, k + 1, nxt, calls=calls))
-        if kind == "component":
-            seen = dict.fromkeys(re.findall(r"""fetch\(\s*['"`]([^'"`$]+)['"`]""", text))
-            out += [unit(path, "endpoint", f"GET {p}", k + 1, nxt, name, method="GET", route=p) for p in seen]
-    for k, x in enumerate(lines):
-        for verb, p in re.findall(r"""^(?:await\s+)?\w+\.(get|post|put|delete|patch|head|options|all|use)\(\s*['"]([^'"]+)['"]""", x):
-            out.append(unit(path, "route", f"{verb.upper()} {p}", k + 1, k + 1, method=verb.upper(), route=p))
+    """JavaScript and TypeScript: functions, function values, classes with their methods, static imports, routes of `x.verb("/p")`, components and fetched endpoints."""
+    s = Source(source, "js")
+    out = [unit(path, "module", _stem(path), 1, source.count("\n") + 1, imports=_script_imports(s))]
+
+    def function(name: str, start: int, params: int, kind: str = "function", parent: str | None = None) -> int | None:
+        """The unit of a function whose parameters open at `params`; the place after it, or null where it has no body."""
+        after = s.end.get(params, len(s.t)) + 1
+        arrow = after
+        if s.text(arrow) == ":":  # a result type before an arrow
+            while arrow < len(s.t) and s.text(arrow) not in ("=>", ";", "="):
+                arrow = s.end[arrow] + 1 if s.text(arrow) in OPEN and arrow in s.end else arrow + 1
+        if kind != "method" and s.text(arrow) == "=>":
+            begin, stop = arrow + 1, s.arrow_end(arrow + 1, len(s.t))
+        elif (begin := s.body(after)) is not None:
+            stop = s.end[begin] + 1
+        else:
+            return None
+        shown = kind == "function" and name[:1].isupper() and _returns_markup(s, begin, stop)
+        out.append(unit(path, "component" if shown else kind, name, s.t[start].line, s.t[min(stop, len(s.t)) - 1].line, parent, calls=s.calls(begin, stop)))
+        if shown:
+            fetched = [s.text(k + 2)[1:-1] for k in range(begin, stop - 2) if s.text(k) == "fetch" and s.text(k + 1) == "(" and s.t[k + 2].kind == "str" and len(s.text(k + 2)) > 2]
+            out.extend(unit(path, "endpoint", f"GET {p}", s.t[start].line, s.t[stop - 1].line, name, method="GET", route=p) for p in dict.fromkeys(fetched))
+        return stop
+
+    def members(name: str, k: int, stop: int) -> None:
+        while k < stop:
+            start = k
+            while s.text(k) in MODIFIERS and s.text(k + 1) not in ("(", "=", ";", ":") or s.text(k) in ("*",) or (s.is_id(k) and s.text(k)[:1] == "@"):
+                k = s.end[k + 1] + 1 if s.text(k)[:1] == "@" and s.text(k + 1) == "(" else k + 1
+            named = s.after_generics(k + 1)
+            if (s.is_id(k) or s.t[k].kind == "str") and s.text(named) == "(" and (after := function(s.text(k), start, named, "method", name)):
+                k = after
+                continue
+            line = s.t[k].line
+            while k < stop and s.text(k) != ";" and not (s.t[k].line > line and s.new_statement(k)):
+                k = s.end[k] + 1 if s.text(k) in OPEN and k in s.end else k + 1
+            k += s.text(k) == ";"
+
+    k = 0
+    while k < len(s.t):
+        start = k
+        while s.text(k) in ("export", "default", "declare", "abstract") or (s.text(k) == "async" and s.text(k + 1) == "function"):
+            k += 1
+        x = s.text(k)
+        if x == "function" and s.t[k].kind == "id":
+            k += 1 + (s.text(k + 1) == "*")
+            named = s.after_generics(k + 1)
+            if s.is_id(k) and s.text(named) == "(":
+                k = function(s.text(k), start, named) or named + 1
+        elif x == "class" and s.is_id(k + 1) and (b := s.body(k + 2)) is not None:
+            out.append(unit(path, "class", s.text(k + 1), s.t[start].line, s.t[s.end[b]].line))
+            members(s.text(k + 1), b + 1, s.end[b])
+            k = s.end[b] + 1
+        elif x in ("const", "let", "var") and s.t[k].kind == "id":
+            k = _values(s, k, start, function)
+        else:
+            verb = k + 1 if x == "await" else k
+            if s.is_id(verb) and s.text(verb + 1) == "." and s.text(verb + 2) in ROUTERS and s.text(verb + 3) == "(" and verb + 4 < len(s.t) and s.t[verb + 4].kind == "str" and len(s.text(verb + 4)) > 2:
+                name, at = s.text(verb + 2).upper(), s.t[verb].line
+                out.append(unit(path, "route", f"{name} {s.text(verb + 4)[1:-1]}", at, at, method=name, route=s.text(verb + 4)[1:-1]))
+            k = s.end[k] + 1 if x in OPEN and k in s.end else k + 1
+    return out
+
+
+def _values(s: Source, k: int, start: int, function) -> int:
+    """Past `const a = ..., b = ...`: a function for each name whose value is one."""
+    while k < len(s.t):
+        name, at = k + 1, k + 2
+        while at < len(s.t) and s.text(at) not in ("=", ",", ";") and s.t[at].line <= s.t[name].line + 20:  # a type
+            at = s.end[at] + 1 if s.text(at) in OPEN and at in s.end else at + 1
+        if not s.is_id(name) or s.text(at) != "=":
+            return max(at, k + 1)
+        value = at + 1 + (s.text(at + 1) == "async")
+        plain = s.is_id(value) and s.text(value + 1) == "=>"
+        made = None
+        if s.text(value) == "function":
+            opened = value + 1
+            while opened < len(s.t) and s.text(opened) != "(":
+                opened += 1
+            made = function(s.text(name), value if s.text(at + 1) != "async" else at + 1, opened)
+        elif plain or s.text(s.after_generics(value)) == "(":
+            made = function(s.text(name), at + 1, value if plain else s.after_generics(value))
+        if made is None:
+            made = at + 1
+            while made < len(s.t) and s.text(made) not in (",", ";") and not s.new_statement(made):
+                made = s.end[made] + 1 if s.text(made) in OPEN and made in s.end else made + 1
+        if s.text(made) != ",":
+            return made
+        k = made
+    return k
+
+
+def _script_imports(s: Source) -> list[str]:
+    out = []
+    for k, t in enumerate(s.t):
+        if t.text == "import" and t.kind == "id" and s.text(k + 1) not in ("(", "."):
+            j = k + 1
+            while j < len(s.t) and s.t[j].kind != "str" and s.text(j) != ";":
+                j += 1
+            if j < len(s.t) and s.t[j].kind == "str":
+                out.append(s.text(j)[1:-1])
     return out
 
 
+def _returns_markup(s: Source, begin: int, stop: int) -> bool:
+    """Whether an arrow's value or a returned value opens with a tag."""
+    for k in range(begin - 1, stop):
+        if s.text(k) in ("return", "=>", "?", ":", "&"):
+            j = k + 1
+            while s.text(j) == "(":
+                j += 1
+            if s.text(j) == "<" and (s.is_id(j + 1) or s.text(j + 1) == ">"):
+                return True
+    return False
+
+
 def go_units(path: str, source: str) -> list[dict]:
-    lines = source.split("\n")
-    block = re.search(r"(?ms)^import\s*\((.*?)\)", source)
-    imports = re.findall(r'"([^"]+)"', block[1]) if block else re.findall(r'(?m)^import\s+(?:\w+\s+)?"([^"]+)"', source)
-    out = [unit(path, "module", _stem(path), 1, len(lines), imports=imports)]
-    for k, x in enumerate(lines):
-        if m := re.match(r"func\s+(?:\(\s*\w*\s*\*?(?P<r>\w+)[^)]*\)\s*)?(?P<n>\w+)\s*[(\[]", x):
-            stop = next((j for j in range(k, len(lines)) if lines[j].startswith("}")), k)
-            out.append(unit(path, "method" if m["r"] else "function", m["n"], k + 1, stop + 1, m["r"]))
-        elif m := re.match(r"type\s+(\w+)\s+(?:struct|interface)\b", x):
-            stop = next((j for j in range(k, len(lines)) if lines[j].startswith("}")), k)
-            out.append(unit(path, "class", m[1], k + 1, stop + 1))
+    """Go: functions, methods of types, structs and interfaces, import paths and calls."""
+    s = Source(source, "go")
+    imports: list[str] = []
+    out = [unit(path, "module", _stem(path), 1, source.count("\n") + 1, imports=())]
+
+    def kind(k: int, start: int) -> int:
+        """One type at its name k; the place after it."""
+        at = s.after_generics(k + 1) if s.text(k + 1) == "[" and s.text(k + 2) != "]" else k + 1
+        at += s.text(at) == "="
+        if s.text(at) in ("struct", "interface") and s.text(at + 1) == "{":
+            out.append(unit(path, "class", s.text(k), s.t[start].line, s.t[s.end[at + 1]].line))
+            return s.end[at + 1] + 1
+        line = s.t[k].line
+        while at < len(s.t) and s.t[at].line == line:
+            at = s.end[at] + 1 if s.text(at) in OPEN and at in s.end else at + 1
+        return at
+
+    k = 0
+    while k < len(s.t):
+        x, start = s.text(k), k
+        if x == "import":
+            stop = s.end[k + 1] if s.text(k + 1) == "(" else next((j for j in range(k, len(s.t)) if s.t[j].kind == "str"), k)
+            imports += [s.text(j)[1:-1] for j in range(k, stop + 1) if s.t[j].kind == "str"]
+            k = stop + 1
+        elif x == "type" and s.text(k + 1) == "(":
+            stop, k = s.end[k + 1], k + 2
+            while k < stop:
+                k = kind(k, k) if s.is_id(k) else k + 1
+        elif x == "type" and s.is_id(k + 1):
+            k = kind(k + 1, start)
+        elif x == "func":
+            owner, k = None, k + 1
+            if s.text(k) == "(":
+                names = [s.text(j) for j in range(k + 1, s.end[k]) if s.is_id(j)]
+                typed = [n for j, n in enumerate(names) if j or s.text(k + 2) in (")", "[", ".") or s.text(k + 1) == "*"]
+                owner, k = (typed or names or [None])[0], s.end[k] + 1
+            opened = s.after_generics(k + 1)
+            b = s.body(s.end.get(opened, opened) + 1) if s.is_id(k) and s.text(opened) == "(" else None
+            if b is not None:
+                out.append(unit(path, "method" if owner else "function", s.text(k), s.t[start].line, s.t[s.end[b]].line, owner, calls=s.calls(b, s.end[b] + 1)))
+                k = s.end[b] + 1
+        else:
+            k = s.end[k] + 1 if x in OPEN and k in s.end else k + 1
+    out[0]["imports"] = imports
     return out
 
 

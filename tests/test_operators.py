@@ -510,3 +510,19 @@ def test_small_text_functions(spark):
     assert [one(spark, t.private_symbol(F.lit(x))) for x in ("_a", "__a", "__a__", "a")] == [True, True, False, False]
     assert [one(spark, t.test_symbol(F.lit(a), F.lit(b))) for a, b in (("test_a", ""), ("_test_a", ""), ("tested", "x"), ("a", "q\\Tests\\b.py"))] == [True, True, False, True]
     assert one(spark, t.module_path(F.lit("a.py::f"))) == "a.py" == one(spark, t.module_path(F.lit("a.py:3-9"))) and one(spark, t.node_id_shape(F.lit("a" * 32)))
+
+
+def test_names_in_texts_against_a_naive_scan(spark, monkeypatch):
+    rng = random.Random(81)
+    words = ["tide", "level", "gauge_2", "tide level", "é", "Fix", "a", "level.", "(x)", "中"]
+    names = [(k, " ".join(rng.choices(words, k=rng.randint(1, 3)))) for k in range(60)] + [(100, "tide"), (101, "tide"), (102, ""), (103, None)]
+    texts = [(k, "".join(rng.choice(words) + rng.choice([" ", "", "\n", "-", "_", "."]) for _ in range(rng.randint(0, 30)))) for k in range(80)] + [(200, None), (201, ""), (3, "tide")]
+    edge = lambda t, n: re.search(r"(?:^|\W)" + re.escape(n) + r"(?=$|\W)", t) is not None
+    want = {(i, k) for i, t in texts for k, n in names if t and n and edge(t, n)}
+    frames = spark.createDataFrame(texts, "text_id long, text string").repartition(3), spark.createDataFrame(names, "name_id long, name string")
+    for size, most in ((50_000, 1 << 25), (7, 300)):
+        monkeypatch.setattr(joins, "NAMES", size)
+        monkeypatch.setattr(joins, "TEXT_BYTES", most)
+        got = joins.named_in(*frames).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert joins.named_in(frames[0], frames[1].limit(0)).count() == 0
