@@ -44,6 +44,14 @@ def pack(body: str, most: int = 512, overlap: int = 1, count: Callable[[str], in
     return out
 
 
+def embeddable(nodes: DataFrame, most: int = 512, overlap: int = 1) -> DataFrame:
+    """(id, chunk_idx, chunk_text, tokens) of nodes (id, name, description, body): a node whose body gives no chunk is found by its description, or else its name."""
+    made = chunked(nodes, most, overlap)
+    text = F.coalesce(F.nullif("description", F.lit("")), F.nullif("name", F.lit("")))
+    bare = nodes.select("id", text.alias("t")).where("t IS NOT NULL").join(made.select("id").distinct(), "id", "left_anti")
+    return made.unionByName(bare.select("id", F.lit(0).alias("chunk_idx"), F.col("t").alias("chunk_text"), token_estimate(F.col("t")).cast("int").alias("tokens")))
+
+
 def chunked(docs: DataFrame, most: int = 512, overlap: int = 1) -> DataFrame:
     """(id, chunk_idx, chunk_text, tokens) of documents (id, body)."""
 

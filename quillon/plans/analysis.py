@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import citations, concepts
@@ -26,6 +26,15 @@ def requested(types: tuple[str, ...] | None = None, lens: str | None = None) ->
     return [x for x in suite if not types or x in types]
 
 
+def chosen(lens: Column, types: Column) -> Column:
+    """The same for columns of requests."""
+    names = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    suite = F.when(lens.isNull(), names(SUITE))
+    for name, detectors in LENSES.items():
+        suite = suite.when(lens == name, names(detectors))
+    return F.filter(suite.otherwise(names(())), lambda x: types.isNull() | (F.size(types) == 0) | F.array_contains(types, x))
+
+
 def _typed(t: dict[str, DataFrame]) -> DataFrame:
     return t["vectors"].join(t["nodes"].select("id", "type"), "id")
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon import views as v
 from quillon.catalog import query
 from quillon.operators.graph import work_dir
 from quillon.plans import feedback as f
+from quillon.plans import retrieve as r
+from quillon.plans.queries import retrieval as rt
 from quillon.session import table
 from quillon.streaming import requery
 
@@ -47,23 +48,20 @@ def _(s, d):
     return f.split_by_time(q).groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-@query("hit_at_k", o("", "WITH t AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), k AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 7 + item_id) % 11, doc_id) - 1 AS rank FROM (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id % 97 = b.item_id % 97)), h AS (SELECT b.item_id, min(rank) AS rank FROM benchmark b LEFT JOIN t USING (item_id) LEFT JOIN k ON k.item_id = t.item_id AND k.doc_id // 40 = t.doc_id // 40 GROUP BY b.item_id) SELECT CASE WHEN item_id % 2 = 0 THEN 'lexical' ELSE 'conceptual' END AS query_type, count(*)::BIGINT AS n, round(avg(coalesce(rank < 1, false)::INT), 6)::DOUBLE AS hit1, round(avg(coalesce(rank < 5, false)::INT), 6)::DOUBLE AS hit5, round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1.0::DOUBLE / (rank + 1) END), 6)::DOUBLE AS mrr FROM h GROUP BY ROLLUP (CASE WHEN item_id % 2 = 0 THEN 'lexical' ELSE 'conceptual' END)"))
+_HIT = f"""WITH p AS (SELECT item_id AS qid, substr(text, 1, 100) AS prompt FROM benchmark), {rt.BM_SQL}, t AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+h AS (SELECT b.item_id, min(rank) AS rank FROM benchmark b LEFT JOIN (SELECT item_id, rank FROM t JOIN br ON br.qid = t.item_id AND br.id = t.doc_id WHERE rank < 10) USING (item_id) GROUP BY b.item_id)
+SELECT CASE WHEN item_id % 2 = 0 THEN 'lexical' ELSE 'conceptual' END AS query_type, count(*)::BIGINT AS n, round(avg(coalesce(rank < 1, false)::INT), 6)::DOUBLE AS hit1, round(avg(coalesce(rank < 5, false)::INT), 6)::DOUBLE AS hit5, round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1.0::DOUBLE / (rank + 1) END), 6)::DOUBLE AS mrr FROM h GROUP BY ROLLUP (CASE WHEN item_id % 2 = 0 THEN 'lexical' ELSE 'conceptual' END)"""
+
+
+@query("hit_at_k", o("nodes", _HIT))
 def _(s, d):
-    """Truth: documents near one that holds the item; ranks: a stated order of each item's candidates."""
-    word = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    items = table(s, d, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(word("text"), 2, 3), " ").alias("key"))
-    docs = table(s, d, "documents").select("doc_id", "text")
-    small = items.count() <= 10_000  # else a shuffle
-    side = F.broadcast(items) if small else items
-    words = docs.select("doc_id", word("text").alias("w")).where("size(w) >= 3")
-    grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " ")))).alias("key"))
-    met = grams.join(side, "key").select("doc_id", "item_id").distinct()  # ids only; texts come back for these pairs
-    truth = met.join(docs, "doc_id").join(F.broadcast(items.select("item_id", "item")) if small else items.select("item_id", "item"), "item_id").where(F.contains("text", F.col("item"))).select("item_id", F.floor(F.col("doc_id") / 40).alias("near")).distinct()
-    met = docs.select("doc_id", (F.col("doc_id") % 97).alias("m")).join(items.select("item_id", (F.col("item_id") % 97).alias("m")), "m")
-    order = Window.partitionBy("item_id").orderBy((F.col("doc_id") * 7 + F.col("item_id")) % 11, "doc_id")
-    ranked = met.withColumn("rank", F.row_number().over(order) - 1).select("item_id", F.floor(F.col("doc_id") / 40).alias("near"), "rank")
-    r = items.select("item_id").join(ranked.join(truth, ["item_id", "near"]).groupBy("item_id").agg(F.min("rank").alias("rank")), "item_id", "left")
-    return f.hits(r.select(F.when(F.col("item_id") % 2 == 0, "lexical").otherwise("conceptual").alias("query_type"), "rank"))
+    """Truth: documents that hold a benchmark item; ranks: those of the lexical ranker for the item's first 100 characters."""
+    items, docs = table(s, d, "benchmark").select("item_id", F.col("text").alias("item")), table(s, d, "documents").select("doc_id", "text")
+    found = r.top(r.bm25(docs.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("qid"), F.substring("item", 1, 100).alias("prompt"))), 10)
+    # Of a document only the ten first items' ranks are looked at, so truth is tested on those pairs.
+    right = found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "rank").join(items, "item_id").join(docs, "doc_id").where(F.contains("text", F.col("item"))).groupBy("item_id").agg(F.min("rank").alias("rank"))
+    ranked = items.select("item_id").join(right, "item_id", "left")
+    return f.hits(ranked.select(F.when(F.col("item_id") % 2 == 0, "lexical").otherwise("conceptual").alias("query_type"), "rank"))
 
 
 @query("task_scores", o("members", "WITH a AS (SELECT module AS task, symbol AS key FROM v_members WHERE symbol % 10 = 0), f AS (SELECT module AS task, symbol AS key FROM v_members WHERE symbol % 15 = 0), x AS (SELECT a.task, count(*) AS want FROM a GROUP BY 1), y AS (SELECT task, count(*) AS got FROM f GROUP BY 1), z AS (SELECT task, count(*) AS good FROM a JOIN f USING (task, key) GROUP BY 1) SELECT x.task, round(coalesce(good, 0) / want, 6)::DOUBLE AS recall, round(CASE WHEN coalesce(got, 0) > 0 THEN coalesce(good, 0) / got ELSE 0 END, 6)::DOUBLE AS precision, coalesce(good, 0) >= want AND 1 <= x.task % 3 AS success FROM x LEFT JOIN y USING (task) LEFT JOIN z USING (task)"))

@@ -53,12 +53,33 @@ def _(s, d):
     return g.gate(_bound(s, d), done)
 
 
-@query("modality_order", "SELECT rule_id, rank FROM (VALUES ('r1', 2), ('r2', 3), ('r3', 1), ('r4', 1)) t(rule_id, rank) ORDER BY rank DESC, rule_id LIMIT 3")
+@query("modality_order", o("nodes", "WITH r AS (SELECT 'd' || id AS rule_id, CASE id % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 2 END AS rank FROM v_nodes) SELECT rule_id, rank FROM r ORDER BY rank DESC, rule_id LIMIT 30"))
 def _(s, d):
-    return g.parse_rules(s.sql(_RULES)).select("rule_id", g.modality_rank().alias("rank")).orderBy(F.desc("rank"), "rule_id").limit(3)
+    """A rule in each node's header, some with a modality that is unknown or missing; the 30 strictest."""
+    k = F.col("id")
+    said = F.when(k % 5 == 1, ',"modality":"MUST_NOT"').when(k % 5 == 2, ',"modality":"SHOULD"').when(k % 5 == 3, ',"modality":"soon"').otherwise(',"modality":"MUST"')
+    rules = v.nodes(s, d).select(F.concat(F.lit('{"id":"d'), k, F.lit('"'), said, F.lit("}")).alias("rule"))
+    return g.parse_rules(rules).select("rule_id", g.modality_rank().alias("rank")).orderBy(F.desc("rank"), "rule_id").limit(30)
 
 
-@query("verify_commands", "SELECT k, ok FROM (VALUES (1, true), (2, false), (3, true), (4, true), (5, false)) t(k, ok)")
+@query("rules_of_nodes", o("nodes", "SELECT 'd' || id AS rule_id, CASE id % 5 WHEN 1 THEN 'MUST_NOT' WHEN 2 THEN 'SHOULD' WHEN 3 THEN 'SHOULD' ELSE 'MUST' END AS modality, CASE WHEN id % 3 = 0 THEN 'block' ELSE 'advise' END AS enforcement, CASE WHEN id % 2 = 0 THEN 'docs/' || id || '/*,*.md' ELSE '' END AS globs, CASE WHEN id % 7 = 0 THEN 'check ' || id END AS verify_command, project_key, id % 4 = 0 AS base FROM v_nodes"))
 def _(s, d):
-    runs = s.sql("SELECT * FROM VALUES (1, 'cd x && uv run ruff check .'), (2, 'echo \"ruff check\"'), (3, 'ruff   check'), (4, 'ls; poetry run ruff check'), (5, 'ruff checker') AS t(k, run)")
-    return runs.select("k", g.satisfies(F.lit("ruff check"), F.col("run")).alias("ok"))
+    """Rules parsed from one JSON text for each node, with every field given, missing or wrong in some."""
+    k, maybe = F.col("id"), lambda c, x: F.when(c, x).otherwise(F.lit(""))
+    text = F.concat(
+        F.lit('{"id":"d'), k, F.lit('"'), F.when(k % 5 == 1, ',"modality":"MUST_NOT"').when(k % 5 == 2, "").when(k % 5 == 3, ',"modality":"soon"').otherwise(',"modality":"MUST"'),
+        maybe(k % 3 == 0, F.lit(',"enforcement":"block"')), maybe(k % 2 == 0, F.concat(F.lit(',"applies_to":{"glob":["docs/'), k, F.lit('/*","*.md"]}'))), maybe(k % 7 == 0, F.concat(F.lit(',"verify":{"command":"check '), k, F.lit('"}'))),
+        maybe(F.col("project_key").isNotNull(), F.concat(F.lit(',"project":"'), F.coalesce("project_key", F.lit("")), F.lit('"'))), maybe(k % 4 == 0, F.lit(',"base":true')), F.lit("}"),
+    )
+    return g.parse_rules(v.nodes(s, d).select(text.alias("rule"))).select("rule_id", "modality", "enforcement", F.array_join("globs", ",").alias("globs"), "verify_command", "project_key", "base")
+
+
+@query("verify_commands", o("nodes", "SELECT id, id % 9 IN (0, 2, 3, 6, 8) AS ok FROM v_nodes"))
+def _(s, d):
+    """One command line for each node, whose check carries its id: wrapped, piped, quoted, squeezed, with another id, or a longer word."""
+    k = F.col("id")
+    want = F.concat(F.lit("check run"), k)
+    forms = [F.concat(F.lit("cd x && uv run check run"), k, F.lit(" .")), F.concat(F.lit('echo "check run'), k, F.lit('"')), F.concat(F.lit("  check    run"), k), F.concat(F.lit("ls; poetry run  check run"), k), F.concat(F.lit("check run"), k, F.lit("er")), F.concat(F.lit("check run"), k + 1),
+             F.concat(F.lit("a | npx check run"), k, F.lit(" -q || true")), F.lit(""), F.concat(F.lit("false || check run"), k)]
+    run = F.get(F.array(*forms), (k % 9).cast("int"))
+    return v.nodes(s, d).select("id", g.satisfies(want, run).alias("ok"))

@@ -27,7 +27,7 @@ def _(s, d):
     return joins.unowned(v.nodes(s, d), s.sql("SELECT explode(array('docs/src1', 'docs/src2')) AS path")).select("id")
 
 
-@query("word_containment", o("nodes", r"WITH w AS (SELECT item_id::VARCHAR AS name_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '')[1:3], ' ') AS name FROM benchmark UNION ALL VALUES ('-1', 'the'), ('-2', 'inthe'), ('-3', 'Die'), ('-4', 'the'), ('-5', '')) m AS MATERIALIZED (SELECT n.id AS text_id, w.name_id, w.name, n.body FROM v_nodes n JOIN w ON w.name <> '' AND contains(n.body, w.name)) SELECT DISTINCT text_id, name_id FROM m WHERE regexp_matches(body, '(^|[^\p{L}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{N}_])')"))
+@query("word_containment", o("nodes", r"WITH w AS (SELECT item_id::VARCHAR AS name_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '')[1:3], ' ') AS name FROM benchmark UNION ALL VALUES ('-1', 'the'), ('-2', 'inthe'), ('-3', 'Die'), ('-4', 'the'), ('-5', '')), m AS MATERIALIZED (SELECT n.id AS text_id, w.name_id, w.name, n.body FROM v_nodes n JOIN w ON w.name <> '' AND contains(n.body, w.name)) SELECT DISTINCT text_id, name_id FROM m WHERE regexp_matches(body, '(^|[^\p{L}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{N}_])')"))
 def _(s, d):
     """The first three words of each benchmark item, and some names of one word, in all nodes."""
     words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda x: x != "")
@@ -45,12 +45,15 @@ def _(s, d):
     return c.join(n.select(F.col("id").alias("memory"), "name"), "name").select("commit_id", "memory")
 
 
-@query("call_resolution", o("code_edges members", """SELECT e.src AS caller, e.dst AS callee, 0.95::DOUBLE AS confidence FROM v_code_edges e WHERE e.src <> e.dst AND e.src // 50 = e.dst // 50"""))
+@query("call_resolution", o("code_edges members", """SELECT e.src AS caller, e.dst AS callee, 0.95::DOUBLE AS confidence FROM v_code_edges e WHERE e.src <> e.dst AND e.src // 50 = e.dst // 50 AND (e.src % 2 = 0 OR e.src // 10 = e.dst // 10)"""))
 def _(s, d):
+    """Symbols are methods of classes of ten and functions of modules of fifty; odd callers call by self, so only their own class answers."""
     e = v.code_edges(s, d)
-    block = lambda c: F.floor(F.col(c) / 50).cast("long")
-    symbols = table(s, d, "part").select(F.col("p_partkey").alias("symbol")).unionByName(e.select(F.col("dst").alias("symbol"))).distinct().select("symbol", block("symbol").alias("module"), F.lit(None).cast("string").alias("class"), F.concat(F.lit("s"), "symbol").alias("name"))
-    calls = e.select(F.col("src").alias("caller"), block("src").alias("module"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("receiver"), F.concat(F.lit("s"), "dst").alias("name"))
+    block, class_ = lambda c: F.floor(F.col(c) / 50).cast("long"), lambda c: F.concat(F.lit("K"), F.floor(F.col(c) / 10).cast("long"))
+    ids = table(s, d, "part").select(F.col("p_partkey").alias("symbol")).unionByName(e.select(F.col("dst").alias("symbol"))).distinct().select("symbol", block("symbol").alias("module"), F.concat(F.lit("s"), "symbol").alias("name"))
+    symbols = ids.withColumn("class", F.lit(None).cast("string")).unionByName(ids.withColumn("class", class_("symbol")))
+    own = F.col("src") % 2 == 1
+    calls = e.select(F.col("src").alias("caller"), block("src").alias("module"), F.when(own, class_("src")).alias("class"), F.when(own, "self").alias("receiver"), F.concat(F.lit("s"), "dst").alias("name"))
     return joins.resolve_calls(calls, symbols, s.sql("SELECT CAST(0 AS BIGINT) module, 'a' alias, CAST(0 AS BIGINT) target WHERE false"))
 
 

@@ -17,12 +17,15 @@ S = r.Scoring()
 #: Queries of the registered searches: every document, and every vector, whose id is divisible by 100, against all rows; a prompt is its document's first 100 characters.
 _COS = "list_sum(list_transform(range(1, 65), lambda i: c.embedding[i]::DOUBLE * q.vector[i]::DOUBLE)) / (sqrt(list_sum(list_transform(c.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.vector, lambda x: x::DOUBLE * x::DOUBLE))))"
 _P = "p AS (SELECT doc_id AS qid, substr(coalesce(text, ''), 1, 100) AS prompt FROM documents WHERE doc_id % 100 = 0)"
-_BM = f"""{_P}, pt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(prompt), '[a-z0-9_]{{3,}}')) AS term FROM p),
-dt AS (SELECT id, regexp_extract_all(lower(body), '[a-z0-9_]{{3,}}') AS w FROM v_nodes), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dt),
+_BM = f"""{_P}, {{0}}"""
+#: The lexical ranking of the prompts p (qid, prompt).
+BM_SQL = """pt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(prompt), '[a-z0-9_]{3,}')) AS term FROM p),
+dt AS (SELECT id, regexp_extract_all(lower(body), '[a-z0-9_]{3,}') AS w FROM v_nodes), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dt),
 tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM dt) WHERE term IN (SELECT term FROM pt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT qid, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM tf JOIN df USING (term) JOIN pt USING (term), st GROUP BY qid, id),
 br AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm)"""
+_BM = _BM.replace("{0}", BM_SQL)
 _Q = "q AS (SELECT vec_id AS qid, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0)"
 _KN = f"""{_Q}, cs AS (SELECT q.qid, c.node_id AS id, {_COS} AS cosine FROM v_chunks c, q), vr AS (SELECT qid, id, cosine, row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 9) DESC, id) - 1 AS rank FROM cs)"""
 
@@ -187,6 +190,16 @@ def _(s, d):
     return out.select("qid", "id", F.col("pick").cast("long").alias("pick"), F.round("score", 6).alias("score"), "line", F.col("used").cast("long").alias("used"), "with_body", F.col("excluded").cast("long").alias("excluded"))
 
 
+@query("retrieval_block", o("nodes chunks code_edges", f"""{_ALL}, {_HITS}, t AS (SELECT *, coalesce(body, '') AS b FROM h WHERE rank < 5),
+x AS (SELECT qid, rank, '- [ref:' || id || '] [' || type || '] ' || name || ': about ' || type || CASE WHEN b = '' THEN '' ELSE chr(10) || '  ' || replace(CASE WHEN length(b) <= 400 THEN b ELSE rtrim(substr(b, 1, 400), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || '...' END, chr(10), chr(10) || '  ') END AS line FROM t)
+SELECT qid, '## Relevant memory' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY rank) || chr(10) || chr(10) || 'intent: none | tokens used: 7 | k: ' || count(*) AS block FROM x GROUP BY qid"""))
+def _(s, d):
+    """What a client puts before a prompt: each hit's line and the first 400 characters of its body."""
+    hits = r.top(components(s, d, S), 5).join(v.nodes(s, d).select("id", "body"), "id")
+    # Line ends other than \\n are left to the tests.
+    return r.block(hits.withColumn("description", F.concat(F.lit("about "), "type")).withColumn("body", F.regexp_replace("body", "\n+$", "")), F.lit("none"), F.lit(7))
+
+
 @query("mmr_rerank")
 def _(s, d):
     """The whole retrieval with diversification, which is greedy; tests hold it against brute force."""

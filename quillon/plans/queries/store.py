@@ -176,12 +176,17 @@ def _(s, d):
     return writes.delete(made, made.where("conv_id % 5 = 0").select(F.col("conv_id").alias("c"), F.col("seq").alias("q")), {"conv_id": "c", "seq": "q"})
 
 
-@query("permission_writes", "SELECT project_key, tool_name, granted_ms FROM (VALUES (NULL, 't1', 1::BIGINT), ('p', 't1', 2::BIGINT), ('q', 't3', 8::BIGINT)) x(project_key, tool_name, granted_ms)")
+@query("permission_writes", """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 <> 0 THEN 'p' || (c_custkey // 2) END AS project_key, 't' || (c_custkey % 3) AS tool_name FROM customer),
+h AS (SELECT project_key, tool_name, min(k) AS granted_ms FROM c WHERE k % 2 = 0 GROUP BY ALL), f AS (SELECT project_key, tool_name, min(k) + 1000000 AS granted_ms FROM c WHERE k % 3 <> 1 GROUP BY ALL),
+g AS (SELECT project_key, tool_name, min(granted_ms) AS granted_ms FROM (SELECT * FROM h UNION ALL SELECT * FROM f) GROUP BY ALL), r AS (SELECT DISTINCT project_key, tool_name FROM c WHERE k % 5 = 0 AND tool_name = 't1')
+SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.project_key IS NOT DISTINCT FROM g.project_key AND r.tool_name = g.tool_name)""")
 def _(s, d):
     """A grant that comes again keeps its time, one that is revoked goes, null meets null."""
-    rows = lambda text: s.sql(f"SELECT * FROM VALUES {text} AS t(project_key, tool_name, granted_ms)").select(F.col("project_key").cast("string"), "tool_name", F.col("granted_ms").cast("long"))
-    held = store.grant(rows("(CAST(NULL AS STRING), 't1', 1), ('p', 't1', 2), (CAST(NULL AS STRING), 't2', 3)"), rows("(CAST(NULL AS STRING), 't1', 7), ('q', 't3', 8)"))
-    return store.revoke(held, rows("(CAST(NULL AS STRING), 't2', 0)"))
+    k = F.col("c_custkey")
+    c = table(s, d, "customer").select(k.alias("k"), F.when(k % 7 != 0, F.concat(F.lit("p"), F.floor(k / 2).cast("long"))).alias("project_key"), F.concat(F.lit("t"), k % 3).alias("tool_name"))
+    first = lambda df, more: df.groupBy("project_key", "tool_name").agg((F.min("k") + more).alias("granted_ms"))
+    held = store.grant(first(c.where("k % 2 = 0"), 0), first(c.where("k % 3 <> 1"), 1_000_000))
+    return store.revoke(held, c.where("k % 5 = 0 AND tool_name = 't1'").select("project_key", "tool_name", F.lit(0).alias("granted_ms")).distinct())
 
 
 @query("override_set", "SELECT 'f' || page_id AS source_path, CASE WHEN page_id % 4 = 0 THEN 'retry' WHEN page_id % 2 = 0 THEN 'always_skip' ELSE 'always_keep' END AS decision FROM pages")
@@ -491,10 +496,14 @@ def _(s, d):
     return j.orderBy("name", "api_key_id").limit(30).select("name", F.coalesce("queries", F.lit(0)).cast("long").alias("queries"))
 
 
-@query("suite_types", "SELECT * FROM (VALUES ('suite', 'stale,duplicates,orphan_references,contradictions,semantic_orphans'), ('some', 'stale'), ('code', 'dead_code,god_object,cyclic_imports,duplicate_code'), ('unknown', '')) t(ask, run)")
+@query("suite_types", """WITH a AS (SELECT c_custkey AS ask, CASE c_custkey % 4 WHEN 1 THEN 'code' WHEN 2 THEN 'law' END AS lens, CASE c_custkey % 3 WHEN 1 THEN ['stale', 'dead_code', 'none'] WHEN 2 THEN ['semantic_orphans', 'duplicates', 'duplicate_code'] END AS types FROM customer)
+SELECT ask, array_to_string(list_filter(CASE WHEN lens IS NULL THEN ['stale', 'duplicates', 'orphan_references', 'contradictions', 'semantic_orphans'] WHEN lens = 'code' THEN ['dead_code', 'god_object', 'cyclic_imports', 'duplicate_code'] ELSE [] END, lambda x: types IS NULL OR list_contains(types, x)), ',') AS run FROM a""")
 def _(s, d):
-    asks = {"suite": analysis.requested(), "some": analysis.requested(("stale", "dead_code")), "code": analysis.requested(lens="code"), "unknown": analysis.requested(lens="law")}
-    return s.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', '{','.join(x)}')" for k, x in asks.items()) + " AS t(ask, run)")
+    """Requests of a lens and types; what each of them runs, in the suite's order."""
+    k = F.col("c_custkey")
+    types = F.when(k % 3 == 1, F.array(*map(F.lit, ("stale", "dead_code", "none")))).when(k % 3 == 2, F.array(*map(F.lit, ("semantic_orphans", "duplicates", "duplicate_code"))))
+    asks = table(s, d, "customer").select(k.alias("ask"), F.when(k % 4 == 1, "code").when(k % 4 == 2, "law").alias("lens"), types.alias("types"))
+    return asks.select("ask", F.array_join(analysis.chosen(F.col("lens"), F.col("types")), ",").alias("run"))
 
 
 @query("source_proposals", o("files", "WITH c AS (SELECT count(*) FILTER (page_id % 3 = 0) AS docs, count(*) FILTER (page_id % 3 = 1) AS code FROM pages) SELECT 'docs_dir' AS kind, docs::BIGINT AS n, docs::BIGINT AS est_nodes, docs + code > 6000 AS large FROM c WHERE docs >= 3 UNION ALL SELECT 'code_repo', code::BIGINT, floor(code * 2.5)::BIGINT, docs + code > 6000 FROM c WHERE code >= 10"))
@@ -506,16 +515,21 @@ def _(s, d):
     return settings.proposals(f, tuple(LANGUAGES))
 
 
-@query("ignore_merge", "SELECT * FROM (VALUES ('', 0, '*.log'), ('', 1, '/build'), ('src', 0, 'src/tmp/'), ('src', 1, '!src/keep'), ('src', 2, 'src/x')) t(folder, k, line)")
+@query("ignore_merge", """SELECT 'd' || page_id || '/s' AS folder, k::INTEGER AS k, line FROM pages, (VALUES (0), (1), (2)) x(k), LATERAL (SELECT CASE k WHEN 0 THEN 'd' || page_id || '/s/tmp' || page_id || '/' WHEN 1 THEN '!d' || page_id || '/s/keep' ELSE 'd' || page_id || '/s/x' END AS line) WHERE page_id % 5 <> 0
+UNION ALL SELECT '', 0, '*.log' UNION ALL SELECT '', 1, '/build'""")
 def _(s, d):
-    f = s.createDataFrame([(".gitignore", "*.log\n# c\n\n/build\n"), ("src/.gitignore", "tmp/\n!keep\n/x"), ("node_modules/a/.gitignore", "lost"), ("src/a.py", "x")], "path string, text string")
-    return settings.ignore_lines(f)
+    """An ignore file in each page's folder, some of them in folders that are not read, and one at the root."""
+    k = F.col("page_id")
+    own = table(s, d, "pages").select(F.concat(F.when(k % 5 == 0, "node_modules/d").otherwise("d"), k, F.lit("/s/.gitignore")).alias("path"), F.concat(F.lit("tmp"), k, F.lit("/\n# note\n!keep\n\n /x \r\n")).alias("text"))
+    return settings.ignore_lines(own.unionByName(s.createDataFrame([(".gitignore", "*.log\n# c\n\n/build\n"), ("d1/a.py", "x")], "path string, text string")))
 
 
-@query("discovered_sources", "SELECT * FROM (VALUES ('/h/CLAUDE.md', 'claude_md', NULL), ('/h/projects/a-b/memory', 'memory_dir', 'a-b')) t(path, kind, project_key)")
+@query("discovered_sources", "SELECT '/h/projects/p' || (page_id // 4) || '/memory' AS path, 'memory_dir' AS kind, 'p' || (page_id // 4) AS project_key FROM pages WHERE page_id % 3 = 0 GROUP BY ALL UNION ALL SELECT '/h/CLAUDE.md', 'claude_md', NULL")
 def _(s, d):
-    f = s.sql("SELECT explode(array('/h/CLAUDE.md', '/h/x/CLAUDE.md', '/h/projects/a-b/memory/n.md', '/h/projects/a-b/memory/d/m.md', '/h/projects/c/other/n.md')) AS path")
-    return settings.discovered(f, "/h/")
+    """Files of a home folder: notes of projects in and beside their memory folders."""
+    k = F.col("page_id")
+    own = F.concat(F.lit("/h/projects/p"), F.floor(k / 4).cast("long"), F.when(k % 3 == 0, "/memory/d/").otherwise("/other/"), k, F.lit(".md"))
+    return settings.discovered(table(s, d, "pages").select(F.explode(F.array(own, F.concat(F.lit("/h/x"), k, F.lit("/CLAUDE.md")), F.lit("/h/CLAUDE.md"))).alias("path")), "/h/")
 
 
 @query("session_counts", o("query_log", "SELECT actor::VARCHAR AS session_id, arg_max(id, at_s * 1000000 + id) AS n FROM v_query_log WHERE at_s > (SELECT max(at_s) FROM v_query_log) - 86400 GROUP BY actor"))

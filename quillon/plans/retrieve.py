@@ -43,6 +43,8 @@ class Scoring:
     relations: tuple[str, ...] = field(default=("applies_to", "co_occurs_with", "supersedes", "derived_from"))
 
 
+#: What ends a line of a text, \r\n as one.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Terms of prompts that are sent to every task as a set; of more, all terms of the documents are shuffled.
 MOST_TERMS = 20_000
 #: Vectors and queries of one block of an exact search.
@@ -170,6 +172,24 @@ def pack(hits: DataFrame, budget: int, line: Column, body: Column) -> DataFrame:
     return kept.withColumn("with_body", (F.col("rank") == 0) & (total + F.col("body_tokens") <= budget))
 
 
+def block(hits: DataFrame, intents: Column, tokens: Column, title: str = "## Relevant memory", prefix: str = "ref", most: int = 400) -> DataFrame:
+    """(qid, block): hits (qid, rank, id, type, name, description, body) as a block of text for a prompt.
+
+    One line a hit, below it the first `most` characters of its body, indented, and a line with intents, tokens and the number of hits. A query
+    without hits has no block. A query has at most as many hits as its k.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = F.trim(F.regexp_replace(text("description"), "\n", " "))
+    line = F.concat(F.lit(f"- [{prefix}:"), F.col("id").cast("string"), F.lit("]"), F.when(text("type") != "", F.concat(F.lit(" ["), "type", F.lit("]"))).otherwise(""), F.when(text("name") != "", F.concat(F.lit(" "), "name")).otherwise(""), F.when(said != "", F.concat(F.lit(": "), said)).otherwise(""))
+    cut = F.when(F.length(text("body")) <= most, text("body")).otherwise(F.concat(F.rtrim(F.substring(text("body"), 1, most), F.lit(" \t\n\x0b\x0c\r")), F.lit("...")))
+    rows = F.split(F.regexp_replace(cut, LINE_ENDS, "\n"), "\n", -1)
+    rows = F.when(F.element_at(rows, -1) == "", F.slice(rows, 1, F.size(rows) - 1)).otherwise(rows)
+    whole = F.array_join(F.concat(F.array(line), F.transform(rows, lambda x: F.concat(F.lit("  "), x))), "\n")
+    of = hits.select("qid", F.struct("rank", whole.alias("x")).alias("h")).groupBy("qid").agg(F.sort_array(F.collect_list("h")).alias("h"))
+    tail = F.concat(F.lit("\n\nintent: "), intents, F.lit(" | tokens used: "), tokens.cast("string"), F.lit(" | k: "), F.size("h").cast("string"))
+    return of.select("qid", F.concat(F.lit(f"{title}\n\n"), F.array_join("h.x", "\n"), tail).alias("block"))
+
+
 def candidates(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring(), lexical: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The candidates of both rankers and of the graph with their six components and score, for prompts (qid, prompt, vector).
 

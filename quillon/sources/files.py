@@ -25,6 +25,13 @@ _DOCUMENTS = ["**/*.md", "**/*.markdown", "**/*.txt", "**/*.pdf"]
 INCLUDES = {"memory_dir": _DOCUMENTS, "plan_dir": _DOCUMENTS, "transcripts": _DOCUMENTS, "code_repo": [f"**/*.{e}" for e in sorted(LANGUAGES)]}
 
 
+#: Types that a document's header may name, with or without `memory_`. Fixed values.
+NODE_TYPES = (
+    "memory_user", "memory_feedback", "memory_project", "memory_reference", "project_doc", "plan_doc", "session_summary", "rule", "commit",
+    "code_module", "code_function", "code_class", "code_method", "code_route", "code_component", "code_endpoint",
+)
+
+
 def patterns(raw: str | None) -> list[str]:
     """A comma separated list of globs."""
     return [p.strip() for p in (raw or "").split(",") if p.strip()]
@@ -128,17 +135,19 @@ def parsed(files: DataFrame, kind: str, project_key: str | None = None) -> DataF
     """Node rows of document files: type, name, description, project, flags and hash by rule; a document that isn't UTF-8 has its bad bytes replaced."""
     f = files.select("path", "content", texts(files).alias("t")).select("path", "content", frontmatter_json(F.col("t")).alias("fm"), body_of(F.col("t")).alias("body"))
     name = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.[^.]*$", "")
-    default = {"memory_dir": None, "plan_dir": "plan_doc", "docs_dir": "project_doc", "claude_md": "memory_project"}.get(kind)
+    default = {"memory_dir": None, "plan_dir": "plan_doc", "docs_dir": "project_doc", "claude_md": "project_doc"}.get(kind)
     by_name = F.when(name.rlike("^feedback_"), "memory_feedback").when(name.rlike("^user_"), "memory_user").when(name.rlike("^reference_"), "memory_reference").otherwise("memory_project")
+    named = F.concat(F.lit("memory_"), F.trim(said(F.col("fm"), "type")))
+    folder = F.nullif(F.regexp_extract("path", r"projects[\\/]([^\\/]+)[\\/]memory", 1), F.lit(""))
     heading = F.nullif(F.trim(F.regexp_extract("body", r"(?m)^#+[ \t]+(.+)$", 1)), F.lit(""))
     return f.select(
         F.sha1(F.col("path").cast("binary")).alias("id"),
-        F.coalesce(said(F.col("fm"), "type"), F.lit(default) if default else by_name).alias("type"),
+        F.coalesce(F.when(named.isin(*NODE_TYPES), named), F.when(said(F.col("fm"), "type").isin(*NODE_TYPES), said(F.col("fm"), "type")), F.lit(default) if default else by_name).alias("type"),
         F.coalesce(said(F.col("fm"), "name"), name).alias("name"),
         F.coalesce(F.nullif(F.trim(said(F.col("fm"), "description")), F.lit("")), heading, F.substring(F.trim("body"), 1, 100)).alias("description"),
         "body",
         F.col("path").alias("source_path"),
-        F.coalesce(F.lit(project_key), said(F.col("fm"), "project")).alias("project_key"),
+        F.coalesce(F.lit(project_key), F.nullif(F.trim(said(F.col("fm"), "projectKey")), F.lit("")), folder).alias("project_key"),
         truthy(said(F.col("fm"), "base")).alias("base"),
         F.coalesce(truthy(F.nullif(said(F.col("fm"), "local_only"), F.lit(""))) & said(F.col("fm"), "local_only").isNotNull(), F.lit(False)).alias("_flag"),
         said(F.col("fm"), "local_only").isNotNull().alias("_said"),

@@ -110,7 +110,7 @@ def discovered(listing: DataFrame, home: str, note: str = "CLAUDE.md") -> DataFr
 def ignore_lines(files: DataFrame) -> DataFrame:
     """(folder, k, line) of ignore files (path relative to a root, text), each line as it reads from the root, in the order of folders."""
     folder = F.regexp_replace(F.regexp_replace("path", "[^/]*$", ""), "/$", "")
-    lines = F.filter(F.transform(F.split("text", r"\r?\n"), F.trim), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
     f = files.where(F.col("path").rlike(r"(^|/)\.gitignore$")).select("path", folder.alias("folder"), F.posexplode(lines).alias("k", "line"))
     f = f.where(~F.arrays_overlap(F.split("folder", "/"), F.array(*[F.lit(x) for x in SKIP_DIRS])))
     below = F.concat("folder", F.lit("/"), F.regexp_replace("line", "^/+", ""))
