@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillon.functions.text import token_estimate
 
 
 def estimate(text: str) -> int:

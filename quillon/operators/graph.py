@@ -54,15 +54,15 @@ def co_occurrence(retrievals: DataFrame, step: float = 0.1, cap: float = 5.0) ->
 
 
 def bfs(edges: DataFrame, starts: DataFrame, max_hops: int, directed: bool = False) -> DataFrame:
-    """(id, hop): fewest hops from any start (id); a loop of max_hops joins, each from the last frontier only."""
+    """(id, hop): fewest hops from any start (id); a loop of max_hops joins, each from the last frontier only, which is a written table."""
+    folder = work_dir(edges.sparkSession)
     step = edges.select("src", "dst")
     if not directed:
         step = step.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = starts.select("id").distinct().withColumn("hop", F.lit(0))
-    frontier = seen
+    seen = frontier = saved(starts.select("id").distinct().withColumn("hop", F.lit(0)), f"{folder}/0")
     for hop in range(1, max_hops + 1):
         near = frontier.select(F.col("id").alias("src")).join(step, "src").select(F.col("dst").alias("id")).distinct()
-        frontier = near.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = saved(near.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)), f"{folder}/{hop}")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -81,6 +81,52 @@ def ego(edges: DataFrame, node, hops: int) -> DataFrame:
     return edges.join(near.withColumnRenamed("id", "src"), "src", "left_semi").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").select(edges.columns)
 
 
+def scoped(near: DataFrame, edges: DataFrame, nodes: DataFrame, keys: list[str] | None = None, base_only: bool = False) -> DataFrame:
+    """(id, why) of the nodes in `near` (id) that a scope lets through, in two passes.
+
+    nodes: (id, project_key, base). `strict`: a project in `keys` or the base flag (only that, with base_only). `boundary`: a node without a
+    project and without the flag that an edge joins to a strict one; with base_only there are none. Without a scope all pass.
+    """
+    held = nodes.join(near.select("id").distinct(), "id", "left_semi").select("id", "project_key", F.coalesce("base", F.lit(False)).alias("base"))
+    if not base_only and keys is None:
+        return held.select("id", F.lit("strict").alias("why"))
+    inside = F.col("base") if base_only else F.coalesce(F.col("project_key").isin(*keys), F.lit(False)) | F.col("base")
+    strict = held.where(inside).select("id", F.lit("strict").alias("why"))
+    if base_only:
+        return strict
+    loose = held.where(F.col("project_key").isNull() & ~F.col("base")).select("id")
+    e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    joined = e.join(strict.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    return strict.unionByName(loose.join(joined, "id", "left_semi").select("id", F.lit("boundary").alias("why")))
+
+
+def scoped_ego(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops: int, keys: list[str] | None = None, base_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, hop, why), edges among them) within 1 to 4 hops of starts (id) over all relations, then through the two passes of a scope.
+
+    The walk itself isn't bound by the scope; a start that no node has gives nothing.
+    """
+    begun = starts.join(nodes.select("id"), "id", "left_semi")
+    near = bfs(edges, begun, max(1, min(hops, 4)))
+    kept = saved(near.join(scoped(near, edges, nodes, keys, base_only), "id"), work_dir(edges.sparkSession))
+    inner = edges.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return kept, inner.select(edges.columns)
+
+
+#: Role of a neighbour -> the relation that makes it one, and whether the symbol is that edge's source. Fixed values.
+ROLES = {"caller": ("calls", False), "callee": ("calls", True), "defines_in": ("defines", False), "method_of": ("method_of", True), "served_by": ("routes_to", False), "commit": ("references_function", False)}
+
+
+def symbol_detail(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, role, other): the neighbours of symbols (id) in all six roles, from edges (src, dst, relation) in one pass over either end."""
+    at = {side: [(role, rel) for role, (rel, out) in ROLES.items() if out == side] for side in (True, False)}
+    def of(side: bool, mine: str, other: str) -> DataFrame:
+        role = F.create_map(*[F.lit(x) for r, rel in at[side] for x in (rel, r)])
+        e = edges.where(F.col("relation").isin(*[rel for _, rel in at[side]]))
+        return e.join(symbols.select(F.col("id").alias(mine)), mine, "left_semi").select(F.col(mine).alias("id"), role[F.col("relation")].alias("role"), F.col(other).alias("other"))
+
+    return of(True, "src", "dst").unionByName(of(False, "dst", "src")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest node of each connected component, by minimum labels and pointer jumping."""
     folder, step = work_dir(edges.sparkSession), 0
@@ -205,6 +251,8 @@ def strong_components(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "cycle"])
 
 
+#: Version of the layout's steps; stored layouts of another one are stale.
+LAYOUT = "layout-2"
 #: Rounds of forces of the largest component and of the others. Fixed values.
 ROUNDS_GIANT, ROUNDS_OTHER = 120, 70
 

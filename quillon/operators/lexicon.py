@@ -82,3 +82,30 @@ class IndexedNodes:
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
         return joined.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+
+
+class ChunkStore:
+    """Chunks (id, chunk_idx, chunk_text, embedding) of nodes in one folder; a node's chunks are replaced as a whole.
+
+    A write is an epoch of its nodes' chunks only. A vector whose size isn't `dimensions` is an error and nothing is committed; a null
+    vector is a chunk that is still to be embedded. Of two rows with one id and chunk_idx the greater one is kept.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, dimensions: int, key: str = "long"):
+        self.dimensions = dimensions
+        self.store = Epochs(spark, folder, {"chunks": f"id {key}, chunk_idx int, chunk_text string, embedding array<float>", "ids": f"id {key}"})
+
+    def replace(self, chunks: DataFrame, nodes: DataFrame | None = None, epoch: int | None = None) -> bool:
+        """The chunks of all ids in `chunks`, and of `nodes` (id), become those in `chunks`: a node without rows there has none."""
+        fits = F.col("embedding").isNull() | (F.size("embedding") == self.dimensions)
+        wrong = F.raise_error(F.concat(F.lit(f"a vector has not {self.dimensions} dimensions but "), F.size("embedding").cast("string")))
+        rows = chunks.where("id IS NOT NULL").groupBy("id", "chunk_idx").agg(F.max(F.struct("chunk_text", "embedding")).alias("r")).select("id", "chunk_idx", "r.chunk_text", "r.embedding")
+        checked = rows.withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(wrong.cast("array<float>")))
+        ids = rows.select("id") if nodes is None else rows.select("id").unionByName(nodes.where("id IS NOT NULL").select("id"))
+        return self.store.write(self.store.last() + 1 if epoch is None else epoch, {"chunks": checked, "ids": ids.distinct()})
+
+    def chunks(self) -> DataFrame:
+        return self.store.current("chunks").drop("epoch")
+
+    def compact(self) -> None:
+        self.store.compact()

@@ -65,11 +65,38 @@ def _(s, d):
     return c.rollup("r_name", "n_name").agg(F.count("*").alias("n"))
 
 
-@query("symbol_ego_detail", o("code_edges members", "SELECT role, other FROM (SELECT 'caller' AS role, src AS other FROM v_code_edges WHERE dst = 2 UNION ALL SELECT 'callee', dst FROM v_code_edges WHERE src = 2 UNION ALL SELECT 'defined_in', module FROM v_members WHERE symbol = 2)"))
+_SIX = """e AS (SELECT src, dst, 'calls' AS relation FROM v_code_edges UNION ALL SELECT module + 1000000, symbol, 'defines' FROM v_members UNION ALL SELECT src, src // 10 + 2000000, 'method_of' FROM v_code_edges UNION ALL SELECT symbol % 5 + 3000000, symbol, 'routes_to' FROM v_members UNION ALL SELECT commit_id + 4000000, commit_id % 200, 'references_function' FROM v_hunks)"""
+
+
+def _six(s, d):
+    """Edges of every relation that a symbol's detail shows."""
+    e, m, h = v.code_edges(s, d), v.members(s, d), v.hunks(s, d)
+    made = lambda df, a, b, relation: df.select(a.cast("long").alias("src"), b.cast("long").alias("dst"), F.lit(relation).alias("relation"))
+    return (
+        made(e, F.col("src"), F.col("dst"), "calls").unionByName(made(m, F.col("module") + 1_000_000, F.col("symbol"), "defines")).unionByName(made(e, F.col("src"), F.floor(F.col("src") / 10) + 2_000_000, "method_of"))
+        .unionByName(made(m, F.col("symbol") % 5 + 3_000_000, F.col("symbol"), "routes_to")).unionByName(made(h, F.col("commit_id") + 4_000_000, F.col("commit_id") % 200, "references_function"))
+    )
+
+
+@query("symbol_ego_detail", o("code_edges members hunks", f"""WITH {_SIX}, s AS (SELECT src AS id FROM v_code_edges)
+SELECT DISTINCT id, CASE relation WHEN 'calls' THEN 'callee' ELSE 'method_of' END AS role, dst AS other FROM e JOIN s ON src = id WHERE relation IN ('calls', 'method_of')
+UNION SELECT DISTINCT id, CASE relation WHEN 'calls' THEN 'caller' WHEN 'defines' THEN 'defines_in' WHEN 'routes_to' THEN 'served_by' ELSE 'commit' END, src FROM e JOIN s ON dst = id WHERE relation IN ('calls', 'defines', 'routes_to', 'references_function')"""))
+def _(s, d):
+    """Callers, callees, modules, classes, routes and commits of every symbol that calls."""
+    return g.symbol_detail(_six(s, d), v.code_edges(s, d).select(F.col("src").alias("id")))
+
+
+_N = "n AS (SELECT id, CASE WHEN id % 3 <> 0 THEN 'p' || (id % 4) END AS project_key, id % 25 = 0 AS base FROM (SELECT src AS id FROM v_code_edges UNION SELECT dst FROM v_code_edges))"
+
+
+@query("ego_network_scoped", o("code_edges", f"""WITH {_N}, u AS (SELECT src, dst FROM v_code_edges UNION SELECT dst, src FROM v_code_edges), w(id, hop) AS (SELECT id, 0 FROM n WHERE id % 500 = 1 UNION SELECT u.dst, hop + 1 FROM w JOIN u ON w.id = u.src WHERE hop < 3), m AS (SELECT id, min(hop) AS hop FROM w GROUP BY id),
+t AS (SELECT m.id, hop, project_key IS NOT NULL AND project_key IN ('p1', 'p2') OR base AS strict, project_key IS NULL AND NOT base AS loose FROM m JOIN n ON m.id = n.id)
+SELECT id, hop::INTEGER AS hop, CASE WHEN strict THEN 'strict' ELSE 'boundary' END AS why FROM t WHERE strict OR loose AND EXISTS (SELECT 1 FROM u JOIN t x ON u.src = x.id WHERE u.dst = t.id AND x.strict)""", recursive=True))
 def _(s, d):
-    e, m = v.code_edges(s, d), v.members(s, d)
-    part = lambda df, role, what: df.select(F.lit(role).alias("role"), F.col(what).alias("other"))
-    return part(e.where("dst = 2"), "caller", "src").unionByName(part(e.where("src = 2"), "callee", "dst")).unionByName(part(m.where("symbol = 2"), "defined_in", "module"))
+    e = v.code_edges(s, d)
+    k = F.col("id")
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.when(k % 3 != 0, F.concat(F.lit("p"), k % 4)).alias("project_key"), (k % 25 == 0).alias("base"))
+    return g.scoped_ego(e, nodes, nodes.where("id % 500 = 1"), 3, ["p1", "p2"])[0]
 
 
 @query("graph_layout")
@@ -77,11 +104,11 @@ def _(s, d):
     return g.layout(v.code_edges(s, d))
 
 
-@query("graph_fingerprint", o("code_edges", "SELECT sha1(string_agg(digest, ',' ORDER BY part) || '|' || (SELECT count(*) FROM v_code_edges)) AS fingerprint FROM (SELECT id // 10000 AS part, sha1(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM (SELECT src AS id FROM v_code_edges UNION SELECT dst FROM v_code_edges) GROUP BY 1)"))
+@query("graph_fingerprint", o("code_edges", "SELECT sha1(string_agg(digest, ',' ORDER BY part) || '|' || (SELECT count(*) FROM v_code_edges) || '|layout-2') AS fingerprint FROM (SELECT id // 10000 AS part, sha1(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM (SELECT src AS id FROM v_code_edges UNION SELECT dst FROM v_code_edges) GROUP BY 1)"))
 def _(s, d):
-    """A hash over all nodes in two levels, and the number of edges."""
+    """A hash over all nodes in two levels, the number of edges and the version of the layout's steps, so that a new layout is not taken for an old one."""
     e = v.code_edges(s, d)
     ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     parts = ids.groupBy(F.floor(F.col("id") / 10_000).alias("part")).agg(F.sha1(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").cast("binary")).alias("digest"))
     all_ = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda r: r["digest"]), ",").alias("ids"))
-    return all_.join(F.broadcast(e.agg(F.count("*").alias("n"))), F.lit(True)).select(F.sha1(F.concat("ids", F.lit("|"), F.col("n").cast("string")).cast("binary")).alias("fingerprint"))
+    return all_.join(F.broadcast(e.agg(F.count("*").alias("n"))), F.lit(True)).select(F.sha1(F.concat("ids", F.lit("|"), F.col("n").cast("string"), F.lit(f"|{g.LAYOUT}")).cast("binary")).alias("fingerprint"))

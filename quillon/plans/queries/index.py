@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quillon import views as v
 from quillon.catalog import query
+from quillon.functions.chunks import embeddable
 from quillon.operators.graph import work_dir
-from quillon.operators.lexicon import IndexedNodes
+from quillon.operators.lexicon import ChunkStore, IndexedNodes
 from quillon.plans import retrieve as r
 from quillon.plans.queries import retrieval as rt
 
@@ -75,3 +76,22 @@ def _(s, d):
     index.write(_described(s, d))
     made = rt.components(s, d, rt.S, index.bm25)
     return r.top(made, 5).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("chunk_replace", "WITH c AS (SELECT vec_id // 3 AS id, (vec_id % 3)::INTEGER AS chunk_idx, 'c' || vec_id AS chunk_text, embedding[1]::DOUBLE AS first FROM embeddings) SELECT id, chunk_idx, chunk_text, first FROM c WHERE id % 4 <> 0 AND id % 5 <> 0 UNION ALL SELECT id, chunk_idx, 'new ' || chunk_text, first FROM c WHERE id % 4 = 0 AND chunk_idx < 2")
+def _(s, d):
+    """All chunks written, then those of every fourth node replaced by fewer ones and those of every fifth removed."""
+    v_ = F.col("vec_id")
+    c = v.chunks(s, d).withColumnRenamed("node_id", "vec_id").select(F.floor(v_ / 3).cast("long").alias("id"), (v_ % 3).cast("int").alias("chunk_idx"), F.concat(F.lit("c"), v_).alias("chunk_text"), "embedding")
+    store = ChunkStore(s, work_dir(s), 64)
+    store.replace(c)
+    store.replace(c.where("id % 4 = 0 AND chunk_idx < 2").withColumn("chunk_text", F.concat(F.lit("new "), "chunk_text")), c.where("id % 5 = 0 AND id % 4 <> 0").select("id"))
+    return store.chunks().select("id", "chunk_idx", "chunk_text", F.element_at("embedding", 1).cast("double").alias("first"))
+
+
+@query("embeddable_chunks", o("nodes", "SELECT id, CASE WHEN id % 2 = 0 THEN 'about ' || id ELSE name END AS chunk_text, 3 AS tokens FROM v_nodes WHERE id % 3 = 0 AND id % 2 = 0 UNION ALL SELECT id, name, 2 FROM v_nodes WHERE id % 3 = 0 AND id % 2 <> 0"))
+def _(s, d):
+    """Nodes whose body is blank are embedded by their description, or else their name."""
+    k = F.col("id")
+    n = v.nodes(s, d).select("id", "name", F.when(k % 2 == 0, F.concat(F.lit("about "), k)).alias("description"), F.when(k % 3 != 0, F.coalesce("body", F.lit(""))).otherwise(" \n ").alias("body"))
+    return embeddable(n).join(n.where("id % 3 = 0").select("id"), "id").select("id", "chunk_text", "tokens")

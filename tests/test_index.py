@@ -6,8 +6,10 @@ import random
 
 import pytest
 
+from quillon.functions.chunks import embeddable
+from quillon.operators import graph
 from quillon.operators.graph import work_dir
-from quillon.operators.lexicon import IndexedNodes
+from quillon.operators.lexicon import ChunkStore, IndexedNodes
 from quillon.plans import retrieve
 
 COLUMNS = "id long, name string, description string, body string"
@@ -83,3 +85,47 @@ def test_empty_index(spark):
     assert index.bm25(prompts).count() == 0 and index.nodes().count() == 0
     with pytest.raises(StopIteration):
         IndexedNodes(spark, work_dir(spark), "name string")
+
+
+def test_chunks_are_replaced_by_node_and_dimensions_are_checked(spark):
+    store = ChunkStore(spark, work_dir(spark), 2)
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, chunk_idx int, chunk_text string, embedding array<float>")
+    store.replace(rows((1, 0, "a", [1.0, 0.0]), (1, 1, "b", None), (2, 0, "c", [0.0, 1.0]), (2, 0, "d", [0.0, 1.0]), (None, 0, "x", None)))
+    store.replace(rows((1, 0, "new", [1.0, 1.0])))
+    got = lambda: sorted((r["id"], r["chunk_idx"], r["chunk_text"]) for r in store.chunks().collect())
+    assert got() == [(1, 0, "new"), (2, 0, "d")]
+    with pytest.raises(Exception, match="has not 2 dimensions but 3"):
+        store.replace(rows((3, 0, "e", [1.0, 0.0, 0.0])))
+    assert got() == [(1, 0, "new"), (2, 0, "d")] and store.store.last() == 1
+    store.compact()
+    store.replace(rows(), spark.createDataFrame([(2,)], "id long"))
+    assert got() == [(1, 0, "new")]
+
+
+def test_a_node_without_a_body_is_embedded_by_its_description_or_name(spark):
+    rows = [(1, "n", "d", "text here"), (2, "n", "about", ""), (3, "n", "", None), (4, None, None, " "), (5, "", "", "")]
+    got = {r["id"]: r["chunk_text"] for r in embeddable(frame(spark, rows)).collect()}
+    assert got == {1: "text here", 2: "about", 3: "n"}
+
+
+def test_block_for_a_prompt(spark):
+    rows = [(1, 0, 7, "t", "name", "two\nlines ", "a\r\nb\x0bc\n\nd\n"), (1, 1, 8, None, "", None, "x" * 399 + " " + "y" * 5), (1, 2, 9, "t", None, "d", None)]
+    hits = spark.createDataFrame(rows, "qid long, rank int, id long, type string, name string, description string, body string")
+    from pyspark.sql import functions as F
+
+    lines = ["- [ref:7] [t] name: two lines"]
+    lines += [f"  {x}" for x in rows[0][-1].splitlines()] + ["- [ref:8]", "  " + "x" * 399 + "...", "- [ref:9] [t]: d"]
+    want = "\n".join(["## Relevant memory", "", *lines, "", "intent: debug | tokens used: 12 | k: 3"])
+    assert [r["block"] for r in retrieve.block(hits, F.lit("debug"), F.lit(12)).collect()] == [want]
+
+
+def test_scopes_of_an_ego_network(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (9, 1), (2, 6)], "src long, dst long")
+    nodes = spark.createDataFrame([(1, "p", False), (2, None, False), (3, "q", False), (4, "q", True), (5, "p", False), (6, None, None), (9, None, True)], "id long, project_key string, base boolean")
+    start = spark.createDataFrame([(1,), (77,)], "id long")
+    of = lambda **k: {(r["id"], r["hop"], r["why"]) for r in graph.scoped_ego(edges, nodes, start, **k)[0].collect()}
+    assert of(hops=2, keys=["p"]) == {(1, 0, "strict"), (2, 1, "boundary"), (9, 1, "strict")}
+    assert of(hops=9, keys=["p"]) == {(1, 0, "strict"), (2, 1, "boundary"), (9, 1, "strict"), (4, 3, "strict"), (5, 4, "strict")}
+    assert of(hops=0) == {(1, 0, "strict"), (2, 1, "strict"), (9, 1, "strict")} and of(hops=2, base_only=True) == {(9, 1, "strict")}
+    inner = graph.scoped_ego(edges, nodes, start, 2, ["p"])[1]
+    assert {(r["src"], r["dst"]) for r in inner.collect()} == {(1, 2), (9, 1)}
