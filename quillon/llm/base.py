@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,12 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def releasing(parts: Iterator) -> Iterator:
+    """The same, and what the task held is given back after the last one."""
+    yield from parts
+    release_memory()
+
+
 def private(df: DataFrame, **columns: Column) -> DataFrame:
     """Only the given columns, so that other columns of df can have any name."""
     return df.select(*[c.alias(k) for k, c in columns.items()])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.base import release_memory, shared_dir, shuffle_partitions, small_batches, stored
+from quillon.llm.base import release_memory, releasing, shared_dir, shuffle_partitions, small_batches, stored
 from quillon.llm.bpe import batches
 from quillon.llm.packed import by_key, mix, pack, rolling, unpack, word_hashes
 
@@ -139,7 +139,7 @@ def classes(texts: DataFrame, shingle: int) -> DataFrame:
                     x = shingles(text.as_py(), shingle)
                     yield key, h, len(x), identity(x) if len(x) else None
 
-        return batches(rows(), schema, lambda r: 40)
+        return releasing(batches(rows(), schema, lambda r: 40))
 
     return texts.mapInArrow(run, "doc_id bigint, h bigint, n bigint, e bigint")
 
@@ -316,7 +316,7 @@ def picked(texts: DataFrame, known: DataFrame, classes_wanted: DataFrame, shingl
                     if len(x) and identity(x) == e:  # not another text with the same hash
                         yield e, n, t
 
-        return batches(rows(), schema, lambda r: len(r[2]) + 24)
+        return releasing(batches(rows(), schema, lambda r: len(r[2]) + 24))
 
     keyed = texts.withColumns({"i": F.coalesce("doc_id", F.lit(0)), "none": F.col("doc_id").isNull()})
     return stored(keyed.join(least, ["i", "none", "h"]).select("e", "n", "t").mapInArrow(run, "e bigint, n bigint, t binary").dropDuplicates(["e"]), folder)
@@ -344,7 +344,7 @@ def verified(chosen: DataFrame, pairs: DataFrame, shingle: int, share: int, fold
                     for r in own:
                         yield r["hub"], r["salt"], e, data
 
-        return batches(rows(), schema, lambda r: len(r[3]) + 32)
+        return releasing(batches(rows(), schema, lambda r: len(r[3]) + 32))
 
     def compare(table: pa.Table) -> pa.Table:
         es, hub = table.column("e").to_pylist(), table.column("hub")[0].as_py()
@@ -443,7 +443,7 @@ def sketches(chosen: DataFrame, shingle: int) -> DataFrame:
                 for e, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     yield e, folded(sketch(shingles(text.as_py(), shingle)), SKETCH).tobytes()
 
-        return batches(rows(), schema, lambda r: len(r[1]) + 16)
+        return releasing(batches(rows(), schema, lambda r: len(r[1]) + 16))
 
     return chosen.select("e", "t").mapInArrow(run, "e bigint, sketch binary")
 
@@ -481,6 +481,7 @@ def _across(mixed: DataFrame, drawn: DataFrame, share: int, folder: str) -> Data
                 if found:
                     found = sorted(set(found))
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=schema)
+        release_memory()
 
     pairs = rows.select("o", "m", F.xxhash64("g", "own_band", "own", "band", "block").alias("_k")).repartition(shuffle_partitions(mixed.sparkSession), "_k").select("o", "m")
     return pairs.mapInArrow(run, "hub bigint, x bigint").distinct()
