@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES = ("tables", "text", "retrieval", "joins", "graph", "audit", "feedback", "governance", "ingest", "events", "more", "store", "index")
+MODULES = ("tables", "text", "retrieval", "joins", "graph", "audit", "feedback", "governance", "ingest", "events", "more", "store", "index", "readers")
 
 
 def query(name: str, sql: str | None = None):

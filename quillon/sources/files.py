@@ -158,7 +158,8 @@ def parsed(files: DataFrame, kind: str, project_key: str | None = None) -> DataF
 
 def preview(files: DataFrame) -> DataFrame:
     """Files by extension, and markdown with a typed header."""
-    typed = (extension(F.col("path")) == "md") & F.make_valid_utf8(F.col("content").cast("string")).rlike(r"\A---\r?\n(?s:.*?)\ntype[ \t]*:")
+    block = F.regexp_extract(valid_text(F.col("content")), r"\A---\r?\n((?s).*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
+    typed = (extension(F.col("path")) == "md") & block.rlike(r"(?m)^type[ \t]*:")
     return files.groupBy(extension(F.col("path")).alias("ext")).agg(F.count("*").alias("n"), F.count_if(typed).alias("typed"))
 
 
