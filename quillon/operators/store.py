@@ -127,11 +127,20 @@ def revoke_keys(keys: DataFrame, ids: DataFrame, now: int) -> DataFrame:
     return j.withColumn("revoked_at", F.when(F.col("_r"), F.coalesce("revoked_at", F.lit(now).cast("long"))).otherwise(F.col("revoked_at"))).select(keys.columns)
 
 
-def verified_keys(keys: DataFrame, presented: DataFrame) -> DataFrame:
-    """(attempt, id) of presented keys (attempt, raw) that are active: the salted hash is compared with the stored one, salt by salt."""
-    salts = keys.where("revoked_at IS NULL").select("id", "salt", "key_hash")
-    hashed = presented.join(salts.select("salt").distinct(), F.lit(True)).select("attempt", "salt", salted_hash(F.col("salt"), F.col("raw")).alias("key_hash"))
-    return hashed.join(salts, ["salt", "key_hash"]).select("attempt", "id")
+def verified_keys(keys: DataFrame, presented: DataFrame, block: int = 4096) -> DataFrame:
+    """(attempt, id) of presented keys (attempt, raw) that are active: the salted hash is compared with the stored one, salt by salt.
+
+    Every attempt is hashed with every salt, as nothing in a raw key says which one is its own; both sides are dealt into blocks of about
+    `block` rows, so that a task has one pair of blocks and neither side is broadcast.
+    """
+    active = keys.where("revoked_at IS NULL").select("id", "salt", "key_hash")
+    salts = active.select("salt").distinct()
+    na, ns = (max(1, -(-df.count() // block)) for df in (presented, salts))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = presented.select("attempt", "raw", F.pmod(F.xxhash64("raw"), F.lit(na)).cast("int").alias("_a"), every(ns).alias("_s"))
+    right = salts.select("salt", F.pmod(F.xxhash64("salt"), F.lit(ns)).cast("int").alias("_s"), every(na).alias("_a"))
+    hashed = left.join(right, ["_a", "_s"]).select("attempt", "salt", salted_hash(F.col("salt"), F.col("raw")).alias("key_hash"))
+    return hashed.join(active, ["salt", "key_hash"]).select("attempt", "id")
 
 
 # Small tables.
