@@ -10,7 +10,7 @@ add_special_tokens=False and decode with skip_special_tokens=False, for word-lev
 end-of-word suffix, NFC, white space and lower-case normalisers and no decoder.
 
 Defined results: a null text is empty and has no ids; strings of special tokens inside a text are those
-tokens, as in the library; repeated rows are encoded each; texts are never cut off. Fragments are encoded
+tokens, as in the library; repeated rows and rows without an id are encoded each; texts are never cut off. Fragments are encoded
 in time n log n by the library's model, so one very long run of letters does not stall a task. Other
 columns of the input are ignored.
 """

@@ -11,7 +11,7 @@ and texts get a backslash after their first character, backslashes are doubled b
 texts of assistant turns are under the loss mask and nothing else is.
 
 Defined results: a null role or text is empty; rows of one conversation that have the same turn are
-ordered by role and text; repeated rows stay; a layout with no mapping raises an error for a table and gives null turns for
+ordered by role and text; repeated rows stay; rows without a conv_id are one conversation; a layout with no mapping raises an error for a table and gives null turns for
 a JSON row; an empty table gives no conversations. Other columns of the input are ignored.
 """
 

@@ -11,7 +11,7 @@ starts in, only where no matching unit that it overlaps shares as much. A Dice o
 template's bigrams, so only texts that hold as many are searched. The templates are literals of the plan; there is no shuffle.
 
 Defined results: a null or empty text has no units; a unit of one word has no bigrams and no match; of
-templates with one coefficient the first by name is the match; repeated lines and rows are judged each;
+templates with one coefficient the first by name is the match; repeated lines and rows, and rows without an id, are judged each;
 line 0 is the whole text. Other columns of the input are ignored.
 """
 

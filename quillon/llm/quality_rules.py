@@ -6,7 +6,7 @@ out, and stops when the next rule is not precise enough. `decision` turns the li
 `when` chain, so applying it to a corpus is a projection without shuffle.
 
 Defined results: a null or empty text has no words, all its counts are 0 and it fails the base rule;
-repeated rows are judged each; other columns of the input never clash, because only the named ones are
+repeated rows and rows without an id are judged each; other columns of the input never clash, because only the named ones are
 read. Without labelled rows of both kinds the list is empty and the base rule alone decides.
 """
 

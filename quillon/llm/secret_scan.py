@@ -11,7 +11,7 @@ are, with words of a bounded sample of labelled good documents. Only the model i
 scanned, in one pass without shuffle.
 
 Defined results: a null or empty text has no spans; places are code points, ends exclusive; of two kinds
-with one start the order of KINDS decides; repeated rows are scanned each. Other columns of the input are
+with one start the order of KINDS decides; repeated rows and rows without an id are scanned each. Other columns of the input are
 ignored by `found` and kept by `redacted`.
 """
 
