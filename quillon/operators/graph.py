@@ -252,7 +252,7 @@ def strong_components(group: pd.DataFrame) -> pd.DataFrame:
 
 
 #: Version of the layout's steps; stored layouts of another one are stale.
-LAYOUT = "layout-2"
+LAYOUT = "layout-3"
 #: Rounds of forces of the largest component and of the others. Fixed values.
 ROUNDS_GIANT, ROUNDS_OTHER = 120, 70
 
@@ -333,18 +333,47 @@ def spiral(position: np.ndarray, arms: int = 4, gamma: float = 1.5, winding: flo
     return np.stack([r * np.cos(bent), r * np.sin(bent)], axis=1)
 
 
-def separate(position: np.ndarray, least: float, rounds: int = 14) -> np.ndarray:
-    """Push nodes that are closer than `least` apart."""
+def close_pairs(x: np.ndarray, least: float, crowd: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of points closer than `least`, each pair once, by a grid of that width: a point meets its own cell and the four after it.
+
+    Of one cell a point meets the `crowd` points that come next in order, so a heap of equal points costs its size and not its square.
+    """
+    cell = np.floor(x / least).astype(np.int64)
+    cell -= cell.min(axis=0)
+    wide = int(cell[:, 1].max()) + 3
+    key = (cell[:, 0] + 1) * wide + cell[:, 1] + 1
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    firsts, seconds = [], []
+    for step in (0, 1, wide - 1, wide, wide + 1):
+        low = np.arange(1, len(x) + 1) if step == 0 else np.searchsorted(held, held + step, "left")
+        n = np.minimum(np.searchsorted(held, held + step, "right") - low, crowd)
+        n = np.maximum(n, 0)
+        ramp = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        firsts.append(order[np.repeat(np.arange(len(x)), n)])
+        seconds.append(order[np.repeat(low, n) + ramp])
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    near = ((x[i] - x[j]) ** 2).sum(axis=1) < least**2
+    return i[near], j[near]
+
+
+def separate(position: np.ndarray, least: float, rounds: int = 60) -> np.ndarray:
+    """Push points that are closer than `least` apart, half of what they lack each, until none is or `rounds` are over; equal points part by their order."""
     x = position.copy()
-    for _ in range(rounds):
-        order = np.lexsort((x[:, 1], x[:, 0]))
-        gap = np.diff(x[order], axis=0)
-        near = np.sqrt((gap**2).sum(axis=1)) < least
-        if not near.any():
+    for k in range(rounds if len(x) > 1 else 0):
+        i, j = close_pairs(x, least * 0.999)
+        if not len(i):
             break
-        shift = np.where(near[:, None], np.where(np.abs(gap) < 1e-9, 1.0, np.sign(gap)) * least / 4, 0)
-        np.add.at(x, order[1:], shift)
-        np.add.at(x, order[:-1], -shift)
+        gap = x[i] - x[j]
+        far = np.sqrt((gap**2).sum(axis=1))
+        turn = (i * 2.399963229728653 + j + k)[:, None] + np.array([0.0, np.pi / 2])
+        way = np.where((far < 1e-9)[:, None], np.cos(turn), gap / np.maximum(far, 1e-9)[:, None])
+        push = way * ((least - far) / 2)[:, None]
+        met = np.bincount(np.concatenate([i, j]), minlength=len(x))[:, None]
+        move = np.zeros_like(x)
+        np.add.at(move, i, push)
+        np.add.at(move, j, -push)
+        x += move / np.maximum(1, np.sqrt(met))
     return x
 
 

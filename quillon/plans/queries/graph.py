@@ -104,7 +104,7 @@ def _(s, d):
     return g.layout(v.code_edges(s, d))
 
 
-@query("graph_fingerprint", o("code_edges", "SELECT sha1(string_agg(digest, ',' ORDER BY part) || '|' || (SELECT count(*) FROM v_code_edges) || '|layout-2') AS fingerprint FROM (SELECT id // 10000 AS part, sha1(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM (SELECT src AS id FROM v_code_edges UNION SELECT dst FROM v_code_edges) GROUP BY 1)"))
+@query("graph_fingerprint", o("code_edges", "SELECT sha1(string_agg(digest, ',' ORDER BY part) || '|' || (SELECT count(*) FROM v_code_edges) || '|layout-3') AS fingerprint FROM (SELECT id // 10000 AS part, sha1(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM (SELECT src AS id FROM v_code_edges UNION SELECT dst FROM v_code_edges) GROUP BY 1)"))
 def _(s, d):
     """A hash over all nodes in two levels, the number of edges and the version of the layout's steps, so that a new layout is not taken for an old one."""
     e = v.code_edges(s, d)

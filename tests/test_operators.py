@@ -526,3 +526,17 @@ def test_names_in_texts_against_a_naive_scan(spark, monkeypatch):
         got = joins.named_in(*frames).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert joins.named_in(frames[0], frames[1].limit(0)).count() == 0
+
+
+def test_close_points_are_seen_and_parted_in_two_dimensions():
+    rng = np.random.default_rng(91)
+    x = np.concatenate([rng.uniform(0, 60, (300, 2)), np.zeros((20, 2)), [[30.0, y] for y in range(40)]])
+    i, j = graph.close_pairs(x, 3.0)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if far[a, b] < 3.0} and len(i) == len({(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)})
+    made = graph.separate(x, 3.0, rounds=400)
+    far = np.sqrt(((made[:, None] - made[None]) ** 2).sum(axis=2)) + np.eye(len(x)) * 99
+    assert far.min() > 2.7 and np.array_equal(made, graph.separate(x, 3.0, rounds=400))
+    heap = graph.separate(np.zeros((5000, 2)), 1.0)
+    assert len(np.unique(heap.round(6), axis=0)) == 5000
+    assert len(graph.separate(np.zeros((1, 2)), 1.0)) == 1 and len(graph.separate(np.zeros((0, 2)), 1.0)) == 0
