@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as t
 from quillon.functions.chunks import estimate, pack
-from quillon.operators import safeguards as sg
+from quillon.operators import cells, safeguards as sg
 from quillon.operators import audit, graph, joins, writes
 from quillon.plans import feedback, governance, retrieve
 from quillon.sources import code, files, gitlog
@@ -115,7 +115,7 @@ def test_reconcile_is_idempotent_and_dismissed_sticks(spark):
 
 
 def test_similar_pairs_blocks_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(audit, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 4))
     u = x / np.linalg.norm(x, axis=1)[:, None]
@@ -279,7 +279,9 @@ def test_whole_table_queries_see_every_id(spark, sf):
     q = catalog.queries()
     ids = lambda df, c: {r[0] for r in df.select(c).distinct().collect()}
     nodes = ids(views.nodes(spark, sf), "id")
-    assert ids(q["lexical_score"](spark, sf), "id") == nodes == ids(q["trailer_join"](spark, sf), "commit_id")
+    assert ids(q["nonempty_lines"](spark, sf), "id") == nodes == ids(q["trailer_join"](spark, sf), "commit_id")
+    best = q["lexical_score"](spark, sf).groupBy("qid").count().collect()  # a top-k report over all nodes
+    assert {r["qid"] for r in best} == {k for k in nodes if k % 100 == 0} and all(r["count"] == min(20, len(nodes)) for r in best)
     assert any(k % 7 for k in ids(q["nearest_line"](spark, sf), "id"))
     assert any(k % 7 for k in ids(q["interval_overlap_refs"](spark, sf), "commit_id"))
     made = q["chunk_embeddings"](spark, sf)
