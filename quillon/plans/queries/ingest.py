@@ -63,7 +63,9 @@ def _(s, d):
     return chunked(v.nodes(s, d).select("id", F.col("body")))
 
 
-@query("code_units")
+@query("code_units", """WITH x AS (SELECT s_suppkey AS k, 'm' || s_suppkey || '.py' AS path FROM supplier)
+SELECT path, 'module' AS kind, 'm' || k AS name, NULL AS parent, 1 AS line_start, 9 AS line_end, path AS key FROM x UNION ALL SELECT path, 'class', 'A', NULL, 2, 6, path || '::A' FROM x UNION ALL SELECT path, 'method', 'm', 'A', 3, 4, path || '::A.m' FROM x
+UNION ALL SELECT path, 'method', 'n', 'A', 5, 6, path || '::A.n' FROM x UNION ALL SELECT path, 'function', 'f' || k, NULL, 7, 8, path || '::f' || k FROM x""")
 def _(s, d):
     source = F.concat(F.lit("import os\nclass A:\n    def m(self):\n        self.n()\n    def n(self):\n        f"), F.col("s_suppkey"), F.lit("()\ndef f"), F.col("s_suppkey"), F.lit("():\n    return os.getcwd()\n"))
     x = table(s, d, "supplier").select(F.concat(F.lit("m"), "s_suppkey", F.lit(".py")).alias("path"), source.alias("text"))
@@ -103,7 +105,9 @@ def _(s, d):
     return code.units(x).select("path", "kind", "name", "parent", "line_start", "line_end", called.alias("calls"), F.array_join("imports", ",").alias("imports"))
 
 
-@query("code_edges")
+@query("code_edges", """WITH x AS (SELECT s_suppkey AS k, 'm' || s_suppkey || '.py' AS path FROM supplier)
+SELECT path AS src, path || '::' || f AS dst, 'defines' AS relation, 1.0::DOUBLE AS confidence FROM x, (VALUES ('f'), ('g')) d(f) UNION ALL SELECT x.path, y.path, 'imports', 0.9 FROM x JOIN x y ON y.k = x.k % 7 + 1 WHERE x.k <> y.k
+UNION ALL SELECT path || '::GET /p' || (k % 5), path || '::f', 'routes_to', 0.95 FROM x UNION ALL SELECT path || '::GET /p' || (k % 5), 'endpoint:GET:/p' || (k % 5), 'at_endpoint', 0.9 FROM x""")
 def _(s, d):
     source = F.concat(F.lit("import m"), F.col("s_suppkey") % 7 + 1, F.lit("\n@app.get('/p"), F.col("s_suppkey") % 5, F.lit("')\ndef f():\n    return g()\ndef g():\n    pass\n"))
     x = table(s, d, "supplier").select(F.concat(F.lit("m"), "s_suppkey", F.lit(".py")).alias("path"), source.alias("text"))
