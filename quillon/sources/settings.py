@@ -152,12 +152,26 @@ def task_fixture(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bench_fixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(corpus, prompts with what is expected of them) of a folder with corpus.jsonl, prompts.jsonl and expected.jsonl, joined by the prompt's id."""
-    read = lambda name, schema: spark.read.schema(schema).json(f"{folder.rstrip('/')}/{name}.jsonl")
-    corpus = read("corpus", "id string, type string, name string, body string")
-    prompts = read("prompts", "prompt_id string, confidence string, text string")
-    expected = read("expected", "prompt_id string, relevant array<string>, keywords array<string>, expected_clarifications int")
-    return corpus, prompts.join(expected, "prompt_id", "left")
+    """(corpus, prompts with what is expected of them) of a folder with corpus.jsonl, prompts.json and expected.json.
+
+    prompts.json lists prompts, as objects or, for the turns of one conversation, as plain texts (turn_1, turn_2, ...). expected.json
+    has its answers by prompt id, or once for all turns, with the keywords of the last one. What is missing is empty, or 0.
+    """
+    top = folder.rstrip("/")
+    whole = lambda name, schema: spark.read.text(f"{top}/{name}.json", wholetext=True).select(F.from_json("value", schema).alias("j")).select("j.*")
+    corpus = spark.read.schema("id string, type string, name string, description string, body string, project_key string").json(f"{top}/corpus.jsonl")
+    one = "relevant_node_ids array<string>, acceptance_criteria_keywords array<string>, rubric array<string>, expected_clarifications int"
+    expected = whole("expected", f"invariant string, relevant_node_ids array<string>, required_keywords_final_turn array<string>, by_prompt map<string, struct<{one}>>")  # one row
+    listed = whole("prompts", "prompts array<string>").select(F.size("prompts").alias("n"), F.posexplode("prompts").alias("k", "p"))
+    said = lambda key: F.get_json_object("p", f"$.{key}")
+    prompts = listed.select("n", "k", F.coalesce(said("id"), F.concat(F.lit("turn_"), F.col("k") + 1)).alias("prompt_id"), said("confidence").alias("confidence"), F.coalesce(said("text"), F.col("p")).alias("text"))
+    j = prompts.crossJoin(F.broadcast(expected)).withColumn("e", F.try_element_at("by_prompt", F.col("prompt_id")))
+    none = F.array().cast("array<string>")
+    last = F.when(F.col("k") == F.col("n") - 1, F.col("required_keywords_final_turn"))
+    return corpus, j.select(
+        "prompt_id", "confidence", "text", F.coalesce("e.relevant_node_ids", "relevant_node_ids", none).alias("relevant"), F.coalesce("e.acceptance_criteria_keywords", last, none).alias("keywords"),
+        F.coalesce("e.rubric", none).alias("rubric"), F.coalesce("e.expected_clarifications", F.lit(0)).alias("expected_clarifications"), F.coalesce("invariant", F.lit("")).alias("invariant"),
+    )
 
 
 def session_counts(log: DataFrame, now: int, seconds: int = 86_400) -> DataFrame:

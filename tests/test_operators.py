@@ -500,10 +500,16 @@ def test_fixtures(spark, tmp_path):
     (tmp_path / "u.json").write_text('[{"id": "1", "cls": "magic"}]')
     with pytest.raises(ValueError):
         settings.task_fixture(spark, str(tmp_path / "u.json"))
-    for name, text in {"corpus": '{"id": "a", "body": "b"}', "prompts": '{"prompt_id": "1", "text": "q"}\n{"prompt_id": "2", "text": "r"}', "expected": '{"prompt_id": "1", "relevant": ["a"]}'}.items():
-        (tmp_path / f"{name}.jsonl").write_text(text)
+    (tmp_path / "corpus.jsonl").write_text('{"id": "a", "body": "b"}\n\n{"id": "c", "body": "d"}\n')
+    (tmp_path / "prompts.json").write_text('{\n "prompts": [\n {"id": "x1", "confidence": "high", "text": "q \\"1\\""},\n {"id": "x2", "text": "r"}]}')
+    (tmp_path / "expected.json").write_text('{"invariant": "i", "notes": {"a": 1}, "by_prompt": {"x1": {"relevant_node_ids": ["a"], "acceptance_criteria_keywords": ["k"], "rubric": ["m"], "expected_clarifications": 2}}}')
     corpus, prompts = settings.bench_fixture(spark, str(tmp_path))
-    assert corpus.count() == 1 and sorted((r["prompt_id"], r["relevant"]) for r in prompts.collect()) == [("1", ["a"]), ("2", None)]
+    assert corpus.count() == 2
+    assert sorted(map(tuple, prompts.collect())) == [("x1", "high", 'q "1"', ["a"], ["k"], ["m"], 2, "i"), ("x2", None, "r", [], [], [], 0, "i")]
+    (tmp_path / "prompts.json").write_text('{"prompts": ["How?", "And {then}?"]}')
+    (tmp_path / "expected.json").write_text('{"relevant_node_ids": ["a", "c"], "required_keywords_final_turn": ["k"], "rubric": {"turn_1": "x"}}')
+    got = settings.bench_fixture(spark, str(tmp_path))[1].select("prompt_id", "text", "relevant", "keywords")
+    assert sorted(map(tuple, got.collect())) == [("turn_1", "How?", ["a", "c"], []), ("turn_2", "And {then}?", ["a", "c"], ["k"])]
 
 
 def test_small_text_functions(spark):
