@@ -84,8 +84,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     nv, nq = (max(1, -(-df.count() // size)) for df, size in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("e"), F.pmod(F.xxhash64("id"), F.lit(nv)).alias("v"), every(nq).alias("q"))
-    right = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<float>").alias("e"), F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("q"), every(nv).alias("v"))
+    # Both sides' keys are ints: a long hashes to another partition than an int of the same value.
+    left = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("e"), F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("v"), every(nq).alias("q"))
+    right = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<float>").alias("e"), F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("q"), every(nv).alias("v"))
 
     def matrix(table: pa.Table) -> np.ndarray:
         x = np.array(table.column("e").to_pylist(), np.float64)
