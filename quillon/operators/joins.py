@@ -71,7 +71,7 @@ def named_in(texts: DataFrame, names: DataFrame) -> DataFrame:
         return x.mapInArrow(scan, schema).distinct()
     salts = max(1, -(-(x.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // TEXT_BYTES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = x.withColumn("salt", F.pmod(F.xxhash64("text_id", "text"), F.lit(salts))).withColumn("block", every(blocks))
+    left = x.withColumn("salt", F.pmod(F.xxhash64("text_id", "text"), F.lit(salts)).cast("int")).withColumn("block", every(blocks))
     right = given.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")).withColumn("salt", every(salts))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -153,17 +153,18 @@ def fresh_evidence(stamps: DataFrame, touched: DataFrame) -> DataFrame:
 def nearest(wanted: DataFrame, have: DataFrame, keys: list[str], at: str) -> DataFrame:
     """For each wanted row (id, keys, at) the row of have (symbol, keys, at) with the nearest place; ties go to the smaller symbol.
 
-    Both sides are sorted together: a wanted row looks at the last place before it and the first after it, so no pairs are made.
+    Wanted rows are asked by their distinct places. Both sides are sorted together, forwards and backwards: a place looks at the last known
+    one on either side, both with a running window, so no pairs are made and a key of many rows costs no more than its sort.
     """
-    known = have.groupBy(*keys, at).agg(F.min("symbol").alias("symbol")).select(*keys, at, F.struct(F.col(at).alias("there"), "symbol").alias("_h"), F.lit(None).cast(wanted.schema["id"].dataType).alias("id"))
-    asked = wanted.select(*keys, at, F.lit(None).cast(known.schema["_h"].dataType).alias("_h"), "id")
-    order = Window.partitionBy(*keys).orderBy(at, F.col("id").asc_nulls_first())  # places that are equal count as before
-    before = F.last("_h", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_h", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = known.unionByName(asked).select("id", at, before.alias("_b"), after.alias("_a")).where("id IS NOT NULL")
+    known = have.groupBy(*keys, at).agg(F.min("symbol").alias("symbol")).select(*keys, at, F.struct(F.col(at).alias("there"), "symbol").alias("_h"), F.lit(False).alias("_w"))
+    asked = wanted.select(*keys, at).distinct().select(*keys, at, F.lit(None).cast(known.schema["_h"].dataType).alias("_h"), F.lit(True).alias("_w"))
+    running = lambda place: F.last("_h", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(place, "_w").rowsBetween(Window.unboundedPreceding, 0))
+    # A known place that is equal counts on both sides: it comes first in either order.
+    both = known.unionByName(asked).select(*keys, at, "_w", running(F.col(at)).alias("_b"), running(F.col(at).desc()).alias("_a")).where("_w")
     far = lambda c: F.abs(F.col(at) - F.col(f"{c}.there"))
     pick = F.least(F.when(F.col("_b").isNotNull(), F.struct(far("_b").alias("d"), F.col("_b.symbol").alias("symbol"))), F.when(F.col("_a").isNotNull(), F.struct(far("_a").alias("d"), F.col("_a.symbol").alias("symbol"))))
-    return both.select("id", pick.alias("p")).where("p IS NOT NULL").select("id", F.col("p.symbol").alias("symbol"))
+    found = both.select(*keys, at, pick.alias("p")).where("p IS NOT NULL").select(*keys, at, F.col("p.symbol").alias("symbol"))
+    return wanted.join(found, [*keys, at]).select("id", "symbol")
 
 
 def callers(calls: DataFrame, most: int = 4) -> DataFrame:
