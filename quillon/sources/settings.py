@@ -175,5 +175,5 @@ def bench_fixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 
 
 def session_counts(log: DataFrame, now: int, seconds: int = 86_400) -> DataFrame:
-    """(session_id, n): the latest count of each session (session_id, n, at) that is at most a day old."""
-    return log.where(F.col("at") > now - seconds).groupBy("session_id").agg(F.max_by("n", "at").alias("n"))
+    """(session_id, n): the latest count of each session (session_id, n, at) that is at most a day old; of two at one time the smaller."""
+    return log.where(F.col("at") > now - seconds).groupBy("session_id").agg(F.max_by("n", F.struct("at", -F.col("n"))).alias("n"))
