@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import BODY_CAP, search_tokens
+from quillon.operators import ranking
 from quillon.operators.epochs import Epochs
 
 #: Folders over which the terms of an epoch are dealt.
 BUCKETS = 64
 #: Okapi constants, and the number of prompts' terms that are looked up as a set; more are joined.
-K1, B, MOST_TERMS = 1.2, 0.75, 20_000
+K1, B, MOST_TERMS = ranking.K1, ranking.B, 20_000
 
 
 def bucket(term):
@@ -65,8 +66,8 @@ class IndexedNodes:
     def compact(self) -> None:
         self.store.compact()
 
-    def bm25(self, prompts: DataFrame) -> DataFrame:
-        """(qid, id, score) for prompts (qid, prompt), from postings and lengths."""
+    def bm25(self, prompts: DataFrame, k: int | None = None) -> DataFrame:
+        """(qid, id, score) for prompts (qid, prompt), from postings and lengths; with k, of each prompt at least the k best, ids being longs."""
         wanted = prompts.select("qid", F.explode(F.array_distinct(search_tokens(F.col("prompt")))).alias("term"))
         few = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]  # at most MOST_TERMS + 1 words
         p = self.postings()
@@ -78,6 +79,12 @@ class IndexedNodes:
         lengths = self.lengths()
         stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))  # one row
         df = p.groupBy("term").agg(F.count("*").alias("df"))
+        if k is not None:
+            asked = wanted.select(F.col("qid").cast("long").alias("qid"), "term").distinct().limit(ranking.MOST_WANTED + 1).toArrow()
+            if asked.num_rows <= ranking.MOST_WANTED:
+                n, mean = stats.first()
+                of = p.join(lengths, "id").groupBy("id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("x"))
+                return ranking.best(of.select("id", "dl", F.col("x.term").alias("w"), F.col("x.tf").alias("tf")), asked, df.toArrow(), n, mean or 1.0, k)
         joined = p.join(df, "term").join(lengths, "id").join(wanted, "term").crossJoin(F.broadcast(stats))
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))

@@ -40,7 +40,7 @@ def _prompts(s, d):
 
 
 def _ranked(index, s, d):
-    return r.top(index.bm25(_prompts(s, d)), 10).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return r.top(index.bm25(_prompts(s, d), 10), 10).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query("index_build", o("nodes", f"WITH {_bm(_DESCRIBED)} SELECT qid, id, rank::BIGINT AS rank, round(score, 6) AS score FROM br WHERE rank < 10"))

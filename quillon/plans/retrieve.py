@@ -8,16 +8,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.text import description_line, exact_name, intent_tags, search_tokens, token_estimate, type_priority
 from quillon.functions.vectors import recency
+from quillon.operators import ranking
 from quillon.operators.graph import proximity
 
 #: Okapi constants of the lexical ranker.
-K1, B = 1.2, 0.75
+K1, B = ranking.K1, ranking.B
 
 
 @dataclass(frozen=True)
@@ -51,17 +53,28 @@ MOST_TERMS = 20_000
 VECTOR_BLOCK, QUERY_BLOCK = 16_384, 2_048
 
 
-def bm25(docs: DataFrame, prompts: DataFrame) -> DataFrame:
-    """(qid, id, score) of documents (id, text) for prompts (qid, prompt).
+def bm25(docs: DataFrame, prompts: DataFrame, k: int | None = None) -> DataFrame:
+    """(qid, id, score) of documents (id, text) for prompts (qid, prompt); with k, of each prompt at least the k best, as `top` ranks them.
 
     Texts are searched for the prompts' terms only, where these are few enough for a set in every task; their counts come out of one
-    row for each document, so a text is not exploded.
+    row for each document. With k no pair of a prompt and a document is shuffled, while the prompts' terms fit a task.
     """
     wanted = prompts.select("qid", F.explode(F.array_distinct(search_tokens(F.col("prompt")))).alias("term"))
     few = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]  # at most MOST_TERMS + 1 words
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit("[a-z0-9_]{3,}")), F.lit(0))).alias("mean"))  # one row
     words = F.coalesce(search_tokens(F.col("text")), F.array().cast("array<string>"))
     sized = docs.select("id", words.alias("w")).select("id", F.size("w").alias("dl"), (F.filter("w", lambda x: x.isin(*few)) if 0 < len(few) <= MOST_TERMS else F.col("w")).alias("w"))
+    if k is not None:
+        held = wanted.select(F.col("qid").cast("long").alias("qid"), "term").distinct().limit(ranking.MOST_WANTED + 1).toArrow()
+        if held.num_rows <= ranking.MOST_WANTED:
+            # One pass for all counts: the empty word, which is no term, stands once for each document.
+            marked = sized.select("dl", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+            said = wanted.select("term").distinct().unionByName(marked.sparkSession.range(1).select(F.lit("").alias("term")))
+            counts = marked.join(said, "term", "left_semi").toArrow()  # at most one row for each wanted term
+            every = counts.filter(pc.equal(counts["term"], ""))
+            n, mean = (every["df"][0].as_py(), every["dl"][0].as_py() / every["df"][0].as_py()) if every.num_rows else (0, 1.0)
+            ones = F.transform("w", lambda _: F.lit(1).cast("long"))
+            return ranking.best(sized.select("id", "dl", "w", ones.alias("tf")), held, counts.filter(pc.not_equal(counts["term"], "")).select(["term", "df"]), n, mean or 1.0, k)
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit("[a-z0-9_]{3,}")), F.lit(0))).alias("mean"))  # one row
     tf = sized.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(stats))  # stats is one row
@@ -191,16 +204,16 @@ def block(hits: DataFrame, intents: Column, tokens: Column, title: str = "## Rel
     return of.select("qid", F.concat(F.lit(f"{title}\n\n"), F.array_join("h.x", "\n"), tail).alias("block"))
 
 
-def candidates(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring(), lexical: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def candidates(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring(), lexical: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """The candidates of both rankers and of the graph with their six components and score, for prompts (qid, prompt, vector).
 
     nodes: the node table with a long id; vectors: (id, embedding); edges: (src, dst, relation, weight). Bodies are read for the
-    rankers only and not carried. lexical: a ranker that gives (qid, id, score) for (qid, prompt), such as the `bm25` of a stored index;
-    without one the bodies are ranked.
+    rankers only and not carried. lexical: a ranker that gives (qid, id, score) for (qid, prompt) with at least the k best, such as the
+    `bm25` of a stored index; without one the bodies are ranked.
     """
     pool = max(2 * s.k, 40)
     asked = prompts.select("qid", "prompt")
-    b = top(lexical(asked) if lexical else bm25(nodes.select("id", F.col("body").alias("text")), asked), pool).select("qid", "id", F.col("rank").alias("bm25_rank"))
+    b = top(lexical(asked, pool) if lexical else bm25(nodes.select("id", F.col("body").alias("text")), asked, pool), pool).select("qid", "id", F.col("rank").alias("bm25_rank"))
     v = knn(vectors, prompts.where("vector IS NOT NULL").select("qid", "vector"), pool).select("qid", "id", F.col("rank").alias("vec_rank"), "cosine")
     g = proximity(edges, v.select("qid", "id", F.greatest(F.col("cosine"), F.lit(0.0)).alias("score")), relations=s.relations, by=("qid",))
     asked = prompts.select("qid", "prompt", intent_tags(F.coalesce("prompt", F.lit(""))).alias("_tags"))
@@ -226,7 +239,7 @@ def reciprocal_rank(share: Column, rank: Column) -> Column:
     return F.greatest(share, F.coalesce(1.0 / (1.0 + rank), F.lit(0.0)))
 
 
-def retrieved(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring(), exclude_local_only: bool = True, prefix: str = "ref", lexical: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def retrieved(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, prompts: DataFrame, now: int, scope: list[str], s: Scoring = Scoring(), exclude_local_only: bool = True, prefix: str = "ref", lexical: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """(qid, id, pick, score, line, used, with_body, excluded): the whole retrieval as one plan for any table of prompts.
 
     Ranked candidates lose rows that may not leave the machine (excluded: how many), a pool of max(2k, 20) is diversified to
