@@ -15,6 +15,8 @@ from quillon.functions.text import ancestors
 
 #: Lines of one bucket of an interval join: a range is copied to each bucket that it touches.
 BUCKET = 64
+#: Ranges of a commit in a file that stand in one row.
+HUNKS = 64
 #: Names of one automaton, and bytes of text that a group of a scan in blocks reads.
 NAMES, TEXT_BYTES = 50_000, 32 << 20
 
@@ -30,13 +32,34 @@ def overlaps(left: DataFrame, right: DataFrame, on: str, bucket: int = BUCKET) -
 
 
 def references(spans: DataFrame, hunks: DataFrame, low: float = 0.3) -> DataFrame:
-    """(commit_id, symbol, confidence): share of a symbol's lines (file, symbol, a, b) that a commit's hunks (commit_id, file, a, b) touch, at least `low` and at most 1.
+    """(commit_id, file, symbol, a, b, confidence): share of a symbol's lines (file, symbol, a, b) that a commit's hunks (commit_id, file, a, b) touch, at least `low` and at most 1.
 
-    Touched ranges are not merged: lines that two hunks touch count twice.
+    Touched ranges are not merged: lines that two hunks touch count twice. The pairs are the result and stay where they are met: the HUNKS
+    ranges of a commit in a file that it has at most stand in one row. Only commits with more have their pairs shuffled and summed.
     """
-    met = overlaps(spans, hunks.select("commit_id", "file", F.col("a").alias("c"), F.col("b").alias("d")), "file")
-    share = F.sum(F.least("b", "d") - F.greatest("a", "c") + 1) / F.greatest(F.lit(1), F.col("b") - F.col("a") + 1)
-    return met.groupBy("commit_id", "file", "symbol", "a", "b").agg(F.greatest(F.lit(low), F.least(F.lit(1.0), share)).alias("confidence"))
+    s = spans.groupBy("file", "symbol", "a", "b").agg(F.count("*").alias("_m"))
+    h = hunks.where("commit_id IS NOT NULL AND file IS NOT NULL").select("commit_id", "file", F.col("a").alias("c"), F.col("b").alias("d"))
+    many = h.groupBy("commit_id", "file").agg(F.count("*").alias("n"))
+    size = F.greatest(F.lit(1), F.col("b") - F.col("a") + 1)
+    bound = lambda share: F.greatest(F.lit(low), F.least(F.lit(1.0), share)).alias("confidence")
+    least, greatest = (lambda x, y: F.when(x < y, x).otherwise(y)), (lambda x, y: F.when(x < y, y).otherwise(x))
+
+    # Few ranges: copied to every bucket that one of them touches; a pair is kept in the first bucket where a range meets the symbol.
+    held = h.join(many.where(F.col("n") <= HUNKS).select("commit_id", "file"), ["commit_id", "file"], "left_semi")
+    few = held.groupBy("commit_id", "file").agg(F.collect_list(F.struct("c", "d")).alias("r"))
+    cut = lambda x, y: F.sequence(F.floor(x / BUCKET), F.floor(y / BUCKET))
+    left = s.withColumn("_bucket", F.explode(cut(F.col("a"), F.col("b"))))
+    right = few.withColumn("_bucket", F.explode(F.array_distinct(F.flatten(F.transform("r", lambda x: cut(x["c"], x["d"]))))))
+    hit = F.filter("r", lambda x: (x["c"] <= F.col("b")) & (x["d"] >= F.col("a")))
+    first = F.array_min(F.transform("_hit", lambda x: F.floor(greatest(F.col("a"), x["c"]) / BUCKET)))
+    lines = F.aggregate("_hit", F.lit(0).cast("long"), lambda n, x: n + (least(F.col("b"), x["d"]) - greatest(F.col("a"), x["c"]) + 1).cast("long"))
+    met = left.join(right, ["file", "_bucket"]).withColumn("_hit", hit).where((F.size("_hit") > 0) & (first == F.col("_bucket")))
+    one = met.select("commit_id", "file", "symbol", "a", "b", bound(lines * F.col("_m") / size))
+
+    rest = h.join(many.where(F.col("n") > HUNKS).select("commit_id", "file"), ["commit_id", "file"], "left_semi").select("commit_id", "file", "c", "d")
+    share = F.sum((F.least("b", "d") - F.greatest("a", "c") + 1) * F.col("_m")) / size
+    two = overlaps(s, rest, "file").groupBy("commit_id", "file", "symbol", "a", "b").agg(bound(share))
+    return one.unionByName(two)
 
 
 def owned(nodes: DataFrame, sources: DataFrame) -> DataFrame:
