@@ -167,6 +167,16 @@ def provenance(references: DataFrame, motivated: DataFrame, closed: DataFrame) -
     return one.unionByName(two).distinct()
 
 
+def provenance_of(spans: DataFrame, hunks: DataFrame, motivated: DataFrame, closed: DataFrame) -> DataFrame:
+    """(symbol, memory, via): `provenance` of the symbols that commits touch, for spans (file, symbol, a, b) and hunks (commit_id, file, a, b).
+
+    Commits are replaced by their memories before ranges meet, so equal ranges of a memory meet the symbols once and no commit meets a symbol.
+    """
+    why = motivated.select("commit_id", "memory", F.lit("motivated_by").alias("via")).unionByName(closed.select("commit_id", "memory", F.lit("closed_by").alias("via")))
+    ranges = hunks.join(why, "commit_id").select("memory", "via", "file", F.col("a").alias("c"), F.col("b").alias("d")).distinct()
+    return overlaps(spans.select("file", "symbol", "a", "b").distinct(), ranges, "file").select("symbol", "memory", "via").distinct()
+
+
 def fresh_evidence(stamps: DataFrame, touched: DataFrame) -> DataFrame:
     """(session, rule, fresh): a stamp counts while no file of its session was touched later."""
     last = touched.groupBy("session").agg(F.max("touched_at").alias("last"))

@@ -77,9 +77,8 @@ def _(s, d):
 
 @query("provenance_walk", o("spans hunks", "WITH r AS (SELECT DISTINCT h.commit_id, s.symbol FROM v_spans s JOIN v_hunks h ON s.file = h.file AND s.a <= h.b AND h.a <= s.b) SELECT DISTINCT symbol, memory, via FROM (SELECT symbol, commit_id % 100 AS memory, 'motivated_by' AS via FROM r WHERE commit_id % 2 = 0 UNION ALL SELECT symbol, commit_id % 90, 'closed_by' FROM r WHERE commit_id % 3 = 0)"))
 def _(s, d):
-    refs = joins.references(v.spans(s, d), v.hunks(s, d)).select("commit_id", "symbol").distinct()
     c = v.hunks(s, d).select("commit_id").distinct()
-    return joins.provenance(refs, c.where("commit_id % 2 = 0").select("commit_id", (F.col("commit_id") % 100).alias("memory")), c.where("commit_id % 3 = 0").select("commit_id", (F.col("commit_id") % 90).alias("memory")))
+    return joins.provenance_of(v.spans(s, d), v.hunks(s, d), c.where("commit_id % 2 = 0").select("commit_id", (F.col("commit_id") % 100).alias("memory")), c.where("commit_id % 3 = 0").select("commit_id", (F.col("commit_id") % 90).alias("memory")))
 
 
 @query("reverse_callers", o("code_edges", "SELECT dst AS symbol, count(*)::BIGINT AS callers, string_agg(src::VARCHAR, ',' ORDER BY src::VARCHAR) AS ids FROM (SELECT DISTINCT src, dst FROM v_code_edges) GROUP BY dst HAVING count(*) BETWEEN 1 AND 4"))
