@@ -10,7 +10,9 @@ An epoch is written once: a batch that is run again after it was committed chang
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,16 +43,17 @@ class Epochs:
         """The last epoch, -1 before any."""
         return max([*self.committed(), -1 if (b := self.base()) is None else b])
 
-    def write(self, epoch: int, tables: dict[str, DataFrame]) -> bool:
-        """Write and commit an epoch; False where it was committed before."""
+    def write(self, epoch: int, tables: dict[str, DataFrame | Callable]) -> bool:
+        """Write and commit an epoch; False where it was committed before. A function gets a reader of the epoch's tables that are written before it."""
         if epoch <= self.last():
             return False
-        self._put(f"e={epoch}", {name: df.withColumn("epoch", F.lit(epoch).cast("long")) for name, df in tables.items()})
+        self._put(f"e={epoch}", tables, F.lit(epoch).cast("long"))
         return True
 
-    def _put(self, name: str, tables: dict[str, DataFrame]) -> None:
+    def _put(self, name: str, tables: dict[str, DataFrame | Callable], epoch: Column | None = None) -> None:
         for table, df in tables.items():
-            rows = df.select(*self._schema(table).names)
+            df = df(lambda written: self._read([name], written)) if callable(df) else df
+            rows = (df if epoch is None else df.withColumn("epoch", epoch)).select(*self._schema(table).names)
             out = rows.repartition(self.buckets[table]).write.partitionBy(self.buckets[table]) if table in self.buckets else rows.write
             out.mode("overwrite").parquet(f"{self.folder}/{name}/{table}")
         self._files.create(self._path(f"{self.folder}/{name}/_done"), True).close()
@@ -70,16 +73,17 @@ class Epochs:
         """What the epochs after the base wrote, superseded rows too."""
         return self._read([f"e={e}" for e in self.committed()], table)
 
-    def touched(self) -> DataFrame:
-        """(id, epoch): the last epoch of every id that epochs after the base touched."""
-        return self.deltas("ids").groupBy(F.col("id").alias("_id")).agg(F.max("epoch").alias("_last"))
-
     def current(self, table: str) -> DataFrame:
-        base, touched = self.base(), self.touched()
-        new = self.deltas(table).join(touched, (F.col("id") == F.col("_id")) & (F.col("epoch") == F.col("_last"))).drop("_id", "_last")
-        if base is None:
-            return new
-        return self._read([f"base={base}"], table).join(touched, F.col("id") == F.col("_id"), "left_anti").unionByName(new)
+        """Nothing is compared where there is one folder; of several, the first is the base or else stands for it, and the last is current as it is."""
+        base = self.base()
+        names = [*([] if base is None else [f"base={base}"]), *(f"e={e}" for e in self.committed())]
+        if len(names) < 2:
+            return self._read(names, table)
+        touched = self._read(names[1:], "ids").groupBy(F.col("id").alias("_id")).agg(F.max("epoch").alias("_last"))
+        out = self._read(names[:1], table).join(touched, F.col("id") == F.col("_id"), "left_anti")
+        if names[1:-1]:
+            out = out.unionByName(self._read(names[1:-1], table).join(touched, (F.col("id") == F.col("_id")) & (F.col("epoch") == F.col("_last"))).drop("_id", "_last"))
+        return out.unionByName(self._read(names[-1:], table))
 
     def compact(self) -> None:
         """Fold the epochs into a new base; folders that it replaces are removed once it is committed."""

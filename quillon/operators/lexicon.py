@@ -7,6 +7,8 @@ lengths only, and of the postings only the buckets and terms that the prompts ha
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,15 @@ def words(nodes: DataFrame):
     return F.concat(field(F.col("name")), field(F.col("description")), field(F.substring("body", 1, BODY_CAP)))
 
 
+def counted(split: DataFrame) -> DataFrame:
+    """(id, term, tf) of (id, w), each id once: runs of equal terms of the sorted list, so that no term is shuffled."""
+    of = split.where(F.size("w") > 0).select("id", F.sort_array("w").alias("w"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = of.select("id", "w", starts.alias("s"))
+    each = F.transform("s", lambda at, k: F.struct(F.get("w", at).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("w")) - at).cast("long").alias("tf")))
+    return runs.select("id", F.explode(each).alias("t")).select("id", "t.term", "t.tf")
+
+
 class IndexedNodes:
     """A node table (id, name, description, body, more) and its index in one folder.
 
@@ -46,11 +57,20 @@ class IndexedNodes:
         """Upsert nodes and remove the ids of `gone`, as one epoch; the next one unless the caller names it."""
         rest = [c for c in self.names if c != "id"]
         fresh = nodes.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct(*rest)).alias("_r")).select("id", *[F.col(f"_r.{c}").alias(c) for c in rest])
-        split = fresh.select("id", words(fresh).alias("w"))
-        ids = split.select("id", F.lit(False).alias("gone"), F.size("w").cast("long").alias("dl"))
-        if gone is not None:
-            ids = ids.unionByName(gone.where("id IS NOT NULL").select("id").distinct().join(fresh.select("id"), "id", "left_anti").select("id", F.lit(True).alias("gone"), F.lit(0).cast("long").alias("dl")))
-        postings = split.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")).withColumn("bucket", bucket(F.col("term")))
+
+        def split(read) -> DataFrame:  # the written nodes, so that texts are shuffled once
+            return (n := read("nodes")).select("id", words(n).alias("w"))
+
+        def ids(read) -> DataFrame:
+            made = split(read).select("id", F.lit(False).alias("gone"), F.size("w").cast("long").alias("dl"))
+            if gone is None:
+                return made
+            lost = gone.where("id IS NOT NULL").select("id").distinct().join(read("nodes").select("id"), "id", "left_anti")
+            return made.unionByName(lost.select("id", F.lit(True).alias("gone"), F.lit(0).cast("long").alias("dl")))
+
+        def postings(read) -> DataFrame:
+            return counted(split(read)).withColumn("bucket", bucket(F.col("term")))
+
         return self.store.write(self.store.last() + 1 if epoch is None else epoch, {"nodes": fresh, "ids": ids, "postings": postings})
 
     def nodes(self) -> DataFrame:
@@ -70,21 +90,23 @@ class IndexedNodes:
         """(qid, id, score) for prompts (qid, prompt), from postings and lengths; with k, of each prompt at least the k best, ids being longs."""
         wanted = prompts.select("qid", F.explode(F.array_distinct(search_tokens(F.col("prompt")))).alias("term"))
         few = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]  # at most MOST_TERMS + 1 words
+        asked = None if k is None else wanted.select(F.col("qid").cast("long").alias("qid"), "term").distinct().limit(ranking.MOST_WANTED + 1).toArrow()
+        asked = None if asked is None or asked.num_rows > ranking.MOST_WANTED else asked
         p = self.postings()
         if len(few) <= MOST_TERMS:
             held = [r[0] for r in prompts.sparkSession.createDataFrame([(t,) for t in few], "term string").select(bucket(F.col("term"))).distinct().collect()]  # at most BUCKETS numbers
             p = p.where(F.col("bucket").isin(*held) & F.col("term").isin(*few))
+        elif asked is not None:  # at most MOST_WANTED words, so the postings of all terms are not shuffled
+            p = p.join(F.broadcast(prompts.sparkSession.createDataFrame(pa.table({"term": pc.unique(asked["term"])}))), "term", "left_semi")
         else:
             p = p.join(wanted.select("term").distinct(), "term", "left_semi")
         lengths = self.lengths()
         stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))  # one row
         df = p.groupBy("term").agg(F.count("*").alias("df"))
-        if k is not None:
-            asked = wanted.select(F.col("qid").cast("long").alias("qid"), "term").distinct().limit(ranking.MOST_WANTED + 1).toArrow()
-            if asked.num_rows <= ranking.MOST_WANTED:
-                n, mean = stats.first()
-                of = p.join(lengths, "id").groupBy("id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("x"))
-                return ranking.best(of.select("id", "dl", F.col("x.term").alias("w"), F.col("x.tf").alias("tf")), asked, df.toArrow(), n, mean or 1.0, k)
+        if asked is not None:
+            n, mean = stats.first()
+            of = p.groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("x")).join(lengths, "id")
+            return ranking.best(of.select("id", "dl", F.col("x.term").alias("w"), F.col("x.tf").alias("tf")), asked, df.toArrow(), n, mean or 1.0, k)
         joined = p.join(df, "term").join(lengths, "id").join(wanted, "term").crossJoin(F.broadcast(stats))
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))

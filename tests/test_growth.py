@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from quillon.operators import store
+from quillon.operators.epochs import Epochs
+from quillon.operators.graph import work_dir
+from quillon.operators.lexicon import counted
 
 
 def _plan(df, kind="optimizedPlan"):
@@ -20,3 +24,23 @@ def test_scope_gathers_keys_before_callers(spark):
     out = store.scope_of(callers, sources, nodes)
     assert sorted((r["caller"], r["project_key"]) for r in out.collect()) == sorted((c, k) for c in range(40) for k in ("k0", "k1"))
     assert re.search(r"Aggregate \[project_key#\d+, at#\d+\]", _plan(out))
+
+
+def test_one_epoch_is_read_as_it_is(spark):
+    e = Epochs(spark, work_dir(spark), {"t": "id long, x long", "ids": "id long"})
+    rows = spark.range(5).withColumn("x", F.col("id") * 2)
+    assert e.write(0, {"t": rows, "ids": lambda read: read("t").select("id")})
+    assert "Join" not in _plan(e.current("t")) and e.current("ids").count() == 5
+    e.write(1, {"t": rows.where("id = 1").withColumn("x", F.lit(9).cast("long")), "ids": rows.where("id IN (1, 2)").select("id")})
+    e.write(2, {"t": rows.where("id = 3").withColumn("x", F.lit(8).cast("long")), "ids": rows.where("id = 3").select("id")})
+    want = [(0, 0), (1, 9), (3, 8), (4, 8)]
+    assert sorted((r["id"], r["x"]) for r in e.current("t").collect()) == want
+    e.compact()
+    assert sorted((r["id"], r["x"]) for r in e.current("t").collect()) == want
+
+
+def test_terms_are_counted_where_they_stand(spark):
+    texts = {1: ["b", "a", "b"], 2: [], 3: ["c"], 4: list("abcabca")}
+    out = counted(spark.createDataFrame(list(texts.items()), "id long, w array<string>"))
+    assert {(r["id"], r["term"], r["tf"]) for r in out.collect()} == {(k, t, n) for k, w in texts.items() for t, n in Counter(w).items()}
+    assert "Exchange" not in _plan(out, "executedPlan")
