@@ -11,6 +11,7 @@ from quillon.operators import store
 from quillon.operators.epochs import Epochs
 from quillon.operators.graph import work_dir
 from quillon.operators.lexicon import counted
+from quillon.plans import retrieve
 
 
 def _plan(df, kind="optimizedPlan"):
@@ -44,3 +45,11 @@ def test_terms_are_counted_where_they_stand(spark):
     out = counted(spark.createDataFrame(list(texts.items()), "id long, w array<string>"))
     assert {(r["id"], r["term"], r["tf"]) for r in out.collect()} == {(k, t, n) for k, w in texts.items() for t, n in Counter(w).items()}
     assert "Exchange" not in _plan(out, "executedPlan")
+
+
+def test_packing_needs_no_text(spark):
+    hits = spark.createDataFrame([(1, k, "a b", "w " * (k + 1)) for k in range(4)], "qid long, rank int, line string, body string")
+    whole = retrieve.pack(hits, 10, F.col("line"), F.col("body"))
+    bare = hits.select("qid", "rank", "line", retrieve.token_estimate(F.col("body")).alias("body_tokens"))
+    row = lambda df: sorted((r["rank"], r["used"], r["with_body"]) for r in df.collect())
+    assert row(retrieve.pack(bare, 10, F.col("line"))) == row(whole)
