@@ -28,12 +28,12 @@ def stale(nodes: DataFrame) -> DataFrame:
     return finding(nodes.where(is_stale(F.col("body"))), "stale", "medium", F.array(F.col("id").cast("string")), F.concat(F.col("name"), F.lit(" is marked as superseded")))
 
 
-def similar_pairs(vectors: DataFrame, low: float, high: float = 2.0, bucket: str | None = None) -> DataFrame:
-    """(a, b, cosine) for pairs of one bucket with low <= cosine <= high, a < b; vectors are (id, embedding[, bucket]).
+def similar_pairs(vectors: DataFrame, low: float, high: float = 2.0, bucket: str | None = None, mark: str | None = None) -> DataFrame:
+    """(a, b, cosine) for pairs of one bucket with low <= cosine <= high, a < b, and with mark a marked end; vectors are (id, embedding[, bucket, mark]).
 
     Exact, through the cells of `cells`: what their bounds rule out is not compared.
     """
-    return cells.pairs(vectors, low, high, bucket)
+    return cells.pairs(vectors, low, high, bucket, mark=mark)
 
 
 def duplicates(vectors: DataFrame, threshold: float = 0.95, bucket: str | None = "type") -> DataFrame:
@@ -42,9 +42,9 @@ def duplicates(vectors: DataFrame, threshold: float = 0.95, bucket: str | None =
 
 
 def contradictions(vectors: DataFrame, nodes: DataFrame, low: float = 0.5, high: float = 0.85, bucket: str | None = "type") -> DataFrame:
-    """Pairs of one type in the band where one body negates."""
-    flags = nodes.select("id", has_negation(F.col("body")).alias("negates"))
-    p = similar_pairs(vectors, low, high, bucket).join(flags.select(F.col("id").alias("a"), F.col("negates").alias("x")), "a").join(flags.select(F.col("id").alias("b"), F.col("negates").alias("y")), "b").where("x OR y")
+    """Pairs of one type in the band where one body negates; vectors know that before they meet, so no pair is shuffled."""
+    flagged = vectors.join(nodes.select("id", has_negation(F.col("body")).alias("negates")), "id")
+    p = similar_pairs(flagged, low, high, bucket, "negates")
     return finding(p, "contradiction", "candidate", F.array(F.col("a").cast("string"), F.col("b").cast("string")), F.lit("same topic, one negates"))
 
 

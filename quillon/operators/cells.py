@@ -7,7 +7,8 @@ centre, and compares a ring to itself and its neighbours. A search takes the k-t
 other cells, and of those only the vectors, that can beat it. Nothing inside the bound is lost, whatever the centres are: they are fitted to a
 bounded sample (the SAMPLE vectors with the least hashes) and only decide how much is skipped.
 
-Rings and cells of any size are cut into blocks of BLOCK_ROWS vectors; a task multiplies two blocks.
+Cells of any size are cut into blocks of BLOCK_ROWS vectors, rings of a join into blocks of BLOCK_ROWS * JOIN_BLOCKS; a task multiplies two
+blocks, and a join's pairs leave it step by step.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,16 @@ from quillon.operators.graph import saved, work_dir
 
 #: Vectors of the sample that centres are fitted to, rounds of fitting, vectors that one centre should have, and most centres.
 SAMPLE, ROUNDS, CELL_ROWS, MOST_CENTRES = 8192, 4, 4096, 1024
-#: Vectors and queries that one block of a product holds.
-BLOCK_ROWS, QUERY_ROWS = 2048, 2048
+#: Vectors and queries that one block of a product holds, such blocks that one block of a join holds, and rows of it that are multiplied at once.
+BLOCK_ROWS, QUERY_ROWS, JOIN_BLOCKS, STEP_ROWS = 2048, 2048, 8, 512
+#: A join goes through cells where they leave at most this share of the pairs; else copies of vectors would cost more than they skip.
+WORTH = 0.5
 #: Radians by which bounds are widened, against rounding.
 NEAR = 1e-6
-_ROW = "id long, embedding array<double>, bucket string, cell int, angle double, visits boolean"
+_ROW = "id long, embedding array<double>, bucket string, mark boolean, cell int, angle double, visits boolean"
 
 
-def unit(rows: list) -> np.ndarray:
+def unit(rows: list | np.ndarray) -> np.ndarray:
     """Rows of length 1; zero vectors stay zero."""
     x = np.array(rows, np.float64)
     norm = np.sqrt((x**2).sum(axis=1))
@@ -72,9 +76,9 @@ def assigned(vectors: DataFrame, c: np.ndarray, reach: np.ndarray | None = None)
                 r, i = np.nonzero((a <= reach[None, :]) & (np.arange(len(c))[None, :] < home[:, None]))
                 rows, cells = np.concatenate([rows, r]), np.concatenate([home, i])
             out = part.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cells, pa.int32()), pa.array(a[rows, cells]), pa.array(np.arange(len(rows)) >= len(home))], names=["id", "embedding", "bucket", "cell", "angle", "visits"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cells, pa.int32()), pa.array(a[rows, cells]), pa.array(np.arange(len(rows)) >= len(home))], names=["id", "embedding", "bucket", "mark", "cell", "angle", "visits"])
 
-    return vectors.select("id", "embedding", "bucket").mapInArrow(run, _ROW)
+    return vectors.select("id", "embedding", "bucket", "mark").mapInArrow(run, _ROW)
 
 
 def radii(homes: DataFrame, k: int) -> np.ndarray:
@@ -85,17 +89,17 @@ def radii(homes: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def prepared(vectors: DataFrame, bucket: str | None) -> DataFrame:
-    """(id, embedding, bucket): vectors of other sizes never meet, so the size is a part of the bucket."""
+def prepared(vectors: DataFrame, bucket: str | None, mark: str | None = None) -> DataFrame:
+    """(id, embedding, bucket, mark): vectors of other sizes never meet, so the size is a part of the bucket."""
     e = F.col("embedding").cast("array<double>")
     name = F.concat_ws("|", F.size(e).cast("string"), F.col(bucket).cast("string") if bucket else F.lit(""))
-    return vectors.where("embedding IS NOT NULL AND size(embedding) > 0").select(F.col("id").cast("long").alias("id"), e.alias("embedding"), name.alias("bucket"))
+    return vectors.where("embedding IS NOT NULL AND size(embedding) > 0").select(F.col("id").cast("long").alias("id"), e.alias("embedding"), name.alias("bucket"), (F.coalesce(F.col(mark), F.lit(False)) if mark else F.lit(True)).alias("mark"))
 
 
 def _blocks(rows: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
     """rows with ring and block, and the units (bucket, cell, ring, visits, n, blocks) they stand in."""
     ringed = rows.withColumn("ring", F.floor(F.col("angle") / width).cast("int"))
-    units = ringed.groupBy("bucket", "cell", "ring", "visits").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    units = ringed.groupBy("bucket", "cell", "ring", "visits").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / (BLOCK_ROWS * JOIN_BLOCKS)).cast("int"))
     key = ["bucket", "cell", "ring", "visits"]
     return ringed.join(units.drop("n"), key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), units
 
@@ -107,50 +111,67 @@ def _meetings(units: DataFrame) -> DataFrame:
     return both.where("(NOT visits2 AND ring2 BETWEEN ring1 AND ring1 + 1) OR (visits2 AND abs(ring1 - ring2) <= 1)")
 
 
-def pairs(vectors: DataFrame, low: float, high: float = 2.0, bucket: str | None = None, most: int = MOST_CENTRES) -> DataFrame:
-    """(a, b, cosine) of pairs in one bucket with low <= cosine <= high, a < b; vectors are (id, embedding[, bucket]). Exact; a low of 0 or less skips nothing."""
-    rows, units = _placed(vectors, low, bucket, most)
+def pairs(vectors: DataFrame, low: float, high: float = 2.0, bucket: str | None = None, most: int = MOST_CENTRES, mark: str | None = None) -> DataFrame:
+    """(a, b, cosine) of pairs in one bucket with low <= cosine <= high, a < b; vectors are (id, embedding[, bucket, mark]). Exact; a low of 0 or less skips nothing.
+
+    With mark, a boolean column, only pairs with a marked end are given.
+    """
+    rows, units = _placed(vectors, low, bucket, most, mark)
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     met = _meetings(units).drop("n1", "n2").withColumn("block1", span("blocks1")).withColumn("block2", span("blocks2"))
     met = met.where("visits2 OR ring1 <> ring2 OR block1 <= block2").withColumn("same", F.expr("NOT visits2 AND ring1 = ring2 AND block1 = block2"))
     met = met.withColumn("pair", F.concat_ws("|", "bucket", "cell", "ring1", "block1", F.col("visits2").cast("int"), "ring2", "block2"))
     on = lambda k: [rows[c] == met[c] for c in ("bucket", "cell")] + [rows[c] == met[f"{c}{k}"] for c in ("ring", "visits", "block")]
-    give = lambda k, m: rows.join(m, on(k)).select("id", "embedding", "pair", F.lit(k).alias("side"), "same")
+    give = lambda k, m: rows.join(m, on(k)).select("id", "embedding", "mark", "pair", F.lit(k).alias("side"), "same")
     copies = give(1, met).unionByName(give(2, met.where("NOT same")))
 
-    def product(table: pa.Table) -> pa.Table:
-        side, ids, x = table.column("side").to_numpy(), table.column("id").to_numpy(), unit(table.column("embedding").to_pylist())
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        side, ids, mark = (table.column(c).to_numpy() for c in ("side", "id", "mark"))
+        x = unit(pc.list_flatten(table.column("embedding")).to_numpy().reshape(table.num_rows, -1))
         same = table.column("same")[0].as_py()
-        left, right = side == 1, side == (1 if same else 2)
-        cosine = x[left] @ x[right].T
-        a, b = np.nonzero((cosine >= low) & (cosine <= high))
-        one, two = ids[left][a], ids[right][b]
-        keep = one < two if same else one != two
-        return pa.table({"a": pa.array(np.minimum(one, two)[keep], pa.int64()), "b": pa.array(np.maximum(one, two)[keep], pa.int64()), "cosine": pa.array(cosine[a, b][keep], pa.float64())})
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == (1 if same else 2))
+        y = x[right].T
+        for at in range(0, len(left), STEP_ROWS):  # a block's pairs leave it step by step
+            some = left[at : at + STEP_ROWS]
+            cosine = x[some] @ y
+            a, b = np.nonzero((cosine >= low) & (cosine <= high))
+            one, two = ids[some][a], ids[right][b]
+            keep = (one < two if same else one != two) & (mark[some][a] | mark[right][b])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)[keep], pa.int64()), pa.array(np.maximum(one, two)[keep], pa.int64()), pa.array(cosine[a, b][keep], pa.float64())], names=["a", "b", "cosine"])
 
-    return copies.groupBy("pair").applyInArrow(lambda t: product(t), "a long, b long, cosine double")
+    return copies.groupBy("pair").applyInArrow(product, "a long, b long, cosine double")
 
 
-def _placed(vectors: DataFrame, low: float, bucket: str | None, most: int) -> tuple[DataFrame, DataFrame]:
+def _placed(vectors: DataFrame, low: float, bucket: str | None, most: int, mark: str | None = None) -> tuple[DataFrame, DataFrame]:
     folder = work_dir(vectors.sparkSession)
-    given = saved(prepared(vectors, bucket), f"{folder}/vectors")
+    given = saved(prepared(vectors, bucket, mark), f"{folder}/vectors")
     theta = math.acos(max(-1.0, min(1.0, low))) + NEAR
     sizes = [r["size"] for r in given.select(F.size("embedding").alias("size")).distinct().limit(2).collect()]
     c = centres(given, most) if len(sizes) == 1 and theta < math.pi / 2 else None
-    if c is None:  # nothing can be skipped, or vectors of several sizes: one cell for each bucket
-        rows = given.select("id", "embedding", "bucket", F.lit(0).alias("cell"), F.lit(0.0).alias("angle"), F.lit(False).alias("visits"))
-    else:
+    if c is not None and len(c) > 1:
         rows = assigned(given, c, radii(assigned(given, c), len(c)) + theta)
-    return _blocks(saved(rows, f"{folder}/cells"), theta)
+        if _work(_blocks(rows, theta)[1]) <= WORTH * _every(given):
+            return _blocks(saved(rows, f"{folder}/cells"), theta)
+    # Nothing can be skipped, or too little, or vectors of several sizes: one cell for each bucket.
+    return _blocks(given.select("id", "embedding", "bucket", "mark", F.lit(0).alias("cell"), F.lit(0.0).alias("angle"), F.lit(False).alias("visits")), theta)
+
+
+def _work(units: DataFrame) -> int:
+    """Pairs of vectors that the meetings of units multiply."""
+    done = F.when(F.expr("NOT visits2 AND ring1 = ring2"), F.expr("n1 * (n1 - 1) div 2")).otherwise(F.expr("n1 * n2"))
+    return int(_meetings(units).agg(F.sum(done)).first()[0] or 0)
+
+
+def _every(given: DataFrame) -> int:
+    """Pairs of vectors of one bucket."""
+    return int(given.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0)
 
 
 def compared(vectors: DataFrame, low: float, bucket: str | None = None, most: int = MOST_CENTRES) -> tuple[int, int]:
     """(pairs of vectors that a join multiplies, pairs of one bucket): what the bounds leave of the work."""
     _, units = _placed(vectors, low, bucket, most)
-    done = F.when(F.expr("NOT visits2 AND ring1 = ring2"), F.expr("n1 * (n1 - 1) div 2")).otherwise(F.expr("n1 * n2"))
-    made = _meetings(units).agg(F.sum(done)).first()[0] or 0
-    every = prepared(vectors, bucket).groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
-    return int(made), int(every)
+    return _work(units), _every(prepared(vectors, bucket))
 
 
 class VectorCells:
@@ -161,7 +182,7 @@ class VectorCells:
         given = saved(prepared(vectors, None), f"{self.folder}/vectors")
         self.centres = centres(given, most)
         rows = assigned(given, self.centres)
-        rows.drop("visits", "bucket").repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("cell").parquet(f"{self.folder}/cells")
+        rows.drop("visits", "bucket", "mark").repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("cell").parquet(f"{self.folder}/cells")
         self.cells = self.spark.read.schema("id long, embedding array<double>, angle double, cell int").parquet(f"{self.folder}/cells")
         self.radii = radii(self.cells.withColumn("visits", F.lit(False)), len(self.centres))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import store
+from quillon.operators import audit, cells, store
 from quillon.operators.epochs import Epochs
 from quillon.operators.graph import work_dir
 from quillon.operators.lexicon import counted
@@ -53,3 +55,29 @@ def test_packing_needs_no_text(spark):
     bare = hits.select("qid", "rank", "line", retrieve.token_estimate(F.col("body")).alias("body_tokens"))
     row = lambda df: sorted((r["rank"], r["used"], r["with_body"]) for r in df.collect())
     assert row(retrieve.pack(bare, 10, F.col("line"))) == row(whole)
+
+
+@pytest.fixture
+def vectors(spark):
+    x = np.random.default_rng(3).normal(size=(600, 16))
+    return x, spark.createDataFrame([(k, v.tolist(), "t") for k, v in enumerate(x)], "id long, embedding array<double>, type string")
+
+
+def test_random_vectors_are_not_copied_to_cells(spark, vectors, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_ROWS", 20)
+    x, frame = vectors
+    rows, _ = cells._placed(frame, 0.3, "type", cells.MOST_CENTRES)
+    assert rows.count() == len(x)
+
+
+def test_contradictions_shuffle_no_pairs(spark, vectors, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 8)
+    x, frame = vectors
+    nodes = frame.select("id", F.when(F.col("id") % 5 == 0, "never").when(F.col("id") % 7 != 0, "fine").alias("body"))
+    out = audit.contradictions(frame, nodes, 0.3, 0.6)
+    u = x / np.sqrt((x**2).sum(axis=1))[:, None]
+    c = u @ u.T
+    want = {(str(a), str(b)) for a, b in zip(*np.nonzero((c >= 0.3) & (c <= 0.6)), strict=True) if a < b and (a % 5 == 0 or b % 5 == 0)}
+    assert {tuple(r["node_ids"]) for r in out.collect()} == want
+    plan = _plan(out)
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
