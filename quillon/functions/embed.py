@@ -11,7 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillon.functions.chunks import small_batches
 
 DIMENSIONS = 64
 
@@ -31,10 +35,12 @@ def hashed(texts: pd.Series, dimensions: int = DIMENSIONS) -> list[list[float]]:
 def embedded(chunks: DataFrame, model: Callable[[pd.Series], list[list[float]]] = hashed, rows: int = 256) -> DataFrame:
     """(id, chunk_idx, embedding) of chunks (id, chunk_idx, chunk_text), in batches of `rows`."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, len(part), rows):
-                piece = part.iloc[at : at + rows]
-                yield pd.DataFrame({"id": piece["id"], "chunk_idx": piece["chunk_idx"], "embedding": model(piece["chunk_text"])})
+            for at in range(0, part.num_rows, rows):
+                piece = part.slice(at, rows)
+                made = model(piece["chunk_text"].to_pandas())
+                yield pa.RecordBatch.from_arrays([piece["id"], piece["chunk_idx"], pa.array(made, pa.list_(pa.float32()))], names=["id", "chunk_idx", "embedding"])
 
-    return chunks.select("id", "chunk_idx", "chunk_text").mapInPandas(run, "id long, chunk_idx int, embedding array<float>")
+    small_batches(chunks.sparkSession)
+    return chunks.select(F.col("id").cast("long").alias("id"), F.col("chunk_idx").cast("int").alias("chunk_idx"), "chunk_text").mapInArrow(run, "id long, chunk_idx int, embedding array<float>")

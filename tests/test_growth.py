@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions.chunks import chunked
 from quillon.operators import audit, cells, store
 from quillon.operators.epochs import Epochs
 from quillon.operators.graph import work_dir
@@ -81,3 +82,16 @@ def test_contradictions_shuffle_no_pairs(spark, vectors, monkeypatch):
     assert {tuple(r["node_ids"]) for r in out.collect()} == want
     plan = _plan(out)
     assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+def test_chunks_come_in_small_batches(spark):
+    docs = spark.range(3000, numPartitions=1).select("id", F.lit("one two").alias("body"))
+
+    def rows(parts):
+        import pyarrow as pa
+
+        for p in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([p.num_rows], pa.int64())], names=["n"])
+
+    sizes = [r["n"] for r in chunked(docs).mapInArrow(rows, "n long").collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 1000
