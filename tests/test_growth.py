@@ -95,3 +95,14 @@ def test_chunks_come_in_small_batches(spark):
 
     sizes = [r["n"] for r in chunked(docs).mapInArrow(rows, "n long").collect()]
     assert sum(sizes) == 3000 and max(sizes) <= 1000
+
+
+def test_co_occurrence_is_added_in_one_join(spark):
+    columns = "src_id long, dst_id long, relation string, weight double, created_at long, source string, confidence double"
+    edges = spark.createDataFrame([(1, 2, "co_occurs_with", 4.95, 1, "x", 0.5), (1, 2, "mentions", 0.5, 2, "y", 0.5), (3, 4, "co_occurs_with", 1.0, None, "x", 0.5)], columns)
+    counted_ = spark.createDataFrame([(1, 2, 0.3), (3, 4, 0.2), (5, 6, 0.1)], "src long, dst long, weight double")
+    out = store.add_co_occurrence(edges, counted_, 9)
+    new = "co_occurrence"
+    want = {(1, 2, "co_occurs_with", 5.0, 1, new, 1.0), (1, 2, "mentions", 0.5, 2, "y", 0.5), (3, 4, "co_occurs_with", 1.2, None, new, 1.0), (5, 6, "co_occurs_with", 0.1, 9, new, 1.0)}
+    assert {tuple(r) for r in out.collect()} == want
+    assert "Aggregate" not in _plan(out)
