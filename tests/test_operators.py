@@ -445,6 +445,18 @@ def test_cycles_without_the_last_task_equal_one_task(spark):
     assert rows(graph.cycles(e, one_task=0)) == rows(graph.cycles(e)) and graph.cycles(e).count() > 2
 
 
+def test_layout_places_each_shape_once(spark, tmp_path, monkeypatch):
+    """Six rings and six stars are two shapes, the largest component stands for itself, and shared positions are those of a component alone."""
+    pairs = [(20 * k + i, 20 * k + (i + 1) % 5) for k in range(6) for i in range(5)] + [(1000 + 20 * k, 1000 + 20 * k + i) for k in range(6) for i in range(1, 6)] + [(5000 + i, 5001 + i) for i in range(30)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    monkeypatch.setattr(graph, "SHAPED", 0)
+    alone = graph.layout(e).orderBy("id").toPandas()
+    monkeypatch.setattr(graph, "SHAPED", 256)
+    monkeypatch.setattr(graph, "work_dir", lambda spark: str(tmp_path))
+    pd.testing.assert_frame_equal(graph.layout(e).orderBy("id").toPandas(), alone, check_exact=True)
+    assert spark.read.parquet(f"{tmp_path}/shapes").count() == 2 and len(alone) == 6 * 5 + 6 * 6 + 31
+
+
 def test_layout_uses_edges_at_every_size(spark):
     n = 2600  # two dense halves, one bridge
     rng = random.Random(2)
