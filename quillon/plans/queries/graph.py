@@ -26,7 +26,8 @@ def _(s, d):
 
 @query("co_occurrence_weights", o("retrievals", "SELECT a.node_id AS src, b.node_id AS dst, round(least(count(*) * 0.1, 5.0), 6)::DOUBLE AS weight FROM v_retrievals a JOIN v_retrievals b ON a.query_id = b.query_id AND a.node_id <> b.node_id GROUP BY ALL"))
 def _(s, d):
-    return g.co_occurrence(v.retrievals(s, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
+    lines = table(s, d, "lineitem")
+    return g.co_occurrence(lines.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("node_id")), rows=lines.count()).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 @query("bfs_hops", o("code_edges", "WITH u AS (SELECT src, dst FROM v_code_edges UNION SELECT dst, src FROM v_code_edges), b(id, hop) AS (SELECT 1::BIGINT, 0 UNION SELECT u.dst, b.hop + 1 FROM b JOIN u ON b.id = u.src WHERE b.hop < 4) SELECT id, min(hop)::INTEGER AS hop FROM b GROUP BY id", True))
