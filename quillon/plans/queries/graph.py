@@ -71,11 +71,12 @@ _SIX = """e AS (SELECT src, dst, 'calls' AS relation FROM v_code_edges UNION ALL
 
 def _six(s, d):
     """Edges of every relation that a symbol's detail shows."""
-    e, m, h = v.code_edges(s, d), v.members(s, d), v.hunks(s, d)
+    e, h = v.code_edges(s, d), v.hunks(s, d)
+    m = table(s, d, "lineitem").select(F.col("l_suppkey").alias("module"), F.col("l_partkey").alias("symbol"))  # repeated rows go with the details
     made = lambda df, a, b, relation: df.select(a.cast("long").alias("src"), b.cast("long").alias("dst"), F.lit(relation).alias("relation"))
     return (
         made(e, F.col("src"), F.col("dst"), "calls").unionByName(made(m, F.col("module") + 1_000_000, F.col("symbol"), "defines")).unionByName(made(e, F.col("src"), F.floor(F.col("src") / 10) + 2_000_000, "method_of"))
-        .unionByName(made(m, F.col("symbol") % 5 + 3_000_000, F.col("symbol"), "routes_to")).unionByName(made(h, F.col("commit_id") + 4_000_000, F.col("commit_id") % 200, "references_function"))
+        .unionByName(made(m.select("symbol").distinct(), F.col("symbol") % 5 + 3_000_000, F.col("symbol"), "routes_to")).unionByName(made(h, F.col("commit_id") + 4_000_000, F.col("commit_id") % 200, "references_function"))
     )
 
 
@@ -84,7 +85,8 @@ SELECT DISTINCT id, CASE relation WHEN 'calls' THEN 'callee' ELSE 'method_of' EN
 UNION SELECT DISTINCT id, CASE relation WHEN 'calls' THEN 'caller' WHEN 'defines' THEN 'defines_in' WHEN 'routes_to' THEN 'served_by' ELSE 'commit' END, src FROM e JOIN s ON dst = id WHERE relation IN ('calls', 'defines', 'routes_to', 'references_function')"""))
 def _(s, d):
     """Callers, callees, modules, classes, routes and commits of every symbol that calls."""
-    return g.symbol_detail(_six(s, d), v.code_edges(s, d).select(F.col("src").alias("id")))
+    rows = 3 * table(s, d, "part").count() + 2 * table(s, d, "lineitem").count() + table(s, d, "orders").count()
+    return g.symbol_detail(_six(s, d), v.code_edges(s, d).select(F.col("src").alias("id")), rows)
 
 
 _N = "n AS (SELECT id, CASE WHEN id % 3 <> 0 THEN 'p' || (id % 4) END AS project_key, id % 25 = 0 AS base FROM (SELECT src AS id FROM v_code_edges UNION SELECT dst FROM v_code_edges))"

@@ -191,6 +191,19 @@ def test_cycles_and_components(spark):
     assert rows(graph.bfs(e, spark.createDataFrame([(1,)], "id long"), 2, directed=True)) == [(1, 0), (2, 1), (3, 2)]
 
 
+def test_tasks_follow_rows(spark, monkeypatch):
+    """More rows are more tasks, beyond the session's number, where a task's share would grow; the rows stay the same."""
+    r = spark.createDataFrame([(k // 4, k * 7 % 50) for k in range(400)] * 2, "query_id long, node_id long")
+    e = spark.createDataFrame([(k, k % 9, rel) for k in range(40) for rel in ("calls", "method_of", "routes_to")] * 2, "src long, dst long, relation string")
+    made = lambda: (graph.co_occurrence(r), graph.symbol_detail(e, e.select(F.col("src").alias("id"))))
+    few = [rows(df) for df in made()]
+    monkeypatch.setattr(graph, "TASK_ROWS", 20)
+    pairs, detail = made()
+    assert [rows(pairs), rows(detail)] == few and len(set(few[1])) == len(few[1])
+    assert pairs.rdd.getNumPartitions() == 80
+    assert ", 12), REPARTITION_BY_NUM" in detail._jdf.queryExecution().executedPlan().toString()
+
+
 def test_layout_is_deterministic(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1), (10, 11)], "src long, dst long")
     one_, two = (graph.layout(e).orderBy("id").toPandas() for _ in range(2))
