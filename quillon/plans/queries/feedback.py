@@ -75,10 +75,14 @@ def _(s, d):
 _AGAIN = "l AS (SELECT q.*, embedding AS e FROM v_query_log q JOIN embeddings ON vec_id = node_id % 5), r AS (SELECT p.id AS query_id, p.node_id, min(n.at_s) AS created_at FROM l p JOIN l n ON p.actor = n.actor AND p.id <> n.id AND n.at_s > p.at_s AND n.at_s - p.at_s <= 300 WHERE list_sum(list_transform(range(1, 65), lambda i: p.e[i]::DOUBLE * n.e[i]::DOUBLE)) / (sqrt(list_sum(list_transform(p.e, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(n.e, lambda x: x::DOUBLE * x::DOUBLE)))) >= 0.85 GROUP BY ALL)"
 
 
+def _asked_again(s, d):
+    """The vectors of remainders by 5, which are nine ids at most."""
+    return F.broadcast(table(s, d, "embeddings").where("vec_id BETWEEN -4 AND 4").select(F.col("vec_id").alias("v"), "embedding"))
+
+
 @query("requery_feedback", o("query_log", f"WITH {_AGAIN} SELECT query_id, node_id FROM r"))
 def _(s, d):
-    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
-    log = v.query_log(s, d).join(vectors, F.col("node_id") % 5 == F.col("v")).select("id", "actor", F.col("at_s").alias("at"), "embedding", F.array("node_id").alias("hits"))
+    log = v.query_log(s, d).join(_asked_again(s, d), F.col("node_id") % 5 == F.col("v")).select("id", "actor", F.col("at_s").alias("at"), "embedding", F.array("node_id").alias("hits"))
     return f.requeries(log)
 
 
@@ -87,9 +91,8 @@ def _(s, d):
     """The same of the events as a stream: state by actor, timers, and a keyed table that the stream upserts."""
     folder = work_dir(s)
     events = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
     log = events.select(F.col("event_id").alias("id"), F.col("user_id").alias("actor"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("node_id"))
-    log = log.join(vectors, F.col("node_id") % 5 == F.col("v")).select("id", "actor", "ts", "embedding", F.array("node_id").alias("hits"))
+    log = log.join(_asked_again(s, d), F.col("node_id") % 5 == F.col("v")).select("id", "actor", "ts", "embedding", F.array("node_id").alias("hits"))
     requery.upserted(requery.requeried(log), f"{folder}/feedback", f"{folder}/checkpoint").awaitTermination()
     return requery.feedback(s, f"{folder}/feedback").select("query_id", "node_id", "reason", "signal")
 

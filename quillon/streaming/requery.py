@@ -37,7 +37,9 @@ class Recent(StatefulProcessor):
     """The look-back of one actor.
 
     Rows of a batch come in any order, so they are sorted by time and id, and a row that is late but within the
-    watermark is compared both to what came before it and to what is held from after it.
+    watermark is compared both to what came before it and to what is held from after it. A row is compared to those of its look-back
+    only, and what is held of a batch is what a row can meet that is `late` seconds behind the actor's newest: later ones are beyond the
+    watermark of the batches that follow.
     """
 
     def __init__(self, seconds: int, threshold: float, top: int, late: int):
@@ -49,22 +51,25 @@ class Recent(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [(k, at, np.asarray(e, float), list(hits or [])) for k, at, e, hits in self.held.get()] if self.held.exists() else []
-        known = {h[0] for h in held}
+        known, timed = {h[0] for h in held}, bool(held)
+        fresh = [r for part in rows for r in zip(part["id"].tolist(), part["at"].tolist(), part["embedding"], part["hits"], strict=True) if r[2] is not None]
+        both = [(h[1], h[0], h[2], h[3], False) for h in held]
+        for k, at, e, hits in sorted(fresh, key=lambda h: (h[1], h[0])):
+            if k not in known:
+                known.add(k)
+                both.append((at, k, np.asarray(e, float), [int(x) for x in hits], True))
+        both.sort(key=lambda h: h[:2])
+        times = np.array([h[0] for h in both], np.int64)
+        begin, end = np.searchsorted(times, times - self.seconds, "left"), np.searchsorted(times, times, "left")
         out: set[tuple[int, int, int]] = set()
-        fresh = [(int(r.id), int(r.at), np.asarray(r.embedding, float), [int(x) for x in r.hits]) for part in rows for r in part.itertuples() if r.embedding is not None]
-        for new in sorted(fresh, key=lambda h: (h[1], h[0])):
-            if new[0] in known:
-                continue
-            for old in held:
-                first, again = (old, new) if old[1] <= new[1] else (new, old)
-                if 0 < again[1] - first[1] <= self.seconds and alike(first[2], again[2]) >= self.threshold:
-                    out |= {(first[0], hit, again[1]) for hit in first[3][: self.top]}
-            held.append(new)
-            known.add(new[0])
+        for j in np.flatnonzero(begin < end):
+            again = both[j]
+            for first in both[begin[j] : end[j]]:
+                if (again[4] or first[4]) and alike(first[2], again[2]) >= self.threshold:
+                    out |= {(first[1], hit, again[0]) for hit in first[3][: self.top]}
         # What even a row at the watermark can't meet any more goes.
-        edge = timerValues.getCurrentWatermarkInMs() // 1000 - self.seconds
-        held = [h for h in held if h[1] >= edge]
-        self._keep(held)
+        edge = max([timerValues.getCurrentWatermarkInMs() // 1000, *(times[-1:] - self.late).tolist()]) - self.seconds
+        self._keep([(k, at, e, hits) for at, k, e, hits, _ in both if at >= edge], timed)
         yield self._made(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -73,8 +78,8 @@ class Recent(StatefulProcessor):
         self._keep([h for h in held if h[1] >= edge])
         yield self._made(set())
 
-    def _keep(self, held: list[tuple]) -> None:
-        for timer in list(self.handle.listTimers()):
+    def _keep(self, held: list[tuple], timed: bool = True) -> None:
+        for timer in list(self.handle.listTimers()) if timed else ():  # who holds nothing has no timer
             self.handle.deleteTimer(timer)
         if not held:
             self.held.clear()
@@ -96,7 +101,8 @@ def requeried(log: DataFrame, seconds: int = 300, threshold: float = 0.85, top:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     if threshold > 1 or seconds <= 0 or top <= 0:
         log = log.where("false")
-    given = log.select("actor", "ts", F.col("id").cast("long").alias("id"), F.unix_timestamp("ts").alias("at"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(F.col("hits").cast("array<long>"), F.array().cast("array<long>")).alias("hits"))
+    floats = log.schema["embedding"].dataType.simpleString() == "array<float>"  # half the bytes, the same doubles in the task
+    given = log.select("actor", "ts", F.col("id").cast("long").alias("id"), F.unix_timestamp("ts").alias("at"), F.col("embedding").cast("array<float>" if floats else "array<double>").alias("embedding"), F.coalesce(F.col("hits").cast("array<long>"), F.array().cast("array<long>")).alias("hits"))
     timed = given.where("id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", f"{late_seconds} seconds")
     return timed.groupBy("actor").transformWithStateInPandas(Recent(seconds, threshold, top, late_seconds), EMITTED, "append", "EventTime")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillon.plans import feedback as batch
@@ -65,3 +66,51 @@ def test_off_by_its_settings(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     requery.upserted(requery.requeried(stream, threshold=1.5), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert requery.feedback(spark, str(tmp_path / "out")).count() == 0
+
+
+class Handle:
+    """State and timers of one actor without a stream."""
+
+    def __init__(self):
+        self.rows, self.timers = [], []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    exists = lambda self: bool(self.rows)
+    get = lambda self: iter(self.rows)
+    listTimers = lambda self: iter(self.timers)  # noqa: E731, N815
+    getCurrentWatermarkInMs = lambda self: 0  # noqa: E731, N815
+
+    def put(self, rows):
+        self.rows = rows
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+def test_one_batch_holds_and_compares_the_look_back_only(monkeypatch):
+    rng = random.Random(33)
+    rows = log(rng, 3000)
+    compared = []
+    cosine = requery.alike
+    monkeypatch.setattr(requery, "alike", lambda a, b: compared.append(1) or cosine(a, b))
+    handle, recent = Handle(), requery.Recent(300, 0.85, 3, 600)
+    recent.init(handle)
+    out = set()
+    # The ten rows before the last five come in a second batch: late, but by less than 600 seconds.
+    for part in (rows[:-15] + rows[-5:], rows[-15:-5]):
+        part = pd.DataFrame(rng.sample(part, len(part)), columns=["id", "actor", "at", "embedding", "hits"])
+        for made in recent.handleInputRows((1,), iter([part[:700], part[700:]]), handle):
+            out |= set(zip(made["query_id"], made["node_id"], made["created_at"], strict=True))
+        assert len(handle.rows) < 100 and len(handle.timers) == 1
+    asked = [r for r in rows if r[3] is not None]
+    near = [(p, q) for k, p in enumerate(asked) for q in asked[k + 1 : k + 320] if 0 < q[2] - p[2] <= 300]
+    assert out == {(p[0], hit, q[2]) for p, q in near if cosine(np.array(p[3]), np.array(q[3])) >= 0.85 for hit in p[4][:3]} and len(out) > 1000
+    assert len(compared) <= 1.1 * len(near)
