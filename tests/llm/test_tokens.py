@@ -95,3 +95,14 @@ def test_token_files_null_ids_slices_and_shards(spark, monkeypatch):
     assert [x for x in token_files._pairs(5, lambda a, b: np.array([[k, k + 1] for k in range(a, b)]))] == [(k, k + 1) for k in range(5)]
     with pytest.raises(Exception, match="least 64-bit"):
         token_files.write(spark.createDataFrame([(-(1 << 63), "b")], docs.schema), shared_dir(spark), path)
+
+
+def test_words_without_a_certain_cut_pass_the_model_once(monkeypatch):
+    """Their pairs are looked up together; only pieces with a cut are walked, and ids stay the library's."""
+    path = registry.vocabulary("word_bpe_49k.json")
+    walked, cut = [], bpe.ForcedBpe.fragments
+    monkeypatch.setattr(bpe.ForcedBpe, "fragments", lambda self, letters: walked.append(letters) or cut(self, letters))
+    codec, library = bpe.ForcedBpe(path), Tokenizer.from_file(path)
+    for text in ("the Printing of words, it's plain 42", "\x01ab\x7fc \u0391\u03a3 \ufb01 e\u0301 <|endoftext|>end", "qzxjqv\u4e00\u4e01 z\u00ff\u0100"):
+        assert codec.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not {"the", "printing", "of", "words", "it", "plain"} & set(walked)
