@@ -54,6 +54,8 @@ MOST_TERMS = 20_000
 VECTOR_BLOCK, QUERY_BLOCK = 16_384, 2_048
 #: Queries that are sent to every task where the result is all pairs, pairs of one batch of them, and pieces of text whose words are kept.
 HELD, PAIRS, PIECES = 100_000, 1 << 18, 100_000
+#: Hits that go to every task which reads texts; of more, what is shown of all texts is shuffled.
+MOST_HITS = 500_000
 
 
 def bm25(docs: DataFrame, prompts: DataFrame, k: int | None = None) -> DataFrame:
@@ -330,6 +332,16 @@ def pack(hits: DataFrame, budget: int, line: Column, body: Column | None = None)
     return kept.withColumn("with_body", (F.col("rank") == 0) & (total + F.col("body_tokens") <= budget))
 
 
+def with_text(hits: DataFrame, most: int, texts: DataFrame, name: str, made: Column) -> DataFrame:
+    """hits (id, ...), `most` at most, with a column that is made of their texts (id, body).
+
+    Hits follow the prompts and texts the documents, so hits go to where texts are read: no text is shuffled, and the column is made for hits only.
+    """
+    if most <= MOST_HITS:
+        return texts.select("id", "body").join(F.broadcast(hits), "id").withColumn(name, made).select(*hits.columns, name)
+    return hits.join(texts.select("id", made.alias(name)), "id")
+
+
 def block(hits: DataFrame, intents: Column, tokens: Column, title: str = "## Relevant memory", prefix: str = "ref", most: int = 400) -> DataFrame:
     """(qid, block): hits (qid, rank, id, type, name, description, body) as a block of text for a prompt.
 

@@ -58,6 +58,18 @@ def test_packing_needs_no_text(spark):
     assert row(retrieve.pack(bare, 10, F.col("line"))) == row(whole)
 
 
+def test_texts_of_hits_are_not_shuffled(spark, monkeypatch):
+    hits = spark.createDataFrame([(1, 0, 3), (1, 1, 5), (2, 0, 3)], "qid long, rank int, id long")
+    texts = spark.createDataFrame([(k, None if k == 5 else "w" * k) for k in range(9)], "id long, body string")
+    first = F.substring("body", 1, 2)
+    out = retrieve.with_text(hits, 3, texts, "body", first)
+    rows = lambda df: sorted(((r["qid"], r["rank"], r["id"], r["body"]) for r in df.collect()), key=str)
+    assert rows(out) == [(1, 0, 3, "ww"), (1, 1, 5, None), (2, 0, 3, "ww")]
+    assert "hashpartitioning" not in _plan(out, "executedPlan")
+    monkeypatch.setattr(retrieve, "MOST_HITS", 2)
+    assert rows(retrieve.with_text(hits, 3, texts, "body", first)) == rows(out)
+
+
 @pytest.fixture
 def vectors(spark):
     x = np.random.default_rng(3).normal(size=(600, 16))
