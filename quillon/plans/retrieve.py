@@ -71,10 +71,8 @@ def bm25(docs: DataFrame, prompts: DataFrame, k: int | None = None) -> DataFrame
     if k is not None:
         held = wanted.select(F.col("qid").cast("long").alias("qid"), "term").distinct().limit(ranking.MOST_WANTED + 1).toArrow()
         if held.num_rows <= ranking.MOST_WANTED:
-            # One pass for all counts: the empty word, which is no term, stands once for each document.
-            marked = sized.select("dl", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
-            said = wanted.select("term").distinct().unionByName(marked.sparkSession.range(1).select(F.lit("").alias("term")))
-            counts = marked.join(said, "term", "left_semi").toArrow()  # at most one row for each wanted term
+            said = wanted.select("term").distinct().unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("term")))
+            counts = term_counts(sized, None if 0 < len(few) <= MOST_TERMS else said).toArrow()  # at most one row for each wanted term
             every = counts.filter(pc.equal(counts["term"], ""))
             n, mean = (every["df"][0].as_py(), every["dl"][0].as_py() / every["df"][0].as_py()) if every.num_rows else (0, 1.0)
             ones = F.transform("w", lambda _: F.lit(1).cast("long"))
@@ -88,6 +86,17 @@ def bm25(docs: DataFrame, prompts: DataFrame, k: int | None = None) -> DataFrame
     return joined.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
+def term_counts(docs: DataFrame, said: DataFrame | None) -> DataFrame:
+    """(term, df, dl) over documents (dl, w), in one pass: the empty word, which is no term, stands once for each document.
+
+    said: the terms to count (term), the empty word among them and ranking.MOST_WANTED others at most, or null if documents hold no others. Words
+    meet them before they are counted, so that no other word is shuffled.
+    """
+    marked = docs.select("dl", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("term"))
+    marked = marked if said is None else marked.join(F.broadcast(said), "term", "left_semi")
+    return marked.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+
+
 def top(scored: DataFrame, k: int, score: str = "score", by: str = "qid", key: str = "id") -> DataFrame:
     """The first k rows of each query with their 0-based rank; scores are compared to nine digits, ties go to the smaller key."""
     w = Window.partitionBy(by).orderBy(F.round(score, 9).desc(), F.col(key))

@@ -70,6 +70,16 @@ def test_texts_of_hits_are_not_shuffled(spark, monkeypatch):
     assert rows(retrieve.with_text(hits, 3, texts, "body", first)) == rows(out)
 
 
+def test_only_wanted_terms_are_counted(spark):
+    docs = spark.createDataFrame([(3, ["a", "b", "a"]), (1, ["c"]), (0, []), (2, ["b", "d"])], "dl long, w array<string>")
+    said = spark.createDataFrame([("",), ("a",), ("b",), ("z",)], "term string")
+    out = retrieve.term_counts(docs, said)
+    assert {(r["term"], r["df"], r["dl"]) for r in out.collect()} == {("", 4, 6), ("a", 1, 3), ("b", 2, 5)}
+    plan = _plan(out)
+    assert 0 <= plan.index("Aggregate") < plan.index("LeftSemi")  # the join is below the counts
+    assert not {"c", "d"} & {r["term"] for r in out.collect()} and retrieve.term_counts(docs, None).count() == 5
+
+
 @pytest.fixture
 def vectors(spark):
     x = np.random.default_rng(3).normal(size=(600, 16))
