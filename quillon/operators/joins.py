@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -17,6 +18,8 @@ from quillon.functions.text import ancestors
 BUCKET = 64
 #: Ranges of a commit in a file that stand in one row.
 HUNKS = 64
+#: Commits of one row, of one list while it is gathered on average at most, of one task, and of a file that meet a copy of its symbols; files that are sent to every task.
+LIST, SALT, TASK_COMMITS, DEAL, FILES = 4096, 1 << 20, 1 << 18, 1 << 13, 100_000
 #: Names of one automaton, and bytes of text that a group of a scan in blocks reads.
 NAMES, TEXT_BYTES = 50_000, 32 << 20
 
@@ -31,35 +34,61 @@ def overlaps(left: DataFrame, right: DataFrame, on: str, bucket: int = BUCKET) -
     return met.where("a <= d AND c <= b").where(F.floor(F.greatest("a", "c") / bucket) == F.col("_bucket")).drop("_bucket")
 
 
-def references(spans: DataFrame, hunks: DataFrame, low: float = 0.3) -> DataFrame:
-    """(commit_id, file, symbol, a, b, confidence): share of a symbol's lines (file, symbol, a, b) that a commit's hunks (commit_id, file, a, b) touch, at least `low` and at most 1.
+def references(spans: DataFrame, hunks: DataFrame, low: float = 0.3, digits: int | None = None) -> DataFrame:
+    """(commit_id, file, symbol, a, b, confidence): share of a symbol's lines (file, symbol, a, b) that a commit's hunks (commit_id, file, a, b) touch, at least `low` and at most 1, to `digits` if given.
 
-    Touched ranges are not merged: lines that two hunks touch count twice. The pairs are the result and stay where they are met: the HUNKS
-    ranges of a commit in a file that it has at most stand in one row. Only commits with more have their pairs shuffled and summed.
+    Touched ranges are not merged: lines that two hunks touch count twice. The pairs are the result and stay where they are met. Commits whose
+    one range in a file is the same stand together, LIST in a row at most: a symbol meets the range once, and only then the commits come apart. Of
+    commits with more, up to HUNKS ranges of a commit in a file stand in one row, and only commits with more than that have their pairs
+    shuffled and summed. A file's commits are dealt to tasks by DEAL, each with a copy of the file's symbols, so that no task holds a file that many commits touch.
     """
-    s = spans.groupBy("file", "symbol", "a", "b").agg(F.count("*").alias("_m"))
-    h = hunks.where("commit_id IS NOT NULL AND file IS NOT NULL").select("commit_id", "file", F.col("a").alias("c"), F.col("b").alias("d"))
-    many = h.groupBy("commit_id", "file").agg(F.count("*").alias("n"))
+    h = hunks.where("commit_id IS NOT NULL AND file IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").select("commit_id", "file", F.col("a").alias("c"), F.col("b").alias("d"))
+    of = h.groupBy("file").agg(F.count("*").alias("n"))
+    few_files = of.limit(FILES + 1).toArrow()
+    known = few_files.num_rows <= FILES  # then symbols of other files are left out where they are read
+    total = pc.sum(few_files["n"]).as_py() or 0 if known else h.count()
+    files = (F.broadcast(h.sparkSession.createDataFrame(few_files)) if known else of).select("file", F.ceil(F.col("n") / DEAL).cast("int").alias("_deals"))
+    s = spans.join(files.select("file"), "file", "left_semi").groupBy("file", "symbol", "a", "b").agg(F.count("*").alias("_m"))
     size = F.greatest(F.lit(1), F.col("b") - F.col("a") + 1)
-    bound = lambda share: F.greatest(F.lit(low), F.least(F.lit(1.0), share)).alias("confidence")
     least, greatest = (lambda x, y: F.when(x < y, x).otherwise(y)), (lambda x, y: F.when(x < y, y).otherwise(x))
 
-    # Few ranges: copied to every bucket that one of them touches; a pair is kept in the first bucket where a range meets the symbol.
-    held = h.join(many.where(F.col("n") <= HUNKS).select("commit_id", "file"), ["commit_id", "file"], "left_semi")
-    few = held.groupBy("commit_id", "file").agg(F.collect_list(F.struct("c", "d")).alias("r"))
+    def bound(share: Column) -> Column:
+        made = F.greatest(F.lit(low), F.least(F.lit(1.0), share))
+        return (made if digits is None else F.round(made, digits)).alias("confidence")
+
+    # Both sides are in tasks by commits, not by bytes: rows are few before commits come apart.
+    tasks = max(2 * h.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_COMMITS))
+    keys = ["file", "_bucket", "_deal"]
     cut = lambda x, y: F.sequence(F.floor(x / BUCKET), F.floor(y / BUCKET))
-    left = s.withColumn("_bucket", F.explode(cut(F.col("a"), F.col("b"))))
-    right = few.withColumn("_bucket", F.explode(F.array_distinct(F.flatten(F.transform("r", lambda x: cut(x["c"], x["d"]))))))
+    left = s.join(files, "file").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals")
+    left = left.withColumn("_bucket", F.explode(cut(F.col("a"), F.col("b")))).repartition(tasks, *keys)
+    put = lambda df, *by: df.join(files, "file").withColumn("_deal", F.pmod(F.xxhash64(*by), F.col("_deals")).cast("int")).drop("_deals")
+    counted = h.withColumn("_n", F.count("*").over(Window.partitionBy("commit_id", "file")))
+
+    # One range: its commits in lists, which salts bound by their number.
+    salt = F.pmod(F.xxhash64("commit_id"), F.lit(max(1, -(-total // SALT))))
+    same = counted.where("_n = 1").groupBy("file", "c", "d", salt.alias("_salt")).agg(F.collect_list("commit_id").alias("_all"))
+    lists = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / LIST).cast("int")), lambda k: F.slice("_all", k * LIST + 1, LIST))
+    right = put(same.select("file", "c", "d", "_salt", F.posexplode(lists).alias("_k", "_all")), "c", "d", "_salt", "_k").drop("_salt", "_k")
+    right = right.withColumn("_bucket", F.explode(cut(F.col("c"), F.col("d")))).repartition(tasks, *keys)
+    from_, to = greatest(F.col("a"), F.col("c")), least(F.col("b"), F.col("d"))  # a pair is kept in the bucket where its overlap starts
+    met = left.join(right, keys).where("a <= d AND c <= b").where(F.floor(from_ / BUCKET) == F.col("_bucket"))
+    met = met.select("_all", "file", "symbol", "a", "b", bound((to - from_ + 1) * F.col("_m") / size))
+    one = met.select(F.explode("_all").alias("commit_id"), "file", "symbol", "a", "b", "confidence")
+
+    # Few ranges: copied to every bucket that one of them touches; a pair is kept in the first bucket where a range meets the symbol.
+    listed = counted.where(F.col("_n").between(2, HUNKS)).groupBy("commit_id", "file").agg(F.collect_list(F.struct("c", "d")).alias("r"))
+    right = put(listed, "commit_id").withColumn("_bucket", F.explode(F.array_distinct(F.flatten(F.transform("r", lambda x: cut(x["c"], x["d"])))))).repartition(tasks, *keys)
     hit = F.filter("r", lambda x: (x["c"] <= F.col("b")) & (x["d"] >= F.col("a")))
     first = F.array_min(F.transform("_hit", lambda x: F.floor(greatest(F.col("a"), x["c"]) / BUCKET)))
     lines = F.aggregate("_hit", F.lit(0).cast("long"), lambda n, x: n + (least(F.col("b"), x["d"]) - greatest(F.col("a"), x["c"]) + 1).cast("long"))
-    met = left.join(right, ["file", "_bucket"]).withColumn("_hit", hit).where((F.size("_hit") > 0) & (first == F.col("_bucket")))
-    one = met.select("commit_id", "file", "symbol", "a", "b", bound(lines * F.col("_m") / size))
+    met = left.join(right, keys).withColumn("_hit", hit).where((F.size("_hit") > 0) & (first == F.col("_bucket")))
+    few = met.select("commit_id", "file", "symbol", "a", "b", bound(lines * F.col("_m") / size))
 
-    rest = h.join(many.where(F.col("n") > HUNKS).select("commit_id", "file"), ["commit_id", "file"], "left_semi").select("commit_id", "file", "c", "d")
+    rest = counted.where(F.col("_n") > F.greatest(F.lit(1), F.lit(HUNKS))).select("commit_id", "file", "c", "d")
     share = F.sum((F.least("b", "d") - F.greatest("a", "c") + 1) * F.col("_m")) / size
-    two = overlaps(s, rest, "file").groupBy("commit_id", "file", "symbol", "a", "b").agg(bound(share))
-    return one.unionByName(two)
+    many = overlaps(s, rest, "file").groupBy("commit_id", "file", "symbol", "a", "b").agg(bound(share))
+    return one.unionByName(few).unionByName(many)
 
 
 def owned(nodes: DataFrame, sources: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ o = v.oracle
 
 @query("interval_overlap_refs", o("spans hunks", "SELECT h.commit_id, s.file, s.symbol, s.a, s.b, round(greatest(0.3, least(1.0, sum(least(s.b, h.b) - greatest(s.a, h.a) + 1) / greatest(1, s.b - s.a + 1))), 6)::DOUBLE AS confidence FROM v_spans s JOIN v_hunks h ON s.file = h.file AND s.a <= h.b AND h.a <= s.b GROUP BY h.commit_id, s.file, s.symbol, s.a, s.b"))
 def _(s, d):
-    return joins.references(v.spans(s, d), v.hunks(s, d)).withColumn("confidence", F.round("confidence", 6))
+    return joins.references(v.spans(s, d), v.hunks(s, d), digits=6)
 
 
 @query("prefix_ownership", o("nodes", "SELECT n.id, p.path FROM v_nodes n JOIN (VALUES ('docs/src1'), ('docs/src12'), ('docs')) p(path) ON starts_with(n.source_path, p.path || '/') OR n.source_path = p.path"))
