@@ -68,7 +68,7 @@ def token_estimate(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t-\r]+"), lambda w: w != ""))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t-\r]+"))
 
 
 def char_estimate(text: Column) -> Column:

@@ -63,25 +63,22 @@ MOST_HITS = 500_000
 def bm25(docs: DataFrame, prompts: DataFrame, k: int | None = None) -> DataFrame:
     """(qid, id, score) of documents (id, text) for prompts (qid, prompt); with k, of each prompt at least the k best, as `top` ranks them.
 
-    Texts are searched for the prompts' terms only, where these are few enough for a set in every task; their counts come out of one
-    row for each document. With k no pair of a prompt and a document is shuffled, while the prompts' terms fit a task.
+    With k no pair of a prompt and a document is shuffled, and no word, while the prompts' terms fit a task. Else texts are searched for the
+    prompts' terms only, where these are few enough for a set in every task; their counts come out of one row for each document.
     """
     wanted = prompts.select("qid", F.explode(F.array_distinct(search_tokens(F.col("prompt")))).alias("term"))
-    few = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]  # at most MOST_TERMS + 1 words
-    words = F.coalesce(search_tokens(F.col("text")), F.array().cast("array<string>"))
-    sized = docs.select("id", words.alias("w")).select("id", F.size("w").alias("dl"), (F.filter("w", lambda x: x.isin(*few)) if 0 < len(few) <= MOST_TERMS else F.col("w")).alias("w"))
     if k is not None:
         held = wanted.select(F.col("qid").cast("long").alias("qid"), "term").distinct().limit(ranking.MOST_WANTED + 1).toArrow()
         if held.num_rows <= ranking.MOST_WANTED:
-            said = wanted.select("term").distinct().unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("term")))
-            counts = term_counts(sized, None if 0 < len(few) <= MOST_TERMS else said).toArrow()  # at most one row for each wanted term
-            every = counts.filter(pc.equal(counts["term"], ""))
-            n, mean = (every["df"][0].as_py(), every["dl"][0].as_py() / every["df"][0].as_py()) if every.num_rows else (0, 1.0)
-            ones = F.transform("w", lambda _: F.lit(1).cast("long"))
-            return ranking.best(sized.select("id", "dl", "w", ones.alias("tf")), held, counts.filter(pc.not_equal(counts["term"], "")).select(["term", "df"]), n, mean or 1.0, k)
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit("[a-z0-9_]{3,}")), F.lit(0))).alias("mean"))  # one row
+            counts, n, mean = ranking.counted(docs, pc.unique(held["term"]))
+            return ranking.best(docs, held, counts, n, mean, k, texts=True)
+    few = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]  # at most MOST_TERMS + 1 words
+    words = F.coalesce(search_tokens(F.col("text")), F.array().cast("array<string>"))
+    sized = docs.select("id", words.alias("w")).select("id", F.size("w").alias("dl"), (F.filter("w", lambda x: x.isin(*few)) if 0 < len(few) <= MOST_TERMS else F.col("w")).alias("w"))
+    counts = term_counts(sized, None)
+    stats = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("mean"))  # one row, or none without documents
+    df = counts.where("term <> ''").select("term", "df")
     tf = sized.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
@@ -118,11 +115,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     right = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<float>").alias("e"), F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("q"), every(nv).alias("v"))
 
     def matrix(table: pa.Table) -> np.ndarray:
-        x = np.array(table.column("e").to_pylist(), np.float64)
+        x = pc.list_flatten(table.column("e").combine_chunks()).to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
         return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-300)
 
     def product(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if a.num_rows and b.num_rows:
             ids, x = a.column("id").to_numpy(), matrix(a)
             order = np.argsort(ids, kind="stable")
@@ -130,16 +127,25 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             qids, y = b.column("qid").to_numpy(), matrix(b)
             for at in range(0, len(qids), 256):
                 c = y[at : at + 256] @ x.T
-                near = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, :k]
-                for row in range(len(c)):
-                    out += zip([int(qids[at + row])] * near.shape[1], ids[near[row]].tolist(), c[row, near[row]].tolist(), strict=True)
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"qid": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "cosine": pa.array(columns[2], pa.float64())})
+                row, place = best_places(np.round(c, 9), k)
+                out.append((qids[at + row], ids[place], c[row, place]))
+        return pa.table(dict(zip(("qid", "id", "cosine"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     scored = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(product, "qid long, id long, cosine double")
     return top(scored, k, "cosine")
 
 
+def best_places(value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the k largest values of each row of a matrix, ties to the smaller place; only those that reach the k-th are sorted."""
+    value = np.where(np.isnan(value), -np.inf, value)
+    n = value.shape[1]
+    row, place = np.nonzero(value >= (np.partition(value, n - k, axis=1)[:, n - k, None] if n > k else -np.inf))
+    order = np.lexsort((place, -value[row, place], row))
+    row, place = row[order], place[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], place[first]
+
+
 def every_pair(rows: DataFrame, queries: DataFrame, ready: Callable, kernel: Callable, schema: str) -> DataFrame | None:
     """kernel(batch of rows, ids of queries, ready(table of queries)) for all rows and HELD queries at most, in blocks of PAIRS pairs; null if there are more queries.
 
