@@ -7,17 +7,21 @@ lengths only, and of the postings only the buckets and terms that the prompts ha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.text import BODY_CAP, search_tokens
 from quillon.operators import ranking
 from quillon.operators.epochs import Epochs
 
-#: Folders over which the terms of an epoch are dealt.
-BUCKETS = 64
+#: Folders over which the terms of an epoch are dealt, and postings of one batch.
+BUCKETS, ROWS = 64, 1 << 16
 #: Okapi constants, and the number of prompts' terms that are looked up as a set; more are joined.
 K1, B, MOST_TERMS = ranking.K1, ranking.B, 20_000
 
@@ -26,10 +30,25 @@ def bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def words(nodes: DataFrame):
-    """The terms of a node's name, description and capped body, one after the other."""
-    field = lambda c: search_tokens(F.coalesce(c, F.lit("")))
-    return F.concat(field(F.col("name")), field(F.col("description")), field(F.substring("body", 1, BODY_CAP)))
+def fields(nodes: DataFrame):
+    """A node's name, description and capped body as one text in lower case, which ends in a blank; no term stands across two of them."""
+    field = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return F.concat(field(F.col("name")), F.lit(" "), field(F.col("description")), F.lit(" "), field(F.substring("body", 1, BODY_CAP)), F.lit(" "))
+
+
+def posted(texts: DataFrame) -> DataFrame:
+    """(id, term, tf) of (id, text) with texts as of `fields`, each id once: terms are cut from bytes and counted by blocks of texts, no list of words is a row."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in ranking.slices(parts):
+            words, ends = ranking.split(part.column("text"))
+            if len(words):
+                of = words.dictionary_encode()
+                pair, tf = np.unique(np.repeat(np.arange(part.num_rows), np.diff(ends)) * len(of.dictionary) + of.indices.to_numpy(), return_counts=True)
+                made = pa.RecordBatch.from_arrays([part.column("id").take(pa.array(pair // len(of.dictionary))), of.dictionary.take(pa.array(pair % len(of.dictionary))), pa.array(tf, pa.int64())], names=["id", "term", "tf"])
+                yield from (made.slice(at, ROWS) for at in range(0, made.num_rows, ROWS))
+
+    return texts.mapInArrow(run, T.StructType([texts.schema["id"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
 
 
 def counted(split: DataFrame) -> DataFrame:
@@ -59,17 +78,17 @@ class IndexedNodes:
         fresh = nodes.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct(*rest)).alias("_r")).select("id", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
         def split(read) -> DataFrame:  # the written nodes, so that texts are shuffled once
-            return (n := read("nodes")).select("id", words(n).alias("w"))
+            return (n := read("nodes")).select("id", fields(n).alias("text"))
 
         def ids(read) -> DataFrame:
-            made = split(read).select("id", F.lit(False).alias("gone"), F.size("w").cast("long").alias("dl"))
+            made = split(read).select("id", F.lit(False).alias("gone"), F.regexp_count("text", F.lit("[a-z0-9_]{3,}")).cast("long").alias("dl"))
             if gone is None:
                 return made
             lost = gone.where("id IS NOT NULL").select("id").distinct().join(read("nodes").select("id"), "id", "left_anti")
             return made.unionByName(lost.select("id", F.lit(True).alias("gone"), F.lit(0).cast("long").alias("dl")))
 
         def postings(read) -> DataFrame:
-            return counted(split(read)).withColumn("bucket", bucket(F.col("term")))
+            return posted(split(read)).withColumn("bucket", bucket(F.col("term")))
 
         return self.store.write(self.store.last() + 1 if epoch is None else epoch, {"nodes": fresh, "ids": ids, "postings": postings})
 
